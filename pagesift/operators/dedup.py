@@ -1,3 +1,239 @@
-"""First and last per key."""
-from pyspark.sql import DataFrame, Window
+"""Dedup within a batch and against the history.
+
+The rule, record by record in order: a record whose URL or content hash is
+already stored is a duplicate; anything else is stored. Here it is worked out
+in sets, with the same result.
+
+Scale notes. Text and page source never take part: the work runs on slim rows
+(store, URL, hash, order). A hot key - a store, one hash shared by a third of
+all rows - is reduced to one row by each task before anything is shuffled, and
+what survives is matched by record identity, which no two rows share.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from pagesift.functions.text import content_hash, hash_seed
+from pagesift.session import materialize
+
+RECORD_KEY = ["store_key", "url"]
+# Arrival order: source, position in it; the URL makes it total.
+ORDER = ["source_ord", "pos", "url"]
+
+
+def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """First row of each key in the given order."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
+
+
+def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Last row of each key: a pre-aggregated maximum, no sort of groups."""
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
+    return last.select(*keys, "_last.*").select(df.columns)
+
+
+def not_in_history(df: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
+    return df.join(history.select(*keys), keys, "left_anti")
+
+
+def known_urls(work: DataFrame, history: DataFrame) -> DataFrame:
+    """Rows of a work list whose URL the history has: the pre-filter's skips."""
+    checked = work.filter("incremental AND by_url")
+    return checked.join(history.select(*RECORD_KEY), RECORD_KEY, "left_semi")
+
+
+def unknown_urls(work: DataFrame, history: DataFrame) -> DataFrame:
+    """Work list without the URLs the history has, where that check is on."""
+    checked = F.col("incremental") & F.col("by_url")
+    wanted = history.select(*RECORD_KEY, F.lit(True).alias("_check"))
+    marked = work.withColumn("_check", F.when(checked, F.lit(True)))
+    return marked.join(wanted, [*RECORD_KEY, "_check"], "left_anti").drop("_check")
+
+
+def fingerprint(records: DataFrame) -> DataFrame:
+    """Add ``content_hash``, taken of the content or else of the page source."""
+    return records.withColumn("content_hash", content_hash(hash_seed("content", "raw_html")))
+
+
+def fingerprint_fields(records: DataFrame) -> DataFrame:
+    """``fingerprint`` for records that keep their content in ``fields``."""
+    seed = hash_seed(F.col("fields")["content"], F.col("raw_html"))
+    return records.withColumn("content_hash", content_hash(seed))
+
+
+IDENTITY = ["store_key", *ORDER]
+
+
+def slim_rows(records: DataFrame) -> DataFrame:
+    """What dedup needs of records; checks not given as columns are on."""
+    flags = [
+        (F.col(c) if c in records.columns else F.lit(True)).alias(c)
+        for c in ("by_url", "by_content")
+    ]
+    return records.select(*IDENTITY, "content_hash", *flags)
+
+
+def _earliest(rows: DataFrame, key: str) -> DataFrame:
+    """The earliest row of each (store, key): a pre-aggregated minimum."""
+    row = F.struct(*ORDER, *[c for c in rows.columns if c not in ("store_key", *ORDER)])
+    first = rows.groupBy("store_key", key).agg(F.min(row).alias("_row"))
+    return first.select("store_key", "_row.*").select(rows.columns)
+
+
+def _drop_known(rows: DataFrame, history: DataFrame, key: str, flag: str) -> DataFrame:
+    known = history.select("store_key", key, F.lit(True).alias(flag))
+    return rows.join(known, ["store_key", key, flag], "left_anti").select(rows.columns)
+
+
+def stored_rows(
+    records: DataFrame, history: DataFrame, unique_urls: bool = False
+) -> DataFrame:
+    """The slim rows that get stored.
+
+    With ``unique_urls`` the caller vouches that a URL occurs once per store in
+    the batch; one lazy plan then does it. Otherwise rounds are run until every
+    row is decided, each on the rows the one before left open (usually none).
+    """
+    rows = _drop_known(slim_rows(records), history, "url", "by_url")
+    if unique_urls:
+        first = _drop_known(
+            _earliest(rows, "content_hash").filter("by_content"), history, "content_hash", "by_content"
+        )
+        return first.unionByName(rows.filter("NOT by_content"))
+
+    still_open = materialize(
+        _drop_known(rows, history, "content_hash", "by_content"), "dedup-open"
+    )
+    stored = []
+    while not still_open.isEmpty():
+        winners = materialize(_undisputed(still_open), "dedup-stored")
+        stored.append(winners)
+        still_open = materialize(_undecided(still_open, winners), "dedup-open")
+    return reduce(DataFrame.unionByName, stored, still_open)
+
+
+def _undisputed(rows: DataFrame) -> DataFrame:
+    """Rows no earlier open row can conflict with: they are stored."""
+    by_url, by_hash = _earliest(rows, "url"), _earliest(rows, "content_hash")
+    both = by_url.filter("by_url AND by_content").join(
+        by_hash.select(*IDENTITY), IDENTITY, "left_semi"
+    )
+    return (
+        both.unionByName(by_url.filter("by_url AND NOT by_content"))
+        .unionByName(by_hash.filter("by_content AND NOT by_url"))
+        .unionByName(rows.filter("NOT by_url AND NOT by_content"))
+        .select(rows.columns)
+    )
+
+
+def _undecided(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """Open rows that neither got stored nor conflict with an earlier stored row."""
+    left = rows.join(winners.select(*IDENTITY), IDENTITY, "left_anti")
+    for key, flag in (("url", "by_url"), ("content_hash", "by_content")):
+        first = _first_order(winners, key).select(
+            F.col("store_key").alias("_s"), F.col(key).alias("_k"), "_first"
+        )
+        earlier = (
+            (F.col("store_key") == F.col("_s"))
+            & (F.col(key) == F.col("_k"))
+            & F.col(flag)
+            & (F.struct(*ORDER) > F.col("_first"))
+        )
+        left = left.join(first, earlier, "left_anti")
+    return left.select(rows.columns)
+
+
+def _first_order(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy("store_key", key).agg(F.min(F.struct(*ORDER)).alias("_first"))
+
+
+def dedup(records: DataFrame, history: DataFrame, unique_urls: bool = False) -> DataFrame:
+    """Records that are not duplicates; see ``stored_rows``."""
+    stored = stored_rows(records, history, unique_urls)
+    return records.join(stored.select(*IDENTITY), IDENTITY, "left_semi").select(records.columns)
+
+
+def duplicate_flags(
+    records: DataFrame, history: DataFrame, unique_urls: bool = False
+) -> DataFrame:
+    """Slim rows with url_duplicate, content_duplicate and is_duplicate.
+
+    The joins have one row per key on the other side, so AQE can split a hot
+    key of the records; nothing after them needs the key's partitioning.
+    """
+    stored = stored_rows(records, history, unique_urls)
+    flagged = slim_rows(records)
+    order = F.struct(*ORDER)
+    for key, flag, result in (
+        ("url", "by_url", "url_duplicate"),
+        ("content_hash", "by_content", "content_duplicate"),
+    ):
+        seen = history.groupBy("store_key", key).agg(F.lit(True).alias("_seen"))
+        facts = _first_order(stored, key).join(seen, ["store_key", key], "full")
+        flagged = (
+            flagged.join(facts, ["store_key", key], "left")
+            .withColumn(
+                result,
+                F.col(flag)
+                & (
+                    F.col("_seen").isNotNull()
+                    | F.coalesce(order > F.col("_first"), F.lit(False))
+                ),
+            )
+            .drop("_first", "_seen")
+        )
+    return flagged.withColumn("is_duplicate", F.col("url_duplicate") | F.col("content_duplicate"))
+
+
+# --- history -------------------------------------------------------------------
+
+
+def history_rows(stored: DataFrame, run_ts: Column) -> DataFrame:
+    """Stored records as history rows, stamped to the second with the run's time."""
+    return stored.select(
+        "store_key",
+        "url",
+        "content_hash",
+        F.date_trunc("SECOND", run_ts).alias("ts"),
+        "source_name",
+    )
+
+
+def history_upsert(history: DataFrame, new: DataFrame) -> DataFrame:
+    """One row per (store, URL): the latest. New rows win over old ones."""
+    both = history.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    rest = [c for c in history.columns if c not in RECORD_KEY]
+    latest = both.groupBy(*RECORD_KEY).agg(
+        F.max_by(F.struct(*rest), F.struct("ts", "_new")).alias("_last")
+    )
+    return latest.select(*RECORD_KEY, "_last.*").select(history.columns)
+
+
+def history_without(history: DataFrame, store_key: str) -> DataFrame:
+    """History after a reset of one store, whichever sources share it."""
+    return history.filter(F.col("store_key") != store_key)
+
+
+def recent_history(history: DataFrame, source: str, n: int = 20) -> DataFrame:
+    """URL and time of a source's newest entries (a distributed top-n)."""
+    return (
+        history.filter(F.col("source_name") == source)
+        .select("url", "ts")
+        .orderBy(F.desc("ts"), "url")
+        .limit(n)
+    )
+
+
+def recent_history_all(history: DataFrame, n: int = 20) -> DataFrame:
+    """The newest entries of every source; tasks send n rows per source at most."""
+    window = Window.partitionBy("source_name").orderBy(F.desc("ts"), "url")
+    return (
+        history.select("source_name", "url", "ts", F.row_number().over(window).alias("rank"))
+        .filter(F.col("rank") <= n)
+    )

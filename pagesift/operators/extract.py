@@ -180,17 +180,20 @@ def keep_last_per_url(items: Column) -> Column:
 
 
 def _unique_records(pages: DataFrame, items: Column, *keys: str) -> DataFrame:
-    """Explode an array of (url, pos, ...) record structs, one row per URL."""
-    kept = pages.select(*keys, items.alias("_items")).select(
-        *keys,
-        "_items",
-        F.explode(
-            keep_last_per_url(F.filter(F.col("_items"), lambda x: x["url"].isNotNull()))
-        ).alias("_kept"),
-    )
-    record = F.get(F.col("_items"), F.col("_kept.last_pos"))
-    return kept.select(*keys, F.col("_kept.pos").alias("pos"), record.alias("_r")).select(
-        *keys, "pos", "_r.url", "_r.fields", "_r.raw_html"
+    """Explode an array of (url, pos, ...) record structs, one row per URL.
+
+    The array is reduced before it is exploded, so no row carries the whole.
+    """
+
+    def reduce_items(found: Column) -> Column:
+        keyed = F.filter(found, lambda x: x["url"].isNotNull())
+        return F.transform(
+            keep_last_per_url(keyed),
+            lambda kept: F.struct(kept["pos"].alias("pos"), F.get(found, kept["last_pos"]).alias("r")),
+        )
+
+    return pages.select(*keys, F.explode(let(items, reduce_items)).alias("_kept")).select(
+        *keys, "_kept.pos", "_kept.r.url", "_kept.r.fields", "_kept.r.raw_html"
     )
 
 
@@ -341,13 +344,15 @@ def json_detail(raw_html: Column | str) -> Column:
     detail = read_embedded_json(raw_html, '"initData"', JSON_DETAIL, where="around")["initData"]["detail"]
 
     def entries(d: Column) -> Column:
-        pairs = F.array(
-            F.struct(F.lit("title").alias("key"), d["title"].alias("value")),
-            F.struct(F.lit("content"), d["description"]),
-            F.struct(F.lit("original_url"), d["newsUrl"]),
-            F.struct(F.lit("published_at"), epoch_ms_iso(d["publishTimestamp"])),
+        found = F.create_map(
+            F.lit("title"), d["title"],
+            F.lit("content"), d["description"],
+            F.lit("original_url"), d["newsUrl"],
+            F.lit("published_at"), epoch_ms_iso(d["publishTimestamp"]),
+        )
+        return F.when(
+            d.isNotNull(), F.map_filter(found, lambda _, v: F.coalesce(v != "", F.lit(False)))
         )
-        return F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["value"] != "", F.lit(False))))
 
     return let(detail, entries)
 
