@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagesift.functions.columns import as_col, let
+from pagesift.functions.columns import as_col, let, text_sql
 
 # Every character that counts as white space in Unicode text.
 WHITESPACE = (
@@ -27,11 +27,19 @@ _SUMMARY_BREAK = (
 )
 
 
+def u_strip_sql(text: str) -> str:
+    return f"btrim({text}, {text_sql(WHITESPACE)})"
+
+
 def u_strip(col: Column | str) -> Column:
     """Strip Unicode white space from both ends."""
     return F.btrim(as_col(col), F.lit(WHITESPACE))
 
 
+def blank_to_null_sql(text: str) -> str:
+    return f"if({u_strip_sql(text)} <> '', {text}, null)"
+
+
 def blank_to_null(col: Column | str) -> Column:
     """Null if nothing is left after stripping; the value itself otherwise."""
     col = as_col(col)

@@ -9,8 +9,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.functions.columns import as_col, as_value, let
-from pagesift.functions.text import u_strip
+from pagesift.functions.columns import as_col, bind_sql, let, text_sql
+from pagesift.functions.text import u_strip, u_strip_sql
 
 # Order in which the fields of a record are asked for its time.
 TIME_FIELDS = [
@@ -35,82 +35,71 @@ _ISO_WEEK = r"^(?!0000)(\d{4})(-?)W(\d{2})(?:\2([1-7]))?$"
 _LOOSE = r"^(?:(?!0000)(\d{4})([-/]))?(\d{1,2})([-/])(\d{1,2})(?:\s+([01]?\d|2[0-3]):([0-5]?\d)(?::([0-5]?\d))?)?$"
 
 
-def _int(part: Column, default: int = 0) -> Column:
-    return F.coalesce(F.nullif(part, F.lit("")).cast("int"), F.lit(default))
-
-
-def _parts(text: Column, pattern: str, groups: list[int]) -> Column:
+def _parts_sql(text: str, pattern: str, groups: list[int]) -> str:
     """The wanted groups of a matching text as one array, in one regex pass."""
-    return F.split(F.regexp_replace(text, pattern, "|".join(f"${g}" for g in groups)), r"\|", -1)
+    wanted = text_sql("|".join(f"${g}" for g in groups))
+    return f"split(regexp_replace({text}, {text_sql(pattern)}, {wanted}), {text_sql('[|]')}, -1)"
 
 
-def _zone_id(zone: Column, tz: Column) -> Column:
-    return (
-        F.when(zone == "", tz)
-        .when(zone == "Z", F.lit("UTC"))
-        .when(F.length(zone) == 3, F.concat(zone, F.lit(":00")))
-        .otherwise(F.regexp_replace(zone, r"^(...):?(..)$", "$1:$2"))
-    )
+def _int_sql(part: int, default: int = 0) -> str:
+    return f"coalesce(cast(nullif(p[{part}], '') as int), {default})"
 
 
-def _iso_ts(text: Column, tz: Column) -> Column:
-    def build(p: Column) -> Column:
-        fraction = F.rpad(F.substring(p[6], 1, 6), 6, "0")
-        seconds = F.concat(F.lpad(p[5], 2, "0"), F.lit("."), fraction).cast("decimal(16,6)")
-        return F.try_make_timestamp(
-            _int(p[0]), _int(p[1]), _int(p[2]), _int(p[3]), _int(p[4]), seconds,
-            _zone_id(p[7], tz),
-        )
+def _if_matches_sql(text: str, pattern: str, groups: list[int], body: str) -> str:
+    parts = bind_sql("p", _parts_sql(text, pattern, groups), body)
+    return f"if(rlike({text}, {text_sql(pattern)}), {parts}, null)"
 
-    return F.when(text.rlike(_ISO), let(_parts(text, _ISO, [1, 3, 4, 5, 7, 8, 9, 10]), build))
 
+def _iso_sql(text: str, tz: str) -> str:
+    seconds = "cast(concat(lpad(p[5], 2, '0'), '.', rpad(substring(p[6], 1, 6), 6, '0')) as decimal(16,6))"
+    zone = f"""case when p[7] = '' then {tz} when p[7] = 'Z' then 'UTC'
+      when length(p[7]) = 3 then concat(p[7], ':00')
+      else concat(left(p[7], 3), ':', right(p[7], 2)) end"""
+    return _if_matches_sql(
+        text,
+        _ISO,
+        [1, 3, 4, 5, 7, 8, 9, 10],
+        f"try_make_timestamp({', '.join(_int_sql(i) for i in range(5))}, {seconds}, {zone})",
+    )
 
-def _iso_week_ts(text: Column, tz: Column) -> Column:
-    def build(p: Column) -> Column:
-        # The first ISO week of a year is the one that holds 4 January.
-        monday = F.date_trunc("WEEK", F.make_date(_int(p[0]), F.lit(1), F.lit(4))).cast("date")
-        day = F.date_add(monday, (_int(p[1]) - 1) * 7 + _int(p[2], 1) - 1)
-        stamp = F.try_make_timestamp(
-            F.year(day), F.month(day), F.day(day), F.lit(0), F.lit(0),
-            F.lit(0).cast("decimal(16,6)"), tz,
-        )
-        return F.when((_int(p[1]) >= 1) & (_int(p[1]) <= 53) & (F.weekofyear(day) == _int(p[1])), stamp)
-
-    return F.when(text.rlike(_ISO_WEEK), let(_parts(text, _ISO_WEEK, [1, 3, 4]), build))
 
+def _iso_week_sql(text: str, tz: str) -> str:
+    # The first ISO week of a year is the one that holds 4 January.
+    day = (
+        f"date_add(cast(date_trunc('WEEK', make_date({_int_sql(0)}, 1, 4)) as date), "
+        f"({_int_sql(1)} - 1) * 7 + {_int_sql(2, 1)} - 1)"
+    )
+    stamp = (
+        f"if({_int_sql(1)} between 1 and 53 and weekofyear(d) = {_int_sql(1)}, "
+        f"try_make_timestamp(year(d), month(d), day(d), 0, 0, cast(0 as decimal(16,6)), {tz}), null)"
+    )
+    return _if_matches_sql(text, _ISO_WEEK, [1, 3, 4], bind_sql("d", day, stamp))
 
-def _loose_ts(text: Column, tz: Column, fallback_year: Column) -> Column:
-    def build(p: Column) -> Column:
-        has_year, has_clock = p[0] != "", p[5] != ""
-        same_mark = p[1] == p[3]
-        stamp = F.try_make_timestamp(
-            F.when(has_year, _int(p[0])).otherwise(fallback_year),
-            _int(p[2]), _int(p[4]), _int(p[5]), _int(p[6]),
-            _int(p[7]).cast("decimal(16,6)"), tz,
-        )
-        # Without a year a clock without seconds is required.
-        known = F.when(has_year, same_mark).otherwise(has_clock & (p[7] == ""))
-        return F.when(known, stamp)
 
-    return F.when(
-        text.rlike(_LOOSE), let(_parts(text, _LOOSE, [1, 2, 3, 4, 5, 6, 7, 8]), build)
+def _loose_sql(text: str, tz: str, fallback_year: str) -> str:
+    # Both marks agree; without a year a clock without seconds is required.
+    known = "if(p[0] <> '', p[1] = p[3], p[5] <> '' and p[7] = '')"
+    stamp = (
+        f"try_make_timestamp(if(p[0] <> '', {_int_sql(0)}, {fallback_year}), "
+        f"{', '.join(_int_sql(i) for i in (2, 4, 5, 6))}, cast({_int_sql(7)} as decimal(16,6)), {tz})"
     )
+    return _if_matches_sql(text, _LOOSE, list(range(1, 9)), f"if({known}, {stamp}, null)")
 
 
-def coerce_ts(
-    col: Column | str, tz: Column | str = "UTC", fallback_year: Column | int | None = None
-) -> Column:
-    """String to instant; null if no known layout fits.
+def coerce_ts_sql(text: str, tz: str = "UTC", fallback_year: int | str | None = None) -> str:
+    zone = text_sql(tz)
+    year = "year(current_timestamp())" if fallback_year is None else str(fallback_year)
+    tries = [_iso_sql("s", zone), _loose_sql("s", zone, year), _iso_week_sql("s", zone)]
+    return bind_sql("s", u_strip_sql(text), f"coalesce({', '.join(tries)})")
 
-    ``tz`` is the zone of strings without one; ``fallback_year`` completes
-    layouts without a year (default: the current year).
+
+def coerce_ts(text: str, tz: str = "UTC", fallback_year: int | str | None = None) -> Column:
+    """String (a SQL expression) to instant; null if no known layout fits.
+
+    ``tz`` is the zone of strings without one; ``fallback_year``, a year or a
+    SQL expression, completes layouts without one (default: the current year).
     """
-    zone = as_value(tz)
-    year = F.year(F.current_timestamp()) if fallback_year is None else as_value(fallback_year)
-    return let(
-        u_strip(col),
-        lambda s: F.coalesce(_iso_ts(s, zone), _loose_ts(s, zone, year), _iso_week_ts(s, zone)),
-    )
+    return F.expr(coerce_ts_sql(text, tz, fallback_year))
 
 
 def epoch_ts(col: Column | str) -> Column:
@@ -120,9 +109,7 @@ def epoch_ts(col: Column | str) -> Column:
     return F.timestamp_micros(micros.try_cast("bigint"))
 
 
-def record_ts(
-    df: DataFrame, tz: str = "UTC", fallback_year: Column | int | None = None
-) -> Column:
+def record_ts(df: DataFrame, tz: str = "UTC", fallback_year: int | str | None = None) -> Column:
     """First usable time of a record over the time fields it has.
 
     Looks at columns first, then at keys of a ``fields`` map if there is one.
@@ -140,7 +127,7 @@ def record_ts(
         elif kind == "string":
             tries.append(coerce_ts(name, tz, fallback_year))
         elif "fields" in types:
-            tries.append(coerce_ts(F.col("fields")[name], tz, fallback_year))
+            tries.append(coerce_ts(f"fields['{name}']", tz, fallback_year))
     return F.coalesce(*tries) if tries else F.lit(None).cast("timestamp")
 
 

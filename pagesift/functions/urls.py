@@ -1,12 +1,15 @@
-"""URL resolution and link tests, as JVM-side expressions."""
+"""URL resolution and link tests, as JVM-side expressions.
+
+Arguments are SQL expressions, such as a column name or ``'/path'``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagesift.functions.columns import as_col, let
-from pagesift.functions.text import u_strip
+from pagesift.functions.columns import bind_sql, text_sql
+from pagesift.functions.text import u_strip_sql
 
 # Schemes whose references are resolved against a base.
 RELATIVE_SCHEMES = ["", "ftp", "http", "https", "file", "sftp", "ws", "wss"]
@@ -16,122 +19,92 @@ _URI = r"^(?s)(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*
 _DOTS = r"(?:^|/)\.{1,2}(?:/|$)"
 
 
-def url_parts(url: Column | str) -> Column:
+def url_parts_sql(url: str) -> str:
     """Struct (url, scheme, authority, path, query, fragment); absent is ''."""
     # Tabs and line ends never belong to a URL, nor do blanks around it.
-    clean = F.btrim(F.regexp_replace(as_col(url), r"[\t\r\n]", ""), F.lit(" "))
-    return let(
+    clean = f"trim(regexp_replace({url}, {text_sql('[\t\r\n]')}, ''))"
+
+    def part(group: int) -> str:
+        return f"regexp_extract(u, {text_sql(_URI)}, {group})"
+
+    return bind_sql(
+        "u",
         clean,
-        lambda u: F.struct(
-            u.alias("url"),
-            F.lower(F.regexp_extract(u, _URI, 1)).alias("scheme"),
-            F.regexp_extract(u, _URI, 2).alias("authority"),
-            F.regexp_extract(u, _URI, 3).alias("path"),
-            F.regexp_extract(u, _URI, 4).alias("query"),
-            F.regexp_extract(u, _URI, 5).alias("fragment"),
-        ),
+        f"named_struct('url', u, 'scheme', lower({part(1)}), 'authority', {part(2)}, "
+        f"'path', {part(3)}, 'query', {part(4)}, 'fragment', {part(5)})",
     )
 
 
-def _unsplit(scheme, authority, path, query, fragment) -> Column:
-    rooted = F.when(
-        (authority != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)
-    ).otherwise(path)
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        F.when(
-            (authority != "") | ((scheme == "file") & path.startswith("/")),
-            F.concat(F.lit("//"), authority),
-        ).otherwise(F.lit("")),
-        rooted,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")),
-    )
+# Text of a (scheme, authority, path, query, fragment) struct ``p``.
+_UNSPLIT = """concat(
+  if(p.scheme <> '', concat(p.scheme, ':'), ''),
+  if(p.authority <> '' or (p.scheme = 'file' and startswith(p.path, '/')), concat('//', p.authority), ''),
+  if(p.authority <> '' and p.path <> '' and not startswith(p.path, '/'), '/', ''),
+  p.path,
+  if(p.query <> '', concat('?', p.query), ''),
+  if(p.fragment <> '', concat('#', p.fragment), ''))"""
 
+# Path of a segment list ``segs`` with '.' and '..' worked off.
+_DROP_DOTS = """array_join(concat(
+  aggregate(segs, cast(array() as array<string>), (kept, seg) -> case
+    when seg = '.' then kept
+    when seg = '..' then slice(kept, 1, greatest(size(kept) - 1, 0))
+    else concat(kept, array(seg)) end),
+  if(element_at(segs, -1) in ('.', '..'), array(''), cast(array() as array<string>))), '/')"""
 
-def _drop_dots(segments: Column) -> Column:
-    """Path of a segment list with '.' and '..' worked off."""
-    empty = F.array().cast("array<string>")
-    kept = F.aggregate(
-        segments,
-        empty,
-        lambda acc, seg: F.when(seg == ".", acc)
-        .when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(seg))),
-    )
-    last = F.element_at(segments, -1)
-    ended = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.array_join(ended, "/")
-
-
-def _merge_paths(base_path: Column, path: Column) -> Column:
-    def relative_segments() -> Column:
-        # The last segment of the base gives way; inner empty segments go.
-        folder = F.regexp_replace(base_path, r"[^/]+$", "")
-        parts = F.split(F.concat(folder, path), "/")
-        return F.filter(
-            parts,
-            lambda seg, i: (i == 0) | (i == F.size(parts) - 1) | (seg != ""),
-        )
-
-    segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(relative_segments())
-    plain = path.startswith("/") & ~path.rlike(_DOTS)
-    merged = F.when(plain, path).otherwise(let(segments, _drop_dots))
-    return F.coalesce(F.nullif(merged, F.lit("")), F.lit("/"))
-
-
-def resolve(base: Column, href: Column) -> Column:
-    """Resolve ``href`` against a ``url_parts`` struct (bind it once per page)."""
-
-    def against(ref: Column) -> Column:
-        scheme = F.when(ref["scheme"] != "", ref["scheme"]).otherwise(base["scheme"])
-        elsewhere = (scheme != base["scheme"]) | ~scheme.isin(RELATIVE_SCHEMES)
-        return (
-            F.when(ref["url"] == "", base["url"])
-            .when(base["url"] == "", ref["url"])
-            .when(elsewhere, ref["url"])
-            .when(
-                ref["authority"] != "",
-                _unsplit(
-                    scheme, ref["authority"], ref["path"], ref["query"], ref["fragment"]
-                ),
-            )
-            .when(
-                ref["path"] == "",
-                _unsplit(
-                    scheme,
-                    base["authority"],
-                    base["path"],
-                    F.coalesce(F.nullif(ref["query"], F.lit("")), base["query"]),
-                    ref["fragment"],
-                ),
-            )
-            .otherwise(
-                _unsplit(
-                    scheme,
-                    base["authority"],
-                    _merge_paths(base["path"], ref["path"]),
-                    ref["query"],
-                    ref["fragment"],
-                )
-            )
-        )
-
-    return let(url_parts(href), against)
-
-
-def url_join(base: Column | str, href: Column | str) -> Column:
-    return let(url_parts(base), lambda b: resolve(b, as_col(href)))
-
-
-def url_host(url: Column | str) -> Column:
+# Segments of a path relative to the folder of the base; inner empty ones go.
+_RELATIVE_SEGMENTS = bind_sql(
+    "parts",
+    f"split(concat(regexp_replace(b.path, {text_sql('[^/]+$')}, ''), r.path), '/')",
+    "filter(parts, (seg, i) -> i = 0 or i = size(parts) - 1 or seg <> '')",
+)
+
+_MERGED_PATH = f"""case
+  when startswith(r.path, '/') and not rlike(r.path, {text_sql(_DOTS)}) then r.path
+  else coalesce(nullif({bind_sql(
+      "segs",
+      f"if(startswith(r.path, '/'), split(r.path, '/'), {_RELATIVE_SEGMENTS})",
+      _DROP_DOTS,
+  )}, ''), '/') end"""
+
+_TARGET = f"""named_struct(
+  'scheme', b.scheme,
+  'authority', if(r.authority <> '', r.authority, b.authority),
+  'path', case when r.authority <> '' then r.path when r.path = '' then b.path else {_MERGED_PATH} end,
+  'query', if(r.authority = '' and r.path = '' and r.query = '', b.query, r.query),
+  'fragment', r.fragment)"""
+
+_RESOLVED = f"""case
+  when r.url = '' then b.url
+  when b.url = '' then r.url
+  when (r.scheme <> '' and r.scheme <> b.scheme)
+    or b.scheme not in ({", ".join(text_sql(s) for s in RELATIVE_SCHEMES)}) then r.url
+  else {bind_sql("p", _TARGET, _UNSPLIT)} end"""
+
+
+def resolve_sql(base: str, href: str) -> str:
+    """Resolve ``href`` against a ``url_parts_sql`` struct (bind it once per page)."""
+    return bind_sql("b", base, bind_sql("r", url_parts_sql(href), _RESOLVED))
+
+
+def url_join(base: str, href: str) -> Column:
+    return F.expr(resolve_sql(url_parts_sql(base), href))
+
+
+def url_host_sql(url: str) -> str:
+    return f"coalesce(lower(try_parse_url({url}, 'HOST')), '')"
+
+
+def url_host(url: str) -> Column:
     """Lower-cased host, '' if there is none or the URL is malformed."""
-    return F.coalesce(F.lower(F.try_parse_url(as_col(url), F.lit("HOST"))), F.lit(""))
+    return F.expr(url_host_sql(url))
+
 
+def usable_link_sql(href: str) -> str:
+    link = "link <> '' and not startswith(link, 'javascript:') and not startswith(link, '#')"
+    return f"coalesce({bind_sql('link', u_strip_sql(href), link)}, false)"
 
-def usable_link(href: Column | str) -> Column:
+
+def usable_link(href: str) -> Column:
     """Not blank, no script, no anchor. Never null."""
-    link = u_strip(href)
-    return F.coalesce(
-        (link != "") & ~link.startswith("javascript:") & ~link.startswith("#"), F.lit(False)
-    )
+    return F.expr(usable_link_sql(href))

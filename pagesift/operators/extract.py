@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions import urls
-from pagesift.functions.columns import as_col, let
+from pagesift.functions.columns import bind_sql, let, text_sql
 from pagesift.functions.embedded import read_embedded_json
-from pagesift.functions.text import blank_to_null, time_and_rest, title_cut, u_strip
+from pagesift.functions.text import blank_to_null_sql, time_and_rest, title_cut, u_strip_sql
 from pagesift.functions.times import epoch_ms_iso
 from pagesift.operators import nodes as tree_ops
 from pagesift.operators import selectors as sel
@@ -76,51 +76,46 @@ def rule_sets(rules: DataFrame, fallbacks: bool) -> DataFrame:
     )
 
 
-def field_values(html: Column, texts: Column, nodes: Column, rule_set: Column) -> Column:
+def field_values_sql(html: str, texts: str, nodes: str, rule_set: str) -> str:
     """Map field -> value: per field the first selector that gives something.
 
     A selector contributes its first element only. Later selectors are not
     evaluated once there is a value.
     """
-
-    def value_of(rule: Column) -> Column:
-        return F.aggregate(
-            rule["tries"],
-            F.lit(None).cast("string"),
-            lambda found, t: F.coalesce(
-                found,
-                let(
-                    sel.first_match(nodes, t["steps"]),
-                    lambda node: blank_to_null(sel.node_value(html, texts, node, t["mode"])),
-                ),
-            ),
-        )
-
-    return F.map_from_entries(
-        F.transform(rule_set, lambda rule: F.struct(rule["field"].alias("key"), value_of(rule).alias("value")))
+    value = blank_to_null_sql("val")
+    tried = bind_sql(
+        "hit",
+        sel.first_match_sql(nodes, "t.steps"),
+        bind_sql("val", sel.node_value_sql(html, texts, "hit", "t.mode"), value),
+    )
+    found = f"aggregate(rule.tries, cast(null as string), (found, t) -> coalesce(found, {tried}))"
+    return (
+        f"map_from_entries(transform({rule_set}, "
+        f"rule -> named_struct('key', rule.field, 'value', {found})))"
     )
 
 
 # --- links -------------------------------------------------------------------
 
 
-def usable_links(base: Column, hrefs: Column) -> Column:
+def usable_links_sql(base: str, hrefs: str) -> str:
     """Resolved links of an href array; the first occurrence of each is kept."""
-    links = let(
-        urls.url_parts(base),
-        lambda b: F.transform(
-            F.filter(hrefs, urls.usable_link), lambda href: urls.resolve(b, u_strip(href))
-        ),
+    usable = f"filter({hrefs}, href -> {urls.usable_link_sql('href')})"
+    resolved = urls.resolve_sql("base", u_strip_sql("href"))
+    return bind_sql(
+        "base", urls.url_parts_sql(base), f"array_distinct(transform({usable}, href -> {resolved}))"
     )
-    return F.array_distinct(links)
 
 
-def entry_links(trees: DataFrame, steps: Column, *keys: str, url_col: str = "url") -> DataFrame:
-    """Links of the elements an entry pattern selects: keys, pos, link."""
-    nodes = F.col("tree.nodes")
-    hrefs = F.transform(sel.select_steps(nodes, steps), lambda n: sel.node_attr(n, "href"))
+def entry_links(trees: DataFrame, steps: str, *keys: str, url: str = "url") -> DataFrame:
+    """Links of the elements an entry pattern selects: keys, pos, link.
+
+    ``steps`` is a column of parsed steps or ``steps_sql`` of a fixed selector.
+    """
+    picked = sel.select_sql("tree.nodes", steps)
+    hrefs = f"transform({picked}, n -> {sel.node_attr_sql('n', text_sql('href'))})"
     return trees.select(
-        *keys, F.posexplode(usable_links(F.col(url_col), hrefs)).alias("pos", "link")
+        *keys, F.posexplode(F.expr(usable_links_sql(url, hrefs))).alias("pos", "link")
     )
 
 
@@ -141,195 +136,155 @@ def attach_rules(pages: DataFrame, rules: DataFrame, fallbacks: bool) -> DataFra
     return pages.join(checked_broadcast(rule_sets(rules, fallbacks)), "source_name", "left")
 
 
-def detail_fields(trees: DataFrame, rules: DataFrame, html_col: str = "html") -> DataFrame:
+def detail_fields(trees: DataFrame, rules: DataFrame, html: str = "html") -> DataFrame:
     """Add ``fields`` to detail pages that carry a ``tree`` and ``source_name``."""
     with_rules = attach_rules(trees, rules, fallbacks=True)
-    values = field_values(
-        F.col(html_col), F.col("tree.texts"), F.col("tree.nodes"), F.col("rule_set")
-    )
-    return with_rules.withColumn("fields", values).drop("rule_set")
+    values = field_values_sql(html, "tree.texts", "tree.nodes", "rule_set")
+    return with_rules.withColumn("fields", F.expr(values)).drop("rule_set")
 
 
-def keep_last_per_url(items: Column) -> Column:
-    """Items with one URL: the last one's values at the first one's position.
+def keep_last_per_url_sql(items: str) -> str:
+    """Items with one URL: the last one's position, and the first one's as ``pos``.
 
     ``items`` is an array of structs with ``url`` and ``pos``. Sorting by
     (url, pos) puts equal URLs in runs; a run's ends are what is wanted.
     """
-
-    def pick(by_url: Column) -> Column:
-        size = F.size(by_url)
-        firsts = F.filter(
-            by_url,
-            lambda x, i: (i == 0) | (F.get(by_url, i - 1)["url"] != x["url"]),
-        )
-        lasts = F.filter(
-            by_url,
-            lambda x, i: (i == size - 1) | (F.get(by_url, i + 1)["url"] != x["url"]),
-        )
-        return F.zip_with(
-            firsts,
-            lasts,
-            lambda first, last: F.struct(
-                first["pos"].alias("pos"), last["pos"].alias("last_pos"), last["url"].alias("url")
-            ),
-        )
-
-    slim = F.transform(items, lambda x: F.struct(x["url"].alias("url"), x["pos"].alias("pos")))
-    return let(F.array_sort(slim), lambda s: F.array_sort(pick(s)))
+    slim = f"array_sort(transform({items}, x -> named_struct('url', x.url, 'pos', x.pos)))"
+    firsts = "filter(runs, (x, i) -> i = 0 or get(runs, i - 1).url <> x.url)"
+    lasts = "filter(runs, (x, i) -> i = size(runs) - 1 or get(runs, i + 1).url <> x.url)"
+    ends = (
+        f"zip_with({firsts}, {lasts}, (f, l) -> "
+        "named_struct('pos', f.pos, 'last_pos', l.pos, 'url', l.url))"
+    )
+    return bind_sql("runs", slim, f"array_sort({ends})")
 
 
-def _unique_records(pages: DataFrame, items: Column, *keys: str) -> DataFrame:
+def _unique_records(pages: DataFrame, items: str, *keys: str) -> DataFrame:
     """Explode an array of (url, pos, ...) record structs, one row per URL.
 
     The array is reduced before it is exploded, so no row carries the whole.
     """
-
-    def reduce_items(found: Column) -> Column:
-        keyed = F.filter(found, lambda x: x["url"].isNotNull())
-        return F.transform(
-            keep_last_per_url(keyed),
-            lambda kept: F.struct(kept["pos"].alias("pos"), F.get(found, kept["last_pos"]).alias("r")),
-        )
-
-    return pages.select(*keys, F.explode(let(items, reduce_items)).alias("_kept")).select(
+    kept = keep_last_per_url_sql("filter(items, x -> x.url is not null)")
+    reduced = bind_sql(
+        "items",
+        items,
+        f"transform({kept}, k -> named_struct('pos', k.pos, 'r', get(items, k.last_pos)))",
+    )
+    return pages.select(*keys, F.explode(F.expr(reduced)).alias("_kept")).select(
         *keys, "_kept.pos", "_kept.r.url", "_kept.r.fields", "_kept.r.raw_html"
     )
 
 
-def item_url(base: Column, scope: Column, item: Column) -> Column:
+def item_url_sql(base: str, scope: str, item: str) -> str:
     """Key of a list item: its first usable link, else its data-id, else data-time."""
-    link = sel.node_attr(sel.first_match(scope, sel.fixed_steps("a[href]")), "href")
-    data_id = blank_as_missing(sel.node_attr(item, "data-id"))
-    data_time = blank_as_missing(sel.node_attr(item, "data-time"))
-    ref = let(
-        link,
-        lambda href: F.coalesce(
-            F.when(urls.usable_link(href), u_strip(href)),
-            F.concat(F.lit("#id-"), data_id),
-            F.concat(F.lit("#time-"), data_time),
-        ),
+    anchor = sel.first_match_sql(scope, sel.steps_sql("a[href]"))
+    href = bind_sql("anchor", anchor, sel.node_attr_sql("anchor", text_sql("href")))
+
+    def marked(name: str) -> str:
+        value = sel.node_attr_sql(item, text_sql(f"data-{name}"))
+        return f"concat('#{name}-', nullif({value}, ''))"
+
+    ref = bind_sql(
+        "href",
+        href,
+        f"coalesce(if({urls.usable_link_sql('href')}, {u_strip_sql('href')}, null), "
+        f"{marked('id')}, {marked('time')})",
     )
-    return let(ref, lambda r: F.when(r.isNotNull(), urls.resolve(base, r)))
-
-
-def blank_as_missing(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
+    return bind_sql("ref", ref, f"if(ref is null, null, {urls.resolve_sql(base, 'ref')})")
 
 
 def list_records(
-    trees: DataFrame, steps: Column, *keys: str, url_col: str = "url", html_col: str = "html"
+    trees: DataFrame, steps: str, *keys: str, url: str = "url", html: str = "html"
 ) -> DataFrame:
     """Records of a list page: one per element the entry pattern selects.
 
     ``trees`` carries ``rule_set`` (see ``attach_rules``, without fallbacks).
     Gives keys, pos, url, fields, raw_html.
     """
-    nodes, texts = F.col("tree.nodes"), F.col("tree.texts")
-
-    def record(base: Column) -> Callable[[Column, Column], Column]:
-        def build(item: Column, pos: Column) -> Column:
-            return let(
-                sel.inside(nodes, item),
-                lambda scope: F.struct(
-                    item_url(base, scope, item).alias("url"),
-                    pos.alias("pos"),
-                    field_values(F.col(html_col), texts, scope, F.col("rule_set")).alias("fields"),
-                    sel.node_html(F.col(html_col), item).alias("raw_html"),
-                ),
-            )
-
-        return build
-
-    items = let(
-        urls.url_parts(url_col),
-        lambda base: F.transform(sel.select_steps(nodes, steps), record(base)),
+    record = bind_sql(
+        "scope",
+        sel.inside_sql("tree.nodes", "item"),
+        f"named_struct('url', {item_url_sql('base', 'scope', 'item')}, 'pos', pos, "
+        f"'fields', {field_values_sql(html, 'tree.texts', 'scope', 'rule_set')}, "
+        f"'raw_html', {sel.node_html_sql(html, 'item')})",
+    )
+    items = bind_sql(
+        "base",
+        urls.url_parts_sql(url),
+        f"transform({sel.select_sql('tree.nodes', steps)}, (item, pos) -> {record})",
     )
     return _unique_records(trees, items, *keys)
 
 
 def timeline_cards(
-    trees: DataFrame, *keys: str, url_col: str = "url", html_col: str = "html"
+    trees: DataFrame, *keys: str, url: str = "url", html: str = "html"
 ) -> DataFrame:
     """Cards of a news timeline page: keys, pos, url, fields, raw_html."""
-    nodes, texts = F.col("tree.nodes"), F.col("tree.texts")
-    first = let(
-        sel.select_nodes(nodes, "div.el-timeline-item__wrapper"),
-        lambda wide: F.when(F.size(wide) > 0, wide).otherwise(
-            sel.select_nodes(nodes, "div.list_body")
-        ),
-    )
 
-    def pick(scope: Column, *selectors: str) -> Column:
-        return F.coalesce(*[sel.first_match(scope, sel.fixed_steps(s)) for s in selectors])
-
-    def card(base: Column, item: Column, pos: Column) -> Column:
-        def build(found: Column) -> Column:
-            title, content, time = found["title"], found["content"], found["time"]
-            title_text = F.coalesce(
-                F.nullif(sel.node_text(texts, title, ""), F.lit("")),
-                sel.node_text(texts, found["topic"], ""),
-                F.lit(""),
-            )
-            known = F.map_from_arrays(
-                F.array(F.lit("title"), F.lit("content")),
-                F.array(title_text, sel.node_text(texts, content)),
-            )
-            dated = F.map_concat(
-                known, F.create_map(F.lit("published_at"), sel.node_text(texts, time, ""))
-            )
-            href = F.coalesce(sel.node_attr(title, "href"), F.lit(""))
-            return F.struct(
-                F.when(
-                    title.isNotNull() & content.isNotNull(),
-                    F.nullif(urls.resolve(base, href), F.lit("")),
-                ).alias("url"),
-                pos.alias("pos"),
-                F.when(time.isNull(), known).otherwise(dated).alias("fields"),
-                sel.node_html(F.col(html_col), item).alias("raw_html"),
-            )
-
-        return let(
-            sel.inside(nodes, item),
-            lambda scope: let(
-                F.struct(
-                    pick(scope, "a.news_body_title").alias("title"),
-                    pick(scope, "div.news_body_content span", "div.detail-body").alias("content"),
-                    pick(scope, "div.el-timeline-item__timestamp", "span.topic-time").alias("time"),
-                    pick(scope, "div.topic").alias("topic"),
-                ),
-                build,
-            ),
-        )
+    def pick(*selectors: str) -> str:
+        tries = [sel.first_match_sql("scope", sel.steps_sql(s)) for s in selectors]
+        return f"coalesce({', '.join(tries)})"
 
-    items = let(
-        urls.url_parts(url_col),
-        lambda base: F.transform(first, lambda item, pos: card(base, item, pos)),
+    def text(part: str, separator: str) -> str:
+        return sel.node_text_sql("tree.texts", f"card.{part}", separator)
+
+    cards = bind_sql(
+        "wide",
+        sel.select_sql("tree.nodes", sel.steps_sql("div.el-timeline-item__wrapper")),
+        f"if(size(wide) > 0, wide, {sel.select_sql('tree.nodes', sel.steps_sql('div.list_body'))})",
+    )
+    parts = (
+        f"named_struct('title', {pick('a.news_body_title')}, "
+        f"'content', {pick('div.news_body_content span', 'div.detail-body')}, "
+        f"'time', {pick('div.el-timeline-item__timestamp', 'span.topic-time')}, "
+        f"'topic', {pick('div.topic')})"
+    )
+    title = f"coalesce(nullif({text('title', '')}, ''), {text('topic', '')}, '')"
+    fields = (
+        f"map_filter(map('title', {title}, 'content', {text('content', ' ')}, "
+        f"'published_at', {text('time', '')}), (k, v) -> k <> 'published_at' or card.time is not null)"
+    )
+    href = f"coalesce({sel.node_attr_sql('card.title', text_sql('href'))}, '')"
+    link = (
+        f"if(card.title is not null and card.content is not null, "
+        f"nullif({urls.resolve_sql('base', href)}, ''), null)"
+    )
+    record = bind_sql(
+        "scope",
+        sel.inside_sql("tree.nodes", "item"),
+        bind_sql(
+            "card",
+            parts,
+            f"named_struct('url', {link}, 'pos', pos, 'fields', {fields}, "
+            f"'raw_html', {sel.node_html_sql(html, 'item')})",
+        ),
+    )
+    items = bind_sql(
+        "base", urls.url_parts_sql(url), f"transform({cards}, (item, pos) -> {record})"
     )
     return _unique_records(trees, items, *keys)
 
 
 def json_list_records(
-    pages: DataFrame, *keys: str, url_col: str = "url", html_col: str = "html"
+    pages: DataFrame, *keys: str, url: str = "url", html: str = "html"
 ) -> DataFrame:
     """Records of a page that embeds its list as JSON; no tree of the page needed."""
-    payload = read_embedded_json(html_col, 'initData":', JSON_LIST)
+    payload = read_embedded_json(html, 'initData":', JSON_LIST)
     rows = pages.select(
-        *keys, F.col(url_col).alias("_base"), F.posexplode(payload["pageResult"]["list"]).alias("_at", "_item")
+        *keys,
+        F.expr(url).alias("_base"),
+        F.posexplode(payload["pageResult"]["list"]).alias("_at", "_item"),
     ).filter(F.col("_item").isNotNull())
     described = rows.withColumn("_text", F.coalesce("_item.description", F.lit("")))
-    parsed = described.withColumn("_tree", tree_ops.escaped_html_tree(F.col("_text"))).withColumn(
-        "raw_html", tree_ops.html_unescape(F.col("_text"))
+    parsed = described.withColumn("_tree", tree_ops.escaped_html_tree("_text")).withColumn(
+        "raw_html", tree_ops.html_unescape("_text")
     )
-    fields = F.map_from_arrays(
-        F.array(F.lit("title"), F.lit("content"), F.lit("published_at")),
-        F.array(
-            F.coalesce(F.col("_item.title"), F.lit("")),
-            tree_ops.all_text(F.col("_tree")),
-            epoch_ms_iso("_item.publishTimestamp"),
-        ),
+    fields = F.create_map(
+        F.lit("title"), F.coalesce("_item.title", F.lit("")),
+        F.lit("content"), tree_ops.all_text(F.col("_tree")),
+        F.lit("published_at"), epoch_ms_iso("_item.publishTimestamp"),
     )
-    path = F.concat(F.lit("/zh-CN/newsflash/"), F.coalesce("_item.id", F.lit("None")))
+    path = "concat('/zh-CN/newsflash/', coalesce(_item.id, 'None'))"
     return parsed.select(
         *keys,
         F.col("_at").alias("pos"),
@@ -364,39 +319,37 @@ _DATE_LINE = r"^\d+[十月年]"
 MIN_ITEM_CHARS = 10
 
 
-def timeline_items(text: Column | str) -> Column:
+def timeline_items_sql(text: str) -> str:
     """Items of timeline text: a clock line opens one, the lines after it belong to it.
 
     Marking each clock line with a line end and joining everything by blanks
     lets one split give the items: linear, and inside the row.
     """
-    lines = F.transform(F.split(as_col(text), "\n"), u_strip)
-    wanted = F.filter(
-        lines,
-        lambda line: (line != "") & ~line.isin(TIMELINE_LABELS) & ~line.rlike(_DATE_LINE),
-    )
-    marked = F.transform(
-        wanted,
-        lambda line: F.when(line.rlike(_CLOCK_LINE), F.concat(F.lit("\n"), line)).otherwise(line),
+    lines = f"transform(split({text}, '\\n'), raw -> {u_strip_sql('raw')})"
+    labels = ", ".join(text_sql(label) for label in TIMELINE_LABELS)
+    wanted = (
+        f"filter({lines}, line -> line <> '' and line not in ({labels}) "
+        f"and not rlike(line, {text_sql(_DATE_LINE)}))"
     )
-    items = F.transform(F.split(F.array_join(marked, " "), "\n"), u_strip)
+    marked = f"transform({wanted}, line -> if(rlike(line, {text_sql(_CLOCK_LINE)}), concat('\\n', line), line))"
+    items = f"transform(split(array_join({marked}, ' '), '\\n'), raw -> {u_strip_sql('raw')})"
     # What stands before the first clock line belongs to no item.
-    opened = F.filter(items, lambda item, i: (i > 0) & (F.length(item) > MIN_ITEM_CHARS))
-    return opened
+    return f"filter({items}, (item, i) -> i > 0 and length(item) > {MIN_ITEM_CHARS})"
 
 
 def timeline_text_records(
-    pages: DataFrame, text_col: str, *keys: str, url_col: str = "url"
+    pages: DataFrame, text: str, *keys: str, url: str = "url"
 ) -> DataFrame:
     """Records of timeline text: keys, pos, url, fields, raw_html."""
     items = pages.select(
         *keys,
-        F.col(url_col).alias("_base"),
-        F.posexplode(timeline_items(text_col)).alias("pos", "raw_html"),
+        F.expr(url).alias("_base"),
+        F.posexplode(F.expr(timeline_items_sql(text))).alias("pos", "raw_html"),
     ).withColumn("_split", time_and_rest("raw_html"))
-    fields = F.map_from_arrays(
-        F.array(F.lit("title"), F.lit("content"), F.lit("published_at")),
-        F.array(title_cut("_split.rest"), F.col("_split.rest"), F.col("_split.time")),
+    fields = F.create_map(
+        F.lit("title"), title_cut("_split.rest"),
+        F.lit("content"), F.col("_split.rest"),
+        F.lit("published_at"), F.col("_split.time"),
     )
     return items.select(
         *keys,
@@ -407,10 +360,10 @@ def timeline_text_records(
     )
 
 
-def timeline_text(trees: DataFrame, selector: str = ".style_home__timeline_1Tz") -> Column:
-    """Text lines of the timeline element of a page."""
-    first = sel.first_match(F.col("tree.nodes"), sel.fixed_steps(selector))
-    return let(first, lambda node: sel.node_text(F.col("tree.texts"), node, "\n"))
+def timeline_text(selector: str = ".style_home__timeline_1Tz") -> Column:
+    """Text lines of the timeline element of a page that carries a ``tree``."""
+    first = sel.first_match_sql("tree.nodes", sel.steps_sql(selector))
+    return F.expr(bind_sql("node", first, sel.node_text_sql("tree.texts", "node", "\n")))
 
 
 # --- families of pages ---------------------------------------------------------
@@ -423,16 +376,15 @@ HOST_FAMILIES = {
 }
 
 
-def host_family(url: Column | str, families: dict[str, str] | None = None) -> Column:
+def host_family(url: str, families: dict[str, str] | None = None) -> Column:
     """Which extractor a page needs, by its host; ``generic`` if none is named."""
-
-    def choose(host: Column) -> Column:
-        chosen = F.lit("generic")
-        for part, family in reversed((families or HOST_FAMILIES).items()):
-            chosen = F.when(F.contains(host, F.lit(part)), F.lit(family)).otherwise(chosen)
-        return chosen
-
-    return let(urls.url_host(url), choose)
+    cases = [
+        f"when contains(host, {text_sql(part)}) then {text_sql(family)}"
+        for part, family in (families or HOST_FAMILIES).items()
+    ]
+    return F.expr(
+        bind_sql("host", urls.url_host_sql(url), f"case {' '.join(cases)} else 'generic' end")
+    )
 
 
 Extractor = Callable[..., DataFrame]
@@ -447,11 +399,11 @@ def family_records(
     adds or replaces extractors: ``function(trees, *keys) -> DataFrame``.
     """
     extractors: dict[str, Extractor] = {
-        "generic": lambda df, *k: list_records(df, F.col("entry_steps"), *k),
+        "generic": lambda df, *k: list_records(df, "entry_steps", *k),
         "cards": timeline_cards,
         "json_list": json_list_records,
         "timeline_text": lambda df, *k: timeline_text_records(
-            df.withColumn("_lines", timeline_text(df)), "_lines", *k
+            df.withColumn("_lines", timeline_text()), "_lines", *k
         ),
         **(extra or {}),
     }

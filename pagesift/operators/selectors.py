@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagesift.functions.columns import as_col, as_value
+from pagesift.functions.columns import as_col, text_sql
 from pagesift.functions.text import u_strip
 from pagesift.operators.nodes import NODES
 
@@ -72,34 +72,28 @@ def parse_selector(css: str | None) -> list[tuple] | None:
     return steps or None
 
 
-def fixed_steps(css: str) -> Column:
+def steps_sql(css: str) -> str:
     """Steps of a selector known at plan time, as a literal."""
     steps = parse_selector(css)
     if steps is None:
         raise ValueError(f"selector not supported: {css!r}")
 
-    def strings(values: list[str]) -> Column:
-        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    def array(items: list[str], kind: str) -> str:
+        return f"cast(array({', '.join(items)}) as array<{kind}>)"
 
-    def attr_tests(attrs: list[tuple]) -> Column:
+    def step(child: bool, tag: str, id_: str, classes: list[str], attrs: list[tuple]) -> str:
         tests = [
-            F.struct(F.lit(n).alias("name"), F.lit(o).alias("op"), F.lit(v).alias("value"))
+            f"named_struct('name', {text_sql(n)}, 'op', '{o}', 'value', {text_sql(v)})"
             for n, o, v in attrs
         ]
-        return F.array(*tests).cast(STEPS.elementType["attrs"].dataType)
-
-    return F.array(
-        *[
-            F.struct(
-                F.lit(child).alias("child"),
-                F.lit(tag).alias("tag"),
-                F.lit(id_).alias("id"),
-                strings(classes).alias("classes"),
-                attr_tests(attrs).alias("attrs"),
-            )
-            for child, tag, id_, classes, attrs in steps
-        ]
-    )
+        return (
+            f"named_struct('child', {str(child).lower()}, 'tag', {text_sql(tag)}, "
+            f"'id', {text_sql(id_)}, "
+            f"'classes', {array([text_sql(c) for c in classes], 'string')}, "
+            f"'attrs', {array(tests, 'struct<name:string,op:string,value:string>')})"
+        )
+
+    return f"array({', '.join(step(*s) for s in steps)})"
 
 
 # For rules tables only: settings rows, parsed before they are joined to pages.
@@ -115,87 +109,88 @@ def split_mode(selector: Column | str) -> Column:
     )
 
 
-def _attribute_fits(node: Column, want: Column) -> Column:
-    value = F.element_at(node["attrs"], want["name"])
-    some = want["value"] != ""
-    return F.coalesce(
-        F.when(want["op"] == "", F.map_contains_key(node["attrs"], want["name"]))
-        .when(want["op"] == "=", value == want["value"])
-        .when(want["op"] == "^=", some & value.startswith(want["value"]))
-        .when(want["op"] == "$=", some & value.endswith(want["value"]))
-        .when(want["op"] == "*=", some & F.contains(value, want["value"])),
-        F.lit(False),
-    )
+_ATTRIBUTE_FITS = """coalesce(case want.op
+  when '' then map_contains_key(node.attrs, want.name)
+  when '=' then element_at(node.attrs, want.name) = want.value
+  when '^=' then want.value <> '' and startswith(element_at(node.attrs, want.name), want.value)
+  when '$=' then want.value <> '' and endswith(element_at(node.attrs, want.name), want.value)
+  when '*=' then want.value <> '' and contains(element_at(node.attrs, want.name), want.value)
+  end, false)"""
 
+# Each step keeps the elements below, or right below, one the step before kept.
+_FITS = f"""(step.tag = '' or node.tag = step.tag)
+  and (step.id = '' or coalesce(element_at(node.attrs, 'id') = step.id, false))
+  and forall(step.classes, class -> array_contains(node.classes, class))
+  and forall(step.attrs, want -> {_ATTRIBUTE_FITS})
+  and (kept is null or exists(kept, up -> if(step.child, node.parent_id = up.node_id,
+       node.node_id > up.node_id and node.node_id <= up.end_id)))"""
 
-def _fits(node: Column, step: Column) -> Column:
+
+def select_sql(nodes: str, steps: str) -> str:
+    """All elements of ``nodes`` that fit, in document order.
+
+    The set kept so far is the accumulator, so it is computed once per step.
+    """
     return (
-        ((step["tag"] == "") | (node["tag"] == step["tag"]))
-        & ((step["id"] == "") | F.coalesce(F.element_at(node["attrs"], F.lit("id")) == step["id"], F.lit(False)))
-        & F.forall(step["classes"], lambda c: F.array_contains(node["classes"], c))
-        & F.forall(step["attrs"], lambda a: _attribute_fits(node, a))
+        f"aggregate({steps}, cast(null as {NODES.simpleString()}), "
+        f"(kept, step) -> filter({nodes}, node -> {_FITS}))"
     )
 
 
-def select_steps(nodes: Column, steps: Column) -> Column:
-    """All elements of ``nodes`` that fit, in document order.
+def select_nodes(nodes: str, selector: str) -> Column:
+    return F.expr(select_sql(nodes, steps_sql(selector)))
 
-    Each step keeps the elements below (or right below) one the step before
-    kept; the set so far is the accumulator, so it is computed once.
-    """
 
-    def follow(before: Column, step: Column) -> Column:
-        def placed(node: Column) -> Column:
-            return before.isNull() | F.exists(
-                before,
-                lambda up: F.when(step["child"], node["parent_id"] == up["node_id"]).otherwise(
-                    (node["node_id"] > up["node_id"]) & (node["node_id"] <= up["end_id"])
-                ),
-            )
+def inside_sql(nodes: str, item: str) -> str:
+    """The item itself and everything in it: the scope of relative selectors."""
+    return f"slice({nodes}, {item}.node_id + 1, {item}.end_id - {item}.node_id + 1)"
 
-        return F.filter(nodes, lambda node: _fits(node, step) & placed(node))
 
-    return F.aggregate(steps, F.lit(None).cast(NODES), follow)
+def first_match_sql(nodes: str, steps: str) -> str:
+    return f"get({select_sql(nodes, steps)}, 0)"
 
 
-def select_nodes(nodes: Column, selector: str) -> Column:
-    return select_steps(nodes, fixed_steps(selector))
+def first_match(nodes: str, selector: str) -> Column:
+    return F.expr(first_match_sql(nodes, steps_sql(selector)))
 
 
-def inside(nodes: Column, item: Column) -> Column:
-    """The item itself and everything in it: the scope of relative selectors."""
-    return F.slice(nodes, item["node_id"] + 1, item["end_id"] - item["node_id"] + 1)
+def node_text_sql(texts: str, node: str, separator: str = " ") -> str:
+    pieces = f"slice({texts}, {node}.text_from + 1, {node}.text_to - {node}.text_from)"
+    return f"array_join({pieces}, {text_sql(separator)})"
 
 
-def first_match(nodes: Column, steps: Column) -> Column:
-    return F.get(select_steps(nodes, steps), F.lit(0))
+def node_html_sql(html: str, node: str) -> str:
+    """Outer HTML as it stands in the captured page."""
+    return f"substring({html}, {node}.html_from + 1, {node}.html_to - {node}.html_from)"
 
 
-def node_text(texts: Column, node: Column, separator: str = " ") -> Column:
-    return F.array_join(
-        F.slice(texts, node["text_from"] + 1, node["text_to"] - node["text_from"]), separator
-    )
+def node_attr_sql(node: str, name: str) -> str:
+    return f"element_at({node}.attrs, {name})"
 
 
-def node_html(html: Column, node: Column) -> Column:
-    """Outer HTML as it stands in the captured page."""
-    return F.substring(html, node["html_from"] + 1, node["html_to"] - node["html_from"])
+def node_text(texts: str, node: str, separator: str = " ") -> Column:
+    return F.expr(node_text_sql(texts, node, separator))
+
+
+def node_html(html: str, node: str) -> Column:
+    return F.expr(node_html_sql(html, node))
 
 
-def node_attr(node: Column, name: Column | str) -> Column:
-    return F.element_at(node["attrs"], as_value(name))
+def node_attr(node: str, name: str) -> Column:
+    return F.expr(node_attr_sql(node, text_sql(name)))
 
 
-def node_value(html: Column, texts: Column, node: Column, mode: Column) -> Column:
+def node_value_sql(html: str, texts: str, node: str, mode: str) -> str:
     """Value of an element by mode: html, attr:<name>, anything else is text."""
-    return F.when(
-        node.isNotNull(),
-        F.when(mode == "html", node_html(html, node))
-        .when(mode.startswith("attr:"), node_attr(node, F.substring(mode, 6, 1 << 20)))
-        .otherwise(node_text(texts, node)),
+    return (
+        f"case when {node} is null then null when {mode} = 'html' then {node_html_sql(html, node)} "
+        f"when startswith({mode}, 'attr:') then {node_attr_sql(node, f'substring({mode}, 6)')} "
+        f"else {node_text_sql(texts, node)} end"
     )
 
 
-def selected_rows(pages: DataFrame, selector: str, *keys: str) -> DataFrame:
+def selected_rows(trees: DataFrame, selector: str, *keys: str) -> DataFrame:
     """One row per selected element of each page: keys, pos, node."""
-    return pages.select(*keys, F.posexplode(select_nodes(F.col("tree.nodes"), selector)).alias("pos", "node"))
+    return trees.select(
+        *keys, F.posexplode(select_nodes("tree.nodes", selector)).alias("pos", "node")
+    )

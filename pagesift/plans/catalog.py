@@ -91,7 +91,7 @@ LINKS = f"""
 )
 def entry_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.entry_links(
-        trees(spark, sf_dir), sel.fixed_steps("nav ul li a"), "page_id"
+        trees(spark, sf_dir), sel.steps_sql("nav ul li a"), "page_id"
     )
 
 
@@ -105,7 +105,7 @@ def entry_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def entry_links_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     hrefs = sel.selected_rows(trees(spark, sf_dir), "nav ul li a", "page_id").select(
-        "page_id", "pos", sel.node_attr(F.col("node"), "href").alias("path")
+        "page_id", "pos", sel.node_attr("node", "href").alias("path")
     )
     return dedup.first_per_key(
         hrefs.filter(urls.usable_link("path")), ["path"], ["page_id", "pos"]
@@ -138,7 +138,7 @@ def links_or_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = captured(spark, sf_dir).withColumn("source_name", urls.url_host("url"))
     sources = pages.groupBy("source_name").agg(F.min("url").alias("target_url"))
     links = extract.entry_links(
-        tree_ops.page_nodes(pages), sel.fixed_steps('nav > ul a[href^="/th"]'), "source_name"
+        tree_ops.page_nodes(pages), sel.steps_sql('nav > ul a[href^="/th"]'), "source_name"
     )
     both = extract.links_or_target(links, sources)
     return both.groupBy("source_name", "link").agg(F.count(F.lit(1)).alias("n"))
@@ -220,7 +220,7 @@ LIST_ITEMS = f"""
 def list_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = rules_table(spark, {"web": {"title": ["b", "a"]}})
     pages = extract.attach_rules(trees(spark, sf_dir), rules, fallbacks=False)
-    found = extract.list_records(pages, sel.fixed_steps("nav ul li"), "page_id")
+    found = extract.list_records(pages, sel.steps_sql("nav ul li"), "page_id")
     return found.select("page_id", "pos", "url", F.col("fields")["title"].alias("title"), "raw_html")
 
 
@@ -235,7 +235,7 @@ def list_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = rows.select(
         "page_id",
         "pos",
-        urls.url_join("url", sel.node_attr(F.col("node"), "href")).alias("url"),
+        urls.url_join("url", "node.attrs['href']").alias("url"),
         (F.col("page_id") * 1000 + F.col("pos")).alias("place"),
     )
     return dedup.last_per_key(keyed, ["url"], "place").drop("place")
@@ -281,10 +281,10 @@ def records_replace_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     listed = extract.list_records(
         pages.filter(F.contains("source_name", F.lit("example.com"))),
-        sel.fixed_steps("nav ul li"),
+        sel.steps_sql("nav ul li"),
         "source_name",
     )
-    links = extract.entry_links(pages, sel.fixed_steps("nav ul li a"), "source_name")
+    links = extract.entry_links(pages, sel.steps_sql("nav ul li a"), "source_name")
     kept = extract.prefer_records(listed, links)
     work = listed.select(F.lit("list").alias("origin"), "source_name", "url").unionByName(
         kept.select(F.lit("link").alias("origin"), "source_name", F.col("link").alias("url"))
@@ -299,14 +299,13 @@ def records_replace_links(spark: SparkSession, sf_dir: str) -> DataFrame:
            'https://other.example/x' AS elsewhere FROM pages"""
 )
 def url_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.col("page_id").cast("string")
-    base = urls.url_join("url", F.lit("/a/b/d"))
-    return table(spark, sf_dir, "pages").select(
+    moved = table(spark, sf_dir, "pages").withColumn("base", urls.url_join("url", "'/a/b/d'"))
+    return moved.select(
         "page_id",
-        urls.url_join(base, F.concat(F.lit(".././"), page)).alias("up"),
-        urls.url_join(base, F.concat(F.lit("../../c?q="), page)).alias("sibling"),
-        urls.url_join("url", F.lit("#part")).alias("anchor"),
-        urls.url_join("url", F.lit("https://other.example/x")).alias("elsewhere"),
+        urls.url_join("base", "concat('.././', page_id)").alias("up"),
+        urls.url_join("base", "concat('../../c?q=', page_id)").alias("sibling"),
+        urls.url_join("url", "'#part'").alias("anchor"),
+        urls.url_join("url", "'https://other.example/x'").alias("elsewhere"),
     )
 
 

@@ -138,7 +138,7 @@ def run_batch(
     entries = entry_pages(pages, sources)
     listed = materialize(list_work(entries, rules), "listed")
     if options.follow_links:
-        links = extract.entry_links(entry_trees(entries), F.col("entry_steps"), "source_name")
+        links = extract.entry_links(entry_trees(entries), "entry_steps", "source_name")
         linked = extract.links_or_target(links, sources).withColumnRenamed("link", "url")
         to_visit = extract.prefer_records(listed, linked)
     else:
