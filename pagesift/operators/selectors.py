@@ -97,7 +97,7 @@ def steps_sql(css: str) -> str:
 
 
 # For rules tables only: settings rows, parsed before they are joined to pages.
-selector_steps = F.udf(parse_selector, STEPS)
+selector_steps = F.udf(lambda css: parse_selector(css), STEPS)
 
 
 def split_mode(selector: Column | str) -> Column:

@@ -39,6 +39,8 @@ class RunOptions:
     tz: str = "UTC"
     # Off: every page that is no entry page is worked on, linked or not.
     follow_links: bool = True
+    # Attempts after the first that count, for pages with an ``attempt`` column.
+    retries: int | None = None
     keywords_on_lists: bool = False
     fill_nulls: bool = False
     summary_cut: str = "words"
@@ -121,6 +123,39 @@ def status_of(reason: Column) -> Column:
     )
 
 
+def chosen_captures(visit: DataFrame, pages: DataFrame, retries: int | None) -> DataFrame:
+    """The work list with, per URL, the first attempt that succeeded.
+
+    Works on keys only; page text is joined afterwards. Without an ``attempt``
+    column there is one capture per source and URL.
+    """
+    if "attempt" not in pages.columns:
+        return visit
+    good = pages.filter(~filters.fetch_failed("status"))
+    if retries is not None:
+        good = good.filter(F.col("attempt") <= retries + 1)
+    first = good.groupBy("source_name", asked_url(pages).alias("url")).agg(
+        F.min("attempt").alias("attempt")
+    )
+    return visit.join(first, ["source_name", "url"])
+
+
+def fetched_pages(visit: DataFrame, pages: DataFrame, options: RunOptions) -> DataFrame:
+    """Captured pages of the work list. Only keys are sent out or shuffled early."""
+    extra = [c for c in ("fetched_at", "attempt") if c in pages.columns]
+    captured = pages.filter(~filters.fetch_failed("status")).select(
+        "source_name", asked_url(pages).alias("url"), "html", *extra
+    )
+    wanted = checked_broadcast(chosen_captures(visit, pages, options.retries))
+    keys = ["source_name", "url", *[c for c in extra if c == "attempt"]]
+    return captured.join(wanted, keys).drop("attempt")
+
+
+def outcome_rows(records: DataFrame, reason: str | Column | None) -> DataFrame:
+    reason = reason if isinstance(reason, Column) else F.lit(reason).cast("string")
+    return records.select("source_name", "url", reason.alias("reason"))
+
+
 def run_batch(
     pages: DataFrame,
     sources: DataFrame,
@@ -130,78 +165,68 @@ def run_batch(
 ) -> RunResult:
     """All sources in one job.
 
-    Page text is read by the entry branch (few pages) and by one pass over the
-    detail pages that are really needed: known URLs are dropped before any page
-    is parsed. Judged records are written once; dedup and outputs start there.
+    Page text is read once for the few entry pages, and once for the detail
+    pages that are really needed: known URLs are dropped before any page is
+    parsed. Judged records are written once; dedup and outputs start there.
     """
     settings = checked_broadcast(sources.select(SETTINGS))
     entries = entry_pages(pages, sources)
-    listed = materialize(list_work(entries, rules), "listed")
+    listed = None
+    if not entries.filter("use_entry_content").isEmpty():
+        found = materialize(list_work(entries, rules), "listed")
+        listed = found.join(settings, "source_name").withColumn("origin", F.lit("list"))
+
     if options.follow_links:
         links = extract.entry_links(entry_trees(entries), "entry_steps", "source_name")
-        linked = extract.links_or_target(links, sources).withColumnRenamed("link", "url")
-        to_visit = extract.prefer_records(listed, linked)
+        work = extract.links_or_target(links, sources).withColumnRenamed("link", "url")
+        if listed is not None:
+            work = extract.prefer_records(listed, work)
     else:
-        entry_keys = entries.select("source_name", F.col("target_url").alias("_asked"))
-        to_visit = pages.select(
-            "source_name", F.lit(0).alias("pos"), "url", asked_url(pages).alias("_asked")
-        ).join(checked_broadcast(entry_keys), ["source_name", "_asked"], "left_anti")
-    to_visit = to_visit.select(*WORK).join(settings, "source_name")
-    list_rows = listed.join(settings, "source_name").withColumn("origin", F.lit("list"))
-
-    known = dedup.known_urls(
-        to_visit.select(*WORK, "store_key", "incremental", "by_url").unionByName(
-            list_rows.select(*WORK, "store_key", "incremental", "by_url")
-        ),
-        history,
-    )
-    list_judged = materialize(judge(dedup.unknown_urls(list_rows, history), options), "lists")
-    # A list record without a title gets a second chance as a detail page.
-    retry = list_judged.filter("reason = 'missing_title'")
-    visit = materialize(
-        dedup.unknown_urls(to_visit, history).select(*WORK).unionByName(retry.select(*WORK)),
-        "visit",
-    )
-    captured = pages.select(
-        "source_name", "url", "html", "status",
-        *[c for c in ("fetched_at",) if c in pages.columns],
+        entry_keys = entries.select("source_name", F.col("target_url").alias("url"))
+        work = pages.select("source_name", F.lit(0).alias("pos"), asked_url(pages).alias("url"))
+        work = work.distinct().join(checked_broadcast(entry_keys), ["source_name", "url"], "left_anti")
+    work = work.select(*WORK).join(settings, "source_name")
+
+    checked = [*WORK, "store_key", "incremental", "by_url"]
+    known = dedup.known_urls(work.select(*checked), history)
+    visit = dedup.unknown_urls(work, history).select(*WORK)
+    if listed is not None:
+        known = known.unionByName(dedup.known_urls(listed.select(*checked), history))
+        judged_lists = materialize(judge(dedup.unknown_urls(listed, history), options), "lists")
+        # A list record without a title gets a second chance as a detail page.
+        retry = judged_lists.filter("reason = 'missing_title'").select(*WORK)
+        visit = visit.unionByName(retry)
+    visit = materialize(visit, "visit")
+
+    details = fetched_pages(visit, pages, options).join(settings, "source_name")
+    judged = judge(
+        detail_records(details, rules).withColumn("origin", F.lit("detail")), options
     )
-    visited = captured.join(checked_broadcast(visit), ["source_name", "url"]).join(
-        settings, "source_name"
-    )
-    good = visited.filter(~filters.fetch_failed("status"))
-    detail = detail_records(good, rules).withColumn("origin", F.lit("detail"))
-    detail_judged = judge(detail, options)
-
-    retried = good.select("source_name", "url", F.lit("missing_title").alias("reason"))
-    kept_lists = list_judged.join(retried, ["source_name", "url", "reason"], "left_anti")
+    if listed is not None:
+        captured = pages.filter(~filters.fetch_failed("status")).select(
+            "source_name", asked_url(pages).alias("url"), F.lit("missing_title").alias("reason")
+        )
+        retried = ["source_name", "url", "reason"]
+        judged = judged.unionByName(
+            judged_lists.join(captured, retried, "left_anti"), allowMissingColumns=True
+        )
     judged = materialize(
-        kept_lists.unionByName(detail_judged, allowMissingColumns=True)
-        .withColumn("source_ord", F.col("source_name"))
-        .transform(dedup.fingerprint_fields),
-        "judged",
+        dedup.fingerprint_fields(judged.withColumn("source_ord", F.col("source_name"))), "judged"
     )
 
     valid = judged.filter(F.col("reason").isNull())
-    stored = materialize(dedup.stored_rows(valid, history).select(*dedup.IDENTITY), "stored")
+    stored = dedup.stored_rows(valid, history).select(*dedup.IDENTITY)
     fresh = valid.join(stored, dedup.IDENTITY, "left_semi")
-    exported = valid.filter("NOT incremental").unionByName(fresh.filter("incremental"))
+    exported = fresh.filter("incremental").unionByName(valid.filter("NOT incremental"))
     duplicates = valid.filter("incremental").join(stored, dedup.IDENTITY, "left_anti")
-
-    unfetched = visit.join(
-        captured.filter(~filters.fetch_failed("status")).select("source_name", "url"),
-        ["source_name", "url"], "left_anti",
-    ).join(retry.select("source_name", "url"), ["source_name", "url"], "left_anti")
-    reasons = [
-        exported.select("source_name", "url", F.lit(None).cast("string").alias("reason")),
-        duplicates.select("source_name", "url", F.lit("duplicate").alias("reason")),
-        judged.filter(F.col("reason").isNotNull()).select("source_name", "url", "reason"),
-        unfetched.select("source_name", "url", F.lit("not_fetched").alias("reason")),
-    ]
-    outcomes = reasons[0]
-    for part in reasons[1:]:
-        outcomes = outcomes.unionByName(part)
-    outcomes = outcomes.withColumn("status", status_of(F.col("reason")))
+    unfetched = visit.join(judged.select("source_name", "url"), ["source_name", "url"], "left_anti")
+    outcomes = (
+        outcome_rows(exported, None)
+        .unionByName(outcome_rows(duplicates, "duplicate"))
+        .unionByName(outcome_rows(judged.filter(F.col("reason").isNotNull()), F.col("reason")))
+        .unionByName(outcome_rows(unfetched, "not_fetched"))
+        .withColumn("status", status_of(F.col("reason")))
+    )
     outcomes = materialize(report.with_prefilter_skips(outcomes, known), "outcomes")
     return RunResult(
         records=exported,

@@ -144,10 +144,12 @@ def write_csv(records: DataFrame, path: str, run_tag: str, names: list[str]) ->
 
 
 def write_text(records: DataFrame, path: str, run_tag: str) -> None:
-    """Digest blocks in order; a block ends in a blank line of its own."""
+    """Digest blocks in order, a blank line after each."""
     rows = with_target(text_digest(records), run_tag)
     ordered = rows.hint("rebalance", *TARGET).sortWithinPartitions(*TARGET, "row_no")
-    _write(ordered.select(*TARGET, F.col("block").alias("value")), "text", path, {"lineSep": ""})
+    # The writer ends each row with a line end of its own.
+    block = F.regexp_replace("block", r"\n\z", "")
+    _write(ordered.select(*TARGET, block.alias("value")), "text", path, {})
 
 
 def write_payload(records: DataFrame, path: str, run_tag: str) -> None:

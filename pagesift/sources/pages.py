@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.functions.columns import let
+from pagesift.operators.dedup import first_per_key
 from pagesift.schemas import PAGES
 
 
@@ -57,24 +57,22 @@ def merge_snapshots(items: DataFrame, keys: list[str], order: list[str]) -> Data
     ``row_number() = 1`` is planned with a group limit before the shuffle: each
     task sends one row per key at most, however many captures a key has.
     """
-    from pagesift.operators.dedup import first_per_key
-
     return first_per_key(items, keys, order)
 
 
-def append_items(pages: DataFrame, items: DataFrame, key: str, html_col: str = "html") -> DataFrame:
+def append_items(
+    pages: DataFrame, items: DataFrame, key: str, order: list[str], html_col: str = "html"
+) -> DataFrame:
     """Add the HTML of kept items, in order, behind their page's own HTML.
 
-    ``items``: key, pos, html. A page with its items is one row by definition.
+    ``items`` has key, the order columns and html. A page with its items is one
+    row by definition.
     """
     parts = items.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "html"))).alias("_parts")
+        F.array_sort(F.collect_list(F.struct(*order, "html"))).alias("_parts")
     )
-    joined = F.array_join(F.transform("_parts", lambda p: p["html"]), "\n")
-    whole = let(
-        joined,
-        lambda j: F.when(j.isNull() | (j == ""), F.col(html_col)).otherwise(
-            F.concat(F.col(html_col), F.lit("\n"), j)
-        ),
+    added = F.array_join(F.transform("_parts", lambda p: p["html"]), "\n")
+    whole = F.when(F.col("_parts").isNull(), F.col(html_col)).otherwise(
+        F.concat(F.col(html_col), F.lit("\n"), added)
     )
     return pages.join(parts, key, "left").withColumn(html_col, whole).drop("_parts")

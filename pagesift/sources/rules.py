@@ -42,7 +42,7 @@ def _settings_text(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     )
     if fmt in ("yaml", "yml"):
         # Settings files: one small text per source.
-        files = files.withColumn("text", F.udf(_yaml_to_json, T.StringType())("text"))
+        files = files.withColumn("text", F.udf(lambda text: _yaml_to_json(text), T.StringType())("text"))
     return files
 
 
