@@ -97,8 +97,9 @@ def stored_rows(
     """The slim rows that get stored.
 
     With ``unique_urls`` the caller vouches that a URL occurs once per store in
-    the batch; one lazy plan then does it. Otherwise rounds are run until every
-    row is decided, each on the rows the one before left open (usually none).
+    the batch; one lazy plan then does it. Otherwise that is looked up first,
+    and if URLs do repeat, rounds are run until every row is decided, each on
+    the rows the one before left open.
     """
     rows = _drop_known(slim_rows(records), history, "url", "by_url")
     if unique_urls:
@@ -110,12 +111,18 @@ def stored_rows(
     still_open = materialize(
         _drop_known(rows, history, "content_hash", "by_content"), "dedup-open"
     )
+    repeated = still_open.groupBy("store_key", "url").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("by_url").alias("checked")
+    )
+    if repeated.filter("n > 1 AND checked").isEmpty():
+        first = _earliest(still_open, "content_hash").filter("by_content")
+        return first.unionByName(still_open.filter("NOT by_content"))
     stored = []
     while not still_open.isEmpty():
         winners = materialize(_undisputed(still_open), "dedup-stored")
         stored.append(winners)
         still_open = materialize(_undecided(still_open, winners), "dedup-open")
-    return reduce(DataFrame.unionByName, stored, still_open)
+    return reduce(DataFrame.unionByName, stored)
 
 
 def _undisputed(rows: DataFrame) -> DataFrame:

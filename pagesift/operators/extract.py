@@ -133,7 +133,8 @@ def links_or_target(links: DataFrame, sources: DataFrame) -> DataFrame:
 
 def attach_rules(pages: DataFrame, rules: DataFrame, fallbacks: bool) -> DataFrame:
     """Join each page with the rules of its source (a size-checked settings side)."""
-    return pages.join(checked_broadcast(rule_sets(rules, fallbacks)), "source_name", "left")
+    sets = checked_broadcast(rule_sets(rules, fallbacks), bound=rules)
+    return pages.join(sets, "source_name", "left")
 
 
 def detail_fields(trees: DataFrame, rules: DataFrame, html: str = "html") -> DataFrame:

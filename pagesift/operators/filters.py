@@ -35,8 +35,12 @@ def keyword_match(text: Column, keywords: Column | list[str]) -> Column:
 
 
 def within_window(ts: Column | str, start: datetime | Column, end: datetime | Column) -> Column:
-    """Both ends count; a record without a time is kept."""
-    return F.coalesce(as_col(ts).between(start, end), F.lit(True))
+    """Both ends count; a record without a time is kept.
+
+    Written so that on a stored column it reaches the scan.
+    """
+    ts = as_col(ts)
+    return ts.isNull() | ts.between(start, end)
 
 
 def date_range(day: Column | str, start: date, end: date) -> Column:

@@ -215,6 +215,12 @@ def escaped_html_tree(pages: pa.Array) -> pa.Array:
     )
 
 
+# Not pushed around by the optimizer: a filter it derives, say from an explode,
+# would build every tree a second time.
+html_tree = html_tree.asNondeterministic()
+escaped_html_tree = escaped_html_tree.asNondeterministic()
+
+
 @F.arrow_udf(T.StringType())
 def html_unescape(texts: pa.Array) -> pa.Array:
     return pa.array(
@@ -227,17 +233,17 @@ def page_nodes(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.withColumn("tree", html_tree(F.col(html_col)))
 
 
-def node_rows(trees: DataFrame, *keys: str) -> DataFrame:
-    """One row per element, for queries that want elements as a table."""
-    return trees.select(
-        *keys, F.col("tree.texts").alias("_texts"), F.explode("tree.nodes").alias("_node")
-    ).select(
-        *keys,
-        "_node.*",
-        F.array_join(
-            F.slice("_texts", F.col("_node.text_from") + 1, F.col("_node.text_to") - F.col("_node.text_from")),
-            " ",
-        ).alias("text"),
+def node_rows(trees: DataFrame, *keys: str, with_text: bool = False) -> DataFrame:
+    """One row per element, for queries that want elements as a table.
+
+    Text is cut out before the elements are exploded: no row carries the page.
+    """
+    if not with_text:
+        return trees.select(*keys, F.explode("tree.nodes").alias("_node")).select(*keys, "_node.*")
+    text = "array_join(slice(tree.texts, n.text_from + 1, n.text_to - n.text_from), ' ')"
+    node = f"transform(tree.nodes, n -> named_struct('node', n, 'text', {text}))"
+    return trees.select(*keys, F.explode(F.expr(node)).alias("_n")).select(
+        *keys, "_n.node.*", "_n.text"
     )
 
 

@@ -27,7 +27,7 @@ def running_sum(
     ``pos`` is an integer that orders the rows of a key without ties.
     """
     ranged = df.withColumn("_value", value).withColumn(
-        "_range", F.floor(F.col(pos) / F.lit(width)).cast("bigint")
+        "_range", F.expr(f"`{pos}` div {width}")
     )
     place = [*keys, "_range"]
     along = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -316,6 +316,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For work that is bound by computing, not by reading."""
+    return page_source.spread(documents(spark, sf_dir), "doc_id")
+
+
 CLEAN = f"trim({unescaped('text')}, ' ' || chr(10))"
 
 
@@ -335,7 +340,7 @@ def json_list_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1704067200000) + F.col("doc_id")).alias("publishTimestamp"),
     )
     inner = F.to_json(F.struct(F.struct(F.array(item).alias("list")).alias("pageResult")))
-    pages = documents(spark, sf_dir).select(
+    pages = spread_documents(spark, sf_dir).select(
         "doc_id",
         F.lit("https://odaily.news/zh-CN").alias("url"),
         F.concat(F.lit('<html><script>var x={"initData":'), inner, F.lit("};</script></html>")).alias("html"),
@@ -360,7 +365,7 @@ def json_detail_record(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.lit(1704067200) + F.col("doc_id")) * 1000).alias("publishTimestamp"),
     )
     payload = F.to_json(F.struct(F.struct(detail.alias("detail")).alias("initData")))
-    pages = documents(spark, sf_dir).select(
+    pages = spread_documents(spark, sf_dir).select(
         "doc_id", F.concat(F.lit("<html><body>{}"), payload, F.lit("</body></html>")).alias("raw_html")
     )
     got = pages.select("doc_id", extract.json_detail("raw_html").alias("d"))
@@ -387,7 +392,7 @@ def timeline_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('</div><div class="list_body"><a class="news_body_title" href="/none">no content</a></div>'),
         F.lit("</body></html>"),
     )
-    pages = documents(spark, sf_dir).select(
+    pages = spread_documents(spark, sf_dir).select(
         "doc_id", "lang", F.lit("https://foresightnews.pro").alias("url"), card.alias("html")
     )
     cards = extract.timeline_cards(tree_ops.page_nodes(pages), "doc_id")
@@ -417,7 +422,7 @@ def timeline_text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lpad((i % 24).cast("string"), 2, "0"), F.lit(":30\n热门\n17十月\n"), line
         ),
     )
-    pages = documents(spark, sf_dir).select(
+    pages = spread_documents(spark, sf_dir).select(
         "doc_id",
         F.lit("https://xueqiu.com").alias("url"),
         F.concat(F.lit("before any item\n"), F.array_join(lines, "\n")).alias("lines"),
@@ -786,7 +791,7 @@ COLLAPSED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
     FROM documents"""
 )
 def enrich_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = documents(spark, sf_dir).select(
+    plain = spread_documents(spark, sf_dir).select(
         "doc_id",
         F.col("source").alias("source_name"),
         F.lit("news").alias("site_type"),

@@ -224,7 +224,8 @@ def test_one_python_stage_and_no_shuffle(spark):
     """Selection and fields are projections over one tree per page."""
     filled = extract.detail_fields(tree_of(spark, MESSY), rules_table(spark, {"s": {"title": "h1", "content": "p"}}))
     links = extract.entry_links(tree_of(spark, MESSY), sel.steps_sql("a"), "page_id")
-    for df in (filled.filter(F.col("fields")["title"].isNotNull()), links):
+    rows = tree_ops.node_rows(tree_of(spark, MESSY), "page_id").select("tag")
+    for df in (filled.filter(F.col("fields")["title"].isNotNull()), links, rows):
         plan = df._jdf.queryExecution().executedPlan().toString()
         main = plan.split("BroadcastExchange")[0]
         assert main.count("html_tree") <= 2 and main.count("ArrowEvalPython [html_tree") == 1
