@@ -176,6 +176,13 @@ def _unique_records(pages: DataFrame, items: str, *keys: str) -> DataFrame:
     )
 
 
+def _per_page_sql(url: str, html: str, items: str) -> str:
+    """Bind ``base`` (parts of the page's URL) and ``source`` (its bytes) for ``items``."""
+    return bind_sql(
+        "base", urls.url_parts_sql(url), bind_sql("source", f"cast({html} as binary)", items)
+    )
+
+
 def item_url_sql(base: str, scope: str, item: str) -> str:
     """Key of a list item: its first usable link, else its data-id, else data-time."""
     anchor = sel.first_match_sql(scope, sel.steps_sql("a[href]"))
@@ -206,15 +213,11 @@ def list_records(
         "scope",
         sel.inside_sql("tree.nodes", "item"),
         f"named_struct('url', {item_url_sql('base', 'scope', 'item')}, 'pos', pos, "
-        f"'fields', {field_values_sql(html, 'tree.texts', 'scope', 'rule_set')}, "
-        f"'raw_html', {sel.node_html_sql(html, 'item')})",
-    )
-    items = bind_sql(
-        "base",
-        urls.url_parts_sql(url),
-        f"transform({sel.select_sql('tree.nodes', steps)}, (item, pos) -> {record})",
+        f"'fields', {field_values_sql('source', 'tree.texts', 'scope', 'rule_set')}, "
+        f"'raw_html', {sel.node_html_sql('source', 'item')})",
     )
-    return _unique_records(trees, items, *keys)
+    picked = f"transform({sel.select_sql('tree.nodes', steps)}, (item, pos) -> {record})"
+    return _unique_records(trees, _per_page_sql(url, html, picked), *keys)
 
 
 def timeline_cards(
@@ -257,13 +260,11 @@ def timeline_cards(
             "card",
             parts,
             f"named_struct('url', {link}, 'pos', pos, 'fields', {fields}, "
-            f"'raw_html', {sel.node_html_sql(html, 'item')})",
+            f"'raw_html', {sel.node_html_sql('source', 'item')})",
         ),
     )
-    items = bind_sql(
-        "base", urls.url_parts_sql(url), f"transform({cards}, (item, pos) -> {record})"
-    )
-    return _unique_records(trees, items, *keys)
+    picked = f"transform({cards}, (item, pos) -> {record})"
+    return _unique_records(trees, _per_page_sql(url, html, picked), *keys)
 
 
 def json_list_records(

@@ -7,7 +7,8 @@ A page becomes one ``tree`` struct beside its other columns:
   slice.
 * ``texts``: its stripped, non-empty text pieces in document order. Each node
   knows its range ``text_from``..``text_to`` of them.
-* ``html_from``, ``html_to``: where the element stands in the page source.
+* ``html_from``, ``html_to``: where the element stands in the page source, in
+  UTF-8 bytes, so cutting it out does not count through the page.
 
 Everything a selector needs of a page lies in the page's own row, so selection
 and field extraction are projections: no shuffle, no join of nodes with nodes,
@@ -17,6 +18,8 @@ and a page never has to be put together again.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable
 from html import unescape
 
 import pyarrow as pa
@@ -79,6 +82,10 @@ TREE = T.StructType(
     [T.StructField("nodes", NODES), T.StructField("texts", T.ArrayType(T.StringType()))]
 )
 
+END_ID, TAG, TEXT_TO, HTML_TO = (
+    NODE.fieldNames().index(name) for name in ("end_id", "tag", "text_to", "html_to")
+)
+
 _ARROW_NODE = pa.struct(
     [
         *[(name, pa.int32()) for name in ("node_id", "end_id", "parent_id", "depth")],
@@ -104,78 +111,87 @@ def page_elements(html: str, nodes: list[list], texts: list[str]) -> None:
     """Append the elements of one page as rows of ``NODE``, and its text pieces."""
     first_node, first_text = len(nodes), len(texts)
     opened: list[list] = []
-    names = NODE.fieldNames()
-    end_id, tag_at, text_to, html_to = (
-        names.index(n) for n in ("end_id", "tag", "text_to", "html_to")
-    )
+    open_tags: Counter[str] = Counter()
+    ascii_only = html.isascii()
+    counted = [0, 0]
+
+    def bytes_to(at: int) -> int:
+        """Byte position of a character; asked for in rising order."""
+        if ascii_only:
+            return at
+        counted[1] += len(html[counted[0] : at].encode("utf-8", "surrogatepass"))
+        counted[0] = at
+        return counted[1]
 
     def add_text(piece: str, decode: bool = True) -> None:
         piece = (unescape(piece) if decode else piece).strip()
         if piece:
             texts.append(piece)
 
-    def close(depth: int, at: int, own_end: int | None = None) -> None:
+    def close(depth: int, at: int) -> list:
+        """Close the open elements from ``depth`` on; gives the outermost of them."""
+        outermost = opened[depth]
         for node in opened[depth:]:
-            node[end_id] = len(nodes) - first_node - 1
-            node[text_to] = len(texts) - first_text
-            node[html_to] = at
-        if own_end is not None:
-            opened[depth][html_to] = own_end
+            node[END_ID] = len(nodes) - first_node - 1
+            node[TEXT_TO] = len(texts) - first_text
+            node[HTML_TO] = at
+            open_tags[node[TAG]] -= 1
         del opened[depth:]
+        return outermost
 
-    def innermost(tags: frozenset, fence: frozenset = frozenset()) -> int | None:
+    def innermost(tags: Iterable[str], fence: frozenset = NONE) -> int | None:
+        if not any(open_tags[tag] for tag in tags):
+            return None
         for depth in range(len(opened) - 1, -1, -1):
-            if opened[depth][tag_at] in tags:
+            if opened[depth][TAG] in tags:
                 return depth
-            if opened[depth][tag_at] in fence:
+            if opened[depth][TAG] in fence:
                 return None
         return None
 
     at = 0
     while token := _TOKEN.search(html, at):
-        add_text(html[at : token.start()])
+        if token.start() > at:
+            add_text(html[at : token.start()])
         at = token.end()
         slash, name, rest = token.groups()
         if name is None:
             continue
         name = name.lower()
+        start, end = bytes_to(token.start()), bytes_to(at)
         if slash:
-            depth = innermost({name})
+            depth = innermost((name,))
             if depth is not None:
-                close(depth, token.start(), at)
+                close(depth, start)[HTML_TO] = end
             continue
-        for tags, fence in (
-            (PARAGRAPH if name in ENDS_PARAGRAPH else NONE, HOLDS_PARAGRAPH),
-            ENDS_SIBLING.get(name, (NONE, NONE)),
-        ):
-            depth = innermost(tags, fence) if tags else None
+        if name in ENDS_PARAGRAPH:
+            depth = innermost(PARAGRAPH, HOLDS_PARAGRAPH)
+            if depth is not None:
+                close(depth, start)
+        if name in ENDS_SIBLING:
+            depth = innermost(*ENDS_SIBLING[name])
             if depth is not None:
-                close(depth, token.start())
+                close(depth, start)
         attrs = _attributes(rest) if rest else {}
         number, piece = len(nodes) - first_node, len(texts) - first_text
+        parent = opened[-1][0] if opened else -1
+        classes = (attrs.get("class") or "").split()
         node = [
-            number,
-            number,
-            opened[-1][0] if opened else -1,
-            len(opened),
-            name,
-            (attrs.get("class") or "").split(),
-            list(attrs.items()),
-            piece,
-            piece,
-            token.start(),
-            at,
+            number, number, parent, len(opened), name, classes, list(attrs.items()),
+            piece, piece, start, end,
         ]
         nodes.append(node)
         if name not in VOID:
             opened.append(node)
+            open_tags[name] += 1
         if name in RAW_TEXT:
             ending = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
             stop = ending.start() if ending else len(html)
             add_text(html[at:stop], decode=name in DECODED_RAW_TEXT)
             at = stop
     add_text(html[at:])
-    close(0, len(html))
+    if opened:
+        close(0, bytes_to(len(html)))
 
 
 def _batch_trees(pages: pa.Array) -> pa.Array:
@@ -240,7 +256,8 @@ def node_rows(trees: DataFrame, *keys: str, with_text: bool = False) -> DataFram
     """
     if not with_text:
         return trees.select(*keys, F.explode("tree.nodes").alias("_node")).select(*keys, "_node.*")
-    text = "array_join(slice(tree.texts, n.text_from + 1, n.text_to - n.text_from), ' ')"
+    places = "filter(sequence(n.text_from, n.text_to), at -> at < n.text_to)"
+    text = f"array_join(transform({places}, at -> get(tree.texts, at)), ' ')"
     node = f"transform(tree.nodes, n -> named_struct('node', n, 'text', {text}))"
     return trees.select(*keys, F.explode(F.expr(node)).alias("_n")).select(
         *keys, "_n.node.*", "_n.text"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagesift.functions.columns import as_col, text_sql
+from pagesift.functions.columns import as_col, bind_sql, text_sql
 from pagesift.functions.text import u_strip
 from pagesift.operators.nodes import NODES
 
@@ -117,23 +117,48 @@ _ATTRIBUTE_FITS = """coalesce(case want.op
   when '*=' then want.value <> '' and contains(element_at(node.attrs, want.name), want.value)
   end, false)"""
 
-# Each step keeps the elements below, or right below, one the step before kept.
 _FITS = f"""(step.tag = '' or node.tag = step.tag)
   and (step.id = '' or coalesce(element_at(node.attrs, 'id') = step.id, false))
   and forall(step.classes, class -> array_contains(node.classes, class))
-  and forall(step.attrs, want -> {_ATTRIBUTE_FITS})
-  and (kept is null or exists(kept, up -> if(step.child, node.parent_id = up.node_id,
-       node.node_id > up.node_id and node.node_id <= up.end_id)))"""
+  and forall(step.attrs, want -> {_ATTRIBUTE_FITS})"""
+
+# Largest end so far, for each kept element: a prefix maximum by doubling steps.
+_REACH = """aggregate(sequence(0, cast(ceil(log2(size(kept) + 1)) as int)),
+  transform(kept, k -> k.end_id),
+  (ends, t) -> transform(ends, (e, i) ->
+    if(i >= shiftleft(1, t), greatest(e, get(ends, i - shiftleft(1, t))), e)))"""
+
+# Kept elements that stand in no other kept element.
+_OUTERMOST = bind_sql(
+    "reach", _REACH, "filter(kept, (k, i) -> i = 0 or get(reach, i - 1) < k.node_id)"
+)
 
 
 def select_sql(nodes: str, steps: str) -> str:
     """All elements of ``nodes`` that fit, in document order.
 
-    The set kept so far is the accumulator, so it is computed once per step.
+    ``nodes`` is a page's array or the scope of an item: its index is the node
+    id less that of its first node. Each step looks only inside what the step
+    before kept; for descendants inside the outermost of these, so only once.
     """
+
+    def at_id(at: str) -> str:
+        return f"get({nodes}, {at} - {nodes}[0].node_id)"
+
+    def within(ups: str, fits: str, give: str = "node") -> str:
+        below = f"transform(sequence(up.node_id + 1, up.end_id), at -> {at_id('at')})"
+        found = f"filter({below}, node -> {fits})"
+        picked = found if give == "node" else f"transform({found}, node -> {give})"
+        holding = f"filter({ups}, k -> k.end_id > k.node_id)"
+        return f"flatten(transform({holding}, up -> {picked}))"
+
+    descendants = within(_OUTERMOST, _FITS)
+    child_ids = within("kept", f"node.parent_id = up.node_id and {_FITS}", "node.node_id")
+    children = f"transform(array_sort({child_ids}), at -> {at_id('at')})"
     return (
-        f"aggregate({steps}, cast(null as {NODES.simpleString()}), "
-        f"(kept, step) -> filter({nodes}, node -> {_FITS}))"
+        f"aggregate({steps}, cast(null as {NODES.simpleString()}), (kept, step) -> "
+        f"case when kept is null then filter({nodes}, node -> {_FITS}) "
+        f"when step.child then {children} else {descendants} end)"
     )
 
 
@@ -142,8 +167,11 @@ def select_nodes(nodes: str, selector: str) -> Column:
 
 
 def inside_sql(nodes: str, item: str) -> str:
-    """The item itself and everything in it: the scope of relative selectors."""
-    return f"slice({nodes}, {item}.node_id + 1, {item}.end_id - {item}.node_id + 1)"
+    """The item itself and everything in it: the scope of relative selectors.
+
+    Element by element: ``slice`` would go through the whole array each time.
+    """
+    return f"transform(sequence({item}.node_id, {item}.end_id), at -> get({nodes}, at))"
 
 
 def first_match_sql(nodes: str, steps: str) -> str:
@@ -155,13 +183,19 @@ def first_match(nodes: str, selector: str) -> Column:
 
 
 def node_text_sql(texts: str, node: str, separator: str = " ") -> str:
-    pieces = f"slice({texts}, {node}.text_from + 1, {node}.text_to - {node}.text_from)"
-    return f"array_join({pieces}, {text_sql(separator)})"
+    places = f"filter(sequence({node}.text_from, {node}.text_to), at -> at < {node}.text_to)"
+    return f"array_join(transform({places}, at -> get({texts}, at)), {text_sql(separator)})"
 
 
 def node_html_sql(html: str, node: str) -> str:
-    """Outer HTML as it stands in the captured page."""
-    return f"substring({html}, {node}.html_from + 1, {node}.html_to - {node}.html_from)"
+    """Outer HTML as it stands in the captured page.
+
+    ``html`` is the page text, or its bytes bound once where many are cut out.
+    """
+    return (
+        f"cast(substring(cast({html} as binary), {node}.html_from + 1, "
+        f"{node}.html_to - {node}.html_from) as string)"
+    )
 
 
 def node_attr_sql(node: str, name: str) -> str:

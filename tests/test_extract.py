@@ -2,6 +2,7 @@
 
 import html as html_lib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pagesift.sources.rules import rules_table
 MESSY = (
     '<h1>Title</h1><!-- <p>no</p> --><div class="a b" id=x>Body <p>one<p>two <a href="/q?a&amp;b" data-x>link</a></div>'
     '<ul class="items all"><li>1<li>2 <b>bold</ul><script>var t="</p>";</script>'
-    "<p title=it's>z &amp; y<table><tr><td>c1<td>c2<tr><td>c3</table><textarea><b>raw</b></textarea>"
+    "<p title=it's>z &amp; y<i>é漢</i><table><tr><td>c1<td>c2<tr><td>c3</table><textarea><b>raw</b></textarea>"
 )
 
 
@@ -35,7 +36,7 @@ def tree_of(spark, html):
         ('a[href^="/q"]', ["link"]),
         ("a[href$='b']", ["link"]),
         ("[data-x]", ["link"]),
-        ("p[title=\"it's\"]", ["z & y"]),
+        ("p[title=\"it's\"]", ["z & y é漢"]),
         ("div > b", []),
         ("tr td", ["c1", "c2", "c3"]),
         ("textarea", ["<b>raw</b>"]),
@@ -60,7 +61,7 @@ def test_tree_is_consistent(spark):
     rows = tree_ops.node_rows(tree_of(spark, MESSY), "html").collect()
     by_id = {r.node_id: r for r in rows}
     for r in rows:
-        assert r.html[r.html_from : r.html_to].lower().startswith(f"<{r.tag}")
+        assert r.html.encode()[r.html_from : r.html_to].decode().lower().startswith(f"<{r.tag}")
         assert r.node_id <= r.end_id
         if r.parent_id >= 0:
             parent = by_id[r.parent_id]
@@ -232,3 +233,53 @@ def test_one_python_stage_and_no_shuffle(spark):
         assert "Exchange hashpartitioning" not in main
 
 
+
+
+def naive_select(elements, css):
+    """Right to left, one element at a time."""
+    steps = sel.parse_selector(css)
+    by_id = {e[0]: e for e in elements}
+
+    def fits(e, step):
+        _, tag, id_, classes, attrs = step
+        have = dict(e[6])
+        return (
+            tag in ("", e[4]) and id_ in ("", have.get("id")) and all(c in e[5] for c in classes)
+            and all(n in have and (op == "" or have[n] == v) for n, op, v in attrs)
+        )
+
+    def holds(e, at):
+        if not fits(e, steps[at]):
+            return False
+        if at == 0:
+            return True
+        up = by_id.get(e[2])
+        while up is not None:
+            if holds(up, at - 1):
+                return True
+            if steps[at][0]:
+                return False
+            up = by_id.get(up[2])
+        return False
+
+    return [e[0] for e in elements if holds(e, len(steps) - 1)]
+
+
+def test_selectors_equal_naive_matching_on_random_trees(spark):
+    rng = random.Random(7)
+
+    def grow(depth):
+        tag = rng.choice(["div", "section", "b"])
+        marks = rng.choice(["", ' class="x"', ' class="x y"', ' id="i"', ' k="é"'])
+        inner = "".join(grow(depth + 1) for _ in range(rng.choice([0, 1, 2, 3]) if depth < 6 else 0))
+        return f"<{tag}{marks}>é{inner}</{tag}>"
+
+    pages = [(i, "".join(grow(0) for _ in range(4))) for i in range(12)]
+    df = tree_ops.page_nodes(spark.createDataFrame(pages, "i int, html string")).cache()
+    for css in ("div", "div div", "div > div", "div div > b", "div > div b", ".x .y > *", "section [k=é] b", "#i div.x", "* > * > *"):
+        got = df.select("i", F.transform(sel.select_nodes("tree.nodes", css), lambda n: n["node_id"])).collect()
+        for i, ids in got:
+            elements = []
+            tree_ops.page_elements(dict(pages)[i], elements, [])
+            assert ids == naive_select(elements, css), css
+    df.unpersist()
