@@ -7,7 +7,8 @@ in sets, with the same result.
 Scale notes. Text and page source never take part: the work runs on slim rows
 (store, URL, hash, order). A hot key - a store, one hash shared by a third of
 all rows - is reduced to one row by each task before anything is shuffled, and
-what survives is matched by record identity, which no two rows share.
+what survives is matched by record identity, which no two rows share. Where
+all rows must be kept, hot keys are salted.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.functions.text import content_hash, hash_seed
+from pagesift.operators.skew import ROWS_PER_SALT, salted_left_join
 from pagesift.session import materialize
 
 RECORD_KEY = ["store_key", "url"]
@@ -167,12 +169,15 @@ def dedup(records: DataFrame, history: DataFrame, unique_urls: bool = False) ->
 
 
 def duplicate_flags(
-    records: DataFrame, history: DataFrame, unique_urls: bool = False
+    records: DataFrame,
+    history: DataFrame,
+    unique_urls: bool = False,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Slim rows with url_duplicate, content_duplicate and is_duplicate.
 
-    The joins have one row per key on the other side, so AQE can split a hot
-    key of the records; nothing after them needs the key's partitioning.
+    Every row is kept, so a hot hash cannot be reduced here; its rows are
+    joined with what is known about the hash in salted parts.
     """
     stored = stored_rows(records, history, unique_urls)
     flagged = slim_rows(records)
@@ -181,10 +186,11 @@ def duplicate_flags(
         ("url", "by_url", "url_duplicate"),
         ("content_hash", "by_content", "content_duplicate"),
     ):
-        seen = history.groupBy("store_key", key).agg(F.lit(True).alias("_seen"))
-        facts = _first_order(stored, key).join(seen, ["store_key", key], "full")
+        keys = ["store_key", key]
+        seen = history.groupBy(*keys).agg(F.lit(True).alias("_seen"))
+        facts = _first_order(stored, key).join(seen, keys, "full")
         flagged = (
-            flagged.join(facts, ["store_key", key], "left")
+            salted_left_join(flagged, facts, keys, ORDER, rows_per_salt)
             .withColumn(
                 result,
                 F.col(flag)

@@ -66,7 +66,7 @@ def test_dedup_equals_the_sequential_rule(spark, seed, switches):
     assert sorted((r.store_key, r.source_ord, r.pos) for r in kept.collect()) == stored
     got = {
         (r.store_key, r.source_ord, r.pos): (r.url_duplicate, r.content_duplicate)
-        for r in dedup.duplicate_flags(df, known).collect()
+        for r in dedup.duplicate_flags(df, known, rows_per_salt=4).collect()
     }
     assert got == flags
 
