@@ -177,10 +177,11 @@ def duplicate_flags(
     """Slim rows with url_duplicate, content_duplicate and is_duplicate.
 
     Every row is kept, so a hot hash cannot be reduced here; its rows are
-    joined with what is known about the hash in salted parts.
+    joined with what is known about the hash in salted parts. The slim rows are
+    written once, so text is read and hashed once.
     """
-    stored = stored_rows(records, history, unique_urls)
-    flagged = slim_rows(records)
+    flagged = materialize(slim_rows(records), "dedup-slim")
+    stored = stored_rows(flagged, history, unique_urls)
     order = F.struct(*ORDER)
     for key, flag, result in (
         ("url", "by_url", "url_duplicate"),

@@ -15,7 +15,7 @@ from pagesift.functions.times import epoch_ms_iso
 from pagesift.operators import nodes as tree_ops
 from pagesift.operators import selectors as sel
 from pagesift.schemas import JSON_DETAIL, JSON_LIST
-from pagesift.session import checked_broadcast
+from pagesift.session import checked_broadcast, is_small
 
 # Where title and content are looked for when the rules give nothing.
 META_FALLBACKS = {
@@ -48,7 +48,7 @@ def with_fallbacks(rules: DataFrame) -> DataFrame:
     return rules.unionByName(added)
 
 
-def rule_sets(rules: DataFrame, fallbacks: bool) -> DataFrame:
+def rule_sets(rules: DataFrame, fallbacks: bool, one_task: bool = False) -> DataFrame:
     """One row per source: fields in order, each with its selectors by rank.
 
     A settings table in, a settings table out; selectors are parsed here, once.
@@ -57,6 +57,8 @@ def rule_sets(rules: DataFrame, fallbacks: bool) -> DataFrame:
         rules = rules.withColumn("field_pos", F.lit(0))
     if fallbacks:
         rules = with_fallbacks(rules)
+    if one_task:
+        rules = rules.coalesce(1)
     split = rules.withColumn("_mode", sel.split_mode("selector")).select(
         "source_name",
         "field",
@@ -132,8 +134,15 @@ def links_or_target(links: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def attach_rules(pages: DataFrame, rules: DataFrame, fallbacks: bool) -> DataFrame:
-    """Join each page with the rules of its source (a size-checked settings side)."""
-    sets = checked_broadcast(rule_sets(rules, fallbacks), bound=rules)
+    """Join each page with the rules of its source.
+
+    A rules table of settings size, once counted, is worked off in one small
+    task and sent out; a larger one is grouped and joined by shuffle.
+    """
+    if is_small(rules):
+        sets = F.broadcast(rule_sets(rules, fallbacks, one_task=True))
+    else:
+        sets = rule_sets(rules, fallbacks)
     return pages.join(sets, "source_name", "left")
 
 

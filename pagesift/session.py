@@ -33,15 +33,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(
-    df: DataFrame, bound: DataFrame | None = None, max_rows: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
-    """Broadcast hint for a settings table, only after counting it.
-
-    ``bound`` may name a table that has at least as many rows and is cheaper to
-    count. Counting stops just past the limit. A larger table is returned
-    without the hint: the join then shuffles and AQE splits its skewed keys.
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Counts no further than just past the limit."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a settings table or a short list, only after counting it.
+
+    A larger table is returned without the hint: the join then shuffles and AQE
+    splits its skewed keys.
     """
-    counted = df if bound is None else bound
-    small = counted.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if is_small(df) else df
