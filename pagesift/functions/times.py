@@ -136,6 +136,16 @@ def ntz_instant(col: Column | str, tz: str = "UTC") -> Column:
     return F.convert_timezone(F.lit(tz), F.current_timezone(), as_col(col)).cast("timestamp")
 
 
+def ntz_literal(value: datetime, tz: str = "UTC") -> Column:
+    """An aware time as a zone-less literal in ``tz``, whatever the session's zone.
+
+    Bounds in this form compare with a stored zone-less column as it is, so the
+    comparison reaches the scan.
+    """
+    local = value.astimezone(ZoneInfo(tz)).replace(tzinfo=None)
+    return F.lit(local.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def iso_utc(col: Column | str) -> Column:
     """ISO 8601 text in UTC with offset, microseconds only if there are any."""
     local = F.convert_timezone(F.current_timezone(), F.lit("UTC"), as_col(col).cast("timestamp_ntz"))

@@ -659,8 +659,8 @@ def within_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, end = tm.window_bounds(since="2024-01-10T06:00", duration="2d6h")
     # Plain bounds on the stored column, so the scan can skip row groups.
     events = table(spark, sf_dir, "events")
-    low, high = (F.lit(t.replace(tzinfo=None)).cast("timestamp_ntz") for t in (start, end))
-    return events.filter(filters.within_window("ts", low, high)).select("event_id")
+    inside = filters.within_window("ts", tm.ntz_literal(start), tm.ntz_literal(end))
+    return events.filter(inside).select("event_id")
 
 
 @query(
@@ -671,8 +671,8 @@ def within_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, end = tm.daily_window("08:30", "20h", now=LATEST, tz="Asia/Shanghai")
     events = table(spark, sf_dir, "events")
-    low, high = (F.lit(t.replace(tzinfo=None)).cast("timestamp_ntz") for t in (start, end))
-    return events.filter(filters.within_window("ts", low, high)).select("event_id")
+    inside = filters.within_window("ts", tm.ntz_literal(start), tm.ntz_literal(end))
+    return events.filter(inside).select("event_id")
 
 
 @query(

@@ -196,3 +196,19 @@ def test_embedded_json(spark):
     got = pages.select(after["k"]["z"], around["t"]).collect()
     assert [tuple(r) for r in got] == [(1, "}"), (None, None), (None, None)]
     assert pages.limit(1).select(json_text(F.lit('{"a": [1, 2]}'), "a ARRAY<INT>")["a"][1]).first()[0] == 2
+
+
+def test_zoneless_bounds_reach_the_scan(spark, tmp_path):
+    from pagesift.operators.filters import within_window
+
+    path = str(tmp_path / "t")
+    rows = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0,0,0,0,id) AS ts FROM range(48)")
+    rows.write.parquet(path)
+    start, end = times.window_bounds(since="2024-01-01T06:00", duration="2h")
+    kept = spark.read.parquet(path).filter(within_window("ts", times.ntz_literal(start), times.ntz_literal(end)))
+    assert [r.ts.hour for r in kept.orderBy("ts").collect()] == [6, 7, 8]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-01T06:00)" in plan
+    # Read in a zone of their own, they are instants whatever the session's zone.
+    first = spark.read.parquet(path).agg(F.min(F.unix_seconds(times.ntz_instant("ts", "Asia/Shanghai")))).first()[0]
+    assert first == 1704067200 - 8 * 3600
