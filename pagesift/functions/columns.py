@@ -34,7 +34,3 @@ def text_sql(value: str) -> str:
 
 def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
-
-
-def as_value(value: object) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)

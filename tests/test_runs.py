@@ -7,8 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from pagesift.operators import extract, records
-from pagesift.operators.nodes import page_nodes
+from pagesift.operators import records
 from pagesift.plans import run
 from pagesift.schemas import HISTORY, PAGES, SOURCES
 from pagesift.sinks import files
