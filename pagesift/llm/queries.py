@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import packing, quality, simhash, token_counts
+from pagesift.llm import packing, pii, quality, simhash, token_counts
 from pagesift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.with_surrogates(table(spark, sf_dir, "documents"), "corpus")
+    return replaced.select("doc_id", "text", "n_entities")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
