@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import packing, pii, quality, simhash, token_counts
+from pagesift.llm import chat, language_model, neighbours, packing, pii, quality, sentencepiece_codec, simhash, style_tree
+from pagesift.llm import token_counts
 from pagesift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +21,27 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     replaced = pii.with_surrogates(table(spark, sf_dir, "documents"), "corpus")
     return replaced.select("doc_id", "text", "n_entities")
 
 
+@query
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
@@ -37,6 +53,11 @@ def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("class_distance", "common_distance")
 
 
+@query
+def op7_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -46,3 +67,10 @@ def op8_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat.rotated(table(spark, sf_dir, "conversations"))
+    masks = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"])), " ")
+    return views.withColumn("masks", masks)
