@@ -27,8 +27,8 @@ UNKNOWN_PENALTY = 10.0
 # Fixed value: what the library writes for an unknown piece.
 UNKNOWN_SURFACE = " ⁇ "
 # Words remembered by a worker; beyond that it starts anew. Results don't change.
-REMEMBERED = 300_000
-# Substring lookups of one numpy call.
+REMEMBERED = 500_000
+# Characters of the words that advance together.
 CELLS = 1 << 20
 
 
@@ -46,6 +46,34 @@ def run_hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+class Pieces:
+    """Pieces of one length, sorted by hash."""
+
+    def __init__(self, entries: list[tuple[str, float, int]]) -> None:
+        codes = code_points([piece for piece, _, _ in entries])
+        keys = run_hashes(codes)[:, -1]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.codes = keys[order], codes[order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have the same hash")
+        self.scores = np.array([s for _, s, _ in entries], np.float64)[order]
+        self.ids = np.array([i for _, _, i in entries], np.int32)[order]
+
+    def find(self, keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of substrings that are pieces, and which ones."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        rows = np.flatnonzero(self.keys[at] == keys)
+        found = at[rows]
+        same = (self.codes[found] == codes[rows]).all(1)
+        return rows[same], found[same]
+
+    def has(self, keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        out[self.find(keys, codes)[0]] = True
+        return out
+
+
 class Codec:
     def __init__(self, path: str) -> None:
         from sentencepiece import sentencepiece_model_pb2
@@ -66,25 +94,20 @@ class Codec:
         byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.byte_ids = [byte_ids[b] for b in range(256)] if trainer.byte_fallback else None
         self.unknown_score = min(s for _, s, _ in normal) - UNKNOWN_PENALTY
-        self.lengths = sorted({len(p) for p, _, _ in normal})
-        self.longest = self.lengths[-1]
-        keys = np.array([run_hashes(code_points([p]))[0, -1] for p, _, _ in normal], np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        if (self.keys[1:] == self.keys[:-1]).any():
-            raise ValueError("two pieces have the same hash")
-        self.ids = np.array([i for _, _, i in normal], np.int32)[order]
-        self.scores = np.array([s for _, s, _ in normal], np.float64)[order]
-        self.sizes = np.array([len(p) for p, _, _ in normal])[order]
-        self.codes = np.zeros((len(normal), self.longest), np.uint32)
-        for row, at in enumerate(order):
-            piece = normal[at][0]
-            self.codes[row, : len(piece)] = code_points([piece])[0]
+        self.longest = max(len(p) for p, _, _ in normal)
+        # Pieces that start a word, and those within one, by length.
+        groups: dict[tuple[bool, int], list[tuple[str, float, int]]] = {}
+        for entry in normal:
+            groups.setdefault((entry[0].startswith(MARK), len(entry[0])), []).append(entry)
+        self.tables = {key: Pieces(entries) for key, entries in groups.items()}
+        self.pieces = [p.piece for p in proto.pieces]
         self.surfaces = [self._surface(p, i) for i, p in enumerate(proto.pieces)]
         self.byte_values = {i: b for b, i in byte_ids.items()}
-        self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        # A line break that is in no piece stands alone.
+        apart = "" if any("\n" in piece for piece, _, _ in normal) else "\n"
+        self.words = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+|\n")
         self.powers = np.array([pow(int(FACTOR), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}
 
     def _surface(self, piece, i: int) -> bytes:
         if piece.type == 6:
@@ -95,83 +118,100 @@ class Codec:
             return UNKNOWN_SURFACE.encode()
         return piece.piece.replace(MARK, " ").encode("utf-8", "surrogatepass")
 
-    def _found(self, codes: np.ndarray, hashes: np.ndarray, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Score and piece row of the substring of each word; minus infinity where it is none."""
-        key = hashes[:, start + size] - hashes[:, start] * self.powers[size]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = (self.keys[at] == key) & (self.sizes[at] == size)
-        rows = np.flatnonzero(hit)
-        same = (self.codes[at[rows], :size] == codes[rows, start : start + size]).all(1)
-        hit[rows[~same]] = False
-        return np.where(hit, self.scores[at], -np.inf), at
-
-    def search(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length."""
+    def search(self, words: list[str]) -> list[bytes]:
+        """Ids (as int32) of words of one length, with the same number of marks in front."""
         codes = code_points(words)
         n, length = codes.shape
+        marks = len(words[0]) - len(words[0].lstrip(MARK))
         hashes = run_hashes(codes)
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0.0
         back = np.zeros((length + 1, n), np.int32)
-        piece = np.zeros((length + 1, n), np.int32)
+        piece = np.full((length + 1, n), -1, np.int32)
         for end in range(1, length + 1):
             # Longest first: of equal sums the piece that starts first is taken.
-            sizes = [s for s in reversed(self.lengths) if s <= end]
-            sums = np.empty((len(sizes), n))
-            rows = np.empty((len(sizes), n), np.int64)
-            for k, size in enumerate(sizes):
-                score, rows[k] = self._found(codes, hashes, end - size, size)
-                sums[k] = best[end - size] + score
-                if size == 1:
+            for start in range(max(0, end - self.longest), end):
+                pieces = self.tables.get((start < marks, end - start))
+                if pieces is not None:
+                    key = hashes[:, end] - hashes[:, start] * self.powers[end - start]
+                    rows, found = pieces.find(key, codes[:, start:end])
+                    sums = best[start, rows] + pieces.scores[found]
+                    better = sums > best[end, rows]
+                    rows, found = rows[better], found[better]
+                    best[end, rows] = sums[better]
+                    back[end, rows], piece[end, rows] = start, pieces.ids[found]
+                if start == end - 1:
                     # A character that is no piece is unknown.
-                    none = np.isinf(score)
-                    sums[k, none] = best[end - 1, none] + self.unknown_score
-                    rows[k, none] = -1
-            choice = sums.argmax(0)
-            each = np.arange(n)
-            best[end] = sums[choice, each]
-            back[end] = end - np.array(sizes)[choice]
-            piece[end] = rows[choice, each]
-        out = []
-        for w in range(n):
-            ids: list[int] = []
-            end = length
-            while end:
-                start, row = back[end, w], piece[end, w]
-                if row >= 0:
-                    ids.append(int(self.ids[row]))
-                elif self.byte_ids:
-                    ids += [self.byte_ids[b] for b in reversed(words[w][start].encode("utf-8", "surrogatepass"))]
-                elif not ids or ids[-1] != self.unknown:
-                    ids.append(self.unknown)
-                end = start
-            out.append(ids[::-1])
+                    none = np.ones(n, bool)
+                    if pieces is not None:
+                        none = ~pieces.has(key, codes[:, start:end])
+                    rows = np.flatnonzero(none & (best[start] + self.unknown_score > best[end]))
+                    best[end, rows] = best[start, rows] + self.unknown_score
+                    back[end, rows], piece[end, rows] = start, -1
+        return self._traced(words, back, piece)
+
+    def _traced(self, words: list[str], back: np.ndarray, piece: np.ndarray) -> list[bytes]:
+        """Follows the backpointers of all words at once; ids in the order of the text."""
+        each, none = np.arange(len(words)), np.int32(-2)
+        at = np.full(len(words), len(back) - 1)
+        steps = []
+        while at.any():
+            steps.append(np.where(at > 0, piece[at, each], none))
+            at = back[at, each]
+        table = np.ascontiguousarray(np.array(steps[::-1], np.int32).T)
+        width, data = 4 * table.shape[1], table.tobytes()
+        skips = (4 * (table == none).sum(1)).tolist()
+        out = [data[w * width + skip : (w + 1) * width] for w, skip in enumerate(skips)]
+        for w in np.flatnonzero((table == -1).any(1)):
+            ids = np.frombuffer(out[w], np.int32).tolist()
+            out[w] = np.array(self._spelled(words[w], ids), np.int32).tobytes()
+        return out
+
+    def _spelled(self, word: str, ids: list[int]) -> list[int]:
+        """Bytes, or the unknown piece, in place of characters that are no piece."""
+        out, at = [], 0
+        for i in ids:
+            if i >= 0:
+                out.append(i)
+                at += len(self.pieces[i])
+                continue
+            if self.byte_ids:
+                out += [self.byte_ids[b] for b in word[at].encode("utf-8", "surrogatepass")]
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+            at += 1
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(data, np.int32).tolist() for data in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as int32."""
         seen = self.seen
         if len(seen) > REMEMBERED:
             seen.clear()
         split = [self.words.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        new: dict[int, list[str]] = {}
+        new: dict[tuple[int, int], list[str]] = {}
         for word in set().union(*split):
             if word not in seen:
-                new.setdefault(len(word), []).append(word)
-        for length, words in new.items():
-            step = max(1, CELLS // ((length + 1) * self.longest))
+                new.setdefault((len(word), len(word) - len(word.lstrip(MARK))), []).append(word)
+        for (length, _), words in new.items():
+            step = max(1, CELLS // (length + 1))
             for i in range(0, len(words), step):
                 some = words[i : i + step]
                 seen.update(zip(some, self.search(some)))
-        out = [[i for word in words for i in seen[word]] for words in split]
-        for length, words in new.items():
+        out = [b"".join(map(seen.__getitem__, words)) for words in split]
+        for (length, _), words in new.items():
             if length >= 64:
                 for word in words:
                     del seen[word]
-        return out if self.byte_ids else [self._merged(ids) for ids in out]
+        return out if self.byte_ids else [self._merged(data) for data in out]
 
-    def _merged(self, ids: list[int]) -> list[int]:
+    def _merged(self, data: bytes) -> bytes:
         """Neighbouring unknown pieces as one."""
-        return [x for i, x in enumerate(ids) if not (i and x == self.unknown == ids[i - 1])]
+        ids = np.frombuffer(data, np.int32)
+        again = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[np.r_[True, ~again][: len(ids)]].tobytes()
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join([self.surfaces[i] for i in ids])
@@ -194,11 +234,11 @@ def encoded(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
     path = model or vocabulary(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(path).encode
+        encode = codec(path).encode_bytes
         for batch in slices(batches, "text"):
             ids = encode(batch.column("text").to_pylist())
-            offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, offsets[-1])
+            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            flat = np.frombuffer(b"".join(ids), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
