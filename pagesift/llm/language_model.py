@@ -28,7 +28,9 @@ CLASSES, MEMBERS = 32, 64
 BUCKETS = 128
 SIDE = 2
 EMBEDDING, HIDDEN = 8, 24
-ROUNDS, BATCH, RATE = 2, 4096, 0.08
+ROUNDS, BATCH, SCORED, RATE = 2, 8192, 16384, 0.08
+# Unlisted words that a worker remembers. Results don't change.
+REMEMBERED = 1_000_000
 CHUNKS, SALTS = 8, 32
 SIZE = CLASSES * MEMBERS
 EDGE = SIZE
@@ -84,19 +86,27 @@ def vocabulary_of(texts: DataFrame) -> dict[str, int]:
     return {row["word"]: i for i, row in enumerate(top)}
 
 
+class Numbers(dict):
+    """Numbers of words; unlisted ones get a bucket, remembered up to a limit."""
+
+    def __missing__(self, word: str) -> int:
+        number = SIZE - BUCKETS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        if len(self) < REMEMBERED:
+            self[word] = number
+        return number
+
+
 class Sequence:
     """Tokens of many texts with edges between them."""
 
-    def __init__(self, texts: list[str], known: dict[str, int]) -> None:
+    def __init__(self, texts: list[str], numbers: Numbers) -> None:
         edge = [EDGE] * SIDE
-        bucket = lambda w: SIZE - BUCKETS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
         tokens: list[int] = list(edge)
         self.sizes = []
         for text in texts:
             words = words_of(text)
             self.sizes.append(len(words))
-            found = map(known.get, words)
-            tokens += [bucket(w) if i is None else i for w, i in zip(words, found)]
+            tokens += map(numbers.__getitem__, words)
             tokens += edge
         self.tokens = np.array(tokens, np.int32)
         self.places = np.flatnonzero(self.tokens != EDGE)
@@ -106,9 +116,19 @@ class Sequence:
         return self.tokens[places[:, None] + self.offsets]
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def exponentials(logits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials in place, their sums, and the logits of the targets."""
+    # Far beyond what bounded hidden units give; keeps the sums finite.
+    np.clip(logits, -60, 60, out=logits)
+    wanted = logits[np.arange(len(targets)), targets]
+    np.exp(logits, out=logits)
+    return logits, logits @ np.ones(logits.shape[1], np.float32), wanted
+
+
+def output(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    logits = h @ weights
+    logits += bias
+    return logits
 
 
 def hidden(model: Model, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,46 +136,62 @@ def hidden(model: Model, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return inputs, np.tanh(inputs @ model["mix"] + model["bias"])
 
 
-def by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of each class that occurs."""
-    groups = targets // MEMBERS
+def sorted_by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the rows, and where each class that occurs then lies."""
+    groups = (targets // MEMBERS).astype(np.uint16)
     order = np.argsort(groups, kind="stable")
     starts = np.searchsorted(groups[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if starts[c] < starts[c + 1]:
-            yield c, order[starts[c] : starts[c + 1]]
+    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(starts, starts[1:])) if a < b]
 
 
 def log_probabilities(model: Model, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    _, h = hidden(model, windows)
-    out = log_softmax(h @ model["classes"] + model["class_bias"])[np.arange(len(targets)), targets // MEMBERS]
-    for c, rows in by_class(targets):
-        inner = log_softmax(h[rows] @ model["members"][c] + model["member_bias"][c])
-        out[rows] += inner[np.arange(len(rows)), targets[rows] % MEMBERS]
+    order, classes = sorted_by_class(targets)
+    targets = targets[order]
+    _, h = hidden(model, windows[order])
+    _, total, wanted = exponentials(output(h, model["classes"], model["class_bias"]), targets // MEMBERS)
+    out = wanted - np.log(total)
+    for c, rows in classes:
+        logits = output(h[rows], model["members"][c], model["member_bias"][c])
+        _, total, wanted = exponentials(logits, targets[rows] % MEMBERS)
+        out[rows] += wanted - np.log(total)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def errors(logits: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Probabilities less one at the targets."""
+    out, total, _ = exponentials(logits, targets)
+    out /= total[:, None]
+    out[np.arange(len(targets)), targets] -= 1
     return out
 
 
 def gradients(model: Model, windows: np.ndarray, targets: np.ndarray) -> Model:
     n = len(targets)
+    order, classes = sorted_by_class(targets)
+    targets, windows = targets[order], windows[order]
     inputs, h = hidden(model, windows)
+    ones = np.ones(n, np.float32)
     out = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    error = np.exp(log_softmax(h @ model["classes"] + model["class_bias"]))
-    error[np.arange(n), targets // MEMBERS] -= 1
-    out["classes"], out["class_bias"] = h.T @ error, error.sum(0)
+    error = errors(output(h, model["classes"], model["class_bias"]), targets // MEMBERS)
+    out["classes"], out["class_bias"] = h.T @ error, ones @ error
     back = error @ model["classes"].T
-    for c, rows in by_class(targets):
+    for c, rows in classes:
         part = h[rows]
-        inner = np.exp(log_softmax(part @ model["members"][c] + model["member_bias"][c]))
-        inner[np.arange(len(rows)), targets[rows] % MEMBERS] -= 1
-        out["members"][c], out["member_bias"][c] = part.T @ inner, inner.sum(0)
+        inner = errors(output(part, model["members"][c], model["member_bias"][c]), targets[rows] % MEMBERS)
+        out["members"][c], out["member_bias"][c] = part.T @ inner, ones[rows] @ inner
         back[rows] += inner @ model["members"][c].T
     back *= 1 - h * h
-    out["mix"], out["bias"] = inputs.T @ back, back.sum(0)
+    out["mix"], out["bias"] = inputs.T @ back, ones @ back
     down = (back @ model["mix"].T).reshape(-1, EMBEDDING)
-    at = windows.ravel()
-    for d in range(EMBEDDING):
-        out["embedding"][:, d] = np.bincount(at, down[:, d], SIZE + 1)
-    return {k: g / n for k, g in out.items()}
+    at = windows.ravel().astype(np.uint16)
+    order = np.argsort(at, kind="stable")
+    tokens, starts = np.unique(at[order], return_index=True)
+    out["embedding"][tokens] = np.add.reduceat(down[order], starts, axis=0)
+    for g in out.values():
+        g /= n
+    return out
 
 
 class Trainer:
@@ -188,9 +224,9 @@ def train_round(texts: DataFrame, model: Model, known: dict[str, int]) -> Model
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(model)
+        trainer, numbers = Trainer(model), Numbers(known)
         for batch in slices(batches, "text"):
-            trainer.learn(Sequence(batch.column("text").to_pylist(), known))
+            trainer.learn(Sequence(batch.column("text").to_pylist(), numbers))
         if trainer.tokens:
             weighted = np.array_split(flat(trainer.model).astype(np.float64) * trainer.tokens, CHUNKS)
             task = TaskContext.get().partitionId()
@@ -241,12 +277,13 @@ def scored(
         model = train_round(texts, model, known) or model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(known)
         for batch in slices(batches, "text"):
-            sequence = Sequence(batch.column("text").to_pylist(), known)
+            sequence = Sequence(batch.column("text").to_pylist(), numbers)
             out = np.zeros(len(sequence.places))
-            for i in range(0, len(out), BATCH):
-                some = sequence.places[i : i + BATCH]
-                out[i : i + BATCH] = log_probabilities(model, sequence.windows(some), sequence.tokens[some])
+            for i in range(0, len(out), SCORED):
+                some = sequence.places[i : i + SCORED]
+                out[i : i + SCORED] = log_probabilities(model, sequence.windows(some), sequence.tokens[some])
             ends = np.r_[0.0, np.cumsum(out)][np.cumsum([0, *sequence.sizes])]
             sums = np.diff(ends)
             means = [s / n if n else None for s, n in zip(sums, sequence.sizes)]
