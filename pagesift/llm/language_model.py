@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import pick, slices
+from pagesift.llm.common import materialize, pick, slices
 
 CLASSES, MEMBERS = 32, 64
 # Last entries are buckets for words that are not listed; the last one is the edge.
@@ -96,19 +96,29 @@ class Numbers(dict):
         return number
 
 
+def numbered(rows: DataFrame, known: dict[str, int]) -> DataFrame:
+    """``doc_id, tokens`` (16-bit numbers), written once for all rounds and the scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = Numbers(known).__getitem__
+        for batch in slices(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            tokens = [np.array([*map(number, words_of(text))], "<u2").tobytes() for text in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"]
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return materialize(rows.mapInArrow(run, f"doc_id {kind}, tokens binary"), "tokens")
+
+
 class Sequence:
-    """Tokens of many texts with edges between them."""
-
-    def __init__(self, texts: list[str], numbers: Numbers) -> None:
-        edge = [EDGE] * SIDE
-        tokens: list[int] = list(edge)
-        self.sizes = []
-        for text in texts:
-            words = words_of(text)
-            self.sizes.append(len(words))
-            tokens += map(numbers.__getitem__, words)
-            tokens += edge
-        self.tokens = np.array(tokens, np.int32)
+    """Tokens of many documents with edges between them."""
+
+    def __init__(self, documents: list[bytes]) -> None:
+        edge = np.full(SIDE, EDGE, "<u2").tobytes()
+        self.sizes = [len(d) // 2 for d in documents]
+        self.tokens = np.frombuffer(edge + b"".join(d + edge for d in documents), "<u2").astype(np.int32)
         self.places = np.flatnonzero(self.tokens != EDGE)
         self.offsets = np.array([o for o in range(-SIDE, SIDE + 1) if o])
 
@@ -216,17 +226,17 @@ class Trainer:
         self.tokens += len(places)
 
 
-def train_round(texts: DataFrame, model: Model, known: dict[str, int]) -> Model | None:
-    """One pass over all texts; the average of the tasks' models, weighted by tokens.
+def train_round(rows: DataFrame, model: Model) -> Model | None:
+    """One pass over the tokens of all documents; the average of the tasks' models, weighted by tokens.
 
     The sums go over two levels of groups, so that none holds a row for each
     task. What comes back is one model, whatever the number of documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, numbers = Trainer(model), Numbers(known)
-        for batch in slices(batches, "text"):
-            trainer.learn(Sequence(batch.column("text").to_pylist(), numbers))
+        trainer = Trainer(model)
+        for batch in slices(batches, "tokens"):
+            trainer.learn(Sequence(batch.column("tokens").to_pylist()))
         if trainer.tokens:
             weighted = np.array_split(flat(trainer.model).astype(np.float64) * trainer.tokens, CHUNKS)
             task = TaskContext.get().partitionId()
@@ -246,7 +256,7 @@ def train_round(texts: DataFrame, model: Model, known: dict[str, int]) -> Model
         return first
 
     kinds = "chunk int, task int, tokens long, data binary"
-    rows = texts.mapInArrow(run, kinds).withColumn("salt", F.col("task") % SALTS)
+    rows = rows.select("tokens").mapInArrow(run, kinds).withColumn("salt", F.col("task") % SALTS)
     some = rows.groupBy("chunk", "salt").applyInPandas(lambda g: summed(g.drop(columns="salt")), kinds)
     parts = sorted(some.groupBy("chunk").applyInPandas(summed, kinds).collect(), key=lambda r: r["chunk"])
     if not parts:
@@ -270,16 +280,16 @@ def scored(
     """
     prepared = lambda df: df.withColumn("text", F.coalesce("text", F.lit("")))
     rows = prepared(pick(docs, id_col, text_col).toDF("doc_id", "text"))
-    source = rows if trained_on is None else prepared(pick(trained_on, text_col).toDF("text"))
-    texts = source.select("text")
-    known, model = vocabulary_of(texts), start_model()
+    source = rows if trained_on is None else prepared(pick(trained_on, id_col, text_col).toDF("doc_id", "text"))
+    known, model = vocabulary_of(source.select("text")), start_model()
+    tokens = numbered(rows, known)
+    learned = tokens if trained_on is None else numbered(source, known)
     for _ in range(rounds):
-        model = train_round(texts, model, known) or model
+        model = train_round(learned, model) or model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(known)
-        for batch in slices(batches, "text"):
-            sequence = Sequence(batch.column("text").to_pylist(), numbers)
+        for batch in slices(batches, "tokens"):
+            sequence = Sequence(batch.column("tokens").to_pylist())
             out = np.zeros(len(sequence.places))
             for i in range(0, len(out), SCORED):
                 some = sequence.places[i : i + SCORED]
@@ -293,4 +303,4 @@ def scored(
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    return tokens.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
