@@ -23,7 +23,7 @@ PIVOTS = 256
 # Part of the pivots that represents a vector.
 PREFIX = 0.5
 # Part of a shard that is ranked by cosine, and the fewest vectors for that.
-RERANKED, FEWEST = 1 / 8, 64
+RERANKED, FEWEST = 1 / 8, 256
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 16384
 
@@ -52,20 +52,23 @@ def places(rows: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 
 class InvertedFile:
+    """A list for each pivot with the place it has in each vector's order.
+
+    Half of all vectors are in each list, so a list has a slot for every vector;
+    one that lacks the pivot holds the place after the last.
+    """
+
     def __init__(self, rows: np.ndarray, pivots: np.ndarray, prefix: int) -> None:
         order = places(rows, pivots, prefix)
-        lists = np.argsort(order.ravel(), kind="stable")
-        self.vector, self.place = lists // prefix, lists % prefix
-        self.starts = np.searchsorted(order.ravel()[lists], np.arange(len(pivots) + 1))
-        self.n, self.prefix = len(rows), prefix
+        vectors = np.arange(len(rows))[:, None]
+        self.lists = np.full((len(pivots), len(rows)), prefix, np.int16)
+        self.lists[order, vectors] = np.arange(prefix, dtype=np.int16)
 
     def footrule(self, query: np.ndarray) -> np.ndarray:
         """Distance of all vectors to a query given by its nearest pivots."""
-        absent = self.prefix - np.arange(len(query))
-        spans = [slice(self.starts[p], self.starts[p + 1]) for p in query]
-        vector = np.concatenate([self.vector[s] for s in spans])
-        gain = np.concatenate([np.abs(self.place[s] - i) - absent[i] for i, s in enumerate(spans)])
-        return absent.sum() + np.bincount(vector, gain, self.n)
+        apart = self.lists[query]
+        apart -= np.arange(len(query), dtype=np.int16)[:, None]
+        return np.abs(apart, out=apart).sum(0, dtype=np.int32).astype(float)
 
 
 def fitted_pivots(vectors: DataFrame, count: int = PIVOTS) -> np.ndarray:
