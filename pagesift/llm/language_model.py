@@ -31,6 +31,10 @@ EMBEDDING, HIDDEN = 8, 24
 ROUNDS, BATCH, SCORED, RATE = 2, 8192, 16384, 0.08
 # Unlisted words that a worker remembers. Results don't change.
 REMEMBERED = 1_000_000
+# Of the output weights: with hidden units within 1, logits stay below 80.
+BOUND = 3.0
+# Distinct words that a task counts before it passes them on.
+COUNTED = 300_000
 CHUNKS, SALTS = 8, 32
 SIZE = CLASSES * MEMBERS
 EDGE = SIZE
@@ -68,14 +72,20 @@ def words_of(text: str) -> list[str]:
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, n`` over all texts, counted in each task first."""
 
+    def passed(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for batch in slices(batches, "text"):
-            counts: Counter = Counter()
             for text in batch.column("text").to_pylist():
                 counts.update(words_of(text))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"]
-            )
+                if len(counts) > COUNTED:
+                    yield passed(counts)
+                    counts = Counter()
+        yield passed(counts)
 
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -126,13 +136,11 @@ class Sequence:
         return self.tokens[places[:, None] + self.offsets]
 
 
-def exponentials(logits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exponentials in place, their sums, and the logits of the targets."""
-    # Far beyond what bounded hidden units give; keeps the sums finite.
-    np.clip(logits, -60, 60, out=logits)
+def log_softmax_at(logits: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Overwrites the logits. They are bounded (see ``BOUND``), so nothing overflows."""
     wanted = logits[np.arange(len(targets)), targets]
     np.exp(logits, out=logits)
-    return logits, logits @ np.ones(logits.shape[1], np.float32), wanted
+    return wanted - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
 def output(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -158,12 +166,10 @@ def log_probabilities(model: Model, windows: np.ndarray, targets: np.ndarray) ->
     order, classes = sorted_by_class(targets)
     targets = targets[order]
     _, h = hidden(model, windows[order])
-    _, total, wanted = exponentials(output(h, model["classes"], model["class_bias"]), targets // MEMBERS)
-    out = wanted - np.log(total)
+    out = log_softmax_at(output(h, model["classes"], model["class_bias"]), targets // MEMBERS)
     for c, rows in classes:
         logits = output(h[rows], model["members"][c], model["member_bias"][c])
-        _, total, wanted = exponentials(logits, targets[rows] % MEMBERS)
-        out[rows] += wanted - np.log(total)
+        out[rows] += log_softmax_at(logits, targets[rows] % MEMBERS)
     back = np.empty_like(out)
     back[order] = out
     return back
@@ -171,10 +177,10 @@ def log_probabilities(model: Model, windows: np.ndarray, targets: np.ndarray) ->
 
 def errors(logits: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Probabilities less one at the targets."""
-    out, total, _ = exponentials(logits, targets)
-    out /= total[:, None]
-    out[np.arange(len(targets)), targets] -= 1
-    return out
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], np.float32))[:, None]
+    logits[np.arange(len(targets)), targets] -= 1
+    return logits
 
 
 def gradients(model: Model, windows: np.ndarray, targets: np.ndarray) -> Model:
@@ -222,7 +228,11 @@ class Trainer:
             grads = gradients(self.model, sequence.windows(some), sequence.tokens[some])
             for k, g in grads.items():
                 self.squares[k] += g * g
-                self.model[k] -= RATE * g / np.sqrt(self.squares[k])
+                g *= RATE
+                g /= np.sqrt(self.squares[k])
+                self.model[k] -= g
+            for k in ("classes", "class_bias", "members", "member_bias"):
+                np.clip(self.model[k], -BOUND, BOUND, out=self.model[k])
         self.tokens += len(places)
 
 
