@@ -188,7 +188,10 @@ def judged(rows: DataFrame, refs: DataFrame) -> DataFrame:
     joined = joined.withColumns({"class_distance": classes, "common_distance": common})
     both = (F.col("class_distance") > BOTH_CLASS) & (F.col("common_distance") > BOTH_COMMON)
     far = (F.col("class_distance") > CLASS_DISTANCE) | both
-    return joined.withColumn("kept", ~F.col("_failed") & ~F.coalesce(far, F.lit(False)))
+    # A sum, so that a filter on it stays whole: half of it moved below the join
+    # would measure each text once more.
+    against = F.when(F.col("_failed"), F.lit(1)).otherwise(F.lit(0)) + F.when(far, F.lit(1)).otherwise(F.lit(0))
+    return joined.withColumn("kept", against == 0)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
