@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pagesift.llm import chat, language_model, neighbours, packing, pii, quality, sentencepiece_codec, simhash, style_tree
 from pagesift.llm import token_counts
 from pagesift.llm.common import table
+from pagesift.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def query(function: Query) -> Query:
