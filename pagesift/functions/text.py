@@ -23,7 +23,7 @@ TITLE_WIDTH = 100
 _SUMMARY_BREAK = (
     r"(?U)^(.{0,%d})(?:(?<=[^ ])(?= )"
     r"|(?<=[^\d\W]{2}-|[^\d\W]-[^\d\W]-)(?=[^\d\W]-?[^\d\W])"
-    r"""|(?<=[\w!"'&.,?])(?=-{2,}\w)|(?<=[\w!"'&.,?]-{2,9})(?=\w))"""
+    r"""|(?<=[\w!"'&.,?])(?=-{2,}\w)|(?<=[\w!"'&.,?]-{2,%d})(?=\w))"""
 )
 
 
@@ -64,7 +64,7 @@ def summary(col: Column | str, width: int = SUMMARY_WIDTH, cut: str = "words") -
         if cut == "chars":
             head = F.substring(text, 1, width - 1)
         else:
-            head = F.regexp_extract(text, _SUMMARY_BREAK % (width - 1), 1)
+            head = F.regexp_extract(text, _SUMMARY_BREAK % (width - 1, width), 1)
         return F.when(F.length(text) <= width, text).otherwise(
             F.concat(F.rtrim(head), F.lit("…"))
         )

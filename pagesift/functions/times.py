@@ -169,19 +169,19 @@ _UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
 def duration_spec(col: Column | str) -> Column:
-    """'1d6h' or bare hours to seconds; null if malformed or not positive."""
+    """'1d6h' or bare hours to seconds; null if malformed, not positive, or beyond 64 bits."""
     spec = F.lower(u_strip(col))
 
     def total(s: Column) -> Column:
         numbers = F.regexp_extract_all(s, F.lit(r"(\d+)([smhd])"), F.lit(1))
         units = F.regexp_extract_all(s, F.lit(r"(\d+)([smhd])"), F.lit(2))
         weight = F.create_map(*[F.lit(x) for pair in _UNIT_SECONDS.items() for x in pair])
-        seconds = F.zip_with(numbers, units, lambda n, u: n.cast("bigint") * weight[u])
-        whole = F.aggregate(seconds, F.lit(0).cast("bigint"), lambda a, b: a + b)
+        seconds = F.zip_with(numbers, units, lambda n, u: F.try_multiply(n.try_cast("bigint"), weight[u]))
+        whole = F.aggregate(seconds, F.lit(0).cast("bigint"), lambda a, b: F.try_add(a, b))
         each_positive = F.forall(seconds, lambda x: x > 0)
         return (
-            F.when(s.rlike(r"^\d{1,12}$"), F.nullif(s.try_cast("bigint") * 3600, F.lit(0)))
-            .when(s.rlike(r"^(\d{1,12}[smhd])+$"), F.when(each_positive, whole))
+            F.when(s.rlike(r"^\d+$"), F.nullif(F.try_multiply(s.try_cast("bigint"), F.lit(3600)), F.lit(0)))
+            .when(s.rlike(r"^(\d+[smhd])+$"), F.when(each_positive, whole))
         )
 
     return let(spec, total)

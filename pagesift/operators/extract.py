@@ -276,16 +276,41 @@ def timeline_cards(
     return _unique_records(trees, _per_page_sql(url, html, picked), *keys)
 
 
+def last_by_id(items: Column) -> Column:
+    """Structs ``at, item`` of a list: the last item of each id, at the place of the first.
+
+    Items without an id are one another's repeats. Missing items are left out.
+    """
+    placed = F.transform(items, lambda x, i: F.struct(i.alias("at"), x.alias("item")))
+    there = F.filter(placed, lambda x: x["item"].isNotNull())
+    key = lambda x: F.coalesce(x["item"]["id"], F.lit("None"))
+
+    def chosen(found: Column) -> Column:
+        ids = F.array_distinct(F.transform(found, key))
+
+        def of(i: Column) -> Column:
+            same = F.filter(found, lambda x: key(x) == i)
+            return F.struct(same[0]["at"].alias("at"), F.element_at(same, -1)["item"].alias("item"))
+
+        return F.transform(ids, of)
+
+    repeats = F.size(F.array_distinct(F.transform(there, key))) < F.size(there)
+    return F.when(repeats, F.transform(F.array(there), chosen)[0]).otherwise(there)
+
+
 def json_list_records(
     pages: DataFrame, *keys: str, url: str = "url", html: str = "html"
 ) -> DataFrame:
-    """Records of a page that embeds its list as JSON; no tree of the page needed."""
+    """Records of a page that embeds its list as JSON; no tree of the page needed.
+
+    Of items with one id the last counts, at the place of the first.
+    """
     payload = read_embedded_json(html, 'initData":', JSON_LIST)
     rows = pages.select(
         *keys,
         F.expr(url).alias("_base"),
-        F.posexplode(payload["pageResult"]["list"]).alias("_at", "_item"),
-    ).filter(F.col("_item").isNotNull())
+        F.inline(last_by_id(payload["pageResult"]["list"])).alias("_at", "_item"),
+    )
     described = rows.withColumn("_text", F.coalesce("_item.description", F.lit("")))
     parsed = described.withColumn("_tree", tree_ops.escaped_html_tree("_text")).withColumn(
         "raw_html", tree_ops.html_unescape("_text")

@@ -533,6 +533,24 @@ def page_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_run(spark, sf_dir).summary
 
 
+@query(f"SELECT url, title, content FROM ({PAGE_OUTCOMES}) WHERE why IS NULL")
+def page_recaptures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages captured three times: the first capture of each counts, once."""
+    pages = captured(spark, sf_dir).select("source_name", "url", "html", F.lit(200).alias("status"))
+    at = lambda day: F.to_timestamp(F.lit(f"2024-01-{day:02d} 00:00:00"))
+    later = pages.withColumn("html", F.concat("html", F.lit("<p>later</p>")))
+    both = pages.withColumn("fetched_at", at(1)).unionByName(later.withColumn("fetched_at", at(2)))
+    both = both.unionByName(pages.withColumn("fetched_at", at(1)))
+    result = run.run_batch(
+        both,
+        page_sources(spark),
+        rules_table(spark, {"web": PAGE_RULES}),
+        spark.createDataFrame([], HISTORY),
+        run.RunOptions(run_ts=RUN_TS, follow_links=False),
+    )
+    return records.core_columns(result.records).select("url", "title", "content")
+
+
 # --- streams ---------------------------------------------------------------------
 
 
@@ -541,7 +559,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same run as ``page_records``, fed by a stream of page files."""
     home = work_folder(spark, "ingest")
     stream = ingest.page_stream(
-        spark, sf_dir, "page_id BIGINT, url STRING, html STRING", glob="pages.parquet"
+        spark, sf_dir, "page_id BIGINT, url STRING, html STRING", table="pages"
     ).select(F.lit("web").alias("source_name"), "url", "html", F.lit(200).alias("status"))
     ingest.run_stream(
         stream,
@@ -563,7 +581,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dedup of records against a history that grows from batch to batch."""
     home = work_folder(spark, "dedup")
     stream = ingest.page_stream(
-        spark, sf_dir, "doc_id BIGINT, text STRING, lang STRING, source STRING", glob="documents.parquet"
+        spark, sf_dir, "doc_id BIGINT, text STRING, lang STRING, source STRING", table="documents"
     ).select(
         F.col("source").alias("source_name"),
         F.col("lang").alias("store_key"),
@@ -584,7 +602,7 @@ EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type ST
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = ingest.page_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet")
+    stream = ingest.page_stream(spark, sf_dir, EVENT_SCHEMA, table="events")
     return stream.withColumn("ts", tm.ntz_instant("ts"))
 
 
@@ -686,15 +704,15 @@ def date_range_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT doc_id, CASE WHEN trim(left(text, 3)) = '' THEN 'missing_title'
-      WHEN lang = 'en' AND length(trim(substr(text, 1, CAST(n_chars / 8 AS INTEGER)), ' ' || chr(10))) < 40
-      THEN 'content_too_short' END AS reason FROM documents"""
+    SELECT doc_id, CASE WHEN trim(coalesce(i.text, '')) = '' THEN 'missing_title'
+      WHEN lang = 'en' AND length(trim(d.text, ' ' || chr(10))) < 40
+      THEN 'content_too_short' END AS reason FROM documents d LEFT JOIN benchmark i ON item_id = doc_id"""
 )
 def validate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.substring(F.col("text"), F.lit(1), F.round(F.col("n_chars") / 8).cast("int"))
-    return documents(spark, sf_dir).select(
-        "doc_id",
-        filters.validity(F.substring("text", 1, 3), content, strict=F.col("lang") == "en").alias("reason"),
+    """Whole texts; the title is that of the benchmark item with the same number, if there is one."""
+    titles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("title"))
+    return documents(spark, sf_dir).join(titles, "doc_id", "left").select(
+        "doc_id", filters.validity("title", "text", strict=F.col("lang") == "en").alias("reason")
     )
 
 
@@ -764,10 +782,11 @@ def coerce_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT event_id, epoch_us(ts) // 1000 * 1000 AS at_time,
-           CAST(user_id * 3600 + event_id % 60 * 60 AS BIGINT) AS seconds FROM events WHERE user_id > 0"""
+           CASE WHEN user_id > 0 THEN CAST(user_id * 3600 + event_id % 60 * 60 AS BIGINT) ELSE 0 END AS seconds,
+           epoch_us(ts) // 1000000 * 1000000 AS at_second FROM events"""
 )
 def epochs_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = event_times(spark, sf_dir).filter("user_id > 0")
+    events = event_times(spark, sf_dir)
     minutes = F.col("event_id") % 60
     spec = F.concat(
         F.col("user_id").cast("string"),
@@ -776,7 +795,8 @@ def epochs_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         "event_id",
         F.unix_micros(tm.epoch_ts(F.unix_millis("ts"))).alias("at_time"),
-        tm.duration_spec(spec).alias("seconds"),
+        F.coalesce(tm.duration_spec(spec), F.lit(0).cast("long")).alias("seconds"),
+        F.unix_micros(tm.epoch_ts(F.unix_seconds("ts"))).alias("at_second"),
     )
 
 
@@ -811,17 +831,16 @@ def enrich_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS title,
-      regexp_replace(trim(left(text, 30)), '[^0-9A-Za-z_-]+', '_', 'g') AS file_slug,
-      trim(regexp_replace(lower(left(text, 30)), '[^\\p{L}\\p{N}]', '-', 'g'), '-') AS key_slug
+      regexp_replace(trim(text, ' ' || chr(10)), '[^0-9A-Za-z_-]+', '_', 'g') AS file_slug,
+      trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '-', 'g'), '-') AS key_slug
     FROM documents"""
 )
 def titles_and_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.substring("text", 1, 30)
     return documents(spark, sf_dir).select(
         "doc_id",
         tx.title_cut("text").alias("title"),
-        tx.slug_file(start).alias("file_slug"),
-        tx.slug_key(start).alias("key_slug"),
+        tx.slug_file("text").alias("file_slug"),
+        tx.slug_key("text").alias("key_slug"),
     )
 
 
@@ -872,8 +891,7 @@ SEEN = f"(SELECT * FROM ({PARSED}) WHERE doc_id IN (SELECT doc_id FROM labels))"
 )
 def dedup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = parsed(spark, sf_dir)
-    nothing = stored_before(spark, sf_dir).limit(0)
-    return dedup.dedup(batch, nothing, unique_urls=True).select("doc_id", "store_key", "content_hash")
+    return dedup.dedup(batch, spark.createDataFrame([], HISTORY), unique_urls=True).select("doc_id", "store_key", "content_hash")
 
 
 @query(
@@ -967,7 +985,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents(spark, sf_dir).select("doc_id", "n_chars"), "doc_id"
     )
     valid = batch.filter("n_chars >= 300 AND n_chars < 5000")
-    stored = dedup.stored_rows(valid, stored_before(spark, sf_dir).limit(0), unique_urls=True)
+    stored = dedup.stored_rows(valid, spark.createDataFrame([], HISTORY), unique_urls=True)
     new = stored.select(F.col("pos").alias("doc_id"), F.lit(True).alias("_new"))
     reason = (
         F.when(F.col("n_chars") < 300, F.lit("content_too_short"))
@@ -1022,14 +1040,15 @@ def run_summary_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT p.source_name, count(*) AS skipped FROM ({PARSED}) p
-    WHERE EXISTS (SELECT 1 FROM {SEEN} h WHERE h.url = p.url AND h.store_key = p.store_key) GROUP BY 1"""
+    SELECT source_name, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed,
+      count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (late AND status = 'skipped') AS window_filtered
+    FROM (SELECT * FROM ({OUTCOMES}) UNION ALL SELECT p.source_name, 'skipped', false FROM ({PARSED}) p
+      WHERE EXISTS (SELECT 1 FROM {SEEN} h WHERE h.url = p.url AND h.store_key = p.store_key)) GROUP BY 1"""
 )
 def prefilter_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = parsed(spark, sf_dir).select("*", F.lit(True).alias("by_url"), F.lit(True).alias("incremental"))
     known = dedup.known_urls(work, stored_before(spark, sf_dir))
-    judged = report.with_prefilter_skips(outcomes(spark, sf_dir).limit(0), known)
-    return report.run_summary(judged).select("source_name", "skipped")
+    return report.run_summary(report.with_prefilter_skips(outcomes(spark, sf_dir), known))
 
 
 @query(

@@ -54,21 +54,34 @@ def asked_url(pages: DataFrame) -> Column:
     return F.col("requested_url") if "requested_url" in pages.columns else F.col("url")
 
 
-def entry_pages(pages: DataFrame, sources: DataFrame) -> DataFrame:
-    """Captured entry pages, a page or so per source, with their source's settings.
+def good_captures(pages: DataFrame, retries: int | None) -> DataFrame:
+    """Captures that count, with ``_capture``: the first one of a page is the smallest.
+
+    The order is attempt, capture time, then a hash of the source.
+    """
+    good = pages.filter(~filters.fetch_failed("status"))
+    if "attempt" in pages.columns and retries is not None:
+        good = good.filter(F.col("attempt") <= retries + 1)
+    order = [F.col(c) for c in ("attempt", "fetched_at") if c in pages.columns]
+    return good.withColumn("_capture", F.struct(*order, F.xxhash64("html").alias("_hash")))
+
+
+def entry_pages(pages: DataFrame, sources: DataFrame, retries: int | None = None) -> DataFrame:
+    """Captured entry pages, one per source and target, with their source's settings.
 
     Written out once, so the pages table is not read again for each use.
     """
+    times = [c for c in ("fetched_at",) if c in pages.columns]
     targets = [r.target_url for r in sources.select("target_url").limit(MAX_LISTED + 1).collect()]
     if len(targets) <= MAX_LISTED:
         # A list of literals reaches the scan; the join alone would read every page.
         pages = pages.filter(asked_url(pages).isin(targets))
-    wanted = pages.filter(~filters.fetch_failed("status")).withColumn(
-        "target_url", asked_url(pages)
-    ).select("source_name", "target_url", "url", "html")
-    return materialize(
-        wanted.join(checked_broadcast(sources), ["source_name", "target_url"]), "entries"
+    wanted = good_captures(pages, retries).withColumn("target_url", asked_url(pages)).select(
+        "source_name", "target_url", "url", "html", *times, "_capture"
     )
+    wanted = wanted.join(checked_broadcast(sources), ["source_name", "target_url"])
+    first = dedup.first_per_key(wanted, ["source_name", "target_url"], ["_capture"])
+    return materialize(first.drop("_capture"), "entries")
 
 
 def entry_trees(entries: DataFrame) -> DataFrame:
@@ -81,7 +94,8 @@ def list_work(entries: DataFrame, rules: DataFrame) -> DataFrame:
         "family", extract.host_family("url")
     )
     trees = extract.attach_rules(entry_trees(wanted), rules, fallbacks=False)
-    return extract.family_records(trees, "source_name")
+    times = [c for c in ("fetched_at",) if c in entries.columns]
+    return extract.family_records(trees, "source_name", *times)
 
 
 def detail_records(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -131,31 +145,31 @@ def status_of(reason: Column) -> Column:
 
 
 def chosen_captures(visit: DataFrame, pages: DataFrame, retries: int | None) -> DataFrame:
-    """The work list with, per URL, the first attempt that succeeded.
+    """The work list with, per URL, its first good capture and the number of them.
 
-    Works on keys only; page text is joined afterwards. Without an ``attempt``
-    column there is one capture per source and URL.
+    Works on keys and hashes only; page text is joined afterwards.
     """
-    if "attempt" not in pages.columns:
-        return visit
-    good = pages.filter(~filters.fetch_failed("status"))
-    if retries is not None:
-        good = good.filter(F.col("attempt") <= retries + 1)
-    first = good.groupBy("source_name", asked_url(pages).alias("url")).agg(
-        F.min("attempt").alias("attempt")
+    first = good_captures(pages, retries).groupBy("source_name", asked_url(pages).alias("url")).agg(
+        F.min("_capture").alias("_first"), F.count(F.lit(1)).alias("_captures")
     )
     return visit.join(first, ["source_name", "url"])
 
 
 def fetched_pages(visit: DataFrame, pages: DataFrame, options: RunOptions) -> DataFrame:
-    """Captured pages of the work list. Only keys are sent out or shuffled early."""
-    extra = [c for c in ("fetched_at", "attempt") if c in pages.columns]
-    captured = pages.filter(~filters.fetch_failed("status")).select(
-        "source_name", asked_url(pages).alias("url"), "html", *extra
+    """Captured pages of the work list, one for each URL. Only keys are shuffled early.
+
+    Captures that are equal in everything, their source included, are brought
+    together; nothing else of a page's text is.
+    """
+    times = [c for c in ("fetched_at",) if c in pages.columns]
+    captured = good_captures(pages, options.retries).select(
+        "source_name", asked_url(pages).alias("url"), "html", *times, "_capture"
     )
     wanted = checked_broadcast(chosen_captures(visit, pages, options.retries))
-    keys = ["source_name", "url", *[c for c in extra if c == "attempt"]]
-    return captured.join(wanted, keys).drop("attempt")
+    found = captured.join(wanted, ["source_name", "url"]).filter(F.col("_capture").eqNullSafe(F.col("_first")))
+    several = found.filter("_captures > 1").dropDuplicates(["source_name", "url"])
+    both = found.filter("_captures = 1").unionByName(several)
+    return both.drop("_capture", "_first", "_captures")
 
 
 def outcome_rows(records: DataFrame, reason: str | Column | None) -> DataFrame:
@@ -177,7 +191,7 @@ def run_batch(
     parsed. Judged records are written once; dedup and outputs start there.
     """
     settings = checked_broadcast(sources.select(SETTINGS))
-    entries = entry_pages(pages, sources)
+    entries = entry_pages(pages, sources, options.retries)
     listed = None
     if not entries.filter("use_entry_content").isEmpty():
         found = materialize(list_work(entries, rules), "listed")

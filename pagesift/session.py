@@ -16,14 +16,32 @@ MAX_BROADCAST_ROWS = 200_000
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written intermediates, on the cluster's shared storage.
 
-    The place is the session's ``spark.checkpoint.dir``; only where none is set,
-    as in tests, a local one is chosen and set.
+    The place is the session's ``spark.checkpoint.dir``. Only a local session, as
+    in tests, may do without: it gets a temporary one. On a cluster a folder of
+    one machine would lose rows, so there a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="pagesift-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark, base)}/{name}-{uuid.uuid4().hex}"
+
+
+def session_folder(spark: SparkSession, base: str) -> str:
+    return f"{base.rstrip('/')}/pagesift-{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove what this session's steps have written; call it once results are written.
+
+    Frames returned by earlier calls can't be read any more.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark, base))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -28,8 +28,16 @@ def page_stream(
     fmt: str = "parquet",
     glob: str | None = None,
     files_per_batch: int = 1000,
+    table: str | None = None,
 ) -> DataFrame:
-    """Files that arrive in a folder; the schema is given, never inferred."""
+    """Files that arrive in a folder; the schema is given, never inferred.
+
+    With ``table``, the stream is that table of the folder, ``<table>.parquet``,
+    be it one file or a folder of part files.
+    """
+    if table is not None:
+        # A pattern that only fits this name: a single file is then listed too.
+        path = f"{path}/{table}.parquet*"
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -283,3 +283,16 @@ def test_selectors_equal_naive_matching_on_random_trees(spark):
             tree_ops.page_elements(dict(pages)[i], elements, [])
             assert ids == naive_select(elements, css), css
     df.unpersist()
+
+
+def test_json_list_last_item_of_an_id_wins(spark):
+    import json
+
+    from pagesift.operators import extract
+
+    items = [{"id": "7", "title": "old"}, None, {"id": "8", "title": "eight"}, {"id": "7", "title": "new"}]
+    items = [x and {**x, "description": f"<p>{x['title']}</p>", "publishTimestamp": 0} for x in items]
+    source = '<script>window.x = {"initData":' + json.dumps({"pageResult": {"list": items}}) + "}</script>"
+    df = spark.createDataFrame([("https://o.example/n", source)], "url string, html string")
+    rows = extract.json_list_records(df).orderBy("pos").collect()
+    assert [(r.pos, r.fields["title"]) for r in rows] == [(0, "new"), (2, "eight")]

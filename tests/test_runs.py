@@ -300,3 +300,40 @@ def test_dedup_stream_repeats(spark, tmp_path):
     for batch_id, batch in ((0, first), (1, second), (1, second)):
         ingest.dedup_micro_batch(batch, batch_id, home, RUN_TS)
     assert sorted(r.url for r in spark.read.parquet(f"{home}/records").collect()) == ["u1", "u3"]
+
+
+def test_stream_reads_a_table_of_part_files(spark, tmp_path):
+    from pagesift.streaming import ingest
+
+    spark.range(40).selectExpr("id AS event_id").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(5).selectExpr("id AS event_id").write.parquet(str(tmp_path / "other.parquet"))
+    stream = ingest.page_stream(spark, str(tmp_path), "event_id BIGINT", table="events")
+    assert ingest.collect_stream(stream, "append", "parts").count() == 40
+
+
+def test_work_folder_is_cleared(spark):
+    from pathlib import Path
+
+    from pagesift import session
+
+    kept = session.materialize(spark.range(3), "step")
+    assert kept.count() == 3
+    folder = Path(session.work_folder(spark, "x").removeprefix("file:")).parent
+    assert folder.exists()
+    session.clear_work(spark)
+    assert not folder.exists()
+
+
+def test_long_durations_and_dashes(spark):
+    import textwrap
+
+    from pyspark.sql import functions as F
+
+    from pagesift.functions import text, times
+
+    rows = spark.createDataFrame([("1000000000000000h",), ("99999999999999999999",), ("0d",), ("2d",)], "s string")
+    assert [r[0] for r in rows.select(times.duration_spec("s")).collect()] == [3_600_000_000_000_000_000, None, None, 172800]
+    for n in (3, 9, 10, 40):
+        line = "word " * 45 + "left" + "-" * n + "right " * 9
+        got = spark.range(1).select(text.summary(F.lit(line))).first()[0]
+        assert got == textwrap.shorten(line, 240, placeholder="…")
