@@ -150,10 +150,15 @@ def page_elements(html: str, nodes: list[list], texts: list[str]) -> None:
         return None
 
     at = 0
-    while token := _TOKEN.search(html, at):
+    # Behind the last ">" no tag can end, so none is looked for: a page cut off in
+    # the middle of its markup is read once, not once for each "<".
+    last = html.rfind(">") + 1
+    while token := _TOKEN.search(html, at, last):
         if token.start() > at:
             add_text(html[at : token.start()])
         at = token.end()
+        if at == last and token.group().startswith("<!--") and not token.group().endswith("-->"):
+            at = len(html)
         slash, name, rest = token.groups()
         if name is None:
             continue
@@ -189,7 +194,7 @@ def page_elements(html: str, nodes: list[list], texts: list[str]) -> None:
             stop = ending.start() if ending else len(html)
             add_text(html[at:stop], decode=name in DECODED_RAW_TEXT)
             at = stop
-    add_text(html[at:])
+    add_text(html[at:].partition("<!--")[0])
     if opened:
         close(0, bytes_to(len(html)))
 

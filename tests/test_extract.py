@@ -297,3 +297,18 @@ def test_json_list_last_item_of_an_id_wins(spark):
     df = spark.createDataFrame([("https://o.example/n", source)], "url string, html string")
     rows = extract.json_list_records(df).orderBy("pos").collect()
     assert [(r.pos, r.fields["title"]) for r in rows] == [(0, "new"), (2, "eight")]
+
+
+def test_cut_off_markup_is_read_once():
+    import time
+
+    for piece in ("<a ", "<!x ", '<a h="', "</b ", "<!-- "):
+        for head in ("", "<p>start</p> 1 > 0 "):
+            nodes, texts = [], []
+            begin = time.perf_counter()
+            tree_ops.page_elements(head + piece * (1_000_000 // len(piece)), nodes, texts)
+            assert time.perf_counter() - begin < 1
+            assert len(nodes) == (1 if head else 0)
+    nodes, texts = [], []
+    tree_ops.page_elements("a<!-- b > c", nodes, texts)
+    assert texts == ["a"]
