@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.text import content_hash, hash_seed
 from pagesift.operators.skew import ROWS_PER_SALT, salted_left_join
-from pagesift.session import materialize
+from pagesift.session import checked_broadcast, materialize
 
 RECORD_KEY = ["store_key", "url"]
 # Arrival order: source, position in it; the URL makes it total.
@@ -99,11 +99,28 @@ def stored_rows(
     """The slim rows that get stored.
 
     With ``unique_urls`` the caller vouches that a URL occurs once per store in
-    the batch; one lazy plan then does it. Otherwise that is looked up first,
-    and if URLs do repeat, rounds are run until every row is decided, each on
-    the rows the one before left open.
+    the batch and that the URL check is on; one lazy plan then does it.
+    Otherwise that is looked up first, and if URLs do repeat, rounds are run
+    until every row is decided, each on the rows the one before left open.
+
+    Where the URL check is off, a stored row replaces the one its URL had, and
+    the replaced content may be stored again; see ``_stored_in_turn``. There
+    the latest row of a URL is all that counts of the history. Elsewhere a URL
+    has one row anyway; a store whose check was off once is read with ``latest``.
     """
-    rows = _drop_known(slim_rows(records), history, "url", "by_url")
+    slim = slim_rows(records)
+    replacing = None if unique_urls else replacing_stores(slim)
+    if replacing is not None:
+        slim = materialize(slim, "dedup-slim")
+        in_turn = slim.join(replacing, "store_key", "left_semi").select(slim.columns)
+        slim = slim.join(replacing, "store_key", "left_anti").select(slim.columns)
+        return _stored_in_turn(in_turn, history).unionByName(_stored_at_once(slim, history, False))
+    return _stored_at_once(slim, history, unique_urls)
+
+
+def _stored_at_once(slim: DataFrame, history: DataFrame, unique_urls: bool) -> DataFrame:
+    """Stored rows where what is stored stays: stores that replace nothing."""
+    rows = _drop_known(slim, history, "url", "by_url")
     if unique_urls:
         first = _drop_known(
             _earliest(rows, "content_hash").filter("by_content"), history, "content_hash", "by_content"
@@ -158,6 +175,113 @@ def _undecided(rows: DataFrame, winners: DataFrame) -> DataFrame:
     return left.select(rows.columns)
 
 
+def replacing_stores(slim: DataFrame) -> DataFrame | None:
+    """Stores in which a row may replace another and contents are compared, or none."""
+    switches = slim.groupBy("store_key").agg(
+        F.bool_or(~F.col("by_url")).alias("_replaces"), F.bool_or("by_content").alias("_compares")
+    )
+    stores = switches.filter("_replaces AND _compares").select("store_key")
+    if stores.isEmpty():
+        return None
+    return checked_broadcast(materialize(stores, "dedup-stores"))
+
+
+def held_rows(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """Latest history rows that share a URL or a hash with the batch."""
+    latest = history_upsert(history, history.limit(0)).select(*RECORD_KEY, "content_hash")
+    parts = [
+        latest.join(rows.select("store_key", key).distinct(), ["store_key", key], "left_semi")
+        for key in ("url", "content_hash")
+    ]
+    return reduce(DataFrame.unionByName, [p.select(latest.columns) for p in parts]).distinct()
+
+
+def _stored_in_turn(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """Stored rows where a stored row replaces the one its URL had.
+
+    ``held`` is what the stores hold: one row per URL. A round drops the rows
+    that are duplicates whatever is decided later, then stores those that no
+    open row can influence, so the earliest open row is always decided. A URL
+    whose content keeps changing to and fro takes a round for each change.
+    """
+    held = materialize(held_rows(rows, history), "dedup-held")
+    still_open, stored = rows, []
+    while True:
+        left = _drop_known(still_open, held, "url", "by_url")
+        still_open = materialize(_drop_held(left, held), "dedup-open")
+        if still_open.isEmpty():
+            break
+        winners = materialize(_next_in_turn(still_open, held), "dedup-stored")
+        stored.append(winners)
+        kept = held.join(winners.select(*RECORD_KEY), RECORD_KEY, "left_anti")
+        held = materialize(kept.unionByName(winners.select(held.columns)), "dedup-held")
+        still_open = still_open.join(winners.select(*IDENTITY), IDENTITY, "left_anti").select(rows.columns)
+    return reduce(DataFrame.unionByName, stored) if stored else rows.limit(0)
+
+
+def _drop_held(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Open rows without those whose hash is held until after them.
+
+    A hash is held at least until an open row of its URL brings another one.
+    """
+    changes = (
+        rows.join(held.withColumnRenamed("content_hash", "_hash"), RECORD_KEY)
+        .filter(F.col("content_hash") != F.col("_hash"))
+        .groupBy(*RECORD_KEY)
+        .agg(F.min(F.struct(*ORDER)).alias("_until"))
+    )
+    lasts = (
+        held.join(changes, RECORD_KEY, "left")
+        .groupBy("store_key", "content_hash")
+        .agg(F.bool_or(F.col("_until").isNull()).alias("_stays"), F.max("_until").alias("_until"))
+    )
+    order = F.struct(*ORDER)
+    known = F.col("by_content") & (F.col("_stays") | (order < F.col("_until")))
+    marked = rows.join(lasts, ["store_key", "content_hash"], "left")
+    return marked.filter(~F.coalesce(known, F.lit(False))).select(rows.columns)
+
+
+def _next_in_turn(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Open rows that get stored whatever becomes of the others.
+
+    Such a row is the first open one of its URL, its hash is neither held nor
+    in an earlier open row, and no earlier open row asks for the hash that it
+    replaces or, being unchecked itself, for the one it brings.
+    """
+    order = F.struct(*ORDER)
+    hash_key = ["store_key", "content_hash"]
+    openings = rows.groupBy(*hash_key).agg(
+        F.min(order).alias("_first"), F.min(F.when(F.col("by_content"), order)).alias("_asked")
+    )
+    facts = openings.join(held.select(*hash_key, F.lit(True).alias("_held")).distinct(), hash_key, "left")
+    replaced = held.join(openings, hash_key).select(*RECORD_KEY, F.col("_asked").alias("_asked_old"))
+    heads = _earliest(rows, "url").join(facts, hash_key, "left").join(replaced, RECORD_KEY, "left")
+    checked = (order == F.col("_first")) & F.col("_held").isNull()
+    unchecked = F.col("_asked").isNull() | (order <= F.col("_asked"))
+    free = F.col("_asked_old").isNull() | (order <= F.col("_asked_old"))
+    return heads.filter(F.when(F.col("by_content"), checked).otherwise(unchecked) & free).select(rows.columns)
+
+
+def _present(flagged: DataFrame, stored: DataFrame, history: DataFrame) -> DataFrame:
+    """Identities of rows whose hash the store holds when their turn comes."""
+    begin = F.struct(*ORDER)
+    points = stored.select(*RECORD_KEY, "content_hash", begin.alias("_from"))
+    old = held_rows(flagged, history)
+    points = points.unionByName(old.withColumn("_from", F.lit(None).cast(points.schema["_from"].dataType)))
+    along = Window.partitionBy(*RECORD_KEY).orderBy(F.asc_nulls_first("_from"))
+    spans = points.select(
+        F.col("store_key").alias("_s"), F.col("content_hash").alias("_k"), "_from",
+        F.lead("_from").over(along).alias("_until"),
+    )
+    inside = (
+        (F.col("store_key") == F.col("_s"))
+        & (F.col("content_hash") == F.col("_k"))
+        & (F.col("_from").isNull() | (begin > F.col("_from")))
+        & (F.col("_until").isNull() | (begin <= F.col("_until")))
+    )
+    return flagged.join(spans, inside, "left_semi").select(*IDENTITY)
+
+
 def _first_order(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("store_key", key).agg(F.min(F.struct(*ORDER)).alias("_first"))
 
@@ -180,7 +304,8 @@ def duplicate_flags(
     joined with what is known about the hash in salted parts. The slim rows are
     written once, so text is read and hashed once.
     """
-    flagged = materialize(slim_rows(records), "dedup-slim")
+    slim = flagged = materialize(slim_rows(records), "dedup-slim")
+    replacing = None if unique_urls else replacing_stores(slim)
     stored = stored_rows(flagged, history, unique_urls)
     order = F.struct(*ORDER)
     for key, flag, result in (
@@ -202,6 +327,15 @@ def duplicate_flags(
             )
             .drop("_first", "_seen")
         )
+    if replacing is not None:
+        checked = slim.join(replacing, "store_key", "left_semi")
+        present = _present(checked, stored, history).withColumn("_present", F.lit(True))
+        stores = replacing.withColumn("_replaces", F.lit(True))
+        flagged = flagged.join(stores, "store_key", "left").join(present, IDENTITY, "left")
+        here = F.col("by_content") & F.col("_present").isNotNull()
+        flagged = flagged.withColumn(
+            "content_duplicate", F.when(F.col("_replaces"), here).otherwise(F.col("content_duplicate"))
+        ).drop("_present", "_replaces")
     return flagged.withColumn("is_duplicate", F.col("url_duplicate") | F.col("content_duplicate"))
 
 
@@ -209,13 +343,18 @@ def duplicate_flags(
 
 
 def history_rows(stored: DataFrame, run_ts: Column) -> DataFrame:
-    """Stored records as history rows, stamped to the second with the run's time."""
-    return stored.select(
-        "store_key",
-        "url",
-        "content_hash",
+    """Stored records as history rows, stamped to the second with the run's time.
+
+    One row per (store, URL): the last one, where a record replaced another.
+    """
+    last = stored.groupBy(*RECORD_KEY).agg(
+        F.max_by(F.struct("content_hash", "source_name"), F.struct(*ORDER)).alias("_last")
+    )
+    return last.select(
+        *RECORD_KEY,
+        "_last.content_hash",
         F.date_trunc("SECOND", run_ts).alias("ts"),
-        "source_name",
+        "_last.source_name",
     )
 
 

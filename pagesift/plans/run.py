@@ -15,9 +15,6 @@ from pagesift.operators.selectors import selector_steps
 from pagesift.functions.times import record_ts
 from pagesift.session import checked_broadcast, materialize
 
-# Most entry URLs written out as a filter on the pages table.
-MAX_LISTED = 1000
-
 WORK = ["source_name", "pos", "url"]
 SETTINGS = [
     "source_name", "site_type", "keywords", "incremental", "by_url", "by_content",
@@ -72,10 +69,6 @@ def entry_pages(pages: DataFrame, sources: DataFrame, retries: int | None = None
     Written out once, so the pages table is not read again for each use.
     """
     times = [c for c in ("fetched_at",) if c in pages.columns]
-    targets = [r.target_url for r in sources.select("target_url").limit(MAX_LISTED + 1).collect()]
-    if len(targets) <= MAX_LISTED:
-        # A list of literals reaches the scan; the join alone would read every page.
-        pages = pages.filter(asked_url(pages).isin(targets))
     wanted = good_captures(pages, retries).withColumn("target_url", asked_url(pages)).select(
         "source_name", "target_url", "url", "html", *times, "_capture"
     )

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Most rows a table may have to be sent to every executor. Tables checked with
-# it hold settings (a few hundred bytes a row), so this stays under 100 MB.
-MAX_BROADCAST_ROWS = 200_000
+# Most that a table may have, as text, to be sent to every executor.
+MAX_BROADCAST_BYTES = 32 << 20
+
+# Folder of the work that is going on, below the session's; see ``own_work``.
+_OWN_FOLDER: ContextVar[str] = ContextVar("own_folder", default="")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -26,7 +31,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="pagesift-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{session_folder(spark, base)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark, base)}{_OWN_FOLDER.get()}/{name}-{uuid.uuid4().hex}"
 
 
 def session_folder(spark: SparkSession, base: str) -> str:
@@ -40,8 +45,29 @@ def clear_work(spark: SparkSession) -> None:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark, base))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_matching(spark, session_folder(spark, base))
+
+
+def delete_matching(spark: SparkSession, pattern: str) -> None:
+    """Remove the folders that fit a path pattern; none need be there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(path) or []:
+        system.delete(found.getPath(), True)
+
+
+@contextmanager
+def own_work(spark: SparkSession) -> Iterator[None]:
+    """Work whose written steps go when it ends; its results must be stored by then."""
+    inner = f"{_OWN_FOLDER.get()}/own-{uuid.uuid4().hex}"
+    token = _OWN_FOLDER.set(inner)
+    try:
+        yield
+    finally:
+        _OWN_FOLDER.reset(token)
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base:
+            delete_matching(spark, f"{session_folder(spark, base)}{inner}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,13 +77,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Counts no further than just past the limit."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether the rows, written as JSON, stay within the limit: an aggregate of one row."""
+    length = F.octet_length(F.to_json(F.struct("*")))
+    return (df.agg(F.sum(length.cast("bigint")).alias("n")).first().n or 0) <= max_bytes
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a settings table or a short list, only after counting it.
+    """Broadcast hint for a settings table or a short list, only after measuring it.
 
     A larger table is returned without the hint: the join then shuffles and AQE
     splits its skewed keys.

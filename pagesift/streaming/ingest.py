@@ -1,8 +1,8 @@
 """Structured Streaming: the batch run per micro-batch, exactly once.
 
 Order inside a micro-batch: records first, then history, both written under the
-batch's id. A repeated batch reads the history without its own rows and so
-overwrites its output with the same records.
+batch's id. A repeated batch first removes what its earlier try stored under
+that id, so nothing of it stays if the second try gives other rows or none.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagesift.operators import dedup, report
 from pagesift.plans.run import RunOptions, run_batch
-from pagesift.session import work_folder
+from pagesift.session import delete_matching, own_work, work_folder
 from pagesift.sources.history import append_history, read_history
 
 Sink = Callable[[DataFrame, int], None]
@@ -76,14 +76,28 @@ def run_micro_batch(
     options: RunOptions,
     sink: Sink | None = None,
 ) -> None:
-    """One micro-batch of ``run_stream``; may be repeated."""
+    """One micro-batch of ``run_stream``; may be repeated.
+
+    What an earlier try of the batch stored goes first: rules may have changed
+    in between. What the batch wrote on its way goes when its results are stored.
+    """
     spark = pages.sparkSession
     batch = f"b{batch_id:012d}"
-    history = read_history(spark, f"{home}/history", without_batch=batch)
-    result = run_batch(pages, sources, rules, history, options)
-    (sink or table_sink(f"{home}/records"))(result.records, batch_id)
-    table_sink(f"{home}/outcomes")(result.outcomes, batch_id)
-    append_history(result.history, f"{home}/history", batch)
+    replaces = not sources.filter("NOT by_url").isEmpty()
+    with own_work(spark):
+        forget_batch(spark, home, batch_id)
+        history = read_history(spark, f"{home}/history", latest=replaces)
+        result = run_batch(pages, sources, rules, history, options)
+        (sink or table_sink(f"{home}/records"))(result.records, batch_id)
+        table_sink(f"{home}/outcomes")(result.outcomes, batch_id)
+        append_history(result.history, f"{home}/history", batch)
+
+
+def forget_batch(spark: SparkSession, home: str, batch_id: int) -> None:
+    """Remove what a batch has stored: its history first, so its records count as new."""
+    delete_matching(spark, f"{home}/history/store_key=*/batch=b{batch_id:012d}")
+    for table in ("records", "outcomes"):
+        delete_matching(spark, f"{home}/{table}/batch={batch_id}")
 
 
 def run_stream(
@@ -106,13 +120,20 @@ def run_stream(
     _finish(pages, work, f"{home}/checkpoint", every)
 
 
+def schema_text(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def dedup_micro_batch(records: DataFrame, batch_id: int, home: str, run_ts: datetime) -> None:
     spark = records.sparkSession
     batch = f"b{batch_id:012d}"
-    history = read_history(spark, f"{home}/history", without_batch=batch)
-    table_sink(f"{home}/records")(dedup.dedup(records, history), batch_id)
-    stored = spark.read.parquet(f"{home}/records").filter(F.col("batch") == batch_id)
-    append_history(dedup.history_rows(stored, F.lit(run_ts)), f"{home}/history", batch)
+    with own_work(spark):
+        forget_batch(spark, home, batch_id)
+        history = read_history(spark, f"{home}/history")
+        table_sink(f"{home}/records")(dedup.dedup(records, history), batch_id)
+        stored = spark.read.schema(f"{schema_text(records)}, batch bigint").parquet(f"{home}/records")
+        stored = stored.filter(F.col("batch") == batch_id)
+        append_history(dedup.history_rows(stored, F.lit(run_ts)), f"{home}/history", batch)
 
 
 def dedup_stream(

@@ -19,17 +19,15 @@ BATCH = (
 
 
 def one_by_one(batch, history):
-    urls = {(h[0], h[1]) for h in history}
-    hashes = {(h[0], h[2]) for h in history}
+    held = {(h[0], h[1]): h[2] for h in history}
     stored, flags = [], {}
     for r in sorted(batch, key=lambda r: (r[0], r[2], r[3], r[1])):
-        url_dup = r[5] and (r[0], r[1]) in urls
-        content_dup = r[6] and (r[0], r[4]) in hashes
+        url_dup = r[5] and (r[0], r[1]) in held
+        content_dup = r[6] and any(store == r[0] and h == r[4] for (store, _), h in held.items())
         flags[(r[0], r[2], r[3])] = (url_dup, content_dup)
         if not (url_dup or content_dup):
             stored.append((r[0], r[2], r[3]))
-            urls.add((r[0], r[1]))
-            hashes.add((r[0], r[4]))
+            held[(r[0], r[1])] = r[4]
     return sorted(stored), flags
 
 
@@ -58,10 +56,12 @@ def test_dedup_equals_the_sequential_rule(spark, seed, switches):
     """Repeated URLs, repeated content, chains of both."""
     rng = random.Random(seed)
     batch = random_batch(rng, 150, 60, 60, switches)
-    history = [("s", f"u{rng.randint(0, 60)}", f"h{rng.randint(0, 60)}", None, "a") for _ in range(15)]
+    day = lambda d: datetime(2024, 1, d, tzinfo=timezone.utc)
+    history = [("s", f"u{rng.randint(0, 60)}", f"h{rng.randint(0, 60)}", day(d + 1), "a") for d in range(15)]
     stored, flags = one_by_one(batch, history)
     df = spark.createDataFrame(batch, BATCH)
     known = spark.createDataFrame(history, HISTORY)
+    known = dedup.history_upsert(known, known.limit(0))
     kept = dedup.dedup(df, known)
     assert sorted((r.store_key, r.source_ord, r.pos) for r in kept.collect()) == stored
     got = {
@@ -71,11 +71,24 @@ def test_dedup_equals_the_sequential_rule(spark, seed, switches):
     assert got == flags
 
 
+def test_a_replaced_row_frees_its_content(spark):
+    """The URL check is off: the second page of u1 replaces the first, so its content may come again."""
+    rows = [("s", "u1", "x", 0, "h1"), ("s", "u1", "x", 1, "h2"), ("s", "u3", "x", 2, "h1"), ("s", "u4", "x", 3, "h2"), ("s", "u5", "x", 4, "old")]
+    df = spark.createDataFrame(rows, "store_key string, url string, source_ord string, pos int, content_hash string")
+    df = df.withColumn("by_url", F.lit(False)).withColumn("source_name", F.lit("x"))
+    day = lambda d: datetime(2024, 1, d, tzinfo=timezone.utc)
+    known = spark.createDataFrame([("s", "u9", "old", day(1), "x"), ("s", "u9", "new", day(2), "x")], HISTORY)
+    kept = dedup.dedup(df, known)
+    assert sorted(r.pos for r in kept.collect()) == [0, 1, 2, 4]
+    rows = dedup.history_rows(kept, F.lit(day(3))).collect()
+    assert sorted((r.url, r.content_hash) for r in rows) == [("u1", "h2"), ("u3", "h1"), ("u5", "old")]
+
+
 def test_unique_urls_in_one_plan(spark):
     rng = random.Random(9)
     switches = {"a": (True, True), "b": (True, False)}
     batch = [(*r[:1], f"u{i}", *r[2:]) for i, r in enumerate(random_batch(rng, 200, 1, 40, switches))]
-    history = [("s", f"u{rng.randint(0, 200)}", f"h{rng.randint(0, 60)}", None, "a") for _ in range(15)]
+    history = [("s", f"u{u}", f"h{rng.randint(0, 60)}", None, "a") for u in rng.sample(range(200), 15)]
     stored, _ = one_by_one(batch, history)
     kept = dedup.dedup(spark.createDataFrame(batch, BATCH), spark.createDataFrame(history, HISTORY), unique_urls=True)
     assert sorted((r.store_key, r.source_ord, r.pos) for r in kept.collect()) == stored
