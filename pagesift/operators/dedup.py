@@ -203,6 +203,7 @@ def _stored_in_turn(rows: DataFrame, history: DataFrame) -> DataFrame:
     that are duplicates whatever is decided later, then stores those that no
     open row can influence, so the earliest open row is always decided. A URL
     whose content keeps changing to and fro takes a round for each change.
+    Facts are joined one row per key, so AQE can split a hot key's open rows.
     """
     held = materialize(held_rows(rows, history), "dedup-held")
     still_open, stored = rows, []

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesift.session import materialize
+
 RANGE_WIDTH = 1_000_000
 
 
@@ -52,6 +54,30 @@ def numbered(
     return running_sum(df, keys, pos, F.lit(1), name, width)
 
 
+def numbered_in_order(df: DataFrame, keys: list[str], order: list[str], name: str = "row_no") -> DataFrame:
+    """Number the rows of each key 1, 2, ... in an order that tells its rows apart.
+
+    Keys and order columns alone are dealt out in ranges and written, so a key
+    is cut wherever its rows need it and however many share the first order
+    column. A number is a place in the whole order: no layout changes it.
+    """
+    slim = df.select(*keys, *order).repartitionByRange(*keys, *order)
+    dealt = materialize(slim.withColumn("_part", F.spark_partition_id()), "numbered")
+    along = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        dealt.groupBy(*keys, "_part")
+        .agg(F.count(F.lit(1)).alias("_total"))
+        .select(*keys, "_part", F.coalesce(F.sum("_total").over(along), F.lit(0)).alias("_before"))
+    )
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    numbers = (
+        dealt.withColumn("_inside", F.row_number().over(inside))
+        .join(before, [*keys, "_part"])
+        .select(*keys, *order, (F.col("_before") + F.col("_inside")).alias(name))
+    )
+    return df.join(numbers, [*keys, *order]).select(*df.columns, name)
+
+
 def islands(
     df: DataFrame,
     keys: list[str],

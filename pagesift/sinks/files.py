@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.text import slug_file, u_strip
 from pagesift.functions.times import iso_utc
-from pagesift.operators.running import numbered
+from pagesift.operators.running import numbered_in_order
 from pagesift.session import materialize
 
 TARGET = ["source", "run"]
@@ -56,7 +56,7 @@ def payload(records: DataFrame) -> Column:
 
 def payload_rows(records: DataFrame) -> DataFrame:
     """Numbered JSON rows per source: source_name, id, payload."""
-    rows = numbered(records, ["source_name"], "pos", "id")
+    rows = numbered_in_order(records, ["source_name"], ["pos", "url"], "id")
     return rows.select("source_name", "id", payload(rows).alias("payload"))
 
 
@@ -95,7 +95,7 @@ def digest_text(number: Column, value: dict[str, Column]) -> Column:
 
 def text_digest(records: DataFrame) -> DataFrame:
     """Numbered digest blocks per source: source_name, row_no, block."""
-    rows = numbered(records, ["source_name"], "pos")
+    rows = numbered_in_order(records, ["source_name"], ["pos", "url"])
     names = [
         "title", "headline", "published_at", "time", "timestamp", "summary", "content",
         "original_url", "source_url",

@@ -190,6 +190,17 @@ def test_running_sum_over_ranges(spark):
     assert {(r.k, r.p): (r.row_no, r.s) for r in summed.collect()} == want
 
 
+def test_numbers_with_equal_positions_do_not_depend_on_the_layout(spark):
+    rows = [("x" if i % 3 else "y", 0 if i % 2 else i, f"u{i * 7919 % 1000:03}") for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, pos int, url string")
+    want, total = {}, {}
+    for k, pos, url in sorted(rows):
+        want[(k, pos, url)] = total[k] = total.get(k, 0) + 1
+    for laid_out in (df.repartition(7), df.coalesce(1).orderBy(F.desc("url"))):
+        got = running.numbered_in_order(laid_out, ["k"], ["pos", "url"])
+        assert {(r.k, r.pos, r.url): r.row_no for r in got.collect()} == want
+
+
 def test_island_texts_across_ranges(spark):
     lines = [("c", i, "open" if i % 4 == 1 else "more", f"t{i}") for i in range(12)]
     df = spark.createDataFrame(lines, "c string, p int, role string, t string")

@@ -291,6 +291,21 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     assert stored() == [f"https://s/{n}" for n in "abcd"]
     assert read_history(spark, f"{home}/history").count() == 4
 
+    # Once more with pages that give nothing: what the earlier try stored is gone.
+    before = work_folders(spark)
+    ingest.run_micro_batch(second.filter("url = ''"), 1, one_source(spark), rules, home, options)
+    spark.catalog.clearCache()
+    assert stored() == ["https://s/a", "https://s/b"]
+    assert read_history(spark, f"{home}/history").count() == 2
+    assert work_folders(spark) == before
+
+
+def work_folders(spark):
+    from pagesift import session
+
+    folder = Path(session.work_folder(spark, "x").removeprefix("file:")).parent
+    return {p.name for p in folder.glob("*/*")} | {p.name for p in folder.glob("*")}
+
 
 def test_dedup_stream_repeats(spark, tmp_path):
     home = str(tmp_path)
