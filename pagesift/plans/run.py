@@ -158,7 +158,8 @@ def fetched_pages(visit: DataFrame, pages: DataFrame, options: RunOptions) -> Da
     captured = good_captures(pages, options.retries).select(
         "source_name", asked_url(pages).alias("url"), "html", *times, "_capture"
     )
-    wanted = checked_broadcast(chosen_captures(visit, pages, options.retries))
+    chosen = materialize(chosen_captures(visit, pages, options.retries), "chosen")
+    wanted = checked_broadcast(chosen)
     found = captured.join(wanted, ["source_name", "url"]).filter(F.col("_capture").eqNullSafe(F.col("_first")))
     several = found.filter("_captures > 1").dropDuplicates(["source_name", "url"])
     both = found.filter("_captures = 1").unionByName(several)
