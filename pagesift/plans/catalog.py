@@ -25,9 +25,10 @@ from pagesift.plans import run
 from pagesift.schemas import HISTORY, SOURCES
 from pagesift.session import work_folder
 from pagesift.sinks import files
+from pagesift.sources import history
 from pagesift.sources import pages as page_source
 from pagesift.sources.logs import recent_log
-from pagesift.sources.rules import rules_table
+from pagesift.sources.rules import read_rules, rules_table
 from pagesift.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,6 +179,22 @@ def detail_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return field(spark, sf_dir, "content", [".article-content", "article"])
 
 
+@query(
+    f"""
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Notes on page ' || page_id WHEN page_id % 3 = 1 THEN 'About page ' || page_id
+      ELSE nullif({CONTENT}, '') END AS content FROM pages"""
+)
+def content_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the pages has a description, a third one for sharing, and only the rest an article."""
+    kind = F.element_at(F.array(F.lit('name="description"'), F.lit('property="og:description"')), (F.col("page_id") % 3 + 1).cast("int"))
+    words = F.element_at(F.array(F.lit("Notes on page "), F.lit("About page ")), (F.col("page_id") % 3 + 1).cast("int"))
+    meta = F.concat(F.lit("<head><meta "), kind, F.lit(' content="'), words, "page_id", F.lit('">'))
+    bare = F.replace(F.replace("html", F.lit("<head>"), meta), F.lit("article>"), F.lit("main>"))
+    pages = captured(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 3 < 2, bare).otherwise(F.col("html")))
+    filled = extract.detail_fields(tree_ops.page_nodes(pages), rules_table(spark, {"web": {"content": [".none", "article"]}}))
+    return filled.select("page_id", F.col("fields")["content"].alias("content"))
+
+
 @query("SELECT page_id, regexp_extract(html, '<article>.*?</article>', 0, 's') AS content_html FROM pages")
 def detail_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return field(spark, sf_dir, "content_html", ["article::html"])
@@ -256,6 +273,26 @@ def host_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""
+    WITH h AS (SELECT page_id, url, html, contains(lower(regexp_extract(url, '//([^/?#:]*)', 1)), 'example.net') AS net FROM pages)
+    SELECT page_id, CAST(min(spot) AS INTEGER) AS pos, l.url, max_by(title, spot) AS title, max_by(raw_html, spot) AS raw_html
+    FROM ({LIST_ITEMS}) l WHERE page_id IN (SELECT page_id FROM h WHERE NOT net) GROUP BY page_id, l.url
+    UNION ALL SELECT page_id, 0, url, url, html FROM h WHERE net"""
+)
+def family_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page by the extractor of its host's family, and the records of all families together."""
+    def whole_page(pages: DataFrame, *keys: str) -> DataFrame:
+        fields = F.create_map(F.lit("title"), F.col("url"))
+        return pages.select(*keys, F.lit(0).alias("pos"), "url", fields.alias("fields"), F.col("html").alias("raw_html"))
+
+    pages = trees(spark, sf_dir).withColumn("family", extract.host_family("url", {"example.net": "net"}))
+    pages = extract.attach_rules(pages, rules_table(spark, {"web": {"title": ["b", "a"]}}), fallbacks=False)
+    pages = pages.withColumn("entry_steps", sel.selector_steps(F.lit("nav ul li")))
+    found = extract.family_records(pages, "page_id", extra={"net": whole_page})
+    return found.select("page_id", "pos", "url", F.col("fields")["title"].alias("title"), "raw_html")
+
+
 @query(
     f"""
     WITH i AS (SELECT page_id, url, lower(regexp_extract(p.url, '//([^/?#:]*)', 1)) AS host FROM pages p),
@@ -551,6 +588,61 @@ def page_recaptures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.core_columns(result.records).select("url", "title", "content")
 
 
+ENTRY_LINKS = f"""
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY min(spot)) - 1 AS pos, link FROM ({LINKS}) GROUP BY page_id, link"""
+
+
+@query(
+    f"""
+    WITH e AS (SELECT lower(regexp_extract(url, '//([^/?#:]*)', 1)) AS host, min(page_id) AS page_id FROM pages GROUP BY 1),
+    l AS (SELECT host, host NOT LIKE '%.org' AS incremental, page_id + 1 + pos AS page_id, pos, link
+      FROM e JOIN ({ENTRY_LINKS}) USING (page_id)),
+    f AS (SELECT l.*, html, {TITLE} AS title, {CONTENT} AS content FROM l LEFT JOIN pages USING (page_id)),
+    j AS (SELECT *, CASE WHEN incremental AND pos = 0 THEN 'known_url' WHEN html IS NULL THEN 'not_fetched'
+        WHEN NOT contains(lower(link || ' ' || host || ' ' || html), 'tionth') THEN 'keyword'
+        WHEN title = '' THEN 'missing_title' WHEN length(content) < 40 THEN 'content_too_short'
+        WHEN page_id % 3 = 0 THEN 'window_filtered' END AS bad FROM f),
+    d AS (SELECT *, CASE WHEN bad IS NULL AND incremental AND row_number() OVER (
+        PARTITION BY incremental, bad, content ORDER BY host, pos, link) > 1 THEN 'duplicate' ELSE bad END AS reason FROM j)
+    SELECT host AS source_name, link AS url, reason, CASE WHEN reason IS NULL THEN 'success'
+      WHEN reason IN ('keyword', 'window_filtered', 'duplicate', 'known_url') THEN 'skipped' ELSE 'failed' END AS status FROM d"""
+)
+def linked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of a source per host: entry page, links, history, captures, keywords, window, dedup.
+
+    A host's first page is its entry page; its links are captured with the sources
+    of the pages that follow it. The first link is known, some sources take all.
+    """
+    pages = captured(spark, sf_dir).withColumn("source_name", urls.url_host("url"))
+    first = pages.groupBy("source_name").agg(F.min_by("url", "page_id").alias("target_url"), F.min("page_id").alias("page_id"))
+    incremental = ~F.col("source_name").endswith(".org")
+    sources = first.select(
+        "source_name", F.lit("news").alias("site_type"), "target_url", F.lit("nav ul li a").alias("entry_pattern"),
+        F.array(F.lit("tionth")).alias("keywords"), incremental.alias("incremental"), F.lit(False).alias("use_entry_content"),
+        F.lit(True).alias("by_url"), F.lit(True).alias("by_content"),
+        F.when(incremental, F.lit("shared")).otherwise(F.lit("own")).alias("store_key"), F.lit("json").alias("output_format"),
+    )
+    fields = [(f, i, r, c) for i, (f, cs) in enumerate(PAGE_RULES.items()) for r, c in enumerate(cs)]
+    rules = first.select("source_name").crossJoin(
+        F.broadcast(spark.createDataFrame(fields, "field string, field_pos int, rank int, selector string"))
+    )
+    entry = tree_ops.page_nodes(pages.join(first.select("page_id"), "page_id", "left_semi"))
+    links = extract.entry_links(entry, sel.steps_sql("nav ul li a"), "source_name", "page_id")
+    at = F.when(F.col("page_id") % 3 == 0, F.lit("2023-06-01 12:00:00")).otherwise(F.lit("2024-01-15 12:00:00"))
+    linked = links.select("source_name", F.col("link").alias("url"), (F.col("page_id") + 1 + F.col("pos")).alias("page_id"))
+    both = pages.select("source_name", "url", "page_id", "html").unionByName(
+        linked.join(pages.select("page_id", "html"), "page_id")
+    )
+    captures = both.select("source_name", "url", "html", F.lit(200).alias("status"), F.to_timestamp(at).alias("fetched_at"))
+    known = links.filter("pos = 0").select(
+        F.lit("shared").alias("store_key"), F.col("link").alias("url"), tx.content_hash("link").alias("content_hash"),
+        F.lit(LATEST).alias("ts"), "source_name",
+    )
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    result = run.run_batch(captures, sources, rules, known, run.RunOptions(run_ts=RUN_TS, window=(start, RUN_TS)))
+    return result.outcomes.select("source_name", "url", "reason", "status")
+
+
 # --- streams ---------------------------------------------------------------------
 
 
@@ -965,6 +1057,36 @@ def history_after_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("store_key").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""
+    SELECT store_key, url, content_hash, 1704067200 + doc_id AS at_time, source_name FROM {SEEN}
+    WHERE store_key <> 'de' OR doc_id % 2 = 1"""
+)
+def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History written in two batches, one store deleted between them, the second batch written twice."""
+    home = work_folder(spark, "history")
+    rows = stored_before(spark, sf_dir)
+    odd = F.unix_seconds("ts") % 2 == 1
+    history.append_history(rows.filter(~odd), home, "b1")
+    history.history_reset(spark, home, "de")
+    for _ in range(2):
+        history.append_history(rows.filter(odd), home, "b2")
+    kept = history.read_history(spark, home)
+    return kept.select("store_key", "url", "content_hash", F.unix_seconds("ts").alias("at_time"), "source_name")
+
+
+@query(f"SELECT store_key, url FROM {SEEN} WHERE doc_id % 2 = 1")
+def history_after_full_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stores deleted, then what came afterwards."""
+    home = work_folder(spark, "history")
+    rows = stored_before(spark, sf_dir)
+    odd = F.unix_seconds("ts") % 2 == 1
+    history.append_history(rows.filter(~odd), home, "b1")
+    history.history_reset(spark, home)
+    history.append_history(rows.filter(odd), home, "b2")
+    return history.read_history(spark, home).select("store_key", "url")
+
+
 @query(
     f"""
     SELECT * FROM (SELECT source_name, url, 1704067200 + doc_id AS at_time,
@@ -1134,3 +1256,64 @@ def document_store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("collection").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length(content)).alias("content_chars")
     )
+
+
+FORMAT_OF = "CASE lang WHEN 'de' THEN 'csv' WHEN 'es' THEN 'txt' WHEN 'fr' THEN 'sqlite' WHEN 'en' THEN 'json' ELSE 'mongodb' END"
+
+
+@query(
+    f"""
+    SELECT {FORMAT_OF} AS format, source, '20240130-235959' AS run, 'https://' || source || '/' || doc_id AS url,
+      CASE WHEN lang <> 'es' THEN left(text, 60) END AS title, CASE WHEN lang <> 'es' THEN text END AS content FROM documents"""
+)
+def sinks_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written in the format of their language and read again: whole rows, of digests the links."""
+    home = work_folder(spark, "sinks")
+    lang = parsed(spark, sf_dir).select("url", F.col("store_key").alias("lang"))
+    rows = exported(spark, sf_dir).join(lang, "url").withColumn("output_format", F.expr(FORMAT_OF))
+    files.write_records(rows, home, "20240130-235959", ["title", "content"])
+
+    target = "source STRING, run STRING"
+    digest = spark.read.schema(f"value STRING, {target}").text(f"{home}/txt")
+    found = digest.filter(F.startswith("value", F.lit("链接：https://"))).select(
+        F.lit("txt").alias("format"), "source", "run", F.substring("value", 4, 1000000).alias("url"),
+        F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("content"),
+    )
+    own = "url STRING, title STRING, content STRING"
+    names = [c.split()[0] for c in own.split(", ")]
+    table_of = "content STRING, fetched_at STRING, raw_html STRING, site_type STRING, source_name STRING, title STRING, url STRING"
+    csv = spark.read.schema(f"{table_of}, {target}").csv(f"{home}/csv", header=True, multiLine=True, quote='"', escape='"')
+    parts = [csv.select(F.lit("csv").alias("format"), *files.TARGET, *names)]
+    for fmt, kind, column, more in (
+        ("json", "text", "value", ""), ("sqlite", "parquet", "payload", "id BIGINT, "), ("mongodb", "parquet", "document", "collection STRING, ")
+    ):
+        stored = spark.read.schema(f"{more}{column} STRING, {target}").format(kind).load(f"{home}/{fmt}")
+        parsed_rows = stored.withColumn("r", F.from_json(column, own))
+        parts.append(parsed_rows.select(F.lit(fmt).alias("format"), *files.TARGET, "r.*"))
+    for part in parts:
+        found = found.unionByName(part)
+    return found
+
+
+@query(
+    """
+    SELECT source AS source_name, 'https://' || source || '/' AS target_url, CASE WHEN n % 2 = 0 THEN 'csv' ELSE 'json' END AS output_format,
+      n % 2 = 1 AS by_url, true AS incremental, field, field_pos, rank, selector
+    FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+      (VALUES ('title', 0, 0, 'h1.headline'), ('title', 0, 1, 'h1'), ('content', 1, 0, 'article')) r(field, field_pos, rank, selector)"""
+)
+def settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A settings file per source, written and read: defaults filled in, fallbacks ranked."""
+    home = work_folder(spark, "settings")
+    counted = documents(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    even = F.col("n") % 2 == 0
+    pattern = F.struct(F.array(F.lit("h1.headline"), F.lit("h1")).alias("title"), F.lit("article").alias("content"))
+    settings = counted.select(
+        F.col("source").alias("file"), F.col("source").alias("source_name"),
+        F.concat(F.lit("https://"), "source", F.lit("/")).alias("target_url"), pattern.alias("detail_pattern"),
+        F.when(even, F.lit("csv")).alias("output_format"),
+        F.when(even, F.struct(F.lit(False).alias("by_url"))).alias("deduplication"),
+    )
+    settings.repartition("file").write.partitionBy("file").json(home)
+    sources, rules = read_rules(spark, home)
+    return sources.select("source_name", "target_url", "output_format", "by_url", "incremental").join(rules, "source_name")

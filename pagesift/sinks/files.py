@@ -140,7 +140,9 @@ def write_json(records: DataFrame, path: str, run_tag: str) -> None:
 
 def write_csv(records: DataFrame, path: str, run_tag: str, names: list[str]) -> None:
     rows = with_target(flat_records(records, names), run_tag).hint("rebalance", *TARGET)
-    _write(rows, "csv", path, {"header": "true", "quote": '"', "escape": '"'})
+    # Values are written as they are, with their leading and trailing blanks.
+    spaces = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    _write(rows, "csv", path, {"header": "true", "quote": '"', "escape": '"', **spaces})
 
 
 def write_text(records: DataFrame, path: str, run_tag: str) -> None:
