@@ -23,7 +23,7 @@ from pagesift.operators import nodes as tree_ops
 from pagesift.operators import selectors as sel
 from pagesift.plans import run
 from pagesift.schemas import HISTORY, SOURCES
-from pagesift.session import work_folder
+from pagesift.session import materialize, work_folder
 from pagesift.sinks import files
 from pagesift.sources import history
 from pagesift.sources import pages as page_source
@@ -273,6 +273,39 @@ def host_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""
+    SELECT page_id, CAST(min(spot) AS INTEGER) AS pos, key AS url, max_by(title, spot) AS title FROM (
+      SELECT l.*, CASE page_id % 3 WHEN 2 THEN l.url
+        ELSE regexp_replace(p.url, '#.*', '') || CASE page_id % 3 WHEN 0 THEN '#id-' ELSE '#time-' END
+          || regexp_extract(raw_html, 'href="([^"]*)"', 1) END AS key
+      FROM ({LIST_ITEMS}) l JOIN pages p USING (page_id)) GROUP BY page_id, key"""
+)
+def list_item_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items without a link are known by their id, or else by their time."""
+    name = F.element_at(F.array(F.lit("id"), F.lit("time")), (F.col("page_id") % 3 + 1).cast("int"))
+    marked = F.regexp_replace("html", F.lit('<li><a href="([^"]*)">'), F.concat(F.lit("<li data-"), name, F.lit('="$1"><a>')))
+    pages = captured(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 3 < 2, marked).otherwise(F.col("html")))
+    rules = rules_table(spark, {"web": {"title": ["b", "a"]}})
+    ready = extract.attach_rules(tree_ops.page_nodes(pages), rules, fallbacks=False)
+    found = extract.list_records(ready, sel.steps_sql("nav ul li"), "page_id")
+    return found.select("page_id", "pos", "url", F.col("fields")["title"].alias("title"))
+
+
+@query("SELECT url, html, CASE page_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS source_name FROM pages")
+def pages_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures stored in two formats; of each the rows of one source are read, together all."""
+    home = work_folder(spark, "pages")
+    source = F.when(F.col("page_id") % 2 == 0, F.lit("even")).otherwise(F.lit("odd"))
+    pages = table(spark, sf_dir, "pages").select("url", F.lit(200).alias("status"), "html", source.alias("source_name"))
+    pages.write.parquet(f"{home}/parquet")
+    pages.write.json(f"{home}/json")
+    even = page_source.read_pages(spark, f"{home}/parquet", "even")
+    odd = page_source.read_pages(spark, f"{home}/json", "odd", fmt="json")
+    names = ["url", "html", "source_name"]
+    return even.select(*names).unionByName(odd.select(*names))
+
+
 @query(
     f"""
     WITH h AS (SELECT page_id, url, html, contains(lower(regexp_extract(url, '//([^/?#:]*)', 1)), 'example.net') AS net FROM pages)
@@ -388,6 +421,32 @@ def json_list_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT doc_id, pos, 'https://odaily.news/zh-CN/newsflash/' || id AS url, title FROM (
+      SELECT doc_id, 0 AS pos, CAST(doc_id AS VARCHAR) AS id, lang AS title FROM documents
+      UNION ALL SELECT doc_id, 1, 'b' || doc_id, source FROM documents)"""
+)
+def json_list_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that name an item twice: the last one counts, at the place of the first."""
+    def item(key: Column, title: str) -> Column:
+        return F.struct(
+            key.alias("id"), F.col(title).alias("title"), F.col("text").alias("description"),
+            F.lit(1704067200000).alias("publishTimestamp"),
+        )
+
+    first = F.col("doc_id").cast("string")
+    items = F.array(item(first, "source"), item(F.concat(F.lit("b"), "doc_id"), "source"), item(first, "lang"))
+    inner = F.to_json(F.struct(F.struct(items.alias("list")).alias("pageResult")))
+    pages = spread_documents(spark, sf_dir).select(
+        "doc_id",
+        F.lit("https://odaily.news/zh-CN").alias("url"),
+        F.concat(F.lit('<html><script>var x={"initData":'), inner, F.lit("};</script></html>")).alias("html"),
+    )
+    found = extract.json_list_records(pages, "doc_id")
+    return found.select("doc_id", "pos", "url", F.col("fields")["title"].alias("title"))
+
+
 @query(
     """
     SELECT doc_id, text AS content, left(text, 40) AS title, 'https://n.example/' || doc_id AS original_url,
@@ -598,8 +657,8 @@ ENTRY_LINKS = f"""
     l AS (SELECT host, host NOT LIKE '%.org' AS incremental, page_id + 1 + pos AS page_id, pos, link
       FROM e JOIN ({ENTRY_LINKS}) USING (page_id)),
     f AS (SELECT l.*, html, {TITLE} AS title, {CONTENT} AS content FROM l LEFT JOIN pages USING (page_id)),
-    j AS (SELECT *, CASE WHEN incremental AND pos = 0 THEN 'known_url' WHEN html IS NULL THEN 'not_fetched'
-        WHEN NOT contains(lower(link || ' ' || host || ' ' || html), 'tionth') THEN 'keyword'
+    j AS (SELECT *, CASE WHEN incremental AND pos = 0 THEN 'known_url' WHEN html IS NULL OR page_id % 7 = 0 THEN 'not_fetched'
+        WHEN NOT contains(lower(link || ' ' || host || ' ' || html), 'thth') THEN 'keyword'
         WHEN title = '' THEN 'missing_title' WHEN length(content) < 40 THEN 'content_too_short'
         WHEN page_id % 3 = 0 THEN 'window_filtered' END AS bad FROM f),
     d AS (SELECT *, CASE WHEN bad IS NULL AND incremental AND row_number() OVER (
@@ -611,14 +670,16 @@ def linked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run of a source per host: entry page, links, history, captures, keywords, window, dedup.
 
     A host's first page is its entry page; its links are captured with the sources
-    of the pages that follow it. The first link is known, some sources take all.
+    of the pages that follow it, some without success (503; a 404 page
+    counts). The first link is known, which matters to incremental sources only.
     """
     pages = captured(spark, sf_dir).withColumn("source_name", urls.url_host("url"))
     first = pages.groupBy("source_name").agg(F.min_by("url", "page_id").alias("target_url"), F.min("page_id").alias("page_id"))
+    first = materialize(first, "first-pages")
     incremental = ~F.col("source_name").endswith(".org")
     sources = first.select(
         "source_name", F.lit("news").alias("site_type"), "target_url", F.lit("nav ul li a").alias("entry_pattern"),
-        F.array(F.lit("tionth")).alias("keywords"), incremental.alias("incremental"), F.lit(False).alias("use_entry_content"),
+        F.array(F.lit("thth")).alias("keywords"), incremental.alias("incremental"), F.lit(False).alias("use_entry_content"),
         F.lit(True).alias("by_url"), F.lit(True).alias("by_content"),
         F.when(incremental, F.lit("shared")).otherwise(F.lit("own")).alias("store_key"), F.lit("json").alias("output_format"),
     )
@@ -627,13 +688,14 @@ def linked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.broadcast(spark.createDataFrame(fields, "field string, field_pos int, rank int, selector string"))
     )
     entry = tree_ops.page_nodes(pages.join(first.select("page_id"), "page_id", "left_semi"))
-    links = extract.entry_links(entry, sel.steps_sql("nav ul li a"), "source_name", "page_id")
+    links = materialize(extract.entry_links(entry, sel.steps_sql("nav ul li a"), "source_name", "page_id"), "links")
     at = F.when(F.col("page_id") % 3 == 0, F.lit("2023-06-01 12:00:00")).otherwise(F.lit("2024-01-15 12:00:00"))
     linked = links.select("source_name", F.col("link").alias("url"), (F.col("page_id") + 1 + F.col("pos")).alias("page_id"))
-    both = pages.select("source_name", "url", "page_id", "html").unionByName(
-        linked.join(pages.select("page_id", "html"), "page_id")
-    )
-    captures = both.select("source_name", "url", "html", F.lit(200).alias("status"), F.to_timestamp(at).alias("fetched_at"))
+    status = F.when(F.col("page_id") % 7 == 0, 503).when(F.col("page_id") % 7 == 1, 404).otherwise(200).alias("status")
+    details = linked.join(pages.select("page_id", "html"), "page_id").select("*", status)
+    both = pages.select("source_name", "url", "page_id", "html", F.lit(200).alias("status")).unionByName(details)
+    captures = both.select("source_name", "url", "html", "status", F.to_timestamp(at).alias("fetched_at"))
+    captures = materialize(captures, "captures")
     known = links.filter("pos = 0").select(
         F.lit("shared").alias("store_key"), F.col("link").alias("url"), tx.content_hash("link").alias("content_hash"),
         F.lit(LATEST).alias("ts"), "source_name",
