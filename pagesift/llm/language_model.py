@@ -3,7 +3,9 @@
 Every token is masked in turn and predicted from the tokens on both sides. The
 network is small and written in numpy: embeddings of the window, one hidden
 layer, and a softmax in two steps (the class of a token, then the token within
-it), so that all probabilities are normalised. Each Spark task trains on all
+it), so that all probabilities are normalised. What the network gives a bucket of
+words is dealt to the words in it by a table of the counts of all words, which
+grows with the corpus. Each Spark task trains on all
 its documents from the same start; the results are averaged by tokens, and the
 next round starts from the average.
 """
@@ -18,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.common import materialize, pick, slices
@@ -35,6 +37,8 @@ REMEMBERED = 1_000_000
 BOUND = 3.0
 # Distinct words that a task counts before it passes them on.
 COUNTED = 300_000
+# Tokens of a chunk: documents whose unlisted words are numbered and looked up together.
+CHUNK_TOKENS = 1_000_000
 CHUNKS, SALTS = 8, 32
 SIZE = CLASSES * MEMBERS
 EDGE = SIZE
@@ -90,36 +94,104 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary_of(texts: DataFrame) -> dict[str, int]:
-    """Numbers of the most frequent words: a fixed number of rows, ties by word."""
-    top = word_counts(texts).orderBy(F.desc("n"), "word").limit(SIZE - BUCKETS).collect()
-    return {row["word"]: i for i, row in enumerate(top)}
+def vocabulary_of(counts: DataFrame) -> dict[str, int]:
+    """The most frequent words, in order, and their counts: a fixed number of rows, ties by word."""
+    return {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(SIZE - BUCKETS).collect()}
+
+
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+class Shares:
+    """How the words of a bucket share its probability.
+
+    A word that was counted ``n`` times has ``n / (N + T + 1)``, where the bucket's
+    words have ``N`` tokens and ``T`` distinct ones. What is left, ``T + 1`` parts,
+    goes to words that were never counted, each by its length in bytes: every
+    byte, and the end, has a chance of 1 in 257.
+    """
+
+    def __init__(self, counts: DataFrame, listed: dict[str, int]) -> None:
+        self.number = F.crc32(F.col("word").cast("binary")) % BUCKETS
+        tokens, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        found = counts.groupBy(self.number.alias("b")).agg(F.sum("n").alias("n"), F.count("n").alias("kinds"))
+        for row in found.collect():
+            tokens[row["b"]], kinds[row["b"]] = row["n"], row["kinds"]
+        for word, n in listed.items():
+            tokens[bucket(word)] -= n
+            kinds[bucket(word)] -= 1
+        self.counts, self.total, self.rest = counts, np.log(tokens + kinds + 1), np.log(kinds + 1)
+
+    def of_bucket(self, values: np.ndarray) -> Column:
+        return F.array(*[F.lit(float(v)) for v in values])[self.number.cast("int")]
+
+    def of(self, words: DataFrame) -> DataFrame:
+        """``words`` and the logarithm ``share`` of each one's part of its bucket."""
+        unseen = self.of_bucket(self.rest) - (F.octet_length("word") + 1) * F.lit(float(np.log(257)))
+        part = F.coalesce(F.log("n"), unseen) - self.of_bucket(self.total)
+        return words.join(self.counts, "word", "left").withColumn("share", part).drop("n")
 
 
 class Numbers(dict):
     """Numbers of words; unlisted ones get a bucket, remembered up to a limit."""
 
     def __missing__(self, word: str) -> int:
-        number = SIZE - BUCKETS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        number = SIZE - BUCKETS + bucket(word)
         if len(self) < REMEMBERED:
             self[word] = number
         return number
 
 
+class Places(dict):
+    """Places of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 def numbered(rows: DataFrame, known: dict[str, int]) -> DataFrame:
-    """``doc_id, tokens`` (16-bit numbers), written once for all rounds and the scores."""
+    """Documents in chunks, written once for all rounds and the scores.
+
+    A document's row has its ``tokens`` (16-bit numbers) and ``unlisted``, the
+    places of its unlisted words (32-bit) in the chunk's ``words``, which are a
+    row of their own without tokens.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbers(known).__getitem__
-        for batch in slices(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            tokens = [np.array([*map(number, words_of(text))], "<u2").tobytes() for text in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"]
+        chunk, held, local = TaskContext.get().partitionId() << 32, 0, Places()
+        doc_type = None
+
+        def made(ids: pa.Array, tokens: list, unlisted: list, words: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [
+                    ids, pa.array([chunk] * len(ids), pa.int64()), pa.array(tokens, pa.binary()),
+                    pa.array(unlisted, pa.binary()), pa.array(words, pa.list_(pa.string())),
+                ],
+                names=["doc_id", "chunk", "tokens", "unlisted", "words"],
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(run, f"doc_id {kind}, tokens binary"), "tokens")
+        for batch in slices(batches, "text"):
+            doc_type, tokens, unlisted = batch.column("doc_id").type, [], []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                numbers = np.array([*map(number, words)], "<u2")
+                other = map(words.__getitem__, np.flatnonzero(numbers >= SIZE - BUCKETS).tolist())
+                tokens.append(numbers.tobytes())
+                unlisted.append(np.array([*map(local.__getitem__, other)], "<u4").tobytes())
+                held += len(words)
+            yield made(batch.column("doc_id"), tokens, unlisted, [None] * len(tokens))
+            if len(local) > COUNTED or held > CHUNK_TOKENS:
+                yield made(pa.nulls(1, doc_type), [None], [None], [[*local]])
+                chunk, held, local = chunk + 1, 0, Places()
+        if local:
+            yield made(pa.nulls(1, doc_type), [None], [None], [[*local]])
+
+    kinds = f"doc_id {kind}, chunk long, tokens binary, unlisted binary, words array<string>"
+    return materialize(rows.mapInArrow(run, kinds), "tokens")
 
 
 class Sequence:
@@ -274,28 +346,38 @@ def train_round(rows: DataFrame, model: Model) -> Model | None:
     return shaped(np.concatenate([np.frombuffer(r["data"]) / r["tokens"] for r in parts]))
 
 
+def sums_of(values: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Sums of runs of these lengths."""
+    return np.diff(np.r_[0.0, np.cumsum(values)][np.cumsum([0, *sizes])])
+
+
 def scored(
     docs: DataFrame, trained_on: DataFrame | None = None, rounds: int = ROUNDS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_tokens, log_prob, mean_log_prob`` of each row.
 
-    Tokens are words in lower case. The vocabulary and the network come from
+    Tokens are words in lower case. The counts of words and the network come from
     all texts of ``trained_on`` (the documents themselves, if none are given). A text
-    without words has no tokens, the sum 0 and a null mean. Words outside the
-    vocabulary share buckets, so their probability is that of the bucket. Null
-    ids and repeated rows stay; a repeated text counts each time in training. No
-    documents to train on leave the network as it starts. An empty table gives
-    no rows. The model has a fixed size and is sent to all tasks.
+    without words has no tokens, the sum 0 and a null mean. Each token is scored
+    as itself: the network predicts a listed word or the bucket of an unlisted
+    one, and ``Shares`` the word within the bucket. In the window around a token,
+    unlisted words are their buckets. Null ids and repeated rows stay; a repeated
+    text counts each time in training. No documents to train on leave the network
+    as it starts. An empty table gives no rows. The network has a fixed size and is
+    sent to all tasks; the counts of words are a table that grows with the texts
+    and is joined to the words of each chunk.
     """
     prepared = lambda df: df.withColumn("text", F.coalesce("text", F.lit("")))
     rows = prepared(pick(docs, id_col, text_col).toDF("doc_id", "text"))
     source = rows if trained_on is None else prepared(pick(trained_on, id_col, text_col).toDF("doc_id", "text"))
-    known, model = vocabulary_of(source.select("text")), start_model()
+    counts, model = materialize(word_counts(source.select("text")), "word_counts"), start_model()
+    listed = vocabulary_of(counts)
+    known = {word: i for i, word in enumerate(listed)}
     tokens = numbered(rows, known)
     learned = tokens if trained_on is None else numbered(source, known)
     for _ in range(rounds):
-        model = train_round(learned, model) or model
+        model = train_round(learned.filter(F.col("tokens").isNotNull()), model) or model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "tokens"):
@@ -304,13 +386,30 @@ def scored(
             for i in range(0, len(out), SCORED):
                 some = sequence.places[i : i + SCORED]
                 out[i : i + SCORED] = log_probabilities(model, sequence.windows(some), sequence.tokens[some])
-            ends = np.r_[0.0, np.cumsum(out)][np.cumsum([0, *sequence.sizes])]
-            sums = np.diff(ends)
-            means = [s / n if n else None for s, n in zip(sums, sequence.sizes)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sequence.sizes, pa.int64()), pa.array(sums), pa.array(means, pa.float64())],
-                names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"],
+                [
+                    batch.column("doc_id"), batch.column("chunk"), pa.array(sequence.sizes, pa.int64()),
+                    pa.array(sums_of(out, sequence.sizes)), batch.column("unlisted"),
+                ],
+                names=["doc_id", "chunk", "n_tokens", "log_prob", "unlisted"],
             )
 
+    def completed(docs: pa.Table, words: pa.Table) -> pa.Table:
+        shares = np.zeros(len(words))
+        shares[words.column("place").to_numpy()] = words.column("share").to_numpy()
+        unlisted = docs.column("unlisted").to_pylist()
+        parts = sums_of(shares[np.frombuffer(b"".join(unlisted), "<u4")], [len(u) // 4 for u in unlisted])
+        sums, sizes = docs.column("log_prob").to_numpy() + parts, docs.column("n_tokens").to_pylist()
+        means = [s / n if n else None for s, n in zip(sums.tolist(), sizes)]
+        return pa.table(
+            [docs.column("doc_id"), docs.column("n_tokens"), pa.array(sums), pa.array(means, pa.float64())],
+            names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"],
+        )
+
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return tokens.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    docs = tokens.filter(F.col("tokens").isNotNull()).select("doc_id", "chunk", "tokens", "unlisted")
+    docs = docs.mapInArrow(run, f"doc_id {kind}, chunk long, n_tokens long, log_prob double, unlisted binary")
+    words = tokens.filter(F.col("words").isNotNull()).select("chunk", F.posexplode("words").alias("place", "word"))
+    words = Shares(counts, listed).of(words).select("chunk", "place", "share")
+    both = docs.groupBy("chunk").cogroup(words.groupBy("chunk"))
+    return both.applyInArrow(completed, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")

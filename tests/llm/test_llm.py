@@ -314,6 +314,21 @@ def test_gradients_and_probabilities(spark, odd):
     assert language_model.scored(empty(spark)).count() == 0
 
 
+def test_words_of_a_bucket_are_scored_as_themselves(spark):
+    listed = language_model.SIZE - language_model.BUCKETS
+    common = [f"common{i}" for i in range(listed)]
+    first = "rare0"
+    second = next(w for w in (f"rare{i}" for i in range(1, 9999)) if language_model.bucket(w) == language_model.bucket(first))
+    third = next(w for w in (f"new{i}" for i in range(9999)) if language_model.bucket(w) == language_model.bucket(first))
+    texts = [" ".join(common * 5), f"{first} {second} {first}", *[f"common1 {w} common2" for w in (first, second, third)]]
+    got = {r.doc_id: r for r in language_model.scored(make_docs(spark, texts), make_docs(spark, texts[:2])).collect()}
+    # One more part for the words that were never counted than there are words in the bucket.
+    assert got[2].log_prob - got[3].log_prob == pytest.approx(np.log(2))
+    assert got[3].log_prob - got[4].log_prob == pytest.approx((len(third) + 1) * np.log(257) - np.log(3))
+    own = {r.doc_id: r for r in language_model.scored(make_docs(spark, texts[:4])).collect()}
+    assert own[2].log_prob - own[3].log_prob == pytest.approx(np.log(3 / 2))
+
+
 # --- near-duplicates --------------------------------------------------------------------
 
 
