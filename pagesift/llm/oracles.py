@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagesift.llm import chat, quality
+from pagesift.llm import centroids, chat, quality
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -82,4 +82,41 @@ SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, ''
     ORDER BY turn, role, text), '') AS masks
 FROM p GROUP BY ALL"""
 
-ORACLES = {"op6_distribution_divergence": QUALITY, "op10_perspective_rotation": ROTATION}
+
+
+def clustering() -> str:
+    """Ten unrolled rounds; sums are of 128 bits, floors exact."""
+    apart = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+          list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+        WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.DIMENSIONS}),
+        c0 AS MATERIALIZED (SELECT n - 1 AS c, x FROM (SELECT x, row_number() OVER (
+          ORDER BY sha256('{centroids.SALT}' || vec_id), x) AS n FROM kept) WHERE n <= {centroids.CENTROIDS})"""
+    ]
+    for k in range(centroids.ROUNDS + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (SELECT v.r, arg_min(c.c, [{apart}, c.c]) AS c, min({apart}) AS d
+            FROM kept v CROSS JOIN c{k} c GROUP BY 1)"""
+        )
+        if k < centroids.ROUNDS:
+            steps.append(
+                f"""m{k} AS (SELECT c, list(f ORDER BY i) AS x FROM (
+                SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS f FROM (
+                  SELECT a.c, i, sum(v.x[i]) AS s, count(*) AS n FROM a{k} a JOIN kept v USING (r), unnest(range(1, 65)) u(i)
+                  GROUP BY ALL)) GROUP BY c),
+                c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.x, o.x) AS x FROM c{k} o LEFT JOIN m{k} m USING (c))"""
+            )
+    last = centroids.ROUNDS
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+      CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(o.x, ',')) AS centroid_sha256
+    FROM a{last} a JOIN kept USING (r) JOIN c{last} o ON o.c = a.c"""
+
+
+ORACLES = {
+    "op6_distribution_divergence": QUALITY,
+    "op10_perspective_rotation": ROTATION,
+    "op11_scalar_tables": clustering(),
+}

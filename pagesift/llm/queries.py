@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import chat, language_model, neighbours, packing, pii, quality, sentencepiece_codec, simhash, style_tree
+from pagesift.llm import centroids, chat, language_model, neighbours, packing, pii, quality, sentencepiece_codec, simhash, style_tree
 from pagesift.llm import token_counts
 from pagesift.llm.common import table
 from pagesift.llm.oracles import ORACLES
@@ -75,3 +75,8 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat.rotated(table(spark, sf_dir, "conversations"))
     masks = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"])), " ")
     return views.withColumn("masks", masks)
+
+
+@query
+def op11_scalar_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
