@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagesift.llm import centroids, chat, quality
+from pagesift.llm import centroids, chat, quality, url_templates
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -115,8 +115,69 @@ def clustering() -> str:
     FROM a{last} a JOIN kept USING (r) JOIN c{last} o ON o.c = a.c"""
 
 
+def path_templates() -> str:
+    """The tree by levels: counts, named children, similar pairs and what they connect."""
+    t = url_templates
+    rules = ", ".join(f"('{kind}', '{rule}')" for kind, rule in t.RULES)
+    shape = """CASE WHEN {s} IS NULL THEN 'end' WHEN regexp_matches({s}, '^[0-9]+\\z') THEN 'digits'
+      WHEN regexp_matches({s}, '^[A-Za-z]+\\z') THEN 'letters'
+      WHEN regexp_matches({s}, '\\.[A-Za-z]{{2,5}}\\z') THEN 'file' ELSE 'other' END"""
+    smooth = lambda b, l, p: f"(({b}) + {t.PRIOR} * {p}) / (({l}) + {t.PRIOR})"
+    steps = [
+        f"""rules(kind, rule) AS (VALUES {rules}),
+        cut AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+          THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        split AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+        fit AS (SELECT r, arg_max(rule, [length(rule), strpos(rule, '/'), CAST(kind = 'block' AS INT)]) AS rule,
+          arg_max(kind, [length(rule), strpos(rule, '/'), CAST(kind = 'block' AS INT)]) AS kind FROM split, rules
+          WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+            AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY r),
+        seg AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM split LEFT JOIN fit USING (r)),
+        flat AS (SELECT r, page_id, host, path, rule, kind, CASE WHEN len(parts) <= {t.DEPTH} THEN parts ELSE
+          list_append(parts[:{t.DEPTH - 1}], array_to_string(parts[{t.DEPTH}:], '/')) END AS segs,
+          CAST(kind IS NOT NULL AS INT) AS l, CAST(coalesce(kind = 'block', false) AS INT) AS b, '' AS tpl FROM seg),
+        u0 AS MATERIALIZED (SELECT flat.*, {smooth('sum(b) OVER (PARTITION BY host)', 'sum(l) OVER (PARTITION BY host)', t.EVEN)}
+          AS pur FROM flat)"""
+    ]
+    sums = ", ".join(f"count(*) FILTER (nxt = '{s}') AS {s}_" for s in t.SHAPES)
+    apart = " + ".join(f"abs(x.{s}_ * y.n - y.{s}_ * x.n)" for s in t.SHAPES)
+    mark = "regexp_replace(seg, '([\\\\*()|])', '\\\\\\1', 'g')"
+    for k in range(t.DEPTH):
+        steps.append(
+            f"""ch{k} AS MATERIALIZED (SELECT host, tpl, seg, max(pur) AS pur, count(*) AS n, sum(l) AS l, sum(b) AS b, {sums} FROM (
+              SELECT *, segs[{k + 1}] AS seg, {shape.format(s=f'segs[{k + 2}]')} AS nxt FROM u{k} WHERE len(segs) > {k}) GROUP BY ALL),
+            nd{k} AS (SELECT host, tpl, max(pur) AS pur, sum(n) AS a, sum(l) AS l, sum(b) AS b FROM ch{k} GROUP BY ALL),
+            nm{k} AS MATERIALIZED (SELECT c.* FROM ch{k} c JOIN nd{k} d USING (host, tpl)
+              WHERE c.n >= {t.FEWEST} AND c.n * {t.SHARE} >= d.a),
+            pr{k} AS MATERIALIZED (SELECT x.host, x.tpl, x.seg AS s1, y.seg AS s2 FROM nm{k} x JOIN nm{k} y USING (host, tpl)
+              WHERE 2 * ({apart}) <= x.n * y.n AND CASE WHEN x.l = 0 OR y.l = 0 THEN x.l = y.l ELSE
+                pow(CAST(x.b AS DOUBLE) * y.l - y.b * x.l, 2) * (x.l + y.l)
+                  <= 4 * (CAST(x.b AS DOUBLE) + y.b) * (x.l + y.l - x.b - y.b) * x.l * y.l END),
+            cl{k}(host, tpl, s1, s2) AS (SELECT * FROM pr{k} UNION SELECT c.host, c.tpl, c.s1, p.s2 FROM cl{k} c
+              JOIN pr{k} p ON p.host = c.host AND p.tpl = c.tpl AND p.s1 = c.s2),
+            gp{k} AS (SELECT host, tpl, s1 AS seg, min(s2) AS g FROM cl{k} GROUP BY ALL),
+            gs{k} AS (SELECT host, tpl, g, CASE WHEN count(*) = 1 THEN any_value({mark})
+              ELSE '(' || string_agg({mark}, '|' ORDER BY seg) || ')' END AS label, sum(l) AS l, sum(b) AS b
+              FROM gp{k} JOIN nm{k} USING (host, tpl, seg) GROUP BY ALL),
+            st{k} AS (SELECT d.host, d.tpl, any_value(d.pur) AS pur, any_value(d.l) - coalesce(sum(m.l), 0) AS l,
+              any_value(d.b) - coalesce(sum(m.b), 0) AS b FROM nd{k} d LEFT JOIN nm{k} m USING (host, tpl) GROUP BY ALL),
+            u{k + 1} AS MATERIALIZED (SELECT u.* REPLACE (
+              CASE WHEN len(segs) <= {k} THEN u.tpl ELSE u.tpl || '/' || coalesce(gs.label, '*') END AS tpl,
+              CASE WHEN len(segs) <= {k} THEN u.pur WHEN gs.label IS NULL THEN {smooth('st.b', 'st.l', 'u.pur')}
+                ELSE {smooth('gs.b', 'gs.l', 'u.pur')} END AS pur)
+              FROM u{k} u LEFT JOIN st{k} st USING (host, tpl)
+              LEFT JOIN gp{k} gp ON gp.host = u.host AND gp.tpl = u.tpl AND gp.seg = u.segs[{k + 1}]
+              LEFT JOIN gs{k} gs ON gs.host = gp.host AND gs.tpl = gp.tpl AND gs.g = gp.g)"""
+        )
+    return f"""WITH RECURSIVE {", ".join(steps)}
+    SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN pur >= {t.BLOCKED} THEN 'block' ELSE 'allow' END) AS verdict,
+      tpl AS template, pur AS purity FROM u{t.DEPTH}"""
+
+
 ORACLES = {
     "op6_distribution_divergence": QUALITY,
     "op10_perspective_rotation": ROTATION,
     "op11_scalar_tables": clustering(),
+    "op12_path_templates": path_templates(),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import centroids, chat, language_model, neighbours, packing, pii, quality, sentencepiece_codec, simhash, style_tree
-from pagesift.llm import token_counts
+from pagesift.llm import token_counts, url_templates
 from pagesift.llm.common import table
 from pagesift.llm.oracles import ORACLES
 
@@ -80,3 +80,8 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_scalar_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judged(table(spark, sf_dir, "pages"))
