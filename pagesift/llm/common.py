@@ -49,13 +49,13 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts of each take about ``SLICE_BYTES`` at most."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each take about ``most`` bytes at most."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
-            if held and held + (size or 0) > SLICE_BYTES:
+            if held and held + (size or 0) > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size or 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagesift.llm import centroids, chat, quality, url_templates
+from pagesift.llm import centroids, chat, quality, repair, url_templates
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -175,9 +175,74 @@ def path_templates() -> str:
       tpl AS template, pur AS purity FROM u{t.DEPTH}"""
 
 
+def repairs() -> str:
+    """Forward DP over places that carries the least (cost, audit) and text of every state."""
+    r = repair
+
+    def edit(state: str, cost: str, letter: str, line: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line} || chr(10)}}"
+
+    def dropped(state: str) -> str:
+        return f"{{'c': {state}.c + {r.DELETE}, 'a': {state}.a || 'D', 't': {state}.t}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def closed(source: str) -> str:
+        user, assistant = "'user:'", "'assistant:'"
+        two = least("s2", *[edit(s, str(r.INSERT), "I", user) for s in ("s0", "s1", "s3")])
+        return f"""(SELECT * REPLACE ({least("s3", edit("s2", str(r.INSERT), "I", assistant))} AS s3)
+          FROM (SELECT * REPLACE ({two} AS s2) FROM {source}))"""
+
+    own, stays = "role || ':' || text", "pay"
+    to_user = [edit(s, f"{stays} + CASE WHEN left(role, 1) = 'u' THEN 0 ELSE {r.REROLE} END", "{}", "{}") for s in ("s0", "s1", "s3")]
+    user = [f"CASE WHEN left(role, 1) = 'u' THEN {o.replace('{}', 'K', 1).replace('{}', own)} ELSE "
+            f"{o.replace('{}', 'R', 1).replace('{}', chr(39) + 'user:' + chr(39) + ' || text')} END" for o in to_user]
+    agent = (f"CASE WHEN left(role, 1) = 'a' THEN {edit('s2', stays, 'K', own)} ELSE "
+             f"{edit('s2', f'{stays} + {r.REROLE}', 'R', chr(39) + 'assistant:' + chr(39) + ' || text')} END")
+    system = edit("s0", f"{stays} + CASE WHEN left(role, 1) = 's' THEN 0 ELSE {r.FAR} END", "K", own)
+    nothing = lambda cost: f"{{'c': CAST({cost} AS BIGINT), 'a': '', 't': ''}}"
+    return f"""WITH RECURSIVE bits AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i)),
+    keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+        lambda x: CAST(ascii(x) AS BIGINT)) AS k FROM conversations),
+    kinds AS (SELECT * EXCLUDE (k, t), xor(list_reduce(list_prepend(4294967295, k), lambda c, b:
+        xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, bits),
+    hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN ''
+        WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM kinds, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(j)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role,
+        sha256(strlen(role) || ':' || role || text)) AS i FROM hurt),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth,
+        regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g') AS vis,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM placed),
+    f AS MATERIALIZED (SELECT *, CASE WHEN vis = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+        WHEN right(vis, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        CASE WHEN vis = '' OR nth > 1 THEN {r.FAR} WHEN right(vis, 1) NOT IN ('.', '!', '?') THEN {r.TRUNCATED} ELSE 0 END AS pay FROM seen),
+    facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (i > 1 AND prev || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+    dp(conv_id, i, s0, s1, s2, s3) AS (
+      SELECT conv_id, CAST(0 AS BIGINT), {nothing(0)}, {nothing(r.FAR)}, {nothing(r.FAR)}, {nothing(r.FAR)} FROM facts
+      UNION ALL
+      SELECT p.conv_id, f.i, {dropped("s0")}, {least(dropped("s1"), system)}, {least(dropped("s2"), *user)}, {least(dropped("s3"), agent)}
+      FROM {closed("dp")} p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1),
+    done AS (SELECT conv_id, {least("s0", "s3")} AS best FROM {closed("dp")} p JOIN facts n USING (conv_id) WHERE p.i = n.n
+      UNION ALL SELECT p.conv_id, {least("s0", "s3")} FROM {closed("dp")} p, facts n
+      WHERE p.conv_id IS NULL AND n.conv_id IS NULL AND p.i = n.n)
+    SELECT o.conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+      coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+      sha256(coalesce(left(best.t, greatest(length(best.t) - 1, 0)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM o.conv_id
+      LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 ORACLES = {
     "op6_distribution_divergence": QUALITY,
     "op10_perspective_rotation": ROTATION,
     "op11_scalar_tables": clustering(),
     "op12_path_templates": path_templates(),
+    "op13_prefix_doubling": repairs(),
 }

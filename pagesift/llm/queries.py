@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import centroids, chat, language_model, neighbours, packing, pii, quality, sentencepiece_codec, simhash, style_tree
-from pagesift.llm import token_counts, url_templates
+from pagesift.llm import centroids, chat, language_model, neighbours, packing, pii, quality, repair, sentencepiece_codec, simhash
+from pagesift.llm import style_tree, token_counts, url_templates
 from pagesift.llm.common import table
 from pagesift.llm.oracles import ORACLES
 
@@ -85,3 +85,8 @@ def op11_scalar_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judged(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"), damage=True)
