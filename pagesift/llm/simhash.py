@@ -2,14 +2,17 @@
 
 A fingerprint is cut into two halves of 32 bits. Two fingerprints at ``bits`` =
 4 or fewer differing bits have a half in which they differ by 2 at most, so the
-balls of radius 1 around these halves meet. Every fingerprint enters the tables
-under all keys of its balls (33 for each half); fingerprints that meet under a
-key are compared as a whole.
-
-Groups of copies make crowded keys. There, fingerprints with the same other
-half are within 2 bits of each other for certain, so they are linked to the
-smallest one by a pre-aggregated minimum; only fingerprints that this has not
-already joined are compared in pairs.
+balls of radius 1 around these halves meet. Every distinct fingerprint enters the
+tables under all keys of its balls (33 for each half). The entries are sorted by
+key once; fingerprints under one key are compared as a whole, and a key gives as
+many links as connect its members.
+
+Groups of copies make crowded keys, whose pairs would grow with the square of
+the group. Members of a key beyond ``CROWDED`` are not paired. Each of them, once
+however many such keys it is in, enters a table under its own ball of half the
+distance: two whole fingerprints are within 4 bits if and only if their balls of
+radius 2 meet, so sharing a key there is a link for certain and no pairs are
+needed. Work is bounded by a constant for each fingerprint.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pagesift.llm.common import materialize, pick, slices
 WORDS = 4
 BITS = 4
 SEED = 42
+# Members of a key that are compared in pairs: as many as a ball of radius 2 has keys.
+CROWDED = 2048
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> list[int]:
@@ -84,14 +89,96 @@ def text_hash(column: str | Column) -> Column:
 
 
 def tables(fps: DataFrame) -> DataFrame:
-    """``fp, half, key``: the keys of the balls of radius 1 around both halves."""
+    """``slot, fp``: the keys of the balls of radius 1 around both halves; the half is bit 32 of a slot."""
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
+    low_keys = F.transform(flips, lambda flip: low.bitwiseXOR(flip))
+    high_keys = F.transform(flips, lambda flip: high.bitwiseXOR(flip).bitwiseOR(F.lit(1 << 32)))
+    return fps.select(F.explode(F.concat(low_keys, high_keys)).alias("slot"), "fp")
 
-    def ball(half: int, value: Column) -> Column:
-        return F.transform(flips, lambda flip: F.struct(F.lit(half).alias("half"), value.bitwiseXOR(flip).alias("key")))
 
-    return fps.select("fp", F.explode(F.concat(ball(0, low), ball(1, high))).alias("e")).select("fp", "e.half", "e.key")
+def within(prints: np.ndarray, bits: int) -> np.ndarray:
+    """For each fingerprint of one key the place of the first that it is connected to."""
+    label = np.arange(len(prints))
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= bits
+    while True:
+        least = np.where(near, label[None, :], len(prints)).min(1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def key_links(entries: DataFrame, bits: int, crowded: int) -> DataFrame:
+    """``a, b`` of the links under each key; ``b`` is null for a member of a crowded key.
+
+    Entries stream through a task sorted by key; at most ``crowded`` of them and a
+    batch are held.
+    """
+
+    def settled(slots: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        edges = np.flatnonzero(np.diff(slots)) + 1
+        starts, sizes = np.r_[0, edges], np.diff(np.r_[0, edges, len(slots)])
+        pairs = starts[sizes == 2]
+        x, y = prints[pairs], prints[pairs + 1]
+        close = np.bitwise_count(x ^ y) <= bits
+        yield x[close], y[close]
+        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            group = prints[start : start + size]
+            first = within(group, bits)
+            moved = first != np.arange(size)
+            yield group[moved], group[first[moved]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+            other = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), other], names=["a", "b"])
+
+        held_slots, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        full = None  # the key that has proved crowded
+        for batch in batches:
+            slots = np.r_[held_slots, batch.column("slot").to_numpy()]
+            prints = np.r_[held, batch.column("fp").to_numpy().view(np.uint64)]
+            counts = np.diff(np.r_[np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]]), len(slots)])
+            size = np.repeat(counts, counts)
+            over = (size > crowded) | (slots == full if full is not None else False)
+            if over.any():
+                yield out(prints[over], None)
+                full = slots[over][-1]
+                slots, prints = slots[~over], prints[~over]
+            # The last key may go on in the next batch.
+            rest = slots == slots[-1] if len(slots) else np.zeros(0, bool)
+            held_slots, held = slots[rest], prints[rest]
+            for a, b in settled(slots[~rest], prints[~rest]):
+                if len(a):
+                    yield out(a, b)
+        for a, b in settled(held_slots, held):
+            if len(a):
+                yield out(a, b)
+
+    dealt = entries.repartition("slot").sortWithinPartitions("slot")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def ball(fp: Column, radius: int) -> Column:
+    """All values within ``radius`` bits of a fingerprint, with the number of bits: up to 2,081 of radius 2."""
+    flips = [(0, 0)]
+    if radius > 0:
+        flips += [(1 << i, 1) for i in range(64)]
+    if radius > 1:
+        flips += [(1 << i | 1 << j, 2) for i in range(64) for j in range(i)]
+    masks = F.lit(np.array([mask for mask, _ in flips], np.uint64).view(np.int64).tolist())
+    return F.transform(masks, lambda mask: fp.bitwiseXOR(mask))
+
+
+def sure_links(fps: DataFrame, bits: int) -> DataFrame:
+    """``a, b`` of fingerprints whose balls meet; a key has no more members than a ball has values."""
+    outer, inner = (bits + 1) // 2, bits // 2
+    entries = fps.select("fp", F.explode(ball(F.col("fp"), outer)).alias("key"))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("key"))) <= inner
+    groups = entries.groupBy("key").agg(F.min(F.when(close, F.col("fp"))).alias("b"), F.collect_list("fp").alias("members"))
+    some = groups.filter((F.size("members") > 1) & F.col("b").isNotNull())
+    return some.select(F.explode("members").alias("a"), "b").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -133,38 +220,16 @@ def labelled(fps: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     return found.withColumn(name, F.coalesce("root", "fp")).drop("root")
 
 
-def linked_roots(fps: DataFrame, bits: int = BITS) -> DataFrame:
+def linked_roots(fps: DataFrame, bits: int = BITS, crowded: int = CROWDED) -> DataFrame:
     """``node, root`` of distinct fingerprints that link to another one."""
     if not 0 <= bits <= 4:
         raise ValueError("two tables with balls of radius 1 find up to 4 differing bits")
-    entries = tables(fps)
-    shared = entries.groupBy("half", "key").agg(F.count("*").alias("n")).filter("n > 1").select("half", "key")
-    met = materialize(entries.join(shared, ["half", "key"], "left_semi"), "met")
-
-    # The same other half: at most 2 bits apart, whatever the number of members.
-    edges = None
-    if bits >= 2:
-        other = F.when(F.col("half") == 0, F.shiftrightunsigned("fp", 32)).otherwise(
-            F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-        )
-        near = met.withColumn("other", other)
-        least = near.groupBy("half", "key", "other").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
-        edges = near.join(least, ["half", "key", "other"]).select(F.col("fp").alias("a"), "b").filter("a <> b").distinct()
-        edges = materialize(edges, "sure")
-        first = components(edges)
-    else:
-        first = fps.filter("false").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
-
-    members = materialize(labelled(met, first, "label"), "members")
-    open_keys = members.groupBy("half", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    left = members.join(open_keys.select("half", "key"), ["half", "key"], "left_semi")
-    right = left.select("half", "key", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
-    pairs = left.join(right, ["half", "key"]).filter(
-        (F.col("label") < F.col("label2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= bits)
-    )
-    found = pairs.select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct()
-    found = materialize(found, "pairs")
-    return components(found if edges is None else edges.unionByName(found))
+    found = materialize(key_links(tables(fps), bits, crowded), "key-links")
+    members = materialize(found.filter("b is null").select(F.col("a").alias("fp")).distinct(), "crowded")
+    links = found.filter("b is not null").distinct()
+    if not members.isEmpty():
+        links = links.unionByName(sure_links(members, bits))
+    return components(links)
 
 
 def near_duplicates(
@@ -211,10 +276,13 @@ def one_of_each(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFr
     twice = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
     twice = materialize(twice.select(F.col("doc_id").alias("_drop_id"), F.col("text_hash").alias("_drop_text")), "twice")
 
-    keyed = docs.withColumn("_text_hash", text_hash("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_drop_id")) & (F.col("_text_hash") == F.col("_drop_text"))
+    # Columns go by place: their names may clash with each other or with ours.
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    own_id, own_text = (F.col(f"_{docs.columns.index(name)}") for name in ("doc_id", "text"))
+    keyed = plain.withColumns({"_id": own_id, "_hash": text_hash(own_text)})
+    same = F.col("_id").eqNullSafe(F.col("_drop_id")) & (F.col("_hash") == F.col("_drop_text"))
     kept = keyed.join(dropped, same, "left_anti")
     if not twice.isEmpty():
-        once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+        once = kept.join(twice, same, "left_semi").dropDuplicates(["_id", "_hash"])
         kept = kept.join(twice, same, "left_anti").unionByName(once)
-    return kept.drop("_text_hash")
+    return kept.drop("_id", "_hash").toDF(*docs.columns)
