@@ -23,8 +23,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gets stand-ins; ``n_chars`` follows the new text."""
-    clean = pii.with_surrogates(docs, KEY).drop("n_entities")
-    return clean.withColumn("n_chars", F.length("text").cast("long"))
+    # Columns go by place, as other ones may have any name.
+    names = docs.columns
+    text, count = (f"_{names.index(name)}" for name in ("text", "n_chars"))
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    clean = pii.with_surrogates(plain, KEY, text_col=text).drop("n_entities")
+    return clean.withColumn(count, F.length(text).cast("long")).toDF(*names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,5 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        done = stage(spark, docs, sf_dir)
+        plain = done.toDF(*[f"_{i}" for i in range(len(done.columns))])
+        docs = materialize(plain, name.replace(" ", "-")).toDF(*done.columns)
     return docs
