@@ -393,6 +393,45 @@ def test_tight_and_chained_fingerprints(spark):
     assert {v: got.get(v, v) for v in signed} == want
 
 
+def test_crowded_keys_link_by_balls(spark):
+    """However few members a key may pair, the components are those of brute force."""
+    draw = random.Random(12)
+    centre = draw.getrandbits(64)
+    values = {centre ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(7))) for _ in range(700)}
+    values |= {draw.getrandbits(64) for _ in range(60)}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    fps = spark.createDataFrame([(v,) for v in signed], "fp long")
+    prints = np.array(signed, np.int64).view(np.uint64)
+    for bits in (4, 3):
+        near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= bits
+        label = np.arange(len(signed))
+        while (label != (label := np.where(near, label[None, :], len(signed)).min(1))).any():
+            pass
+        want = {v: signed[i] for v, i in zip(signed, label)}
+        for crowded in (simhash.CROWDED, 30, 2):
+            got = {r.node: r.root for r in simhash.linked_roots(fps, bits, crowded).collect()}
+            assert {v: got.get(v, v) for v in signed} == want
+
+
+def test_rows_of_each_step_are_bounded_by_fingerprint(spark):
+    """A group of 4,000 near copies gives at most a constant of rows each, as its keys are not paired."""
+    draw = random.Random(13)
+    centre = draw.getrandbits(64)
+    values = {centre ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(1, 5))) for _ in range(4000)}
+    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long").cache()
+    links = simhash.key_links(simhash.tables(fps), simhash.BITS, 300)
+    assert links.count() <= 66 * fps.count()
+    assert links.filter("b is null").count() > 0
+    assert simhash.sure_links(fps, simhash.BITS).count() <= 2081 * fps.count()
+
+
+def test_one_of_each_takes_columns_by_place(spark, odd):
+    kept = simhash.one_of_each(odd)
+    assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
+    again = simhash.one_of_each(kept.toDF(*kept.columns))
+    assert again.count() == kept.count()
+
+
 # --- packing --------------------------------------------------------------------------
 
 
@@ -464,3 +503,37 @@ def test_pipeline_stages(spark):
     assert all(r.n_chars == len(r.text) for r in kept.values())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert {r.doc_id for r in packed.collect()} == set(kept)
+
+
+def test_pipeline_on_odd_rows(spark, odd, tmp_path):
+    """Clashing names, null ids and repeated rows go through every stage; empty tables too."""
+    texts = [(i, prose(i, 260), "en", "s", 0, i) for i in range(12)] + [(None, prose(50, 260), "en", "s", 0, 1)] * 2
+    names = [*SCHEMA_NAMES, "TEXT", "_text_hash", "n_entities", "Doc_Id", "n_words", "kept"]
+    docs = spark.createDataFrame(texts, SCHEMA + ", x long").select("*", *[F.lit(i).alias(f"y{i}") for i in range(5)]).toDF(*names)
+    for one in (docs, odd, docs.limit(0)):
+        held = one
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            held = stage(spark, held, "")
+            assert held.columns == one.columns, name
+        assert held.count() <= one.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_runs_from_a_folder(spark, tmp_path):
+    """``run`` gives the rows of its stages called one by one, and takes extra columns."""
+    texts = [prose(i, 260) for i in range(25)]
+    texts += [texts[0], texts[1] + " end", "too short", None]
+    docs = make_docs(spark, texts).withColumn("_text_hash", F.lit("mine")).withColumn("n_entities", F.lit(3))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    held = docs
+    for _, stage in corpus_pipeline.STAGES:
+        held = stage(spark, held, str(tmp_path))
+    tokens = lambda df: {(r.doc_id, r.doc_tokens) for r in df.collect()}
+    assert tokens(found) == tokens(held)
+    assert {r.doc_id for r in found.collect()} == set(range(25))
+    lengths = defaultdict(int)
+    for r in found.collect():
+        lengths[r.doc_id, r.doc_tokens] += r.length
+    assert all(total == doc_tokens for (_, doc_tokens), total in lengths.items())
