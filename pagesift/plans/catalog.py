@@ -28,6 +28,7 @@ from pagesift.sinks import files
 from pagesift.sources import history
 from pagesift.sources import pages as page_source
 from pagesift.sources.logs import recent_log
+from pagesift.sources.page_store import PageStore
 from pagesift.sources.rules import read_rules, rules_table
 from pagesift.streaming import ingest
 
@@ -631,14 +632,16 @@ def page_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT url, title, content FROM ({PAGE_OUTCOMES}) WHERE why IS NULL")
 def page_recaptures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages captured three times: the first capture of each counts, once."""
+    """Pages captured three times, kept in a page store: the first capture of each counts, once."""
     pages = captured(spark, sf_dir).select("source_name", "url", "html", F.lit(200).alias("status"))
     at = lambda day: F.to_timestamp(F.lit(f"2024-01-{day:02d} 00:00:00"))
     later = pages.withColumn("html", F.concat("html", F.lit("<p>later</p>")))
     both = pages.withColumn("fetched_at", at(1)).unionByName(later.withColumn("fetched_at", at(2)))
     both = both.unionByName(pages.withColumn("fetched_at", at(1)))
+    store = PageStore(spark, work_folder(spark, "captures"), buckets=8)
+    store.append(both, "b1")
     result = run.run_batch(
-        both,
+        store.read(),
         page_sources(spark),
         rules_table(spark, {"web": PAGE_RULES}),
         spark.createDataFrame([], HISTORY),
@@ -647,6 +650,23 @@ def page_recaptures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.core_columns(result.records).select("url", "title", "content")
 
 
+@query(
+    """
+    SELECT CASE page_id % 3 WHEN 0 THEN 'b1' ELSE 'b2' END AS batch, 'web' AS source_name, url, html, count(*) AS captures
+    FROM pages GROUP BY ALL"""
+)
+def pages_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page store filled in two batches, each written twice, and opened anew."""
+    path = work_folder(spark, "pages")
+    pages = captured(spark, sf_dir).withColumn("status", F.lit(200))
+    first = F.col("page_id") % 3 == 0
+    for _ in range(2):
+        PageStore(spark, path, buckets=8).append(pages.filter(first), "b1")
+        PageStore(spark, path, buckets=16).append(pages.filter(~first), "b2")
+    stored = PageStore(spark, path).read(source="web")
+    return stored.groupBy("batch", "source_name", "url", "html").agg(F.count(F.lit(1)).alias("captures"))
+
+
 ENTRY_LINKS = f"""
   SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY min(spot)) - 1 AS pos, link FROM ({LINKS}) GROUP BY page_id, link"""
 
@@ -684,9 +704,9 @@ def linked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(incremental, F.lit("shared")).otherwise(F.lit("own")).alias("store_key"), F.lit("json").alias("output_format"),
     )
     fields = [(f, i, r, c) for i, (f, cs) in enumerate(PAGE_RULES.items()) for r, c in enumerate(cs)]
-    rules = first.select("source_name").crossJoin(
-        F.broadcast(spark.createDataFrame(fields, "field string, field_pos int, rank int, selector string"))
-    )
+    names = ["field", "field_pos", "rank", "selector"]
+    each = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, f)]) for f in fields]
+    rules = first.select("source_name", F.inline(F.array(*each)))
     entry = tree_ops.page_nodes(pages.join(first.select("page_id"), "page_id", "left_semi"))
     links = materialize(extract.entry_links(entry, sel.steps_sql("nav ul li a"), "source_name", "page_id"), "links")
     at = F.when(F.col("page_id") % 3 == 0, F.lit("2023-06-01 12:00:00")).otherwise(F.lit("2024-01-15 12:00:00"))
@@ -695,13 +715,14 @@ def linked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     details = linked.join(pages.select("page_id", "html"), "page_id").select("*", status)
     both = pages.select("source_name", "url", "page_id", "html", F.lit(200).alias("status")).unionByName(details)
     captures = both.select("source_name", "url", "html", "status", F.to_timestamp(at).alias("fetched_at"))
-    captures = materialize(captures, "captures")
+    store = PageStore(spark, work_folder(spark, "captures"), buckets=8)
+    store.append(captures, "b1")
     known = links.filter("pos = 0").select(
         F.lit("shared").alias("store_key"), F.col("link").alias("url"), tx.content_hash("link").alias("content_hash"),
         F.lit(LATEST).alias("ts"), "source_name",
     )
     start = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    result = run.run_batch(captures, sources, rules, known, run.RunOptions(run_ts=RUN_TS, window=(start, RUN_TS)))
+    result = run.run_batch(store.read(), sources, rules, known, run.RunOptions(run_ts=RUN_TS, window=(start, RUN_TS)))
     return result.outcomes.select("source_name", "url", "reason", "status")
 
 

@@ -16,6 +16,8 @@ from pagesift.functions.times import record_ts
 from pagesift.session import checked_broadcast, materialize
 
 WORK = ["source_name", "pos", "url"]
+# Target URLs that are put into a filter on a page store.
+MAX_TARGETS = 1000
 SETTINGS = [
     "source_name", "site_type", "keywords", "incremental", "by_url", "by_content",
     "store_key", "output_format",
@@ -54,13 +56,35 @@ def asked_url(pages: DataFrame) -> Column:
 def good_captures(pages: DataFrame, retries: int | None) -> DataFrame:
     """Captures that count, with ``_capture``: the first one of a page is the smallest.
 
-    The order is attempt, capture time, then a hash of the source.
+    The order is attempt, capture time, then a hash of the source. A page store
+    has the hash as a column, and a number that tells equal captures apart.
     """
     good = pages.filter(~filters.fetch_failed("status"))
     if "attempt" in pages.columns and retries is not None:
         good = good.filter(F.col("attempt") <= retries + 1)
     order = [F.col(c) for c in ("attempt", "fetched_at") if c in pages.columns]
-    return good.withColumn("_capture", F.struct(*order, F.xxhash64("html").alias("_hash")))
+    if is_stored(pages):
+        order += [F.col("capture_hash").alias("_hash"), F.col("batch"), F.col("capture_no")]
+    else:
+        order.append(F.xxhash64("html").alias("_hash"))
+    return good.withColumn("_capture", F.struct(*order))
+
+
+def is_stored(pages: DataFrame) -> bool:
+    """Whether the pages come from a page store."""
+    return {"capture_hash", "capture_no", "batch"} <= set(pages.columns)
+
+
+def at_targets(pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """Stored captures of the sources' target URLs, as a filter that reaches the files.
+
+    Files of a store are sorted by URL, so most of their text is skipped. With
+    more targets than that the join alone decides.
+    """
+    rows = sources.select("target_url").distinct().limit(MAX_TARGETS + 1).collect()
+    if len(rows) > MAX_TARGETS:
+        return pages
+    return pages.filter(F.col("requested_url").isin([r["target_url"] for r in rows]))
 
 
 def entry_pages(pages: DataFrame, sources: DataFrame, retries: int | None = None) -> DataFrame:
@@ -69,6 +93,8 @@ def entry_pages(pages: DataFrame, sources: DataFrame, retries: int | None = None
     Written out once, so the pages table is not read again for each use.
     """
     times = [c for c in ("fetched_at",) if c in pages.columns]
+    if is_stored(pages):
+        pages = at_targets(pages, sources)
     wanted = good_captures(pages, retries).withColumn("target_url", asked_url(pages)).select(
         "source_name", "target_url", "url", "html", *times, "_capture"
     )
@@ -151,15 +177,23 @@ def chosen_captures(visit: DataFrame, pages: DataFrame, retries: int | None) ->
 def fetched_pages(visit: DataFrame, pages: DataFrame, options: RunOptions) -> DataFrame:
     """Captured pages of the work list, one for each URL. Only keys are shuffled early.
 
-    Captures that are equal in everything, their source included, are brought
-    together; nothing else of a page's text is.
+    Of a page store the chosen captures' text is read once, where it lies: the
+    list goes to the buckets. Elsewhere captures that are equal in everything,
+    their source included, are brought together, and a list too long to be sent
+    out is joined by a shuffle.
     """
     times = [c for c in ("fetched_at",) if c in pages.columns]
     captured = good_captures(pages, options.retries).select(
-        "source_name", asked_url(pages).alias("url"), "html", *times, "_capture"
-    )
+        "source_name", asked_url(pages).alias("url"), "html", *times, "_capture",
+        *(["capture_hash"] if is_stored(pages) else []),
+    )
     chosen = materialize(chosen_captures(visit, pages, options.retries), "chosen")
     wanted = checked_broadcast(chosen)
+    if is_stored(pages):
+        wanted = wanted.withColumn("capture_hash", F.col("_first._hash")).hint("shuffle_hash")
+        found = captured.join(wanted, ["source_name", "url", "capture_hash"])
+        # No capture is before the first; an equation would be taken as a key and undo the buckets.
+        return found.filter("_capture <= _first").drop("_capture", "_first", "_captures", "capture_hash")
     found = captured.join(wanted, ["source_name", "url"]).filter(F.col("_capture").eqNullSafe(F.col("_first")))
     several = found.filter("_captures > 1").dropDuplicates(["source_name", "url"])
     both = found.filter("_captures = 1").unionByName(several)

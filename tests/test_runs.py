@@ -12,6 +12,7 @@ from pagesift.plans import run
 from pagesift.schemas import HISTORY, PAGES, SOURCES
 from pagesift.sinks import files
 from pagesift.sources.history import read_history
+from pagesift.sources.page_store import PageStore
 from pagesift.sources.rules import read_rules, rules_table, settings_problems
 from pagesift.streaming import ingest
 
@@ -352,3 +353,59 @@ def test_long_durations_and_dashes(spark):
         line = "word " * 45 + "left" + "-" * n + "right " * 9
         got = spark.range(1).select(text.summary(F.lit(line))).first()[0]
         assert got == textwrap.shorten(line, 240, placeholder="…")
+
+
+def test_page_store_gives_the_same_run(spark, settings, pages, result, tmp_path):
+    """Captures of a store, some of them stored again later, give the run of the plain pages."""
+    sources, rules = settings
+    store = PageStore(spark, str(tmp_path / "store"), buckets=4)
+    store.append(pages.withColumn("fetched_at", F.lit(RUN_TS)), "b1")
+    later = pages.withColumn("html", F.concat("html", F.lit("<p>later</p>")))
+    store.append(later.withColumn("fetched_at", F.lit(RUN_TS) + F.expr("INTERVAL 1 DAY")), "b2")
+    store.append(pages.withColumn("fetched_at", F.lit(RUN_TS)), "b3")
+    opened = PageStore(spark, str(tmp_path / "store"), buckets=9)
+    assert opened.buckets == 4
+    window = (datetime(2024, 5, 19, tzinfo=timezone.utc), datetime(2024, 5, 21, tzinfo=timezone.utc))
+    again = run.run_batch(opened.read(), sources, rules, spark.createDataFrame(KNOWN, HISTORY), run.RunOptions(RUN_TS, window))
+    assert {(r.source_name, r.url): r.reason for r in again.outcomes.collect()} == WANT
+    assert again.outcomes.count() == len(WANT)
+    kept = lambda rows: sorted((r.url, r.fields["content"]) for r in rows.collect())
+    assert kept(again.records) == kept(result.records)
+
+
+def test_page_store_replaces_a_batch_and_takes_odd_rows(spark, tmp_path):
+    store = PageStore(spark, str(tmp_path / "odd it's"), buckets=3)
+    schema = "url string, requested_url string, status int, html string, source_name string, attempt long"
+    rows = [("u", "asked", 200, None, "s", None), (None, None, None, "x", None, 2), ("u", "asked", 200, "a", "s", 1)]
+    for _ in range(2):
+        store.append(spark.createDataFrame(rows, schema), "it's 1")
+    store.append(spark.createDataFrame([], schema), "none")
+    got = [(r.url, r.requested_url, r.html, r.attempt) for r in store.read().collect()]
+    assert sorted(got, key=repr) == sorted([("u", "asked", None, 1), (None, None, "x", 2), ("u", "asked", "a", 1)], key=repr)
+    assert store.read(batch="none").count() == 0
+
+
+def test_stored_text_is_not_shuffled(spark, tmp_path, monkeypatch):
+    """The chosen list goes to the buckets; choosing reads no text, joining reads it once."""
+    monkeypatch.setattr(run, "checked_broadcast", lambda df: df)
+    store = PageStore(spark, str(tmp_path / "store"), buckets=6)
+    rows = [(f"https://a.example/{i % 40}", 200, f"<p>{i % 90}</p>", "s") for i in range(200)]
+    store.append(spark.createDataFrame(rows, "url string, status int, html string, source_name string"), "b1")
+    visit = store.read().select("source_name", F.lit(0).alias("pos"), "url").distinct()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = run.fetched_pages(visit, store.read(), run.RunOptions(RUN_TS))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        lines = plan.splitlines()
+        exchanged = [line for line in lines if "Exchange" in line]
+        assert len(exchanged) == 1 and "capture_hash" in exchanged[0]
+        assert sum("FileScan" in line and "html" in line for line in lines) == 1 and "Bucketed: true" in plan
+        below = lines[lines.index(exchanged[0]) :]
+        assert not any("html" in line for line in below)
+        chosen = run.chosen_captures(visit, store.read(), None)._jdf.queryExecution().executedPlan().toString()
+        assert "html" not in chosen
+        first = {(r.url, r.html) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(first) == 40 == found.count()
