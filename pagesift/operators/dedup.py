@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.functions.text import content_hash, hash_seed
+from pagesift.operators import chains, membership
+from pagesift.operators.membership import Membership
 from pagesift.operators.skew import ROWS_PER_SALT, salted_left_join
 from pagesift.session import checked_broadcast, materialize
 
@@ -40,19 +42,23 @@ def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return last.select(*keys, "_last.*").select(df.columns)
 
 
-def not_in_history(df: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(history.select(*keys), keys, "left_anti")
+def known_urls(work: DataFrame, history: DataFrame, bits: Membership | None = None) -> DataFrame:
+    """Rows of a work list whose URL the history has: the pre-filter's skips.
 
-
-def known_urls(work: DataFrame, history: DataFrame) -> DataFrame:
-    """Rows of a work list whose URL the history has: the pre-filter's skips."""
+    With ``bits``, the history's bitmap, only rows that may be known meet the
+    history.
+    """
     checked = work.filter("incremental AND by_url")
+    if bits is not None:
+        return membership.known(checked, history, "url", bits)
     return checked.join(history.select(*RECORD_KEY), RECORD_KEY, "left_semi")
 
 
-def unknown_urls(work: DataFrame, history: DataFrame) -> DataFrame:
+def unknown_urls(work: DataFrame, history: DataFrame, bits: Membership | None = None) -> DataFrame:
     """Work list without the URLs the history has, where that check is on."""
     checked = F.col("incremental") & F.col("by_url")
+    if bits is not None:
+        return membership.without_known(work, history, "url", checked, bits)
     wanted = history.select(*RECORD_KEY, F.lit(True).alias("_check"))
     marked = work.withColumn("_check", F.when(checked, F.lit(True)))
     return marked.join(wanted, [*RECORD_KEY, "_check"], "left_anti").drop("_check")
@@ -88,47 +94,62 @@ def _earliest(rows: DataFrame, key: str) -> DataFrame:
     return first.select("store_key", "_row.*").select(rows.columns)
 
 
-def _drop_known(rows: DataFrame, history: DataFrame, key: str, flag: str) -> DataFrame:
+def _drop_known(
+    rows: DataFrame, history: DataFrame, key: str, flag: str, bits: Membership | None = None
+) -> DataFrame:
+    if bits is not None:
+        return membership.without_known(rows, history, key, F.col(flag), bits)
     known = history.select("store_key", key, F.lit(True).alias(flag))
     return rows.join(known, ["store_key", key, flag], "left_anti").select(rows.columns)
 
 
 def stored_rows(
-    records: DataFrame, history: DataFrame, unique_urls: bool = False
+    records: DataFrame, history: DataFrame, unique_urls: bool = False, bits: Membership | None = None
 ) -> DataFrame:
     """The slim rows that get stored.
 
     With ``unique_urls`` the caller vouches that a URL occurs once per store in
     the batch and that the URL check is on; one lazy plan then does it.
-    Otherwise that is looked up first, and if URLs do repeat, rounds are run
-    until every row is decided, each on the rows the one before left open.
+    Otherwise that is looked up first, and if URLs do repeat, conflicts are
+    decided along their chains by pointer jumping; see ``chains``.
 
     Where the URL check is off, a stored row replaces the one its URL had, and
     the replaced content may be stored again; see ``_stored_in_turn``. There
     the latest row of a URL is all that counts of the history. Elsewhere a URL
     has one row anyway; a store whose check was off once is read with ``latest``.
+
+    With ``bits``, the history's bitmap, rows that are certainly new don't meet
+    the history.
     """
     slim = slim_rows(records)
+    if bits is not None:
+        # Read once for the rows that may be known and once for the others.
+        slim = materialize(slim, "dedup-slim")
     replacing = None if unique_urls else replacing_stores(slim)
     if replacing is not None:
         slim = materialize(slim, "dedup-slim")
         in_turn = slim.join(replacing, "store_key", "left_semi").select(slim.columns)
         slim = slim.join(replacing, "store_key", "left_anti").select(slim.columns)
-        return _stored_in_turn(in_turn, history).unionByName(_stored_at_once(slim, history, False))
-    return _stored_at_once(slim, history, unique_urls)
+        return _stored_in_turn(in_turn, history).unionByName(_stored_at_once(slim, history, False, bits))
+    return _stored_at_once(slim, history, unique_urls, bits)
 
 
-def _stored_at_once(slim: DataFrame, history: DataFrame, unique_urls: bool) -> DataFrame:
+def _stored_at_once(
+    slim: DataFrame, history: DataFrame, unique_urls: bool, bits: Membership | None = None
+) -> DataFrame:
     """Stored rows where what is stored stays: stores that replace nothing."""
-    rows = _drop_known(slim, history, "url", "by_url")
+    rows = _drop_known(slim, history, "url", "by_url", bits)
     if unique_urls:
-        first = _drop_known(
-            _earliest(rows, "content_hash").filter("by_content"), history, "content_hash", "by_content"
-        )
+        earliest = _earliest(rows, "content_hash").filter("by_content")
+        if bits is not None:
+            earliest = materialize(earliest, "dedup-first")
+        first = _drop_known(earliest, history, "content_hash", "by_content", bits)
         return first.unionByName(rows.filter("NOT by_content"))
 
+    if bits is not None:
+        rows = materialize(rows, "dedup-rows")
     still_open = materialize(
-        _drop_known(rows, history, "content_hash", "by_content"), "dedup-open"
+        _drop_known(rows, history, "content_hash", "by_content", bits), "dedup-open"
     )
     repeated = still_open.groupBy("store_key", "url").agg(
         F.count(F.lit(1)).alias("n"), F.bool_or("by_url").alias("checked")
@@ -136,43 +157,7 @@ def _stored_at_once(slim: DataFrame, history: DataFrame, unique_urls: bool) -> D
     if repeated.filter("n > 1 AND checked").isEmpty():
         first = _earliest(still_open, "content_hash").filter("by_content")
         return first.unionByName(still_open.filter("NOT by_content"))
-    stored = []
-    while not still_open.isEmpty():
-        winners = materialize(_undisputed(still_open), "dedup-stored")
-        stored.append(winners)
-        still_open = materialize(_undecided(still_open, winners), "dedup-open")
-    return reduce(DataFrame.unionByName, stored)
-
-
-def _undisputed(rows: DataFrame) -> DataFrame:
-    """Rows no earlier open row can conflict with: they are stored."""
-    by_url, by_hash = _earliest(rows, "url"), _earliest(rows, "content_hash")
-    both = by_url.filter("by_url AND by_content").join(
-        by_hash.select(*IDENTITY), IDENTITY, "left_semi"
-    )
-    return (
-        both.unionByName(by_url.filter("by_url AND NOT by_content"))
-        .unionByName(by_hash.filter("by_content AND NOT by_url"))
-        .unionByName(rows.filter("NOT by_url AND NOT by_content"))
-        .select(rows.columns)
-    )
-
-
-def _undecided(rows: DataFrame, winners: DataFrame) -> DataFrame:
-    """Open rows that neither got stored nor conflict with an earlier stored row."""
-    left = rows.join(winners.select(*IDENTITY), IDENTITY, "left_anti")
-    for key, flag in (("url", "by_url"), ("content_hash", "by_content")):
-        first = _first_order(winners, key).select(
-            F.col("store_key").alias("_s"), F.col(key).alias("_k"), "_first"
-        )
-        earlier = (
-            (F.col("store_key") == F.col("_s"))
-            & (F.col(key) == F.col("_k"))
-            & F.col(flag)
-            & (F.struct(*ORDER) > F.col("_first"))
-        )
-        left = left.join(first, earlier, "left_anti")
-    return left.select(rows.columns)
+    return chains.decided(still_open, ORDER)
 
 
 def replacing_stores(slim: DataFrame) -> DataFrame | None:
@@ -287,9 +272,11 @@ def _first_order(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("store_key", key).agg(F.min(F.struct(*ORDER)).alias("_first"))
 
 
-def dedup(records: DataFrame, history: DataFrame, unique_urls: bool = False) -> DataFrame:
+def dedup(
+    records: DataFrame, history: DataFrame, unique_urls: bool = False, bits: Membership | None = None
+) -> DataFrame:
     """Records that are not duplicates; see ``stored_rows``."""
-    stored = stored_rows(records, history, unique_urls)
+    stored = stored_rows(records, history, unique_urls, bits)
     return records.join(stored.select(*IDENTITY), IDENTITY, "left_semi").select(records.columns)
 
 

@@ -1069,19 +1069,49 @@ def dedup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup(batch, spark.createDataFrame([], HISTORY), unique_urls=True).select("doc_id", "store_key", "content_hash")
 
 
-@query(
-    f"""
+FRESH = f"""
     SELECT min(doc_id) AS doc_id, store_key, content_hash FROM ({PARSED}) p
     WHERE NOT EXISTS (SELECT 1 FROM {SEEN} h WHERE h.store_key = p.store_key AND h.url = p.url)
       AND NOT EXISTS (SELECT 1 FROM {SEEN} h WHERE h.store_key = p.store_key AND h.content_hash = p.content_hash)
     GROUP BY store_key, content_hash"""
-)
+
+
+@query(FRESH)
 def dedup_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup(parsed(spark, sf_dir), stored_before(spark, sf_dir)).select(
         "doc_id", "store_key", "content_hash"
     )
 
 
+@query(
+    """
+    SELECT doc_id, lang AS store_key FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents)
+    WHERE n % 2 = 1"""
+)
+def dedup_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store's documents as one chain of conflicts: each has its URL or its content from the one before."""
+    rows = running.numbered_in_order(parsed(spark, sf_dir).select("doc_id", "store_key"), ["store_key"], ["doc_id"], "n")
+    linked = rows.select(
+        "doc_id", "store_key", F.expr("concat('u', n div 2)").alias("url"), F.expr("concat('h', (n + 1) div 2)").alias("content_hash"),
+        F.lit(0).alias("source_ord"), F.col("n").alias("pos"),
+    )
+    return dedup.dedup(linked, spark.createDataFrame([], HISTORY)).select("doc_id", "store_key")
+
+
+@query(FRESH)
+def dedup_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against a stored history, whose bitmap settles what is certainly new."""
+    home = work_folder(spark, "history")
+    seen = materialize(stored_before(spark, sf_dir), "seen")
+    early = F.unix_seconds("ts") % 3 == 0
+    history.append_bits(seen.filter(early), home, "b1")
+    history.append_history(seen.filter(early), home, "b1")
+    history.append_history(seen.filter(~early), home, "b2")  # its bits are made up for
+    bits = history.read_membership(spark, home)
+    kept = dedup.dedup(parsed(spark, sf_dir), history.read_history(spark, home), bits=bits)
+    return kept.select("doc_id", "store_key", "content_hash")
+
+
 @query(
     f"""
     WITH p AS ({PARSED}), h AS (SELECT DISTINCT store_key, url, content_hash FROM {SEEN}),

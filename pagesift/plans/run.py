@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.operators import dedup, extract, filters, report
+from pagesift.operators.membership import Membership
 from pagesift.operators.nodes import page_nodes
 from pagesift.operators.records import enrich
 from pagesift.operators.selectors import selector_steps
@@ -211,8 +212,9 @@ def run_batch(
     rules: DataFrame,
     history: DataFrame,
     options: RunOptions,
+    bits: Membership | None = None,
 ) -> RunResult:
-    """All sources in one job.
+    """All sources in one job. ``bits`` is the history's bitmap, if it has one.
 
     Page text is read once for the few entry pages, and once for the detail
     pages that are really needed: known URLs are dropped before any page is
@@ -235,13 +237,16 @@ def run_batch(
         work = pages.select("source_name", F.lit(0).alias("pos"), asked_url(pages).alias("url"))
         work = work.distinct().join(checked_broadcast(entry_keys), ["source_name", "url"], "left_anti")
     work = work.select(*WORK).join(settings, "source_name")
+    if bits is not None:
+        # Read for what is known, for what is not, and for what may be.
+        work = materialize(work, "work")
 
     checked = [*WORK, "store_key", "incremental", "by_url"]
-    known = dedup.known_urls(work.select(*checked), history)
-    visit = dedup.unknown_urls(work, history).select(*WORK)
+    known = dedup.known_urls(work.select(*checked), history, bits)
+    visit = dedup.unknown_urls(work, history, bits).select(*WORK)
     if listed is not None:
-        known = known.unionByName(dedup.known_urls(listed.select(*checked), history))
-        judged_lists = materialize(judge(dedup.unknown_urls(listed, history), options), "lists")
+        known = known.unionByName(dedup.known_urls(listed.select(*checked), history, bits))
+        judged_lists = materialize(judge(dedup.unknown_urls(listed, history, bits), options), "lists")
         # A list record without a title gets a second chance as a detail page.
         retry = judged_lists.filter("reason = 'missing_title'").select(*WORK)
         visit = visit.unionByName(retry)
@@ -264,7 +269,7 @@ def run_batch(
     )
 
     valid = judged.filter(F.col("reason").isNull())
-    stored = dedup.stored_rows(valid, history).select(*dedup.IDENTITY)
+    stored = dedup.stored_rows(valid, history, bits=bits).select(*dedup.IDENTITY)
     fresh = valid.join(stored, dedup.IDENTITY, "left_semi")
     exported = fresh.filter("incremental").unionByName(valid.filter("NOT incremental"))
     duplicates = valid.filter("incremental").join(stored, dedup.IDENTITY, "left_anti")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from pagesift.operators import dedup, report
 from pagesift.plans.run import RunOptions, run_batch
-from pagesift.session import delete_matching, own_work, work_folder
-from pagesift.sources.history import append_history, read_history
+from pagesift.session import delete_matching, materialize, own_work, work_folder
+from pagesift.sources.history import append_bits, append_history, read_history, read_membership
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -87,10 +87,13 @@ def run_micro_batch(
     with own_work(spark):
         forget_batch(spark, home, batch_id)
         history = read_history(spark, f"{home}/history", latest=replaces)
-        result = run_batch(pages, sources, rules, history, options)
+        bits = read_membership(spark, f"{home}/history")
+        result = run_batch(pages, sources, rules, history, options, bits)
         (sink or table_sink(f"{home}/records"))(result.records, batch_id)
         table_sink(f"{home}/outcomes")(result.outcomes, batch_id)
-        append_history(result.history, f"{home}/history", batch)
+        stored = materialize(result.history, "history")
+        append_bits(stored, f"{home}/history", batch)
+        append_history(stored, f"{home}/history", batch)
 
 
 def forget_batch(spark: SparkSession, home: str, batch_id: int) -> None:

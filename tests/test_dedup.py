@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from pagesift.operators import dedup, filters, report, running
+from pagesift.operators import chains, dedup, filters, membership, report, running
 from pagesift.schemas import HISTORY
 from pagesift.sources import history as store
 from pagesift.sources.logs import read_logs, recent_log
@@ -161,20 +161,61 @@ def test_recent_history(spark):
     ]
 
 
-def test_bucketed_lookup_is_not_shuffled(spark):
-    rows = [row(1, f"u{i}", f"h{i}") for i in range(500)]
-    store.save_lookup(spark.createDataFrame(rows, HISTORY), "known_hashes", "content_hash", 4)
-    batch = spark.createDataFrame([("s", f"h{i}") for i in range(400, 600)], "store_key string, content_hash string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        fresh = dedup.not_in_history(batch, spark.table("known_hashes"), ["store_key", "content_hash"])
-        assert fresh.count() == 100
-        plan = fresh._jdf.queryExecution().executedPlan().toString()
-        right = plan[plan.index("known_hashes") - 600 :]
-        assert plan.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount" in right
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.sql("DROP TABLE known_hashes")
+@pytest.mark.parametrize("seed", [1, 3])
+def test_bitmap_drops_and_adds_no_row(spark, seed, monkeypatch):
+    """Dedup and pre-filter with the bitmap equal those without, sent out or shuffled, however full it is."""
+    rng = random.Random(seed)
+    batch = random_batch(rng, 200, 90, 90, {"a": (True, True), "b": (True, seed > 2)})
+    batch += [(None, None, "a", 900, None, True, True, "a"), ("s", None, "a", 901, "h1", True, True, "a")]
+    day = lambda d: datetime(2024, 1, d + 1, tzinfo=timezone.utc)
+    history = [(rng.choice("st"), f"u{rng.randint(0, 90)}", f"h{rng.randint(0, 90)}", day(d), "a") for d in range(25)]
+    known = dedup.history_upsert(spark.createDataFrame(history, HISTORY), spark.createDataFrame([], HISTORY))
+    df = spark.createDataFrame(batch, BATCH)
+    work = df.withColumn("incremental", F.col("pos") % 5 != 0)
+    key = lambda rows: sorted((repr(r.store_key), r.source_ord, r.pos) for r in rows.collect())
+    want = key(dedup.dedup(df, known)), key(dedup.unknown_urls(work, known)), key(dedup.known_urls(work, known))
+    for size, small in ((1 << 20, True), (40, False)):
+        bits = membership.of_history(known, size)
+        monkeypatch.setattr(membership, "is_small", lambda df, small=small: small)
+        monkeypatch.setattr(membership, "checked_broadcast", lambda df, small=small: F.broadcast(df) if small else df)
+        got = key(dedup.dedup(df, known, bits=bits)), key(dedup.unknown_urls(work, known, bits)), key(dedup.known_urls(work, known, bits))
+        assert got == want
+
+
+def test_few_rows_meet_the_history(spark):
+    """Of 20,000 rows, 100 of them known, only those and a few that share a bit enter the join."""
+    known = spark.range(50_000).select(
+        F.lit("s").alias("store_key"), F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("h"), "id").alias("content_hash")
+    )
+    rows = spark.range(49_900, 69_900).select(F.lit("s").alias("store_key"), F.concat(F.lit("u"), "id").alias("url"))
+    bits = membership.of_history(known)
+    maybe = bits.marked(rows, "url", "maybe").filter("maybe")
+    assert 100 <= maybe.count() < 100 + 19_900 / 10
+    assert bits.filled() < 1 / 8
+    assert membership.known(rows, known, "url", bits).count() == 100
+    plan = membership.known(rows, known, "url", bits)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(store_key" not in plan
+
+
+def test_bits_are_kept_beside_the_history(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "history")
+    monkeypatch.setattr(membership, "LEAST_BITS", 256)
+    make = lambda lo, hi: spark.createDataFrame([row(1, f"u{i}", f"h{i}") for i in range(lo, hi)], HISTORY)
+    asked = spark.createDataFrame([("s", f"u{i}") for i in range(400)], "store_key string, url string")
+    found = lambda: {r.url for r in store.read_membership(spark, path).marked(asked, "url", "m").filter("m").collect()}
+    assert found() == set()
+    store.append_bits(make(0, 10), path, "b1")
+    store.append_history(make(0, 10), path, "b1")
+    store.append_history(make(10, 20), path, "b2")  # stored without bits
+    assert {f"u{i}" for i in range(20)} <= found()
+    store.append_bits(make(20, 30), path, "b3")  # never stored: may look known
+    store.append_bits(make(30, 200), path, "b3")
+    store.append_history(make(30, 200), path, "b3")
+    assert {f"u{i}" for i in [*range(20), *range(30, 200)]} <= found()
+    last = store.read_membership(spark, path)
+    assert last.size > 256 and last.filled() <= store.MOST_FILLED
+    store.history_reset(spark, path)
+    assert found() == set()
 
 
 def test_running_sum_over_ranges(spark):
@@ -266,3 +307,35 @@ def test_readers(spark, tmp_path):
     (tmp_path / "json").mkdir()
     (tmp_path / "json" / "p.json").write_text('{"url": "u", "status": 200, "html": "h", "source_name": "s"}\n{"url": "v", "status": 200, "html": "h", "source_name": "t"}')
     assert [r.url for r in read_pages(spark, str(tmp_path / "json"), "t", fmt="json").collect()] == ["v"]
+
+
+def chain_rows(n, step):
+    """Rows of which each shares its URL or its content with the one before."""
+    return [("s", f"u{(i + 1) // 2}", "a", i * step % 100_003, f"h{i // 2}", True, True, "a") for i in range(n)]
+
+
+@pytest.mark.parametrize("step", [1, 100_002, 7919])
+def test_a_chain_of_a_thousand_conflicts_takes_few_rounds(spark, monkeypatch, step):
+    rounds = []
+    real = chains.materialize
+    monkeypatch.setattr(chains, "materialize", lambda df, name: rounds.append(name) or real(df, name))
+    batch = chain_rows(1000, step)
+    stored, _ = one_by_one(batch, [])
+    kept = dedup.dedup(spark.createDataFrame(batch, BATCH), spark.createDataFrame([], HISTORY))
+    assert sorted((r.store_key, r.source_ord, r.pos) for r in kept.collect()) == stored
+    assert rounds.count("chain") <= 12
+
+
+def test_chains_meet_fork_and_hold_nulls(spark):
+    """A hot hash behind undecided URLs, rows that wait for two chains, rows without keys."""
+    rng = random.Random(4)
+    batch = chain_rows(60, 1)
+    batch += [("s", f"u{i % 31}", "b", i, "hot" if i % 3 else f"h{i % 40}", True, i % 7 > 0, "b") for i in range(200)]
+    batch += random_batch(rng, 100, 12, 12, {"a": (True, True), "b": (True, True)})
+    batch = [(*r[:2], f"{r[2]}{i}", *r[3:]) for i, r in enumerate(batch)]
+    nulls = [("s", None, "n", 1, "only", True, True, "n"), ("s", None, "n", 2, "only", True, True, "n"),
+             ("s", "v", "n", 3, None, True, True, "n"), ("s", "w", "n", 4, None, True, True, "n"), (None, "v", "n", 5, "only", True, True, "n")]
+    stored, _ = one_by_one(batch, [])
+    kept = chains.decided(spark.createDataFrame(batch + nulls, BATCH), dedup.ORDER).collect()
+    assert sorted((r.store_key, r.source_ord, r.pos) for r in kept if r.source_ord != "n") == stored
+    assert sorted(r.pos for r in kept if r.source_ord == "n") == [1, 3, 4, 5]
