@@ -76,6 +76,8 @@ def fingerprint_fields(records: DataFrame) -> DataFrame:
 
 
 IDENTITY = ["store_key", *ORDER]
+# Rows whose content may make them duplicates; a null hash is like no other.
+COMPARED = "by_content AND content_hash IS NOT NULL"
 
 
 def slim_rows(records: DataFrame) -> DataFrame:
@@ -140,11 +142,11 @@ def _stored_at_once(
     """Stored rows where what is stored stays: stores that replace nothing."""
     rows = _drop_known(slim, history, "url", "by_url", bits)
     if unique_urls:
-        earliest = _earliest(rows, "content_hash").filter("by_content")
+        earliest = _earliest(rows.filter("content_hash IS NOT NULL"), "content_hash").filter("by_content")
         if bits is not None:
             earliest = materialize(earliest, "dedup-first")
         first = _drop_known(earliest, history, "content_hash", "by_content", bits)
-        return first.unionByName(rows.filter("NOT by_content"))
+        return first.unionByName(rows.filter(f"NOT ({COMPARED})"))
 
     if bits is not None:
         rows = materialize(rows, "dedup-rows")
@@ -155,8 +157,8 @@ def _stored_at_once(
         F.count(F.lit(1)).alias("n"), F.bool_or("by_url").alias("checked")
     )
     if repeated.filter("n > 1 AND checked").isEmpty():
-        first = _earliest(still_open, "content_hash").filter("by_content")
-        return first.unionByName(still_open.filter("NOT by_content"))
+        first = _earliest(still_open.filter("content_hash IS NOT NULL"), "content_hash").filter("by_content")
+        return first.unionByName(still_open.filter(f"NOT ({COMPARED})"))
     return chains.decided(still_open, ORDER)
 
 

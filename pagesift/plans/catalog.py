@@ -30,12 +30,16 @@ from pagesift.sources import pages as page_source
 from pagesift.sources.logs import recent_log
 from pagesift.sources.page_store import PageStore
 from pagesift.sources.rules import read_rules, rules_table
-from pagesift.streaming import ingest
+from pagesift.streaming import ingest, late, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+PARSED = """
+  SELECT doc_id, source AS source_name, lang AS store_key, 'https://' || source || '/' || doc_id AS url,
+         sha256(text) AS content_hash FROM documents"""
+
 LATEST = datetime(2024, 1, 30, 23, 59, 59, tzinfo=timezone.utc)
 
 
@@ -825,6 +829,55 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""
+    SELECT doc_id, store_key, content_hash FROM (SELECT *, row_number() OVER (
+      PARTITION BY store_key, content_hash ORDER BY doc_id % 3, doc_id) AS n FROM ({PARSED})) WHERE n = 1"""
+)
+def stream_state_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact dedup by kept state: three runs of one stream, each started anew from its checkpoint."""
+    home = work_folder(spark, "state-dedup")
+    rows = parsed(spark, sf_dir)
+    for p in range(3):
+        rows.filter(F.col("doc_id") % 3 == p).write.parquet(f"{home}/in/part-{p}")
+        stream = ingest.page_stream(spark, f"{home}/in/*", ingest.schema_text(rows))
+        ingest.to_files(state.keyed_dedup(stream), f"{home}/out", f"{home}/checkpoint")
+    return spark.read.parquet(f"{home}/out").select("doc_id", "store_key", "content_hash")
+
+
+ARRIVED = "ts + CASE WHEN event_id % 10 = 0 THEN INTERVAL 12 DAY ELSE INTERVAL 0 DAY END"
+
+
+@query(
+    f"""
+    WITH a AS (SELECT *, CASE WHEN {ARRIVED} < TIMESTAMP '2024-01-11' THEN 0 WHEN {ARRIVED} < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS p FROM events),
+    m AS (SELECT x.p, y.event_type, max(y.ts) - INTERVAL 1 DAY AS mark FROM (VALUES (1), (2)) x(p) JOIN a y ON y.p < x.p GROUP BY ALL),
+    j AS (SELECT a.*, CASE WHEN ts < mark THEN 'late' WHEN ts < TIMESTAMP '2024-01-05' THEN 'window_filtered' END AS reason
+      FROM a LEFT JOIN m USING (p, event_type))
+    SELECT event_type AS source_name, epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS slot,
+      count(*) FILTER (reason IS NULL) AS success, 0 AS failed, count(*) FILTER (reason IS NOT NULL) AS skipped,
+      count(*) FILTER (reason = 'window_filtered') AS window_filtered, count(*) FILTER (reason = 'late') AS late,
+      count(*) FILTER (reason = 'late') AS in_table FROM j GROUP BY 1, 2"""
+)
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live counts of three micro-batches in which a tenth of the rows come twelve days late."""
+    home = work_folder(spark, "late")
+    events = event_times(spark, sf_dir).withColumnRenamed("event_type", "source_name")
+    arrived = F.col("ts") + F.when(F.col("event_id") % 10 == 0, F.expr("INTERVAL 12 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
+    at = lambda day: F.lit(datetime(2024, 1, day, tzinfo=timezone.utc))
+    part = F.when(arrived < at(11), 0).when(arrived < at(21), 1).otherwise(2)
+    rows = events.select("event_id", "source_name", "ts", part.alias("p"))
+    for p in range(3):
+        rows.filter(F.col("p") == p).drop("p").write.parquet(f"{home}/in/part-{p}")
+        stream = ingest.page_stream(spark, f"{home}/in/*", ingest.schema_text(rows.drop("p")))
+        late.route_stream(stream, home, "1 DAY", (datetime(2024, 1, 5, tzinfo=timezone.utc), RUN_TS), "6 hours")
+    slot = F.unix_micros("slot_start").alias("slot")
+    behind = spark.read.parquet(f"{home}/late").groupBy("source_name", F.window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("in_table"))
+    behind = behind.select("source_name", F.col("w.start").alias("slot_start"), "in_table")
+    counts = late.live_counts(spark, home).join(behind, ["source_name", "slot_start"], "left")
+    return counts.select("source_name", slot, *report.COUNTERS, "late", F.coalesce("in_table", F.lit(0)).alias("in_table"))
+
+
 # --- filters -------------------------------------------------------------------
 
 
@@ -910,8 +963,7 @@ def fetch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    f"""
+ATTEMPTS = f"""
     WITH a AS (SELECT user_id, event_id, {STATUS} AS status,
                  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt FROM events),
     t AS (SELECT *, NOT (status >= 500 OR status IN (401, 403, 429)) AS good FROM a WHERE attempt <= 3)
@@ -919,13 +971,33 @@ def fetch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
            min(attempt) FILTER (good) IS NULL AS failed,
            min_by(event_id, attempt) FILTER (good) AS event_id, min_by(status, attempt) FILTER (good) AS status
     FROM t GROUP BY user_id"""
-)
+
+
+@query(ATTEMPTS)
 def resolve_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select("user_id", "event_id", fetch_status().alias("status"))
     attempts = running.numbered(log, ["user_id"], "event_id", "attempt")
     return filters.resolve_attempts(attempts, retries=2, request="user_id")
 
 
+@query(ATTEMPTS)
+def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream in which attempts come in any order, over three runs and a late sign of life."""
+    home = work_folder(spark, "attempts")
+    log = event_times(spark, sf_dir).select("user_id", "event_id", fetch_status().alias("status"), "ts")
+    attempts = running.numbered(log, ["user_id"], "event_id", "attempt")
+    parts = [attempts.filter(F.col("event_id") * 7 % 3 == p) for p in range(3)]
+    # Long after the last attempt; it is no attempt that counts, but moves the time on.
+    end = F.timestamp_seconds(F.lit(1718409600))
+    parts.append(attempts.limit(1).withColumns({"user_id": F.lit(-1).cast("bigint"), "attempt": F.lit(99).cast("bigint"), "ts": end}))
+    for p, part in enumerate(parts):
+        part.write.parquet(f"{home}/in/part-{p}")
+        stream = ingest.page_stream(spark, f"{home}/in/*", ingest.schema_text(attempts))
+        found = state.resolve_stream(stream, 2, "60 days", request="user_id")
+        ingest.to_files(found, f"{home}/out", f"{home}/checkpoint")
+    return spark.read.parquet(f"{home}/out")
+
+
 # --- times and texts -------------------------------------------------------------
 
 
@@ -1054,9 +1126,6 @@ def stored_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PARSED = """
-  SELECT doc_id, source AS source_name, lang AS store_key, 'https://' || source || '/' || doc_id AS url,
-         sha256(text) AS content_hash FROM documents"""
 SEEN = f"(SELECT * FROM ({PARSED}) WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 

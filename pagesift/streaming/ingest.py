@@ -12,6 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pagesift.operators import dedup, report
 from pagesift.plans.run import RunOptions, run_batch
@@ -59,12 +60,14 @@ def table_sink(path: str) -> Sink:
     return write
 
 
-def _finish(stream: DataFrame, work: Sink, checkpoint: str, every: str | None) -> None:
+def _finish(stream: DataFrame, work: Sink, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Start the work: until what is there is done, or every so often, to be stopped by the caller."""
     writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
-    if every is None:
-        writer.trigger(availableNow=True).start().awaitTermination()
-    else:
-        writer.trigger(processingTime=every).start()
+    if every is not None:
+        return writer.trigger(processingTime=every).start()
+    running = writer.trigger(availableNow=True).start()
+    running.awaitTermination()
+    return running
 
 
 def run_micro_batch(
@@ -111,16 +114,17 @@ def run_stream(
     options: RunOptions,
     sink: Sink | None = None,
     every: str | None = None,
-) -> None:
+) -> StreamingQuery:
     """Run over a stream of pages into ``home``: records, outcomes, history.
 
-    Without ``every`` it works off what is there and returns.
+    Without ``every`` it works off what is there and returns; with it the query
+    that goes on is returned.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         run_micro_batch(batch, batch_id, sources, rules, home, options, sink)
 
-    _finish(pages, work, f"{home}/checkpoint", every)
+    return _finish(pages, work, f"{home}/checkpoint", every)
 
 
 def schema_text(df: DataFrame) -> str:
@@ -141,13 +145,13 @@ def dedup_micro_batch(records: DataFrame, batch_id: int, home: str, run_ts: date
 
 def dedup_stream(
     records: DataFrame, home: str, run_ts: datetime, every: str | None = None
-) -> None:
+) -> StreamingQuery:
     """Keep the records of a stream that no earlier batch stored."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
         dedup_micro_batch(batch, batch_id, home, run_ts)
 
-    _finish(records, work, f"{home}/checkpoint", every)
+    return _finish(records, work, f"{home}/checkpoint", every)
 
 
 def bounded_dedup(records: DataFrame, keep: str, ts: str = "ts") -> DataFrame:
@@ -168,6 +172,12 @@ def live_counters(outcomes: DataFrame, keep: str, every: str = "1 minute", ts: s
     )
 
 
+def to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append what a stream gives to parquet files, exactly once, until what is there is worked off."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def collect_stream(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Run a stream to its end into a table and read it back.
 
