@@ -20,6 +20,8 @@ from pagesift.llm.common import pick
 K = 5
 # The index is fitted on this many vectors, drawn by a hash of their ids.
 PIVOTS = 256
+# Rows drawn for each pivot; a copy of an earlier one is none.
+DRAWN = 8
 # Part of the pivots that represents a vector.
 PREFIX = 0.5
 # Part of a shard that is ranked by cosine, and the fewest vectors for that.
@@ -68,16 +70,22 @@ class InvertedFile:
         """Distance of all vectors to a query given by its nearest pivots."""
         apart = self.lists[query]
         apart -= np.arange(len(query), dtype=np.int16)[:, None]
-        return np.abs(apart, out=apart).sum(0, dtype=np.int32).astype(float)
+        return np.abs(apart, out=apart).sum(0, dtype=np.int32)
 
 
 def fitted_pivots(vectors: DataFrame, count: int = PIVOTS) -> np.ndarray:
-    """Pivots by the smallest hashes of ids; equal vectors count once. At most ``count`` rows."""
+    """Pivots by the smallest hashes of ids; equal vectors count once.
+
+    More rows than needed are drawn, so that a group of copies among them does
+    not shrink the index.
+    """
     draw = F.xxhash64(F.col("vec_id"), F.lit("pivot"))
-    rows = vectors.orderBy(draw, "vec_id").limit(count).collect()
+    rows = vectors.orderBy(draw, "vec_id").limit(DRAWN * count).collect()
     if not rows:
         return np.zeros((0, 0))
-    return np.unique(unit(np.array([r["vector"] for r in rows], np.float64)), axis=0)
+    drawn = unit(np.array([r["vector"] for r in rows], np.float64))
+    _, first = np.unique(drawn, axis=0, return_index=True)
+    return drawn[np.sort(first)[:count]]
 
 
 def nearest(
@@ -130,10 +138,12 @@ def nearest(
             take = min(len(ids), max(FEWEST, k + 1, int(np.ceil(len(ids) * reranked))))
             outside = unit(matrix(asked["vector"]))
             for query_id, vector, order in zip(asked["vec_id"], outside, places(outside, fit, prefix)):
-                distance = index.footrule(order)
-                distance[ids == query_id] = np.inf
-                some = np.argpartition(distance, take - 1)[:take] if take < len(ids) else np.arange(len(ids))
-                some = np.sort(some[np.isfinite(distance[some])])
+                # Equal vectors are equally far: of those the smaller ids come first.
+                distance = index.footrule(order).astype(np.int64) * len(ids) + np.arange(len(ids))
+                others = np.flatnonzero(ids != query_id)
+                if take < len(others):
+                    others = others[np.argpartition(distance[others], take - 1)[:take]]
+                some = np.sort(others)
                 scores = (inside[some] * vector).sum(1)
                 best = some_best(ids[some], scores, k)
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[some][best], "score": scores[best]}))

@@ -185,6 +185,31 @@ def test_broken_markup_is_read_in_linear_time(piece):
 # --- neighbours ----------------------------------------------------------------------
 
 
+def test_neighbours_among_copies_go_by_id(spark):
+    """A third of all vectors are equal: their neighbours are the copies with the smallest ids."""
+    draw = np.random.default_rng(8)
+    data = draw.standard_normal((6000, 32))
+    copies = draw.permutation(6000)[:2000]
+    data[copies] = data[copies[0]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    # Repeated ids are one vector's.
+    df = df.unionByName(df.filter("vec_id < 40"))
+    assert len(neighbours.fitted_pivots(df.withColumnRenamed("embedding", "vector"))) == neighbours.PIVOTS
+    found = defaultdict(list)
+    for r in neighbours.nearest(df, shard_rows=3000).collect():
+        found[r.query_id].append((r["rank"], r.vec_id))
+    unit = data / np.linalg.norm(data, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 6000, 50):
+        scores = (unit * unit[q]).sum(1)
+        best = [int(i) for i in np.lexsort((np.arange(6000), -scores)) if i != q][:5]
+        mine = [v for _, v in sorted(found[q])]
+        if q in copies:
+            assert mine == [int(c) for c in sorted(copies) if c != q][:5]
+        hits += len(set(best) & set(mine))
+    assert hits >= 0.9 * 5 * 120
+
+
 def test_neighbours_reach_their_recall(spark):
     draw = np.random.default_rng(3)
     data = draw.standard_normal((1500, 16)).astype(np.float32)
