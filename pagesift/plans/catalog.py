@@ -18,7 +18,7 @@ from pagesift.functions import text as tx
 from pagesift.functions import times as tm
 from pagesift.functions import urls
 from pagesift.functions.embedded import read_embedded_json
-from pagesift.operators import dedup, extract, filters, records, report, running
+from pagesift.operators import dedup, extract, filters, keywords, records, report, running
 from pagesift.operators import nodes as tree_ops
 from pagesift.operators import selectors as sel
 from pagesift.plans import run
@@ -27,7 +27,7 @@ from pagesift.session import materialize, work_folder
 from pagesift.sinks import files
 from pagesift.sources import history
 from pagesift.sources import pages as page_source
-from pagesift.sources.logs import recent_log
+from pagesift.sources.logs import log_files, newest_lines, recent_log
 from pagesift.sources.page_store import PageStore
 from pagesift.sources.rules import read_rules, rules_table
 from pagesift.streaming import ingest, late, state
@@ -892,6 +892,25 @@ def keyword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).filter(hit).select("doc_id")
 
 
+@query(
+    """
+    WITH k AS (SELECT DISTINCT source, lower(substr(text, 5, 12)) AS keyword FROM documents JOIN labels USING (doc_id)
+      WHERE length(text) >= 16 AND doc_id % 2 = 0)
+    SELECT doc_id, source NOT IN (SELECT source FROM k)
+      OR EXISTS (SELECT 1 FROM k WHERE k.source = d.source AND contains(lower(concat_ws(' ', d.source, d.text)), k.keyword)) AS hit
+    FROM documents d"""
+)
+def keyword_table_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a table of keywords: passages of those that somebody labelled, for their source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    known = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    words = known.filter((F.length("text") >= 16) & (F.col("doc_id") % 2 == 0)).select(
+        F.col("source").alias("source_name"), F.substring("text", 5, 12).alias("keyword")
+    )
+    match = keywords.keyword_matcher(words)
+    return docs.select("doc_id", match(filters.haystack("source", "text"), F.col("source")).alias("hit"))
+
+
 def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", tm.ntz_instant("ts"))
 
@@ -1374,6 +1393,28 @@ def recent_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("event_id", "event_type", F.unix_micros(tm.ntz_instant("ts")).alias("at_time"))
 
 
+@query(
+    """
+    SELECT CAST(event_id AS VARCHAR) AS event, event_type AS source, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp
+    FROM events WHERE event_type = 'error' ORDER BY ts DESC LIMIT 100"""
+)
+def recent_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest lines of daily log files, of which only the newest are read."""
+    home = work_folder(spark, "logs")
+    lines = table(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.lit("info").alias("level"),
+        F.col("event_id").cast("string").alias("event"), F.col("event_type").alias("source"), F.to_date("ts").alias("day"),
+    )
+    lines.write.partitionBy("day").json(home)
+    # A file was last changed when its day ended.
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(home).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, _ in log_files(spark, f"{home}/day=*/*"):
+        day = datetime.strptime(name.split("day=")[1][:10], "%Y-%m-%d").replace(tzinfo=timezone.utc)
+        system.setTimes(place(name), int(day.timestamp() + 86400) * 1000, -1)
+    return newest_lines(spark, f"{home}/day=*/*", 100, "error").select("event", "source", "timestamp")
+
+
 # --- outputs -----------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.operators import dedup, extract, filters, report
+from pagesift.operators.keywords import keyword_matcher
 from pagesift.operators.membership import Membership
 from pagesift.operators.nodes import page_nodes
 from pagesift.operators.records import enrich
@@ -47,6 +48,8 @@ class RunOptions:
     keywords_on_lists: bool = False
     fill_nulls: bool = False
     summary_cut: str = "words"
+    # ``source_name, keyword`` in place of the sources' own lists, for many keywords.
+    keywords: DataFrame | None = None
 
 
 def asked_url(pages: DataFrame) -> Column:
@@ -127,11 +130,12 @@ def detail_records(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return filled.withColumn("raw_html", own_html).drop("tree", "html")
 
 
-def keyword_hit() -> Column:
+def keyword_hit(many: DataFrame | None = None) -> Column:
     values = F.array_join(F.filter(F.map_values("fields"), lambda v: v != ""), " ")
-    return filters.keyword_match(
-        filters.haystack("url", "source_name", "site_type", values, "raw_html"), F.col("keywords")
-    )
+    text = filters.haystack("url", "source_name", "site_type", values, "raw_html")
+    if many is not None:
+        return keyword_matcher(many)(text, F.col("source_name"))
+    return filters.keyword_match(text, F.col("keywords"))
 
 
 def judge(records: DataFrame, options: RunOptions) -> DataFrame:
@@ -143,7 +147,7 @@ def judge(records: DataFrame, options: RunOptions) -> DataFrame:
     detail = F.col("origin") == "detail"
     keyword_applies = F.lit(True) if options.keywords_on_lists else detail
     run_ts = F.lit(options.run_ts)
-    kept = records.withColumn("_keyword", ~keyword_applies | keyword_hit())
+    kept = records.withColumn("_keyword", ~keyword_applies | keyword_hit(options.keywords))
     full = enrich(kept, run_ts, options.fill_nulls, options.summary_cut)
     reason = F.when(~F.col("_keyword"), F.lit("keyword")).otherwise(
         filters.validity(F.col("fields")["title"], F.col("fields")["content"], strict=detail)

@@ -14,6 +14,7 @@ from pagesift.functions.text import slug_file, u_strip
 from pagesift.functions.times import iso_utc
 from pagesift.operators.running import numbered_in_order
 from pagesift.session import materialize
+from pagesift.sinks.commit import Commit
 
 TARGET = ["source", "run"]
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -167,7 +168,8 @@ def write_documents(records: DataFrame, path: str, run_tag: str) -> None:
 def write_records(records: DataFrame, path: str, run_tag: str, csv_fields: list[str]) -> None:
     """Write every record in the format of its source (``output_format``).
 
-    The records are materialized once, then each format takes its share.
+    The records are materialized once, then each format takes its share. All
+    formats appear together: if one fails, the run leaves nothing behind.
     """
     ready = materialize(records, "export")
     writers = {
@@ -177,5 +179,7 @@ def write_records(records: DataFrame, path: str, run_tag: str, csv_fields: list[
         "sqlite": lambda df, to: write_payload(df, to, run_tag),
         "mongodb": lambda df, to: write_documents(df, to, run_tag),
     }
-    for fmt in FORMATS:
-        writers[fmt](ready.filter(F.col("output_format") == fmt), f"{path}/{fmt}")
+    outputs = {
+        fmt: (lambda to, fmt=fmt: writers[fmt](ready.filter(F.col("output_format") == fmt), to)) for fmt in FORMATS
+    }
+    Commit(records.sparkSession, path, len(TARGET)).write(outputs)
