@@ -38,7 +38,7 @@ BLOCKS = CONTAINERS | set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # Their content is text to the end tag, and no part of the page's text.
-RAW = set("script style title textarea noscript template iframe object svg canvas xmp select button math video audio".split())
+RAW = set("script style title textarea noscript template iframe object svg canvas xmp select button video audio".split())
 DROPPED = set("nav footer aside form dialog menu head".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NAMES = set(
@@ -47,7 +47,16 @@ NAMES = set(
     " widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond reply"
     " replies share sharing social related recommended recommendations login signup toolbar pagination pager paywall".split()
 )
+# Of these words, those that go however much text they hold.
+ALWAYS = set("comment comments disqus respond reply replies cookie cookies consent gdpr nav navbar navigation menu menus".split())
+# Words that say nothing by themselves; inside an article a name goes only if it has no others.
+NEUTRAL = set(
+    "box list item items wrapper container area block section left right top bottom inner outer button buttons bar link"
+    " links icon icons form page site main article articles post posts story stories user reader news more text content"
+    " header title group panel primary secondary".split()
+)
 HEADERS = {"header"}
+KEPT, BY_NAME, BY_MARKUP = range(3)
 SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th"}
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -55,10 +64,10 @@ TAG = re.compile(r"[A-Za-z][^\s/>]*")
 
 
 class Element:
-    __slots__ = ("tag", "node", "skipped", "region")
+    __slots__ = ("tag", "node", "skipped", "region", "branch")
 
-    def __init__(self, tag: str, node: int, skipped: bool, region: int) -> None:
-        self.tag, self.node, self.skipped, self.region = tag, node, skipped, region
+    def __init__(self, tag: str, node: int, skipped: bool, region: int, branch: int) -> None:
+        self.tag, self.node, self.skipped, self.region, self.branch = tag, node, skipped, region, branch
 
 
 class Page:
@@ -72,7 +81,10 @@ class Page:
         self.links: list[tuple[int, str]] = []
         # Node, text, skipped by markup, region (article or main element, 0 for none).
         self.blocks: list[tuple[int, str, bool, int]] = []
-        self.stack = [Element("", 0, False, 0)]
+        # Branches whose name is unwanted: the one around each, and that of each block.
+        self.around: list[int] = [0]
+        self.branches: list[int] = []
+        self.stack = [Element("", 0, False, 0, 0)]
         self.open: Counter = Counter()
         self.pieces: list[str] = []
         self.regions = 0
@@ -85,6 +97,7 @@ class Page:
             if text:
                 top = self.stack[-1]
                 self.blocks.append((top.node, text, top.skipped, top.region))
+                self.branches.append(top.branch)
             self.pieces = []
 
     def _read(self, s: str) -> None:
@@ -181,8 +194,8 @@ class Page:
                 self.pieces.append(" ")
             return
         named = " ".join((attributes.get("class", ""), attributes.get("id", "")))
-        skipped = self._unwanted(tag, named, attributes)
-        if tag not in BLOCKS and not skipped:
+        kind = self._unwanted(tag, named, attributes)
+        if tag not in BLOCKS and kind == KEPT:
             return
         self._flush()
         if tag in BLOCKS:
@@ -199,23 +212,55 @@ class Page:
             if region == 0 and (tag in ("article", "main") or attributes.get("role", "").lower() == "main"):
                 self.regions += 1
                 region = self.regions
-        self.stack.append(Element(tag, node, top.skipped or skipped, region))
+        branch = top.branch
+        if kind == BY_NAME:
+            self.around.append(branch)
+            branch = len(self.around) - 1
+        self.stack.append(Element(tag, node, top.skipped or kind == BY_MARKUP, region, branch))
         self.open[tag] += 1
 
-    def _unwanted(self, tag: str, named: str, attributes: dict[str, str]) -> bool:
+    def _unwanted(self, tag: str, named: str, attributes: dict[str, str]) -> int:
+        """Whether an element goes, and if by its name, which is a weaker reason than its markup."""
         if tag in DROPPED or attributes.get("role", "").lower() in ROLES:
-            return True
+            return BY_MARKUP
         inside = self.stack[-1].region > 0
         if tag in HEADERS:
-            return not inside
+            return KEPT if inside else BY_MARKUP
         if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-            return True
+            return BY_MARKUP
         if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-            return True
-        if tag in ("html", "body", "main", "article") or not named.strip():
-            return False
-        words = {w.lower() for w in WORDS.findall(named)}
-        return bool(words & NAMES) or (not inside and "header" in words)
+            return BY_MARKUP
+        if tag in ("html", "body", "main") or not named.strip():
+            return KEPT
+        names = [{w.lower() for w in WORDS.findall(name)} for name in named.split()]
+        if inside or tag == "article":
+            unwanted = any(words & NAMES and words <= NAMES | NEUTRAL for words in names)
+        else:
+            unwanted = any(words & NAMES or "header" in words for words in names)
+        if not unwanted:
+            return KEPT
+        return BY_MARKUP if any(words & ALWAYS for words in names) else BY_NAME
+
+    def named_away(self) -> list[bool]:
+        """Which blocks go by a name around them.
+
+        If nearly nothing were left (a tenth of the text at most), the names mean
+        something else, and a branch with over half of the text stays.
+        """
+        sizes = [0] * len(self.around)
+        for (_, text, skipped, _), branch in zip(self.blocks, self.branches):
+            while branch and not skipped:
+                sizes[branch] += len(text)
+                branch = self.around[branch]
+        whole = sum(len(text) for _, text, skipped, _ in self.blocks if not skipped)
+        named = sum(len(t) for (_, t, skipped, _), branch in zip(self.blocks, self.branches) if branch and not skipped)
+        if 10 * (whole - named) > whole:
+            return [branch > 0 for branch in self.branches]
+        # Inside a branch that goes, all goes.
+        away = [False]
+        for branch in range(1, len(self.around)):
+            away.append(away[self.around[branch]] or 2 * sizes[branch] <= whole)
+        return [away[branch] for branch in self.branches]
 
     def paths(self, host: str) -> list[int]:
         """A hash of the host and the signatures down to each container."""
@@ -229,10 +274,10 @@ class Page:
 
         A container goes if it and all its containers are of low importance. If
         nothing were left, the article is all that the host's pages share, and
-        stays. Where there are articles or a main element, the one with the most
-        text is the article.
+        stays. Where there are articles or main elements, all of their text is the
+        page's.
         """
-        kept = [b for b in self.blocks if not b[2]]
+        kept = [b for b, away in zip(self.blocks, self.named_away()) if not (b[2] or away)]
         if low:
             paths = self.paths(host)
             gone = [p in low for p in paths]
@@ -242,13 +287,8 @@ class Page:
             for i in range(1, len(paths)):
                 gone[i] = gone[i] or gone[self.parents[i]]
             kept = [b for b in kept if not gone[b[0]]] or kept
-        sizes: Counter = Counter()
-        for _, text, _, region in kept:
-            sizes[region] += len(text)
-        named = [r for r in sizes if r]
-        if named:
-            best = max(named, key=lambda r: (sizes[r], -r))
-            kept = [b for b in kept if b[3] == best]
+        if any(b[3] for b in kept):
+            kept = [b for b in kept if b[3]]
         return "\n\n".join(b[1] for b in kept)
 
 

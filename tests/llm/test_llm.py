@@ -182,6 +182,23 @@ def test_broken_markup_is_read_in_linear_time(piece):
     assert time.perf_counter() - start < 5
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<article><p>First one.</p></article><article><p>Second one, longer.</p></article>", "First one.\n\nSecond one, longer."),
+        ("<p>x</p><div class='share-price'><p>The price of a share rose by a tenth.</p></div>", "x\n\nThe price of a share rose by a tenth."),
+        ("<article class='share-price'><p>Rose.</p><div class='share-buttons'>Tweet</div></article>", "Rose."),
+        ("<article><p>Real text.</p><div class='comments'><p>Nice! " + "So nice. " * 40 + "</p></div></article>", "Real text."),
+        ("<p>Real text.</p><div id='comment-list'>" + "So nice. " * 4 + "</div>", "Real text."),
+        ("<main><p>It holds that <math><mi>a</mi></math> is so.</p><select><option>b</select></main>", "It holds that a is so."),
+        ("<article class='teaser related'>Elsewhere</article><article>Here</article>", "Here"),
+        ("<div class='nav'><div class='ad'>a</div></div>", ""),
+    ],
+)
+def test_names_decide_only_between_branches(body, text):
+    assert style_tree.Page(f"<html><body><nav>Menu</nav>{body}</body></html>").text("h", set()) == text
+
+
 # --- neighbours ----------------------------------------------------------------------
 
 
