@@ -70,7 +70,8 @@ def script_of(word: str) -> str:
     return "latin"
 
 
-WORD = r"[^\W\d_][^\W\d_'’-]*"
+# Letters, also joined by single hyphens and apostrophes, as in O'Brien; 's is no part of a name.
+WORD = r"[^\W\d_]+(?:['’-](?!s(?!\w))[^\W\d_]+)*"
 NAMED = "|".join(sorted((re.escape(w) for g in GIVEN.values() for w in g), key=len, reverse=True))
 TITLED = "|".join(sorted((re.escape(w) for w in TITLE_OF), key=len, reverse=True))
 # Every pattern starts where a run of its characters starts, so a scan is linear.
@@ -86,7 +87,8 @@ IP4 = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")
 IP6 = re.compile(r"(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![\w:])")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(
-    r"(?<![\w.+])(?:\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\w)"
+    r"(?<![\w.+])(?:\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}"
+    r"|0\d{2,4}[ /-]\d{6,8})(?!\w)"
 )
 
 
@@ -94,6 +96,29 @@ def national(number: str) -> str:
     return number[1:] if len(number) == 11 and number[0] == "1" else number
 
 
+TOKEN = re.compile(rf"(?<!\w){WORD}(?!\w)")
+
+
+def all_names(text: str) -> list[Mention]:
+    """Names that a title or a given name shows, and where else their words stand as they do there.
+
+    So a person named once with a title is also replaced where only the family
+    name is said, as the same person.
+    """
+    shown = list(found_names(text))
+    kinds: dict[str, Mention] = {}
+    for m in shown:
+        kinds.setdefault(text[m.start : m.end], m)
+    if not kinds:
+        return shown
+    taken = {m.start for m in shown}
+    for m in TOKEN.finditer(text):
+        known = kinds.get(m.group())
+        if known and m.start() not in taken:
+            shown.append(Mention(*m.span(), known.kind, known.normal))
+    return shown
+
+
 def found_names(text: str) -> Iterator[Mention]:
     for m in NAME.finditer(text):
         title, first, second, given, family = m.groups()
@@ -150,7 +175,7 @@ def mentions(text: str) -> list[Mention]:
         found += [Mention(*m.span(), "email", m.group().lower()) for m in EMAIL.finditer(text)]
     if re.search("[0-9]", text):
         found += found_numbers(text)
-    found += found_names(text)
+    found += all_names(text)
     if len(found) < 2:
         return found
     rank = sorted(range(len(found)), key=lambda i: (found[i].start, i))

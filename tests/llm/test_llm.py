@@ -182,6 +182,20 @@ def test_broken_markup_is_read_in_linear_time(piece):
     assert time.perf_counter() - start < 5
 
 
+def test_compound_and_repeated_names_are_one_person(spark):
+    text = "Mr. Smith met Mr O'Brien and Frau Müller-Schmidt. Smith said O’Brien, Smith's friend, left; Müller-Schmidt stayed. 0171 2345678, 030/1234567"
+    found = [(text[m.start : m.end], m.kind, m.normal) for m in entities.mentions(text)]
+    assert [f[0] for f in found] == ["Smith", "O'Brien", "Müller-Schmidt", "Smith", "Smith", "Müller-Schmidt", "0171 2345678", "030/1234567"]
+    assert len({f[1:] for f in found if f[0] == "Smith"}) == 1
+    after = pii.with_surrogates(make_docs(spark, [text, "Smith said nothing.", None]), "key").orderBy("doc_id").collect()
+    first = after[0].text
+    assert "Smith" not in first and "Müller" not in first and "Brien met" not in first
+    stand_in = first.split("Mr. ")[1].split(" met")[0]
+    assert f". {stand_in} said" in first and f", {stand_in}'s friend" in first
+    # Without a title or a given name a word is no name.
+    assert after[1].text == "Smith said nothing." and after[2].text is None
+
+
 @pytest.mark.parametrize(
     "body, text",
     [
