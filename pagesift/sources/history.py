@@ -51,6 +51,12 @@ def read_history(
     return history
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether anything is stored yet; looks at file names only."""
+    stores = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/store_key=*")
+    return bool(stores.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(stores))
+
+
 def append_history(rows: DataFrame, path: str, batch: str) -> None:
     """Store new history rows under their batch; writing it again changes nothing."""
     (

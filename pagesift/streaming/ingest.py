@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pagesift.operators import dedup, report
 from pagesift.plans.run import RunOptions, run_batch
 from pagesift.session import delete_matching, materialize, own_work, work_folder
-from pagesift.sources.history import append_bits, append_history, read_history, read_membership
+from pagesift.sources.history import append_bits, append_history, is_stored, read_history, read_membership
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -90,7 +90,8 @@ def run_micro_batch(
     with own_work(spark):
         forget_batch(spark, home, batch_id)
         history = read_history(spark, f"{home}/history", latest=replaces)
-        bits = read_membership(spark, f"{home}/history")
+        # The first batch finds nothing that it could ask.
+        bits = read_membership(spark, f"{home}/history") if is_stored(spark, f"{home}/history") else None
         result = run_batch(pages, sources, rules, history, options, bits)
         (sink or table_sink(f"{home}/records"))(result.records, batch_id)
         table_sink(f"{home}/outcomes")(result.outcomes, batch_id)
