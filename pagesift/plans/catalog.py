@@ -730,6 +730,21 @@ def linked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.outcomes.select("source_name", "url", "reason", "status")
 
 
+@query(
+    """
+    WITH i AS (SELECT doc_id // 20 AS page_id, string_agg('<li>' || text || '</li>', chr(10) ORDER BY doc_id) AS items
+      FROM documents GROUP BY 1)
+    SELECT page_id, sha256(html || coalesce(chr(10) || items, '')) AS html_hash FROM pages LEFT JOIN i USING (page_id)"""
+)
+def pages_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the items that were loaded later behind their own HTML, in the order of the items."""
+    items = table(spark, sf_dir, "documents").select(
+        F.expr("doc_id div 20").alias("page_id"), "doc_id", F.concat(F.lit("<li>"), "text", F.lit("</li>")).alias("html")
+    )
+    whole = page_source.append_items(captured(spark, sf_dir), items, "page_id", ["doc_id"])
+    return whole.select("page_id", F.sha2("html", 256).alias("html_hash"))
+
+
 # --- streams ---------------------------------------------------------------------
 
 
