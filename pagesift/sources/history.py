@@ -58,10 +58,14 @@ def is_stored(spark: SparkSession, path: str) -> bool:
 
 
 def append_history(rows: DataFrame, path: str, batch: str) -> None:
-    """Store new history rows under their batch; writing it again changes nothing."""
+    """Store new history rows under their batch; writing it again changes nothing.
+
+    Files are sorted by URL, so a lookup skips the parts that it does not meet.
+    """
     (
         rows.withColumn("batch", F.lit(batch))
         .hint("rebalance", "store_key")
+        .sortWithinPartitions("store_key", "batch", "url")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("store_key", "batch")

@@ -18,6 +18,7 @@ from pagesift.operators import dedup, report
 from pagesift.plans.run import RunOptions, run_batch
 from pagesift.session import delete_matching, materialize, own_work, work_folder
 from pagesift.sources.history import append_bits, append_history, is_stored, read_history, read_membership
+from pagesift.sources.history_merge import merge_batches
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -82,13 +83,14 @@ def run_micro_batch(
     """One micro-batch of ``run_stream``; may be repeated.
 
     What an earlier try of the batch stored goes first: rules may have changed
-    in between. What the batch wrote on its way goes when its results are stored.
+    in between. Stores of many batches are merged then. What the batch wrote on its way goes when its results are stored.
     """
     spark = pages.sparkSession
     batch = f"b{batch_id:012d}"
     replaces = not sources.filter("NOT by_url").isEmpty()
     with own_work(spark):
         forget_batch(spark, home, batch_id)
+        merge_batches(spark, f"{home}/history")
         history = read_history(spark, f"{home}/history", latest=replaces)
         # The first batch finds nothing that it could ask.
         bits = read_membership(spark, f"{home}/history") if is_stored(spark, f"{home}/history") else None
@@ -137,6 +139,7 @@ def dedup_micro_batch(records: DataFrame, batch_id: int, home: str, run_ts: date
     batch = f"b{batch_id:012d}"
     with own_work(spark):
         forget_batch(spark, home, batch_id)
+        merge_batches(spark, f"{home}/history")
         history = read_history(spark, f"{home}/history")
         table_sink(f"{home}/records")(dedup.dedup(records, history), batch_id)
         stored = spark.read.schema(f"{schema_text(records)}, batch bigint").parquet(f"{home}/records")
