@@ -78,7 +78,9 @@ def rule_sets(rules: DataFrame, fallbacks: bool, one_task: bool = False) -> Data
     )
 
 
-def field_values_sql(html: str, texts: str, nodes: str, rule_set: str) -> str:
+def field_values_sql(
+    html: str, texts: str, nodes: str, rule_set: str, postings: str | None = None
+) -> str:
     """Map field -> value: per field the first selector that gives something.
 
     A selector contributes its first element only. Later selectors are not
@@ -87,7 +89,7 @@ def field_values_sql(html: str, texts: str, nodes: str, rule_set: str) -> str:
     value = blank_to_null_sql("val")
     tried = bind_sql(
         "hit",
-        sel.first_match_sql(nodes, "t.steps"),
+        sel.first_match_sql(nodes, "t.steps", postings),
         bind_sql("val", sel.node_value_sql(html, texts, "hit", "t.mode"), value),
     )
     found = f"aggregate(rule.tries, cast(null as string), (found, t) -> coalesce(found, {tried}))"
@@ -114,7 +116,7 @@ def entry_links(trees: DataFrame, steps: str, *keys: str, url: str = "url") -> D
 
     ``steps`` is a column of parsed steps or ``steps_sql`` of a fixed selector.
     """
-    picked = sel.select_sql("tree.nodes", steps)
+    picked = sel.select_sql("tree.nodes", steps, "tree.postings")
     hrefs = f"transform({picked}, n -> {sel.node_attr_sql('n', text_sql('href'))})"
     return trees.select(
         *keys, F.posexplode(F.expr(usable_links_sql(url, hrefs))).alias("pos", "link")
@@ -146,10 +148,15 @@ def attach_rules(pages: DataFrame, rules: DataFrame, fallbacks: bool) -> DataFra
     return pages.join(sets, "source_name", "left")
 
 
-def detail_fields(trees: DataFrame, rules: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``fields`` to detail pages that carry a ``tree`` and ``source_name``."""
-    with_rules = attach_rules(trees, rules, fallbacks=True)
-    values = field_values_sql(html, "tree.texts", "tree.nodes", "rule_set")
+def detail_fields(pages: DataFrame, rules: DataFrame, html: str = "html") -> DataFrame:
+    """Add ``fields`` to detail pages with a ``source_name``; and their ``tree``, if they have none.
+
+    Pages meet their rules before they are parsed, so no join moves a tree.
+    """
+    with_rules = attach_rules(pages, rules, fallbacks=True)
+    if "tree" not in pages.columns:
+        with_rules = tree_ops.page_nodes(with_rules, html)
+    values = field_values_sql(html, "tree.texts", "tree.nodes", "rule_set", "tree.postings")
     return with_rules.withColumn("fields", F.expr(values)).drop("rule_set")
 
 
@@ -225,7 +232,8 @@ def list_records(
         f"'fields', {field_values_sql('source', 'tree.texts', 'scope', 'rule_set')}, "
         f"'raw_html', {sel.node_html_sql('source', 'item')})",
     )
-    picked = f"transform({sel.select_sql('tree.nodes', steps)}, (item, pos) -> {record})"
+    items = sel.select_sql("tree.nodes", steps, "tree.postings")
+    picked = f"transform({items}, (item, pos) -> {record})"
     return _unique_records(trees, _per_page_sql(url, html, picked), *keys)
 
 
@@ -241,10 +249,11 @@ def timeline_cards(
     def text(part: str, separator: str) -> str:
         return sel.node_text_sql("tree.texts", f"card.{part}", separator)
 
+    def every(selector: str) -> str:
+        return sel.select_sql("tree.nodes", sel.steps_sql(selector), "tree.postings")
+
     cards = bind_sql(
-        "wide",
-        sel.select_sql("tree.nodes", sel.steps_sql("div.el-timeline-item__wrapper")),
-        f"if(size(wide) > 0, wide, {sel.select_sql('tree.nodes', sel.steps_sql('div.list_body'))})",
+        "wide", every("div.el-timeline-item__wrapper"), f"if(size(wide) > 0, wide, {every('div.list_body')})"
     )
     parts = (
         f"named_struct('title', {pick('a.news_body_title')}, "
@@ -398,7 +407,7 @@ def timeline_text_records(
 
 def timeline_text(selector: str = ".style_home__timeline_1Tz") -> Column:
     """Text lines of the timeline element of a page that carries a ``tree``."""
-    first = sel.first_match_sql("tree.nodes", sel.steps_sql(selector))
+    first = sel.first_match_sql("tree.nodes", sel.steps_sql(selector), "tree.postings")
     return F.expr(bind_sql("node", first, sel.node_text_sql("tree.texts", "node", "\n")))
 
 

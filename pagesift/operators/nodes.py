@@ -78,12 +78,19 @@ NODE = T.StructType(
     ]
 )
 NODES = T.ArrayType(NODE)
+# Ids of the elements with a tag ("p"), a class (".lead") or an id ("#top"), rising.
+POSTINGS = T.MapType(T.StringType(), T.ArrayType(T.IntegerType()))
 TREE = T.StructType(
-    [T.StructField("nodes", NODES), T.StructField("texts", T.ArrayType(T.StringType()))]
+    [
+        T.StructField("nodes", NODES),
+        T.StructField("texts", T.ArrayType(T.StringType())),
+        T.StructField("postings", POSTINGS),
+    ]
 )
 
-END_ID, TAG, TEXT_TO, HTML_TO = (
-    NODE.fieldNames().index(name) for name in ("end_id", "tag", "text_to", "html_to")
+END_ID, TAG, CLASSES, ATTRS, TEXT_TO, HTML_TO = (
+    NODE.fieldNames().index(name)
+    for name in ("end_id", "tag", "classes", "attrs", "text_to", "html_to")
 )
 
 _ARROW_NODE = pa.struct(
@@ -95,7 +102,10 @@ _ARROW_NODE = pa.struct(
         *[(name, pa.int32()) for name in ("text_from", "text_to", "html_from", "html_to")],
     ]
 )
-_ARROW_TREE = pa.struct([("nodes", pa.list_(_ARROW_NODE)), ("texts", pa.list_(pa.string()))])
+_ARROW_POSTINGS = pa.map_(pa.string(), pa.list_(pa.int32()))
+_ARROW_TREE = pa.struct(
+    [("nodes", pa.list_(_ARROW_NODE)), ("texts", pa.list_(pa.string())), ("postings", _ARROW_POSTINGS)]
+)
 
 
 def _attributes(source: str) -> dict[str, str | None]:
@@ -199,12 +209,27 @@ def page_elements(html: str, nodes: list[list], texts: list[str]) -> None:
         close(0, bytes_to(len(html)))
 
 
+def page_postings(nodes: Iterable[list]) -> dict[str, list[int]]:
+    """Where each tag, class and id of a page stands."""
+    found: dict[str, list[int]] = {}
+    for number, node in enumerate(nodes):
+        found.setdefault(node[TAG], []).append(number)
+        for name in dict.fromkeys(node[CLASSES]):
+            found.setdefault(f".{name}", []).append(number)
+        for name, value in node[ATTRS]:
+            if name == "id" and value:
+                found.setdefault(f"#{value}", []).append(number)
+    return found
+
+
 def _batch_trees(pages: pa.Array) -> pa.Array:
     nodes: list[list] = []
     texts: list[str] = []
+    postings: list[list[tuple[str, list[int]]]] = []
     node_ends, text_ends = [0], [0]
     for html in pages:
         page_elements(html.as_py() or "", nodes, texts)
+        postings.append(list(page_postings(nodes[node_ends[-1] :]).items()))
         node_ends.append(len(nodes))
         text_ends.append(len(texts))
     fields = list(_ARROW_NODE)
@@ -218,6 +243,7 @@ def _batch_trees(pages: pa.Array) -> pa.Array:
             pa.ListArray.from_arrays(
                 pa.array(text_ends, pa.int32()), pa.array(texts, pa.string())
             ),
+            pa.array(postings, _ARROW_POSTINGS),
         ],
         fields=list(_ARROW_TREE),
     )

@@ -134,12 +134,21 @@ _OUTERMOST = bind_sql(
 )
 
 
-def select_sql(nodes: str, steps: str) -> str:
+# Under what the elements of a step are posted; null if a step names nothing.
+_POSTED_AS = """case when step.id <> '' then concat('#', step.id)
+  when size(step.classes) > 0 then concat('.', step.classes[0]) when step.tag <> '' then step.tag end"""
+
+
+def select_sql(nodes: str, steps: str, postings: str | None = None) -> str:
     """All elements of ``nodes`` that fit, in document order.
 
     ``nodes`` is a page's array or the scope of an item: its index is the node
     id less that of its first node. Each step looks only inside what the step
     before kept; for descendants inside the outermost of these, so only once.
+
+    ``postings`` (of a whole page) gives a step the elements that have its id,
+    class or tag. They are tested instead of all elements, where looking up what
+    holds them takes no more than going through it. So no page takes longer.
     """
 
     def at_id(at: str) -> str:
@@ -152,18 +161,39 @@ def select_sql(nodes: str, steps: str) -> str:
         holding = f"filter({ups}, k -> k.end_id > k.node_id)"
         return f"flatten(transform({holding}, up -> {picked}))"
 
-    descendants = within(_OUTERMOST, _FITS)
+    descendants = within("outer", _FITS)
     child_ids = within("kept", f"node.parent_id = up.node_id and {_FITS}", "node.node_id")
     children = f"transform(array_sort({child_ids}), at -> {at_id('at')})"
-    return (
-        f"aggregate({steps}, cast(null as {NODES.simpleString()}), (kept, step) -> "
-        f"case when kept is null then filter({nodes}, node -> {_FITS}) "
-        f"when step.child then {children} else {descendants} end)"
+    first = f"filter({nodes}, node -> {_FITS})"
+    if postings is not None:
+        span = "aggregate({ups}, 0L, (n, up) -> n + up.end_id - up.node_id)"
+
+        def posted(plain: str, ups: str | None, held: str = "true") -> str:
+            """``plain``, or the posted elements that ``held`` finds inside ``ups``."""
+            some = f"filter(transform(posted, at -> get({nodes}, at)), node -> {held} and {_FITS})"
+            fewer = "posted is not null"
+            if ups is not None:
+                fewer += f" and 1L * size(posted) * size({ups}) <= {span.format(ups=ups)}"
+            return f"if({fewer}, {some}, {plain})"
+
+        inside = "exists(outer, up -> node.node_id > up.node_id and node.node_id <= up.end_id)"
+        descendants = posted(descendants, "outer", inside)
+        children = posted(children, "kept", "exists(kept, up -> node.parent_id = up.node_id)")
+        first = posted(first, None)
+    descendants = bind_sql("outer", _OUTERMOST, descendants)
+    step = (
+        f"case when kept is null then {first} "
+        f"when step.child then {children} else {descendants} end"
     )
+    if postings is not None:
+        none = "cast(array() as array<int>)"
+        ids = f"if(label is null, null, coalesce(element_at({postings}, label), {none}))"
+        step = bind_sql("label", _POSTED_AS, bind_sql("posted", ids, step))
+    return f"aggregate({steps}, cast(null as {NODES.simpleString()}), (kept, step) -> {step})"
 
 
-def select_nodes(nodes: str, selector: str) -> Column:
-    return F.expr(select_sql(nodes, steps_sql(selector)))
+def select_nodes(nodes: str, selector: str, postings: str | None = None) -> Column:
+    return F.expr(select_sql(nodes, steps_sql(selector), postings))
 
 
 def inside_sql(nodes: str, item: str) -> str:
@@ -174,12 +204,22 @@ def inside_sql(nodes: str, item: str) -> str:
     return f"transform(sequence({item}.node_id, {item}.end_id), at -> get({nodes}, at))"
 
 
-def first_match_sql(nodes: str, steps: str) -> str:
-    return f"get({select_sql(nodes, steps)}, 0)"
+def first_match_sql(nodes: str, steps: str, postings: str | None = None) -> str:
+    """The first element that fits. With ``postings``, nothing behind it is tested
+    where a selector has one step."""
+    every = f"get({select_sql(nodes, steps, postings)}, 0)"
+    if postings is None:
+        return every
+    node = f"get({nodes}, at)"
+    fits = bind_sql("node", node, f"if({_FITS}, node, null)")
+    some = f"coalesce(element_at({postings}, label), cast(array() as array<int>))"
+    one = f"aggregate({some}, cast(null as {NODES.elementType.simpleString()}), (hit, at) -> coalesce(hit, {fits}))"
+    step = bind_sql("step", f"{steps}[0]", bind_sql("label", _POSTED_AS, f"if(label is null, {every}, {one})"))
+    return f"if(size({steps}) = 1, {step}, {every})"
 
 
-def first_match(nodes: str, selector: str) -> Column:
-    return F.expr(first_match_sql(nodes, steps_sql(selector)))
+def first_match(nodes: str, selector: str, postings: str | None = None) -> Column:
+    return F.expr(first_match_sql(nodes, steps_sql(selector), postings))
 
 
 def node_text_sql(texts: str, node: str, separator: str = " ") -> str:
@@ -226,5 +266,6 @@ def node_value_sql(html: str, texts: str, node: str, mode: str) -> str:
 def selected_rows(trees: DataFrame, selector: str, *keys: str) -> DataFrame:
     """One row per selected element of each page: keys, pos, node."""
     return trees.select(
-        *keys, F.posexplode(select_nodes("tree.nodes", selector)).alias("pos", "node")
+        *keys,
+        F.posexplode(select_nodes("tree.nodes", selector, "tree.postings")).alias("pos", "node"),
     )

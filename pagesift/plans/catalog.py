@@ -25,7 +25,7 @@ from pagesift.plans import run
 from pagesift.schemas import HISTORY, SOURCES
 from pagesift.session import materialize, work_folder
 from pagesift.sinks import files
-from pagesift.sources import history
+from pagesift.sources import history, history_merge
 from pagesift.sources import pages as page_source
 from pagesift.sources.logs import log_files, newest_lines, recent_log
 from pagesift.sources.page_store import PageStore
@@ -71,7 +71,7 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field(spark: SparkSession, sf_dir: str, name: str, selectors: list[str]) -> DataFrame:
     rules = rules_table(spark, {"web": {name: selectors}})
-    filled = extract.detail_fields(trees(spark, sf_dir), rules)
+    filled = extract.detail_fields(captured(spark, sf_dir), rules)
     return filled.select("page_id", F.col("fields")[name].alias(name))
 
 
@@ -196,7 +196,7 @@ def content_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.concat(F.lit("<head><meta "), kind, F.lit(' content="'), words, "page_id", F.lit('">'))
     bare = F.replace(F.replace("html", F.lit("<head>"), meta), F.lit("article>"), F.lit("main>"))
     pages = captured(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 3 < 2, bare).otherwise(F.col("html")))
-    filled = extract.detail_fields(tree_ops.page_nodes(pages), rules_table(spark, {"web": {"content": [".none", "article"]}}))
+    filled = extract.detail_fields(pages, rules_table(spark, {"web": {"content": [".none", "article"]}}))
     return filled.select("page_id", F.col("fields")["content"].alias("content"))
 
 
@@ -241,7 +241,7 @@ LIST_ITEMS = f"""
 )
 def list_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = rules_table(spark, {"web": {"title": ["b", "a"]}})
-    pages = extract.attach_rules(trees(spark, sf_dir), rules, fallbacks=False)
+    pages = tree_ops.page_nodes(extract.attach_rules(captured(spark, sf_dir), rules, fallbacks=False))
     found = extract.list_records(pages, sel.steps_sql("nav ul li"), "page_id")
     return found.select("page_id", "pos", "url", F.col("fields")["title"].alias("title"), "raw_html")
 
@@ -292,7 +292,7 @@ def list_item_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.regexp_replace("html", F.lit('<li><a href="([^"]*)">'), F.concat(F.lit("<li data-"), name, F.lit('="$1"><a>')))
     pages = captured(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 3 < 2, marked).otherwise(F.col("html")))
     rules = rules_table(spark, {"web": {"title": ["b", "a"]}})
-    ready = extract.attach_rules(tree_ops.page_nodes(pages), rules, fallbacks=False)
+    ready = tree_ops.page_nodes(extract.attach_rules(pages, rules, fallbacks=False))
     found = extract.list_records(ready, sel.steps_sql("nav ul li"), "page_id")
     return found.select("page_id", "pos", "url", F.col("fields")["title"].alias("title"))
 
@@ -1291,6 +1291,28 @@ def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("store_key", "url", "content_hash", F.unix_seconds("ts").alias("at_time"), "source_name")
 
 
+@query(
+    f"""
+    SELECT store_key, url, CASE WHEN doc_id % 4 = 3 THEN sha256(url) ELSE content_hash END AS content_hash,
+      1704067200 + doc_id + CASE WHEN doc_id % 4 = 3 THEN 86400 ELSE 0 END AS at_time
+    FROM {SEEN} WHERE store_key <> 'de'"""
+)
+def history_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches and one that replaces rows, stores merged as they fill, then a lookup by key in most stores."""
+    home = work_folder(spark, "history")
+    rows = stored_before(spark, sf_dir)
+    at = F.unix_seconds("ts") % 4
+    for i in range(4):
+        history.append_history(rows.filter(at == i), home, f"b{i}")
+    again = rows.filter(at == 3).withColumns(
+        {"content_hash": tx.content_hash("url"), "ts": F.col("ts") + F.expr("interval 1 day")}
+    )
+    history.append_history(again, home, "b4")
+    history_merge.merge_batches(spark, home, most_batches=2)
+    found = history_merge.latest_for(spark, home, rows.filter("store_key <> 'de'"))
+    return found.select("store_key", "url", "content_hash", F.unix_seconds("ts").alias("at_time"))
+
+
 @query(f"SELECT store_key, url FROM {SEEN} WHERE doc_id % 2 = 1")
 def history_after_full_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stores deleted, then what came afterwards."""

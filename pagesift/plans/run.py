@@ -92,7 +92,7 @@ def at_targets(pages: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def entry_pages(pages: DataFrame, sources: DataFrame, retries: int | None = None) -> DataFrame:
-    """Captured entry pages, one per source and target, with their source's settings.
+    """Captured entry pages, one per source and target, with their source's settings, selectors parsed.
 
     Written out once, so the pages table is not read again for each use.
     """
@@ -102,13 +102,14 @@ def entry_pages(pages: DataFrame, sources: DataFrame, retries: int | None = None
     wanted = good_captures(pages, retries).withColumn("target_url", asked_url(pages)).select(
         "source_name", "target_url", "url", "html", *times, "_capture"
     )
-    wanted = wanted.join(checked_broadcast(sources), ["source_name", "target_url"])
+    parsed = sources.withColumn("entry_steps", selector_steps("entry_pattern"))
+    wanted = wanted.join(checked_broadcast(parsed), ["source_name", "target_url"])
     first = dedup.first_per_key(wanted, ["source_name", "target_url"], ["_capture"])
     return materialize(first.drop("_capture"), "entries")
 
 
 def entry_trees(entries: DataFrame) -> DataFrame:
-    return page_nodes(entries.withColumn("entry_steps", selector_steps("entry_pattern")))
+    return page_nodes(entries)
 
 
 def list_work(entries: DataFrame, rules: DataFrame) -> DataFrame:
@@ -116,14 +117,14 @@ def list_work(entries: DataFrame, rules: DataFrame) -> DataFrame:
     wanted = entries.filter("use_entry_content").withColumn(
         "family", extract.host_family("url")
     )
-    trees = extract.attach_rules(entry_trees(wanted), rules, fallbacks=False)
+    trees = entry_trees(extract.attach_rules(wanted, rules, fallbacks=False))
     times = [c for c in ("fetched_at",) if c in entries.columns]
     return extract.family_records(trees, "source_name", *times)
 
 
 def detail_records(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Detail pages (source_name, pos, url, html, settings) to records with ``fields``."""
-    filled = extract.detail_fields(page_nodes(pages), rules)
+    filled = extract.detail_fields(pages, rules)
     own_html = F.when(
         F.map_contains_key("fields", F.lit("raw_html")), F.col("fields")["raw_html"]
     ).otherwise(F.col("html"))

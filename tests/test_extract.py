@@ -312,3 +312,32 @@ def test_cut_off_markup_is_read_once():
     nodes, texts = [], []
     tree_ops.page_elements("a<!-- b > c", nodes, texts)
     assert texts == ["a"]
+
+
+def test_postings_give_what_a_full_search_gives(spark):
+    """Random nested pages: every selector with and without postings, whole and first."""
+    rng = random.Random(11)
+
+    def page(depth: int) -> str:
+        if depth == 0 or rng.random() < 0.1:
+            return rng.choice(["x", "<br>", '<img id="i">'])
+        tag, name = rng.choice(["div", "p", "span", "li"]), rng.choice(["", ' class="a"', ' class="b a a"', ' id="t"', ' id=""'])
+        return f"<{tag}{name}>" + "".join(page(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    pages = [page(5) for _ in range(30)] + ["", None, "<div>" * 300, "<p>" * 50]
+    df = tree_ops.page_nodes(spark.createDataFrame(list(enumerate(pages)), "i int, html string"))
+    selectors = [
+        "div", ".a", "#t", "*", ".a.b", "div.b", "[id]", "div .a", "div > .a", "* > span", ".a div .b", "div div > div",
+        "div * span", ".missing", ".missing p", "#t [class]", "div > * > p#t", '[class="a"] li', "#i", "p img",
+    ]
+    node_id = lambda nodes: F.transform(nodes, lambda n: n["node_id"])
+    for css in selectors:
+        both = df.select(
+            node_id(sel.select_nodes("tree.nodes", css)).alias("plain"),
+            node_id(sel.select_nodes("tree.nodes", css, "tree.postings")).alias("posted"),
+            sel.first_match("tree.nodes", css, "tree.postings")["node_id"].alias("first"),
+        ).collect()
+        for row in both:
+            assert row.posted == row.plain, css
+            assert row.first == (row.plain[0] if row.plain else None), css
+    assert len(both) == len(pages)
