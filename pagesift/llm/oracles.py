@@ -68,22 +68,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM d2_far) AS kept FROM base"""
 
 ROTATION = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(nullif(regexp_replace(trim(coalesce(role, '')), '\\s+', '_', 'g'), ''),
-    '{chat.UNNAMED}') AS role, coalesce(text, '') AS text,
-    coalesce(CAST(floor(turn / {chat.PART_TURNS}) AS BIGINT), -1) AS part FROM conversations),
+WITH r AS (SELECT conv_id, turn, regexp_replace(coalesce(nullif(regexp_replace(trim(coalesce(role, '')), '\\s+', '_', 'g'), ''),
+    '{chat.UNNAMED}'), '<(\\\\*)\\|im_', '<\\\\\\1|im_', 'g') AS role,
+    regexp_replace(coalesce(text, ''), '<(\\\\*)\\|im_', '<\\\\\\1|im_', 'g') AS text FROM conversations),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS n FROM r),
 s AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM t),
-v AS (SELECT conv_id, speaker, part, turn, role, text,
+v AS (SELECT conv_id, speaker, n // {chat.PART_TURNS} AS part, n, role,
     CASE WHEN role = speaker THEN '<|im_start|>assistant' ELSE '<|im_start|>user name=' || role END || chr(10) AS head,
     text || '<|im_end|>' || chr(10) AS body FROM t JOIN s ON c IS NOT DISTINCT FROM conv_id),
-p AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text
+p AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY n
     ROWS UNBOUNDED PRECEDING) - length(body) AS spot FROM v)
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, role, text) AS text,
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
   coalesce(string_agg(CASE WHEN role = speaker THEN CAST(spot AS BIGINT) || '-' || CAST(spot + length(body) - 1 AS BIGINT) END, ' '
-    ORDER BY turn, role, text), '') AS masks
+    ORDER BY n), '') AS masks
 FROM p GROUP BY ALL"""
 
 
-
 def clustering() -> str:
     """Ten unrolled rounds; sums are of 128 bits, floors exact."""
     apart = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"

@@ -24,7 +24,7 @@ def query(function: Query) -> Query:
 
 @query
 def op1_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"))
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
 @query
