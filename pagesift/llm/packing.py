@@ -1,10 +1,11 @@
 """Packing by lexical retrieval: BM25 neighbours of a seed fill its window.
 
 A document's full windows are sequences of their own. What remains of each
-document, less than a window, goes to a shard with an inverted index of the
-remainders. There a seed opens a window, its unused neighbours by BM25 fill it
-in falling order of score, and the last one is cut to fit; the rest of that one
-is the next seed. So every window of a shard but the last is full.
+document, less than a window, goes to a shard with an inverted index of its
+documents, each with the terms of its whole text. There a seed opens a window,
+its unused neighbours by BM25 fill it in falling order of score, and the last one
+is cut to fit; the rest of that one is the next seed. So every window of a shard
+but the last is full. All terms of a seed's document are looked up.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ WINDOW = 1024
 END = 0
 # Documents of a shard. A shard is one task's group of at most a few MB.
 SHARD_DOCS = 2048
-# Terms of a seed that are looked up: its rarest in the shard.
-QUERY_TERMS = 32
+# Terms in at least this share of a shard's documents have a row of weights instead
+# of postings. Both give the same scores; a row is faster for terms that most hold.
+ROW_SHARE = 1 / 8
 K1, B = 1.2, 0.75
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -65,42 +67,57 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
-def term_rows(tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term, document and frequency of each posting, sorted by term and document."""
-    sizes = np.array([len(t) for t in tails], np.int64)
-    pairs = np.concatenate(tails).astype(np.int64) << 32 | np.repeat(np.arange(len(tails)), sizes)
-    keys, counts = np.unique(pairs, return_counts=True)
-    return keys >> 32, keys & 0xFFFFFFFF, counts
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of a document, rising, and how often each is in it."""
+    return np.unique(ids, return_counts=True)
 
 
 class Index:
-    """BM25 over the remainders of a shard."""
-
-    def __init__(self, tails: list[np.ndarray]) -> None:
-        n = len(tails)
-        terms, self.docs, counts = term_rows(tails)
-        lengths = np.array([len(t) for t in tails], float)
-        self.terms, self.starts = np.unique(terms, return_index=True)
-        self.ends = np.r_[self.starts[1:], len(terms)]
-        df = self.ends - self.starts
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    """BM25 over the documents of a shard: terms and frequencies of each."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], row_share: float = ROW_SHARE) -> None:
+        n = self.n = len(docs)
+        sizes = np.array([len(terms) for terms, _ in docs], np.int64)
+        self.terms, own = np.unique(np.concatenate([terms for terms, _ in docs]), return_inverse=True)
+        counts = np.concatenate([c for _, c in docs]).astype(float)
+        holders = np.repeat(np.arange(n), sizes)
+        lengths = np.bincount(holders, counts, n)
+        df = np.bincount(own, minlength=len(self.terms))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1))
-        weight = np.repeat(self.idf, df) * counts * (K1 + 1) / (counts + norm[self.docs])
-        self.weight = weight
-        self.n = n
-
-    def scores(self, tail: np.ndarray, query_terms: int = QUERY_TERMS) -> np.ndarray:
-        at = np.searchsorted(self.terms, np.unique(tail).astype(np.int64))
-        if len(at) > query_terms:
-            at = at[np.argsort(-self.idf[at], kind="stable")[:query_terms]]
-        spans = [np.arange(self.starts[i], self.ends[i]) for i in at]
-        rows = np.concatenate(spans) if spans else np.zeros(0, np.int64)
-        return np.bincount(self.docs[rows], self.weight[rows], self.n)
-
-
-def fill(tails: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Document, start in its remainder, length, sequence and offset of each piece."""
-    index = Index(tails)
+        weight = idf[own] * counts * (K1 + 1) / (counts + norm[holders])
+        # Terms of each document, as places in the shard's list of terms.
+        self.of_doc = np.split(own, np.cumsum(sizes)[:-1])
+        common = df >= max(1, row_share * n)
+        self.row_of = np.where(common, np.cumsum(common) - 1, -1)
+        self.rows = np.zeros((int(common.sum()), n))
+        in_row = common[own]
+        self.rows[self.row_of[own[in_row]], holders[in_row]] = weight[in_row]
+        # Postings of the others, by term and document.
+        rare = np.flatnonzero(~in_row)
+        rare = rare[np.argsort(own[rare], kind="stable")]
+        self.docs, self.weight = holders[rare], weight[rare]
+        self.sizes = np.where(common, 0, df)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def scores(self, doc: int) -> np.ndarray:
+        """Of every document of the shard, for all terms of one of them."""
+        terms = self.of_doc[doc]
+        sizes = self.sizes[terms]
+        places = np.repeat(self.starts[terms] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        found = np.bincount(self.docs[places], self.weight[places], self.n)
+        common = self.row_of[terms]
+        return found + self.rows[common[common >= 0]].sum(axis=0)
+
+
+def fill(
+    tails: list[np.ndarray], window: int, terms: list[tuple[np.ndarray, np.ndarray]] | None = None
+) -> Iterator[tuple[int, int, int, int, int]]:
+    """Document, start in its remainder, length, sequence and offset of each piece.
+
+    ``terms`` are those of the whole documents; without it, of the remainders.
+    """
+    index = Index(terms if terms is not None else [terms_of(t) for t in tails])
     unused = np.ones(len(tails), bool)
     first = 0
     seed, begin, sequence = -1, 0, 0
@@ -118,7 +135,7 @@ def fill(tails: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int,
         room -= take
         rest = (-1, 0)
         if room:
-            scores = np.where(unused, index.scores(tails[seed]), -1.0)
+            scores = np.where(unused, index.scores(seed), -1.0)
             while room:
                 best = int(scores.argmax())
                 if scores[best] < 0:
@@ -134,25 +151,33 @@ def fill(tails: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int,
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None, window: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: token count, checksums of its full windows, ids of the remainder."""
+    """Per row: token count, checksums of its full windows, ids of the remainder.
+
+    If there are both, also the terms of the whole document and their frequencies;
+    else they are those of the remainder.
+    """
     path = tokenizer or vocabulary(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in slices(batches, "text"):
-            counts, fulls, tails = [], [], []
+            counts, fulls, tails, terms, times = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 ids = np.array([*encode.encode(text, allowed_special="all"), END], np.uint32)
                 cut = len(ids) - len(ids) % window
                 counts.append(len(ids))
                 fulls.append([crc(ids[i : i + window]) for i in range(0, cut, window)])
                 tails.append(ids[cut:].tobytes())
+                held, often = terms_of(ids) if 0 < cut < len(ids) else (ids[:0], ids[:0])
+                terms.append(held.astype(np.uint32).tobytes())
+                times.append(often.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("row"), pa.array(counts, pa.int64()),
                     pa.array(fulls, pa.list_(pa.int64())), pa.array(tails, pa.binary()),
+                    pa.array(terms, pa.binary()), pa.array(times, pa.binary()),
                 ],
-                names=["doc_id", "row", "doc_tokens", "fulls", "tail"],
+                names=["doc_id", "row", "doc_tokens", "fulls", "tail", "terms", "times"],
             )
 
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
@@ -160,7 +185,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None, window: int, id_col: str,
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, row long, doc_tokens long, fulls array<long>, tail binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, row long, doc_tokens long, fulls array<long>, tail binary, terms binary, times binary")
 
 
 def pack(
@@ -192,15 +217,17 @@ def pack(
         out: list[tuple] = []
         sequence = int(key[0]) << 36
         ids, tokens = group["doc_id"].array, group["doc_tokens"].to_numpy()
-        held, tails = [], []
-        for i, (fulls, tail) in enumerate(zip(group["fulls"], group["tail"])):
+        held, tails, terms = [], [], []
+        for i, (fulls, tail, whole, times) in enumerate(zip(group["fulls"], group["tail"], group["terms"], group["times"])):
             for j, check in enumerate(fulls):
                 out.append((i, j * window, window, check, sequence, 0))
                 sequence += 1
             if tail:
                 held.append(i)
                 tails.append(np.frombuffer(tail, np.uint32))
-        for t, begin, take, local, offset in fill(tails, window) if tails else ():
+                own = (np.frombuffer(whole, np.uint32), np.frombuffer(times, np.uint32))
+                terms.append(own if whole else terms_of(tails[-1]))
+        for t, begin, take, local, offset in fill(tails, window, terms) if tails else ():
             i, tail = held[t], tails[t]
             start = int(tokens[i]) - len(tail) + begin
             out.append((i, start, take, crc(tail[begin : begin + take]), sequence + local, offset))

@@ -545,6 +545,37 @@ def test_seeds_fetch_their_own_kind():
     assert np.mean([len(v) for v in together.values()]) < 2
 
 
+def test_scores_are_those_of_a_plain_bm25():
+    """All terms of whole documents, long and empty-tailed ones too; rows and postings give the same."""
+    draw = np.random.default_rng(8)
+    docs = [(draw.zipf(1.4, size=int(draw.integers(1, 900))) % 500).astype(np.uint32) for _ in range(60)]
+    docs += [docs[0], docs[0], np.zeros(1, np.uint32)]
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    held = [Counter(d.tolist()) for d in docs]
+    df = Counter(t for h in held for t in h)
+    idf = {t: np.log1p((n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
+    terms = [packing.terms_of(d) for d in docs]
+    for share in (0.0, 1 / 8, 2.0):
+        index = packing.Index(terms, share)
+        for seed in (0, 7, 60, 62):
+            want = [
+                sum(idf[t] * h[t] * (packing.K1 + 1) / (h[t] + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in held[seed] if t in h)
+                for h, d in zip(held, docs)
+            ]
+            got = index.scores(seed)
+            assert np.allclose(got, want) and got[0] == got[60] == got[61]
+
+
+def test_neighbours_are_those_of_the_whole_text():
+    """The remainders are all alike; only what stands in the full windows tells the kinds apart."""
+    tails = [np.full(50, 9, np.uint32) for _ in range(40)]
+    whole = [packing.terms_of(np.r_[np.full(200, 100 + i % 5), t].astype(np.uint32)) for i, t in enumerate(tails)]
+    together = defaultdict(set)
+    for doc, _, _, sequence, _ in packing.fill(tails, 200, whole):
+        together[sequence].add(doc % 5)
+    assert np.mean([len(v) for v in together.values()]) == 1
+
+
 # --- chat -----------------------------------------------------------------------------
 
 
