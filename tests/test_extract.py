@@ -4,6 +4,7 @@ import html as html_lib
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,3 +342,20 @@ def test_postings_give_what_a_full_search_gives(spark):
             assert row.posted == row.plain, css
             assert row.first == (row.plain[0] if row.plain else None), css
     assert len(both) == len(pages)
+
+
+def test_trees_leave_python_in_slices(spark):
+    """A batch of many pages is not held as elements all at once; rows keep their order."""
+    pages = [None if i % 50 == 7 else f"<p id=n{i}>{i}</p>" + "<b>x</b>" * (i % 400) for i in range(1500)]
+    pages[700] = "<p id=n700>700</p>" + "<i>long</i>" * 200_000
+    parts = list(tree_ops.html_tree.func(iter([pa.array(pages), pa.array([], pa.string())])))
+    assert len(parts) > 3 and sum(map(len, parts)) == len(pages)
+    whole = [tree["texts"][0] if tree["texts"] else None for part in parts for tree in part.to_pylist()]
+    assert whole == [None if page is None else str(i) for i, page in enumerate(pages)]
+    for part in parts:
+        assert len(part) == 1 or sum(len(t["nodes"]) for t in part.to_pylist()) < 150_000
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string").coalesce(1)
+    for make in (tree_ops.html_tree, tree_ops.escaped_html_tree):
+        got = rows.select("i", make("html").alias("tree")).selectExpr("i", "get(tree.texts, 0) AS t", "size(tree.nodes) AS n")
+        want = {i: (None, 0) if p is None else (str(i), p.count("<p") + p.count("<b>") + p.count("<i>")) for i, p in enumerate(pages)}
+        assert {r.i: (r.t, r.n) for r in got.collect()} == want
