@@ -26,25 +26,34 @@ def use_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+# Groups of keys that share a call to Python and a map of state. A group's rows of
+# one micro-batch are reduced to the first of each key in memory. Fixed for the
+# life of a checkpoint.
+KEY_GROUPS = 1024
+
+
 class FirstOfKey(StatefulProcessor):
-    """The first row of a key in the order of a micro-batch, and none later on."""
+    """The first row of each key of a group in the order of a micro-batch, and none later on."""
 
-    def __init__(self, order: list[str], ttl_ms: int | None) -> None:
-        self.order, self.ttl_ms = order, ttl_ms
+    def __init__(self, key: str, order: list[str], ttl_ms: int | None) -> None:
+        self.key, self.order, self.ttl_ms = key, order, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        key = T.StructType([T.StructField("key", T.StringType())])
         seen = T.StructType([T.StructField("seen", T.BooleanType())])
-        self.seen = handle.getValueState("seen", seen, self.ttl_ms)
+        self.seen = handle.getMapState("seen", key, seen, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         first = None
-        if not self.seen.exists():
-            # A hot key's rows come in batches; one row is held.
-            for batch in (b for b in rows if len(b)):
-                batch = batch if first is None else pd.concat([first, batch])
-                first = batch.sort_values(self.order, kind="stable").head(1)
+        # A hot key's rows come in batches; one row of each key is held.
+        for batch in (b for b in rows if len(b)):
+            batch = batch if first is None else pd.concat([first, batch])
+            first = batch.sort_values(self.order, kind="stable").drop_duplicates(self.key)
         if first is not None:
-            self.seen.update((True,))
+            new = [not self.seen.containsKey((k,)) for k in first[self.key]]
+            first = first[new]
+            for k in first[self.key]:
+                self.seen.updateValue((k,), (True,))
             yield first
 
     def close(self) -> None:
@@ -60,17 +69,21 @@ def keyed_dedup(records: DataFrame, key: str = "content_hash", ttl_seconds: int
     repeat within a store, or on ``key='url'`` where content is not compared.
     """
     use_state(records.sparkSession)
-    # Null keys are alone: nothing is kept for them. Python sees columns by place,
-    # since names that begin with an underscore don't reach it.
+    # Null keys are alone. Python sees columns by place, since names that begin with
+    # an underscore don't reach it.
     names = records.columns
     alone = F.concat(F.lit("\0"), F.to_json(F.struct(*ORDER)))
-    keyed = records.withColumn("dedup_key", F.coalesce(F.col(key), alone)).toDF(*[f"c{i}" for i in range(len(names) + 1)])
+    one = F.to_json(F.struct(F.col("store_key").alias("s"), F.coalesce(F.col(key), alone).alias("k")))
+    keyed = records.withColumn("dedup_key", one).toDF(*[f"c{i}" for i in range(len(names) + 1)])
     place = {name: f"c{i}" for i, name in enumerate(names)}
-    grouped = keyed.groupBy(place["store_key"], f"c{len(names)}")
-    processor = FirstOfKey([place[c] for c in ORDER], None if ttl_seconds is None else ttl_seconds * 1000)
+    own = f"c{len(names)}"
+    # A call to Python for each key would cost more than the dedup itself.
+    grouped = keyed.withColumn("key_group", F.pmod(F.xxhash64(own), F.lit(KEY_GROUPS))).groupBy("key_group")
+    processor = FirstOfKey(own, [place[c] for c in ORDER], None if ttl_seconds is None else ttl_seconds * 1000)
     mode = "None" if ttl_seconds is None else "ProcessingTime"
-    found = grouped.transformWithStateInPandas(processor, keyed.schema, "Append", mode)
-    return found.drop(f"c{len(names)}").toDF(*names)
+    shape = T.StructType([*keyed.schema, T.StructField("key_group", T.LongType())])
+    found = grouped.transformWithStateInPandas(processor, shape, "Append", mode)
+    return found.drop(own, "key_group").toDF(*names)
 
 
 class Resolver(StatefulProcessor):

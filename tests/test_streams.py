@@ -1,6 +1,7 @@
 """Streams that keep state: dedup over restarts, attempts in any order, late rows."""
 
 import random
+import uuid
 from datetime import datetime, timezone
 
 import pytest
@@ -98,3 +99,26 @@ def test_a_running_stream_is_handed_to_the_caller(spark, tmp_path):
 def plain_provider(spark):
     yield
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_state_dedup_calls_python_per_group_of_keys_not_per_key(spark, tmp_path, monkeypatch):
+    """Many keys share a call; ties and null stores go as before, and a key seen in an earlier run stays out."""
+    log = tmp_path / "calls"
+    log.mkdir()
+    real = state.FirstOfKey.handleInputRows
+
+    class Logged(state.FirstOfKey):
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            (log / uuid.uuid4().hex).touch()
+            yield from real(self, key, rows, timerValues)
+
+    monkeypatch.setattr(state, "FirstOfKey", Logged)
+    monkeypatch.setattr(state, "KEY_GROUPS", 16)
+    rows = [(s, f"u{i}", "a", i, f"h{i % 300}", "x") for s in ("s", None, "") for i in range(600)]
+    for number, part in enumerate([rows[::-1], [("s", "v", "a", 0, "h5", "x"), ("s", "w", "a", 1, "new", "x")]]):
+        stream = feed(spark, tmp_path, part, RECORD, number)
+        ingest.to_files(state.keyed_dedup(stream), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        if number == 0:
+            assert 0 < len(list(log.iterdir())) <= 16 * 2
+    got = {(r.store_key, r.url) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(s, f"u{i}") for s in ("s", None, "") for i in range(300)} | {("s", "w")}
