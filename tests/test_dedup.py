@@ -339,3 +339,31 @@ def test_chains_meet_fork_and_hold_nulls(spark):
     kept = chains.decided(spark.createDataFrame(batch + nulls, BATCH), dedup.ORDER).collect()
     assert sorted((r.store_key, r.source_ord, r.pos) for r in kept if r.source_ord != "n") == stored
     assert sorted(r.pos for r in kept if r.source_ord == "n") == [1, 3, 4, 5]
+
+
+def test_a_chain_in_order_is_followed_within_tasks(spark, monkeypatch):
+    """Neighbours of a chain that lie in one task's range of rows need no round."""
+    rounds = []
+    real = chains.materialize
+    monkeypatch.setattr(chains, "materialize", lambda df, name: rounds.append(name) or real(df, name))
+    batch = chain_rows(3000, 1)
+    stored, _ = one_by_one(batch, [])
+    kept = chains.decided(spark.createDataFrame(batch, BATCH), dedup.ORDER)
+    assert sorted((r.store_key, r.source_ord, r.pos) for r in kept.collect()) == stored
+    assert rounds.count("chain") <= 5
+
+
+@pytest.mark.parametrize("ends, seed", [(1, 1), (3, 2), (40, 3)])
+def test_chains_cut_anywhere_give_the_same(spark, monkeypatch, ends, seed):
+    """Ranges of any size: rows that wait for two chains lie before, in and behind them."""
+    monkeypatch.setattr(chains, "MOST_ENDS", ends)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(seed)
+        batch = chain_rows(80, 1) + random_batch(rng, 250, 25, 25, {"a": (True, True), "b": (True, True), "c": (True, False)})
+        batch = [(*r[:2], "a", i, *r[4:]) for i, r in enumerate(batch)]
+        stored, _ = one_by_one(batch, [])
+        kept = chains.decided(spark.createDataFrame(batch, BATCH), dedup.ORDER).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.store_key, r.source_ord, r.pos) for r in kept) == stored
