@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,6 @@ BUCKETS = 128
 SIDE = 2
 EMBEDDING, HIDDEN = 8, 24
 ROUNDS, BATCH, SCORED, RATE = 2, 8192, 16384, 0.08
-# Unlisted words that a worker remembers. Results don't change.
-REMEMBERED = 1_000_000
 # Of the output weights: with hidden units within 1, logits stay below 80.
 BOUND = 3.0
 # Distinct words that a task counts before it passes them on.
@@ -61,10 +60,11 @@ def flat(model: Model) -> np.ndarray:
 
 
 def shaped(values: np.ndarray) -> Model:
+    """The weights in these values; of 32-bit ones they are views."""
     out, at = {}, 0
     for key, shape in SHAPES.items():
         n = int(np.prod(shape))
-        out[key] = values[at : at + n].reshape(shape).astype(np.float32)
+        out[key] = values[at : at + n].reshape(shape).astype(np.float32, copy=False)
         at += n
     return out
 
@@ -91,7 +91,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     counts = Counter()
         yield passed(counts)
 
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # Tasks have counted already: what they pass on is not counted again before the shuffle.
+    counted = texts.mapInArrow(run, "word string, n long").repartition("word")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary_of(counts: DataFrame) -> dict[str, int]:
@@ -130,25 +132,45 @@ class Shares:
         """``words`` and the logarithm ``share`` of each one's part of its bucket."""
         unseen = self.of_bucket(self.rest) - (F.octet_length("word") + 1) * F.lit(float(np.log(257)))
         part = F.coalesce(F.log("n"), unseen) - self.of_bucket(self.total)
-        return words.join(self.counts, "word", "left").withColumn("share", part).drop("n")
+        # A word is one row of the counts, so no partition of theirs is skewed, and their
+        # part of a partition is held while the words, which are many more, go by unsorted.
+        return words.join(self.counts.hint("shuffle_hash"), "word", "left").withColumn("share", part).drop("n")
 
 
-class Numbers(dict):
-    """Numbers of words; unlisted ones get a bucket, remembered up to a limit."""
+class Codes(dict):
+    """Codes of words: the number of a listed one, others from ``SIZE`` on as they are first asked for."""
+
+    def __init__(self, known: dict[str, int]) -> None:
+        super().__init__(known)
+        self.listed = len(known)
+        self.buckets = np.empty(0, "<u2")
 
     def __missing__(self, word: str) -> int:
-        number = SIZE - BUCKETS + bucket(word)
-        if len(self) < REMEMBERED:
-            self[word] = number
-        return number
+        code = self[word] = SIZE + len(self) - self.listed
+        return code
 
+    def unlisted(self, start: int = 0) -> list[str]:
+        return [*islice(self, self.listed + start, None)]
 
-class Places(dict):
-    """Places of words in the order in which they are first asked for."""
+    def coded(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Of each text the numbers of its words, and the places of the unlisted ones."""
+        code, parts = self.__getitem__, []
+        for text in texts:
+            words = words_of(text)
+            parts.append(np.fromiter(map(code, words), "<u4", len(words)))
+        fresh = [SIZE - BUCKETS + bucket(w) for w in self.unlisted(len(self.buckets))]
+        self.buckets = np.concatenate([self.buckets, np.array(fresh, "<u2")])
+        codes = np.concatenate(parts)
+        other = codes >= SIZE
+        places = codes[other] - np.uint32(SIZE)
+        numbers = codes.astype("<u2")
+        numbers[other] = self.buckets[places]
+        ends = np.cumsum([0, *map(len, parts)])
+        return cut(numbers, ends), cut(places, np.r_[0, np.cumsum(other)][ends])
 
-    def __missing__(self, word: str) -> int:
-        place = self[word] = len(self)
-        return place
+
+def cut(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    return [values[a:b].tobytes() for a, b in pairwise(ends.tolist())]
 
 
 def numbered(rows: DataFrame, known: dict[str, int]) -> DataFrame:
@@ -161,8 +183,7 @@ def numbered(rows: DataFrame, known: dict[str, int]) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Numbers(known).__getitem__
-        chunk, held, local = TaskContext.get().partitionId() << 32, 0, Places()
+        chunk, held, codes = TaskContext.get().partitionId() << 32, 0, Codes(known)
         doc_type = None
 
         def made(ids: pa.Array, tokens: list, unlisted: list, words: list) -> pa.RecordBatch:
@@ -175,20 +196,15 @@ def numbered(rows: DataFrame, known: dict[str, int]) -> DataFrame:
             )
 
         for batch in slices(batches, "text"):
-            doc_type, tokens, unlisted = batch.column("doc_id").type, [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                numbers = np.array([*map(number, words)], "<u2")
-                other = map(words.__getitem__, np.flatnonzero(numbers >= SIZE - BUCKETS).tolist())
-                tokens.append(numbers.tobytes())
-                unlisted.append(np.array([*map(local.__getitem__, other)], "<u4").tobytes())
-                held += len(words)
+            doc_type = batch.column("doc_id").type
+            tokens, unlisted = codes.coded(batch.column("text").to_pylist())
+            held += sum(map(len, tokens)) // 2
             yield made(batch.column("doc_id"), tokens, unlisted, [None] * len(tokens))
-            if len(local) > COUNTED or held > CHUNK_TOKENS:
-                yield made(pa.nulls(1, doc_type), [None], [None], [[*local]])
-                chunk, held, local = chunk + 1, 0, Places()
-        if local:
-            yield made(pa.nulls(1, doc_type), [None], [None], [[*local]])
+            if len(codes.buckets) > COUNTED or held > CHUNK_TOKENS:
+                yield made(pa.nulls(1, doc_type), [None], [None], [codes.unlisted()])
+                chunk, held, codes = chunk + 1, 0, Codes(known)
+        if len(codes.buckets):
+            yield made(pa.nulls(1, doc_type), [None], [None], [codes.unlisted()])
 
     kinds = f"doc_id {kind}, chunk long, tokens binary, unlisted binary, words array<string>"
     return materialize(rows.mapInArrow(run, kinds), "tokens")
@@ -200,17 +216,22 @@ class Sequence:
     def __init__(self, documents: list[bytes]) -> None:
         edge = np.full(SIDE, EDGE, "<u2").tobytes()
         self.sizes = [len(d) // 2 for d in documents]
-        self.tokens = np.frombuffer(edge + b"".join(d + edge for d in documents), "<u2").astype(np.int32)
+        self.tokens = np.frombuffer(edge + b"".join(d + edge for d in documents), "<u2")
         self.places = np.flatnonzero(self.tokens != EDGE)
         self.offsets = np.array([o for o in range(-SIDE, SIDE + 1) if o])
 
     def windows(self, places: np.ndarray) -> np.ndarray:
-        return self.tokens[places[:, None] + self.offsets]
+        return np.take(self.tokens, places[:, None] + self.offsets)
+
+
+def spots(targets: np.ndarray, width: int) -> np.ndarray:
+    """Where the targets lie in flat logits with rows of this width."""
+    return np.arange(0, len(targets) * width, width) + targets
 
 
-def log_softmax_at(logits: np.ndarray, targets: np.ndarray) -> np.ndarray:
+def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Overwrites the logits. They are bounded (see ``BOUND``), so nothing overflows."""
-    wanted = logits[np.arange(len(targets)), targets]
+    wanted = np.take(logits, at)
     np.exp(logits, out=logits)
     return wanted - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
@@ -222,13 +243,15 @@ def output(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
 
 
 def hidden(model: Model, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inputs = model["embedding"][windows].reshape(len(windows), -1)
-    return inputs, np.tanh(inputs @ model["mix"] + model["bias"])
+    inputs = np.take(model["embedding"], windows, axis=0).reshape(len(windows), -1)
+    h = inputs @ model["mix"]
+    h += model["bias"]
+    return inputs, np.tanh(h, out=h)
 
 
 def sorted_by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """An order of the rows, and where each class that occurs then lies."""
-    groups = (targets // MEMBERS).astype(np.uint16)
+    groups = (targets // MEMBERS).astype(np.uint16, copy=False)
     order = np.argsort(groups, kind="stable")
     starts = np.searchsorted(groups[order], np.arange(CLASSES + 1))
     return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(starts, starts[1:])) if a < b]
@@ -237,46 +260,51 @@ def sorted_by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, sl
 def log_probabilities(model: Model, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
     order, classes = sorted_by_class(targets)
     targets = targets[order]
-    _, h = hidden(model, windows[order])
-    out = log_softmax_at(output(h, model["classes"], model["class_bias"]), targets // MEMBERS)
+    _, h = hidden(model, np.take(windows, order, axis=0))
+    out = log_softmax_at(output(h, model["classes"], model["class_bias"]), spots(targets // MEMBERS, CLASSES))
+    at = spots(targets % MEMBERS, MEMBERS)
     for c, rows in classes:
         logits = output(h[rows], model["members"][c], model["member_bias"][c])
-        out[rows] += log_softmax_at(logits, targets[rows] % MEMBERS)
+        out[rows] += log_softmax_at(logits, at[rows] - rows.start * MEMBERS)
     back = np.empty_like(out)
     back[order] = out
     return back
 
 
-def errors(logits: np.ndarray, targets: np.ndarray) -> np.ndarray:
+def errors(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Probabilities less one at the targets."""
     np.exp(logits, out=logits)
     logits /= (logits @ np.ones(logits.shape[1], np.float32))[:, None]
-    logits[np.arange(len(targets)), targets] -= 1
+    logits.reshape(-1)[at] -= 1
     return logits
 
 
 def gradients(model: Model, windows: np.ndarray, targets: np.ndarray) -> Model:
     n = len(targets)
     order, classes = sorted_by_class(targets)
-    targets, windows = targets[order], windows[order]
+    targets, windows = targets[order], np.take(windows, order, axis=0)
     inputs, h = hidden(model, windows)
     ones = np.ones(n, np.float32)
     out = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    error = errors(output(h, model["classes"], model["class_bias"]), targets // MEMBERS)
+    error = errors(output(h, model["classes"], model["class_bias"]), spots(targets // MEMBERS, CLASSES))
     out["classes"], out["class_bias"] = h.T @ error, ones @ error
     back = error @ model["classes"].T
+    member_at = spots(targets % MEMBERS, MEMBERS)
     for c, rows in classes:
         part = h[rows]
-        inner = errors(output(part, model["members"][c], model["member_bias"][c]), targets[rows] % MEMBERS)
+        inner = errors(output(part, model["members"][c], model["member_bias"][c]), member_at[rows] - rows.start * MEMBERS)
         out["members"][c], out["member_bias"][c] = part.T @ inner, ones[rows] @ inner
         back[rows] += inner @ model["members"][c].T
-    back *= 1 - h * h
+    h *= h
+    back *= np.subtract(1, h, out=h)
     out["mix"], out["bias"] = inputs.T @ back, ones @ back
     down = (back @ model["mix"].T).reshape(-1, EMBEDDING)
-    at = windows.ravel().astype(np.uint16)
+    at = windows.ravel().astype(np.uint16, copy=False)
     order = np.argsort(at, kind="stable")
-    tokens, starts = np.unique(at[order], return_index=True)
-    out["embedding"][tokens] = np.add.reduceat(down[order], starts, axis=0)
+    times = np.bincount(at)
+    tokens = np.flatnonzero(times)
+    starts = (np.cumsum(times) - times)[tokens]
+    out["embedding"][tokens] = np.add.reduceat(np.take(down, order, axis=0), starts, axis=0)
     for g in out.values():
         g /= n
     return out
@@ -286,8 +314,9 @@ class Trainer:
     """Steps scaled by the root of the summed squares of each weight's gradients."""
 
     def __init__(self, model: Model) -> None:
-        self.model = {k: v.copy() for k, v in model.items()}
-        self.squares = {k: np.full(s, 1e-8, np.float32) for k, s in SHAPES.items()}
+        self.weights = flat(model)
+        self.model = shaped(self.weights)
+        self.squares = np.full_like(self.weights, 1e-8)
         self.tokens = 0
 
     def learn(self, sequence: Sequence, batch: int = BATCH) -> None:
@@ -295,14 +324,14 @@ class Trainer:
         places = draw.permutation(sequence.places)
         # Few tokens make small steps, so that there are some.
         batch = max(64, min(batch, len(places) // 64))
+        held = np.empty_like(self.weights)
         for i in range(0, len(places), batch):
             some = places[i : i + batch]
-            grads = gradients(self.model, sequence.windows(some), sequence.tokens[some])
-            for k, g in grads.items():
-                self.squares[k] += g * g
-                g *= RATE
-                g /= np.sqrt(self.squares[k])
-                self.model[k] -= g
+            g = flat(gradients(self.model, sequence.windows(some), sequence.tokens[some]))
+            self.squares += np.multiply(g, g, out=held)
+            g *= RATE
+            g /= np.sqrt(self.squares, out=held)
+            self.weights -= g
             for k in ("classes", "class_bias", "members", "member_bias"):
                 np.clip(self.model[k], -BOUND, BOUND, out=self.model[k])
         self.tokens += len(places)

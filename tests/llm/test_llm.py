@@ -403,6 +403,55 @@ def test_words_of_a_bucket_are_scored_as_themselves(spark):
     assert own[2].log_prob - own[3].log_prob == pytest.approx(np.log(3 / 2))
 
 
+def test_words_are_coded_as_one_by_one():
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    known = {w: i for i, w in enumerate(words[:20])}
+    texts = ["", *(" ".join(draw.choices(words, k=draw.randrange(40))) for _ in range(30)), "W1  w55\n"]
+    codes, places, tokens, unlisted = language_model.Codes(known), {}, [], []
+    for some in (texts[:1], texts[1:9], texts[9:]):
+        got = codes.coded(some)
+        tokens += got[0]
+        unlisted += got[1]
+    for i, text in enumerate(texts):
+        plain = language_model.words_of(text)
+        first = language_model.SIZE - language_model.BUCKETS
+        assert np.frombuffer(tokens[i], "<u2").tolist() == [known.get(w, first + language_model.bucket(w)) for w in plain]
+        other = [places.setdefault(w, len(places)) for w in plain if w not in known]
+        assert np.frombuffer(unlisted[i], "<u4").tolist() == other
+    # Nothing is remembered beyond the chunk's own words.
+    assert codes.unlisted() == [*places] and len(codes) == len(known) + len(places)
+
+
+def test_training_adds_up_each_row(spark):
+    model = language_model.start_model()
+    draw = np.random.default_rng(2)
+    windows, targets = draw.integers(0, 50, (300, 4)), draw.integers(0, language_model.SIZE, 300)
+    whole = language_model.gradients(model, windows, targets)
+    single = [language_model.gradients(model, windows[i : i + 1], targets[i : i + 1]) for i in range(300)]
+    for key, values in whole.items():
+        assert np.allclose(values, sum(s[key] for s in single) / 300, atol=1e-5)
+    # A step changes the trainer's weights and not the model it began with.
+    before, trainer = language_model.flat(model), language_model.Trainer(model)
+    trainer.learn(language_model.Sequence([targets.astype("<u2").tobytes()]))
+    assert np.array_equal(language_model.flat(model), before)
+    assert not np.array_equal(language_model.flat(trainer.model), before)
+
+
+def test_shares_are_joined_without_sorting_the_words(spark):
+    counts = spark.createDataFrame([("a", 3), ("b", 2)], "word string, n long")
+    words = spark.createDataFrame([(0, 0, "a"), (0, 1, "never")], "chunk long, place int, word string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = language_model.Shares(counts, {}).of(words)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert joined.count() == 2
+
+
 # --- near-duplicates --------------------------------------------------------------------
 
 
