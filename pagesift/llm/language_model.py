@@ -20,6 +20,7 @@ from itertools import islice, pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ COUNTED = 300_000
 # Tokens of a chunk: documents whose unlisted words are numbered and looked up together.
 CHUNK_TOKENS = 1_000_000
 CHUNKS, SALTS = 8, 32
+# Bytes of a block of memory above all that one batch takes at a time.
+BLOCK = 30 << 20
 SIZE = CLASSES * MEMBERS
 EDGE = SIZE
 SHAPES = {
@@ -73,6 +76,11 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def words_in(texts: list[str]) -> pa.ListArray:
+    """``words_of`` each text, null for none. Both split at the same characters, and a strip leaves no empty word."""
+    return pc.utf8_split_whitespace(pa.array([t.lower().strip() or None for t in texts], pa.large_string()))
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, n`` over all texts, counted in each task first."""
 
@@ -84,11 +92,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                counts.update(words_of(text))
-                if len(counts) > COUNTED:
-                    yield passed(counts)
-                    counts = Counter()
+            found = words_in(batch.column("text").to_pylist()).flatten().value_counts()
+            for word, n in zip(found.field(0).to_numpy(zero_copy_only=False), found.field(1).to_numpy().tolist()):
+                counts[word] += n
+            if len(counts) > COUNTED:
+                yield passed(counts)
+                counts = Counter()
         yield passed(counts)
 
     # Tasks have counted already: what they pass on is not counted again before the shuffle.
@@ -154,19 +163,21 @@ class Codes(dict):
 
     def coded(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Of each text the numbers of its words, and the places of the unlisted ones."""
-        code, parts = self.__getitem__, []
-        for text in texts:
-            words = words_of(text)
-            parts.append(np.fromiter(map(code, words), "<u4", len(words)))
+        found = words_in(texts)
+        # A word is looked up once, however often it comes.
+        words = found.flatten().dictionary_encode()
+        kinds = words.dictionary.to_numpy(zero_copy_only=False)
+        codes = np.fromiter(map(self.__getitem__, kinds), "<u4", len(kinds))
         fresh = [SIZE - BUCKETS + bucket(w) for w in self.unlisted(len(self.buckets))]
         self.buckets = np.concatenate([self.buckets, np.array(fresh, "<u2")])
-        codes = np.concatenate(parts)
         other = codes >= SIZE
-        places = codes[other] - np.uint32(SIZE)
         numbers = codes.astype("<u2")
-        numbers[other] = self.buckets[places]
-        ends = np.cumsum([0, *map(len, parts)])
-        return cut(numbers, ends), cut(places, np.r_[0, np.cumsum(other)][ends])
+        numbers[other] = self.buckets[codes[other] - np.uint32(SIZE)]
+        at = words.indices.to_numpy()
+        codes = np.take(codes, at)
+        other = codes >= SIZE
+        ends = np.cumsum([0, *found.value_lengths().fill_null(0).to_pylist()])
+        return cut(np.take(numbers, at), ends), cut(codes[other] - np.uint32(SIZE), np.r_[0, np.cumsum(other)][ends])
 
 
 def cut(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -218,10 +229,14 @@ class Sequence:
         self.sizes = [len(d) // 2 for d in documents]
         self.tokens = np.frombuffer(edge + b"".join(d + edge for d in documents), "<u2")
         self.places = np.flatnonzero(self.tokens != EDGE)
-        self.offsets = np.array([o for o in range(-SIDE, SIDE + 1) if o])
+        # The windows lie side by side: training takes them in random order, each from one place.
+        n = len(self.tokens)
+        self.around = np.empty((n, 2 * SIDE), "<u2")
+        for i, o in enumerate(o for o in range(-SIDE, SIDE + 1) if o):
+            self.around[SIDE : n - SIDE, i] = self.tokens[SIDE + o : n - SIDE + o]
 
     def windows(self, places: np.ndarray) -> np.ndarray:
-        return np.take(self.tokens, places[:, None] + self.offsets)
+        return np.take(self.around, places, axis=0)
 
 
 def spots(targets: np.ndarray, width: int) -> np.ndarray:
@@ -229,6 +244,21 @@ def spots(targets: np.ndarray, width: int) -> np.ndarray:
     return np.arange(0, len(targets) * width, width) + targets
 
 
+def sorted_by_token(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the flat windows by token, in order; the tokens that occur, and where each begins."""
+    at = windows.ravel()
+    bits = len(at).bit_length()
+    # Token and place in one number: these are distinct, so that a plain sort keeps the order.
+    kind = np.uint32 if bits + SIZE.bit_length() <= 32 else np.uint64
+    keys = at.astype(kind) << kind(bits)
+    keys |= np.arange(len(at), dtype=kind)
+    keys.sort()
+    order = keys & kind((1 << bits) - 1)
+    keys >>= kind(bits)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return order, keys[starts], starts
+
+
 def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Overwrites the logits. They are bounded (see ``BOUND``), so nothing overflows."""
     wanted = np.take(logits, at)
@@ -299,17 +329,22 @@ def gradients(model: Model, windows: np.ndarray, targets: np.ndarray) -> Model:
     back *= np.subtract(1, h, out=h)
     out["mix"], out["bias"] = inputs.T @ back, ones @ back
     down = (back @ model["mix"].T).reshape(-1, EMBEDDING)
-    at = windows.ravel().astype(np.uint16, copy=False)
-    order = np.argsort(at, kind="stable")
-    times = np.bincount(at)
-    tokens = np.flatnonzero(times)
-    starts = (np.cumsum(times) - times)[tokens]
+    order, tokens, starts = sorted_by_token(windows)
     out["embedding"][tokens] = np.add.reduceat(np.take(down, order, axis=0), starts, axis=0)
     for g in out.values():
         g /= n
     return out
 
 
+def keep_memory() -> None:
+    """Freed blocks of up to this size stay with the process, which is what glibc does once it has seen one freed.
+
+    Else a new process hands its first batches' arrays back to the system each time and
+    gets them again as untouched pages.
+    """
+    np.empty(BLOCK, np.uint8)
+
+
 class Trainer:
     """Steps scaled by the root of the summed squares of each weight's gradients."""
 
@@ -345,6 +380,7 @@ def train_round(rows: DataFrame, model: Model) -> Model | None:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         trainer = Trainer(model)
         for batch in slices(batches, "tokens"):
             trainer.learn(Sequence(batch.column("tokens").to_pylist()))
@@ -409,6 +445,7 @@ def scored(
         model = train_round(learned.filter(F.col("tokens").isNotNull()), model) or model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         for batch in slices(batches, "tokens"):
             sequence = Sequence(batch.column("tokens").to_pylist())
             out = np.zeros(len(sequence.places))

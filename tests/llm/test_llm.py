@@ -1,8 +1,11 @@
 """The operators against brute force, round trips and held-out text, and on odd rows."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -423,6 +426,73 @@ def test_words_are_coded_as_one_by_one():
     assert codes.unlisted() == [*places] and len(codes) == len(known) + len(places)
 
 
+class Asked(language_model.Codes):
+    """Codes that remember how often they are asked."""
+
+    asked = 0
+
+    def __getitem__(self, word):
+        self.asked += 1
+        return super().__getitem__(word)
+
+
+def test_a_word_is_looked_up_once_however_often_it_comes():
+    codes = Asked({"the": 0})
+    tokens, unlisted = codes.coded(["the rare the THE", "", "rare the rare"] * 50)
+    assert codes.asked == 2
+    first = language_model.SIZE - language_model.BUCKETS + language_model.bucket("rare")
+    assert np.frombuffer(b"".join(tokens[:3]), "<u2").tolist() == [0, first, 0, 0, first, 0, first]
+    assert [len(t) for t in tokens[:3]] == [8, 0, 6] and [len(u) for u in unlisted[:3]] == [4, 0, 8]
+
+
+def test_words_are_split_as_python_splits_them():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["", " ", "\n\x1c a  b\u3000", "\u0130\u03a3 \u03a3A\u03a3", "\0 a\0b", "x".join(points), " ".join(points)]
+    got = language_model.words_in(texts)
+    assert got.flatten().to_pylist() == [w for t in texts for w in language_model.words_of(t)]
+    assert got.value_lengths().fill_null(0).to_pylist() == [len(language_model.words_of(t)) for t in texts]
+    assert language_model.words_in([]).flatten().to_pylist() == []
+
+
+def test_counts_are_those_of_all_words(spark):
+    texts = ["A b a", "", None, " b\u2003c ", "b" * 70000 + " a"]
+    rows = make_docs(spark, texts).select(F.coalesce("text", F.lit("")).alias("text"))
+    got = {r["word"]: r["n"] for r in language_model.word_counts(rows).collect()}
+    assert got == {"a": 3, "b": 2, "c": 1, "b" * 70000: 1}
+
+
+def test_windows_and_their_tokens_in_order():
+    draw = np.random.default_rng(3)
+    for sizes in ([], [0], [1], [0, 3, 1, 0, 200, 7]):
+        documents = [draw.integers(0, 30, n).astype("<u2") for n in sizes]
+        sequence = language_model.Sequence([d.tobytes() for d in documents])
+        edge = [language_model.EDGE] * 2
+        plain = [[*edge, *d, *edge][i : i + 5] for d in (d.tolist() for d in documents) for i in range(len(d))]
+        windows = sequence.windows(sequence.places)
+        assert windows.tolist() == [w[:2] + w[3:] for w in plain]
+        if plain:
+            order, tokens, starts = language_model.sorted_by_token(windows)
+            at = windows.ravel()
+            assert np.array_equal(order, np.argsort(at, kind="stable"))
+            assert np.array_equal(tokens, np.unique(at)) and np.array_equal(starts, np.searchsorted(np.sort(at), tokens))
+
+
+def test_a_new_process_does_not_take_its_memory_again_for_each_batch():
+    code = (
+        "import resource, numpy as np\n"
+        "from pagesift.llm import language_model\n"
+        "language_model.keep_memory()\n"
+        "faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt\n"
+        "take = lambda: np.ones(3 << 20, np.uint8)\n"
+        "take(); begun = faults()\n"
+        "for _ in range(20): take()\n"
+        "print(faults() - begun)\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    # Pages of 4 KB, once; each time would be 15,000.
+    assert int(done.stdout) < 2000
+
+
 def test_training_adds_up_each_row(spark):
     model = language_model.start_model()
     draw = np.random.default_rng(2)
