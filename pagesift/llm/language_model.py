@@ -50,6 +50,7 @@ SHAPES = {
     "members": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS),
 }
 Model = dict[str, np.ndarray]
+Groups = list[tuple[int, slice]]
 
 
 def start_model(seed: int = 7) -> Model:
@@ -72,6 +73,15 @@ def shaped(values: np.ndarray) -> Model:
     return out
 
 
+def keep_memory() -> None:
+    """Freed blocks of up to this size stay with the process, which is what glibc does once it has seen one freed.
+
+    Else a new process hands its first batches' arrays back to the system each time and
+    gets them again as untouched pages.
+    """
+    np.empty(BLOCK, np.uint8)
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -90,6 +100,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         counts: Counter = Counter()
         for batch in slices(batches, "text"):
             found = words_in(batch.column("text").to_pylist()).flatten().value_counts()
@@ -194,6 +205,7 @@ def numbered(rows: DataFrame, known: dict[str, int]) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         chunk, held, codes = TaskContext.get().partitionId() << 32, 0, Codes(known)
         doc_type = None
 
@@ -259,11 +271,19 @@ def sorted_by_token(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, keys[starts], starts
 
 
-def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+def totals(values: np.ndarray, groups: Groups) -> np.ndarray:
+    """Sums of the rows. Each group is summed by itself, so that its sums do not hang on where it lies."""
+    out, ones = np.empty(len(values), np.float32), np.ones(values.shape[1], np.float32)
+    for _, rows in groups:
+        np.matmul(values[rows], ones, out=out[rows])
+    return out
+
+
+def log_softmax_at(logits: np.ndarray, at: np.ndarray, groups: Groups) -> np.ndarray:
     """Overwrites the logits. They are bounded (see ``BOUND``), so nothing overflows."""
     wanted = np.take(logits, at)
     np.exp(logits, out=logits)
-    return wanted - np.log(logits @ np.ones(logits.shape[1], np.float32))
+    return wanted - np.log(totals(logits, groups))
 
 
 def output(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -279,7 +299,17 @@ def hidden(model: Model, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return inputs, np.tanh(h, out=h)
 
 
-def sorted_by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+def member_logits(model: Model, h: np.ndarray, classes: Groups) -> np.ndarray:
+    """Of rows in order of classes: the logits of the members of each row's class."""
+    logits = np.empty((len(h), MEMBERS), np.float32)
+    for c, rows in classes:
+        some = logits[rows]
+        np.matmul(h[rows], model["members"][c], out=some)
+        some += model["member_bias"][c]
+    return logits
+
+
+def sorted_by_class(targets: np.ndarray) -> tuple[np.ndarray, Groups]:
     """An order of the rows, and where each class that occurs then lies."""
     groups = (targets // MEMBERS).astype(np.uint16, copy=False)
     order = np.argsort(groups, kind="stable")
@@ -291,58 +321,51 @@ def log_probabilities(model: Model, windows: np.ndarray, targets: np.ndarray) ->
     order, classes = sorted_by_class(targets)
     targets = targets[order]
     _, h = hidden(model, np.take(windows, order, axis=0))
-    out = log_softmax_at(output(h, model["classes"], model["class_bias"]), spots(targets // MEMBERS, CLASSES))
-    at = spots(targets % MEMBERS, MEMBERS)
-    for c, rows in classes:
-        logits = output(h[rows], model["members"][c], model["member_bias"][c])
-        out[rows] += log_softmax_at(logits, at[rows] - rows.start * MEMBERS)
+    all_rows = [(0, slice(None))]
+    out = log_softmax_at(output(h, model["classes"], model["class_bias"]), spots(targets // MEMBERS, CLASSES), all_rows)
+    out += log_softmax_at(member_logits(model, h, classes), spots(targets % MEMBERS, MEMBERS), classes)
     back = np.empty_like(out)
     back[order] = out
     return back
 
 
-def errors(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+def errors(logits: np.ndarray, at: np.ndarray, groups: Groups) -> np.ndarray:
     """Probabilities less one at the targets."""
     np.exp(logits, out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], np.float32))[:, None]
+    logits /= totals(logits, groups)[:, None]
     logits.reshape(-1)[at] -= 1
     return logits
 
 
 def gradients(model: Model, windows: np.ndarray, targets: np.ndarray) -> Model:
+    return shaped(flat_gradients(model, windows, targets))
+
+
+def flat_gradients(model: Model, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
     n = len(targets)
     order, classes = sorted_by_class(targets)
     targets, windows = targets[order], np.take(windows, order, axis=0)
     inputs, h = hidden(model, windows)
     ones = np.ones(n, np.float32)
-    out = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    error = errors(output(h, model["classes"], model["class_bias"]), spots(targets // MEMBERS, CLASSES))
-    out["classes"], out["class_bias"] = h.T @ error, ones @ error
+    whole = np.zeros(sum(v.size for v in model.values()), np.float32)
+    out = shaped(whole)
+    logits = output(h, model["classes"], model["class_bias"])
+    error = errors(logits, spots(targets // MEMBERS, CLASSES), [(0, slice(None))])
+    out["classes"][:], out["class_bias"][:] = h.T @ error, ones @ error
     back = error @ model["classes"].T
-    member_at = spots(targets % MEMBERS, MEMBERS)
+    member_errors = errors(member_logits(model, h, classes), spots(targets % MEMBERS, MEMBERS), classes)
     for c, rows in classes:
-        part = h[rows]
-        inner = errors(output(part, model["members"][c], model["member_bias"][c]), member_at[rows] - rows.start * MEMBERS)
-        out["members"][c], out["member_bias"][c] = part.T @ inner, ones[rows] @ inner
+        inner = member_errors[rows]
+        out["members"][c], out["member_bias"][c] = h[rows].T @ inner, ones[rows] @ inner
         back[rows] += inner @ model["members"][c].T
     h *= h
     back *= np.subtract(1, h, out=h)
-    out["mix"], out["bias"] = inputs.T @ back, ones @ back
+    out["mix"][:], out["bias"][:] = inputs.T @ back, ones @ back
     down = (back @ model["mix"].T).reshape(-1, EMBEDDING)
     order, tokens, starts = sorted_by_token(windows)
     out["embedding"][tokens] = np.add.reduceat(np.take(down, order, axis=0), starts, axis=0)
-    for g in out.values():
-        g /= n
-    return out
-
-
-def keep_memory() -> None:
-    """Freed blocks of up to this size stay with the process, which is what glibc does once it has seen one freed.
-
-    Else a new process hands its first batches' arrays back to the system each time and
-    gets them again as untouched pages.
-    """
-    np.empty(BLOCK, np.uint8)
+    whole /= n
+    return whole
 
 
 class Trainer:
@@ -362,7 +385,7 @@ class Trainer:
         held = np.empty_like(self.weights)
         for i in range(0, len(places), batch):
             some = places[i : i + batch]
-            g = flat(gradients(self.model, sequence.windows(some), sequence.tokens[some]))
+            g = flat_gradients(self.model, sequence.windows(some), sequence.tokens[some])
             self.squares += np.multiply(g, g, out=held)
             g *= RATE
             g /= np.sqrt(self.squares, out=held)

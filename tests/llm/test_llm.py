@@ -477,6 +477,20 @@ def test_windows_and_their_tokens_in_order():
             assert np.array_equal(tokens, np.unique(at)) and np.array_equal(starts, np.searchsorted(np.sort(at), tokens))
 
 
+def test_sums_of_a_class_do_not_hang_on_where_it_lies():
+    draw = np.random.default_rng(5)
+    values = draw.random((700, 64), np.float32)
+    groups = [(0, slice(0, 3)), (4, slice(3, 690)), (5, slice(690, 700))]
+    got = language_model.totals(values.copy(), groups)
+    assert np.allclose(got, values.sum(axis=1))
+    for _, rows in groups:
+        assert np.array_equal(got[rows], language_model.totals(values[rows], [(0, slice(None))]))
+    model = language_model.start_model()
+    windows, targets = draw.integers(0, 50, (300, 4)), draw.integers(0, language_model.SIZE, 300)
+    whole = language_model.flat_gradients(model, windows, targets)
+    assert np.array_equal(whole, language_model.flat(language_model.gradients(model, windows, targets)))
+
+
 def test_a_new_process_does_not_take_its_memory_again_for_each_batch():
     code = (
         "import resource, numpy as np\n"
